@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lshforest, nbsvm
+from . import disclosure, lshforest, nbsvm, poissonmix, spacedseeds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,30 @@ def op2_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spacedseeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = disclosure.sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spelt = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.transform("base", spelt)
+    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
+    counts = [F.size(_of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in disclosure.KINDS]
+    return rows.select(
+        "doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, terms), ",").alias("spans"),
+    )
+
+
+def _of_kind(kind: str):
+    return F.filter("base", lambda s: s["kind"] == kind)
+
+
+def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poissonmix.mixed(table(spark, sf_dir, "documents"))
+
+
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
@@ -24,7 +48,32 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
+    "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
+    "op4_disclosure_pii": op4_disclosure_pii,
+    "op6_poisson_mix": op6_poisson_mix,
     "op10_nbsvm_quality": op10_nbsvm_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_poisson_mix": """
+WITH keyed AS (
+  SELECT *, coalesce(source, '') AS source_key, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents
+), counts AS (
+  SELECT source_key, count(*) AS n FROM keyed GROUP BY source_key
+), rates AS (
+  SELECT source_key, 1.0::DOUBLE / (SELECT count(*) FROM counts)::DOUBLE * (SELECT sum(n) FROM counts)::DOUBLE / n::DOUBLE AS rate FROM counts
+), parts AS (
+  SELECT source_key, greatest(ceil(rate / 16.0::DOUBLE), 1)::BIGINT AS parts, rate / greatest(ceil(rate / 16.0::DOUBLE), 1)::DOUBLE AS mean FROM rates
+), terms AS (
+  SELECT source_key, parts, j, sum(exp(-mean + j * ln(mean) - lgamma(j + 1))) OVER (PARTITION BY source_key ORDER BY j ROWS UNBOUNDED PRECEDING) AS cumulative
+  FROM parts, range(0, 60) AS t(j)
+), draws AS (
+  SELECT k, doc_id, p, source_key, (('0x' || substr(md5('17:draw:' || k || ':' || p), 1, 12))::BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u
+  FROM (SELECT DISTINCT k, doc_id, source_key FROM keyed) JOIN parts USING (source_key), range(1, 10000) AS r(p) WHERE p <= parts
+), copies AS (
+  SELECT k, source_key, count(*) AS copies FROM draws JOIN terms USING (source_key) WHERE cumulative <= u GROUP BY k, source_key
+)
+SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, c::INTEGER AS copy, md5('17:shuffle:' || k || ':' || c) AS shuffle_key
+FROM keyed JOIN copies USING (k, source_key), range(1, 100000) AS g(c) WHERE c <= copies
+""",
+}
