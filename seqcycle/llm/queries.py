@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, lshforest, nbsvm, poissonmix, spacedseeds
+from . import disclosure, hnsw, lshforest, nbsvm, poissonmix, spacedseeds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poissonmix.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_hnsw_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
     "op4_disclosure_pii": op4_disclosure_pii,
     "op6_poisson_mix": op6_poisson_mix,
+    "op7_hnsw_embedding_dedup": op7_hnsw_embedding_dedup,
     "op10_nbsvm_quality": op10_nbsvm_quality,
 }
 
