@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, hnsw, lshforest, nbsvm, poissonmix, spacedseeds
+from . import disclosure, hnsw, lshforest, nbsvm, poissonmix, spacedseeds, textdensity, urltrees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,18 @@ def op7_hnsw_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_text_density_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textdensity.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs that a rule blocks are the labelled ones of class 1, all others of class 0."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    _, says = urltrees.rule(urltrees.host(F.col("url")), urltrees.path(F.col("url")))
+    labelled = pages.where("url is not null").select("url", F.when(says == "block", 1).otherwise(0).alias("label"))
+    return urltrees.judged(pages, urltrees.train(labelled))
+
+
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
@@ -56,6 +68,8 @@ QUERIES = {
     "op4_disclosure_pii": op4_disclosure_pii,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_hnsw_embedding_dedup": op7_hnsw_embedding_dedup,
+    "op8_text_density_extraction": op8_text_density_extraction,
+    "op9_url_boosted_trees": op9_url_boosted_trees,
     "op10_nbsvm_quality": op10_nbsvm_quality,
 }
 
