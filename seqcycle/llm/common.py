@@ -41,7 +41,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet in the shared folder and returns the table that reads them."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its buffers are pooled on the heap
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -119,31 +119,47 @@ def found(docs: DataFrame) -> DataFrame:
     return written(rows.select("doc_id", "text_key", "base", contexts.alias("contexts"), F.regexp_count("t", F.lit(_WORD)).alias("n_words")), "personal")
 
 
+_NOWHERE = "array<struct<start:int,end:int>>"
+
+
 def terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(kind, value, word): the words that disclose an entity, from the contexts of ``found`` and all texts."""
-    mentions = rows.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select(
-        "c.kind", "c.value", F.transform("c.words", lambda w: w["word"]).alias("words")
-    ).distinct()
-    pairs = mentions.select("kind", "value", F.explode("words").alias("word")).groupBy("kind", "value", "word").agg(F.count(F.lit(1)).alias("contexts"))
+    """(doc_id, text_key, terms): where words that disclose an entity stand in its contexts, from the rows of ``found``."""
+    mentions = rows.where(F.size("contexts") > 0).select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.kind", "c.value", "c.words")
+    distinct = mentions.select("kind", "value", F.col("words.word").alias("words")).distinct()
+    pairs = distinct.select("kind", "value", F.explode("words").alias("word")).groupBy("kind", "value", "word").agg(F.count(F.lit(1)).alias("contexts"))
     strong = written(pairs.where(F.col("contexts") >= SUPPORT), "pairs")
-    near = rows.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.kind", "c.value", F.explode("c.words.word").alias("word"))
+    wanted = written(strong.select("word").distinct(), "wanted")
+    near = mentions.select("doc_id", "text_key", "kind", "value", F.explode("words").alias("w")).select("doc_id", "text_key", "kind", "value", "w.word", "w.start", "w.end")
     both = near.groupBy("kind", "value", "word").agg(F.count(F.lit(1)).alias("both"))
     texts = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_WORD), F.lit(0))).alias("word"))
-    wanted = written(strong.select("word").distinct(), "wanted")
     if wanted.count() <= FEW_WORDS:
         totals = texts.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     else:
         totals = texts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(wanted, "word", "left_semi")
-    totals = written(totals, "words")
     entities = both.groupBy("kind", "value").agg(F.sum("both").alias("size"))
     everything = rows.agg(F.coalesce(F.sum("n_words"), F.lit(1))).first()[0]
     ic = -F.log(F.least(F.col("size") / F.lit(float(max(everything, 1))), F.lit(0.5)))
     share = F.least(F.col("both") / F.col("n"), F.lit(1.0))
-    disclosure = 1 + F.log(share) / ic
-    return (
+    disclosing = written(
         strong.join(both, ["kind", "value", "word"]).join(totals, "word").join(entities, ["kind", "value"])
-        .where(disclosure >= THRESHOLD).select("kind", "value", "word")
+        .where(1 + F.log(share) / ic >= THRESHOLD).select("kind", "value", "word"), "terms",
     )
+    hits = near.join(disclosing, ["kind", "value", "word"])
+    return written(hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")), "hits")
+
+
+def _with_terms(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """``rows`` (which have doc_id and text_key) with the array ``terms`` in place of text_key."""
+    r, h = rows.alias("r"), hits.alias("h")
+    same = F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.text_key") == F.col("h.text_key"))
+    kept = [F.col(f"r.`{c}`") for c in rows.columns if c != "text_key"]
+    return r.join(h, same, "left").select(*kept, F.coalesce("h.terms", F.array().cast(_NOWHERE)).alias("terms"))
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, terms) of each row of ``docs``: the spans of personal data and of disclosing terms."""
+    rows = found(docs)
+    return _with_terms(rows.select("doc_id", "text_key", "base"), terms(docs, rows))
 
 
 def sanitised(docs: DataFrame, *, remove_terms: bool = False) -> DataFrame:
@@ -151,26 +167,10 @@ def sanitised(docs: DataFrame, *, remove_terms: bool = False) -> DataFrame:
 
     Spans become their kind in brackets; terms become ``[term]``, or nothing with ``remove_terms``.
     """
-    added = ("base", "terms", "sanitised", "text_key", "spans")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
-    rows = found(docs)
-    disclosing = written(terms(docs, rows), "terms")
-    near = rows.where(F.size("contexts") > 0).select("doc_id", "text_key", F.explode("contexts").alias("c")).select(
-        "doc_id", "text_key", "c.kind", "c.value", F.explode("c.words").alias("w")
-    )
-    hits = near.select("doc_id", "text_key", "kind", "value", "w.word", "w.start", "w.end").join(disclosing, ["kind", "value", "word"]).select("doc_id", "text_key", "start", "end")
-    own = rows.where(F.size("base") > 0).select("doc_id", "text_key", "base", F.lit(None).cast("array<struct<start:int,end:int>>").alias("terms"))
-    spans = (
-        own.select("doc_id", "text_key", "base", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-        .unionByName(hits, allowMissingColumns=True)
-        .groupBy("doc_id", "text_key")
-        .agg(F.max("base").alias("base"), F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("terms"))
-    )
-    keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")))).alias("d")
-    s = spans.alias("s")
-    both = keyed.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")), "left")
-    kind = "array<struct<rank:int,kind:string,start:int,end:int,value:string>>"
-    out = both.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.coalesce("s.base", F.array().cast(kind)).alias("base"), F.coalesce("s.terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+    docs = docs.select(*[c for c in docs.columns if c not in ("base", "terms", "sanitised", "text_key")])
+    hits = terms(docs, found(docs))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = _with_terms(docs.withColumn("text_key", F.md5(text)), hits).withColumn("base", base_spans(text))
     return out.withColumn("sanitised", _cut(F.col("text"), F.col("base"), F.col("terms"), "" if remove_terms else "[term]"))
 
 
