@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, hnsw, lshforest, nbsvm, poissonmix, spacedseeds, textdensity, urltrees
+from . import disclosure, hnsw, lshforest, nbsvm, poissonmix, seekwarc, separators, spacedseeds, textdensity, urltrees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seekwarc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,7 +25,7 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = disclosure.sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = disclosure.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spelt = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.transform("base", spelt)
     terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
@@ -36,6 +40,10 @@ def _of_kind(kind: str):
     return F.filter("base", lambda s: s["kind"] == kind)
 
 
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poissonmix.mixed(table(spark, sf_dir, "documents"))
 
@@ -63,9 +71,11 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_seekable_warc": op1_seekable_warc,
     "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
     "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
     "op4_disclosure_pii": op4_disclosure_pii,
+    "op5_separator_scan": op5_separator_scan,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_hnsw_embedding_dedup": op7_hnsw_embedding_dedup,
     "op8_text_density_extraction": op8_text_density_extraction,
@@ -74,6 +84,17 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_seekable_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), newest AS (
+  SELECT payload, max(page_id) AS newest FROM p WHERE n >= 1000 GROUP BY payload
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN newest <> page_id THEN newest END AS refers_to
+FROM p LEFT JOIN newest USING (payload)
+""",
     "op6_poisson_mix": """
 WITH keyed AS (
   SELECT *, coalesce(source, '') AS source_key, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents
