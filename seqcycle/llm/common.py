@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))  # a path without scheme is one of the default file system
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _local_fallback()
@@ -45,6 +46,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, for a Python stage over whole texts: batches of at most 1,000 rows, where the session has the default of 10,000.
+
+    A batch of long texts lives outside the heap several times over, so its size bounds what a task needs there.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def remove(table: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing will read again."""
     spark = table.sparkSession

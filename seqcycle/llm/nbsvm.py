@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64
+from .common import WordHashes, mix64, texts
 
 #: Hashed columns; bound of the labelled rows (and of their bytes of text) that a fit takes, by hash order of doc_id.
 BITS, SAMPLE_ROWS, SAMPLE_BYTES = 18, 8_000, 60_000_000
@@ -156,27 +156,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(
     known = labels.where(f"quality in (0, 1) and not ({held_out})").select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    texts, marks, total = [], [], 0
+    known_texts, marks, total = [], [], 0
     for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
         total += len((row.text or "").encode())
         if total > text_bytes:
             break
-        texts.append(row.text)
+        known_texts.append(row.text)
         marks.append(row.quality)
-    return texts, marks
+    return known_texts, marks
 
 
 def scored(docs: DataFrame, model: Model, *, bits: int = BITS) -> DataFrame:
     """Adds ``score`` (0 to 1) to the rows of ``docs``; all columns stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [n for n in docs.columns if n != "score"]
-    docs = docs.select(*names)
+    docs = texts(docs.select(*names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, m = WordHashes(), held.value
         for batch in batches:
-            texts = batch.column(names.index("text"))
-            score = pa.array((m.score(features(t.as_py(), hashes, bits)) for t in texts), pa.float64())
+            score = pa.array((m.score(features(t.as_py(), hashes, bits)) for t in batch.column(names.index("text"))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, "score"])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, texts, written
 from .files import make_folder, open_input, open_output
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_BYTES, LEVEL = 1 << 18, 1 << 28, 1000, 3
@@ -152,8 +152,9 @@ def archived(pages: DataFrame) -> DataFrame:
     ready = rows.join(written(shared, "payloads"), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle = None
         for batch in batches:
-            bundle, out = None, []
+            out = []
             for row in zip(*(batch.column(i) for i in range(5)), strict=True):
                 page, url, data, digest, to = (v.as_py() for v in row)
                 if bundle is not None and bundle.written + bundle.size > BUNDLE_BYTES:
@@ -164,12 +165,12 @@ def archived(pages: DataFrame) -> DataFrame:
                 text = record(page, url, data, digest, to)
                 frame, offset = bundle.add(text)
                 out.append((f"{_URN}{'none' if page is None else page}", page, bundle.name, frame, offset, len(text)))
-            if bundle is not None:
-                bundle.close()
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["record_id", "page_id", "bundle", "frame", "offset", "length"])
+        if bundle is not None:
+            bundle.close()
 
-    return written(ready.mapInArrow(run, _INDEX), "index")
+    return written(texts(ready).mapInArrow(run, _INDEX), "index")
 
 
 _RECORD = "record_id string, page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"

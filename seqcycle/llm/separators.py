@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, texts, written
 from .files import make_folder, open_input, open_output
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -41,10 +41,13 @@ def encoder(vocabulary: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_MANIFEST = "file string, ordinal long, file_tokens long"
+
+
 def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Writes the token files; (doc_id, file, ordinal, file_tokens): which document of which file each row became.
+    """Writes the token files; (doc_id, file, ordinal, file_tokens).
 
-    ``file_tokens`` is set in the row of a file's last document and null in the others.
+    A row with an ordinal tells which document of which file a row of ``docs`` became; one without tells the size of a file.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
@@ -52,33 +55,36 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, f
     with open_input(vocabulary) as f:
         content = spark.sparkContext.broadcast(f.read())  # a vocabulary of 16-bit identifiers
 
+    def rows(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([x[i] for x in found], t) for i, t in enumerate([pa.string(), pa.int64(), pa.int64()])]
+        return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "file", "ordinal", "file_tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(content.value).encode_ordinary
-        out, name, ordinal, total = None, None, 0, 0
+        out, name, ordinal, total, closed, kind = None, None, 0, 0, [], None
         for batch in batches:
-            files, ordinals, totals = [], [], []
-            for k, text in enumerate(batch.column(1)):
+            places, kind = [], batch.column(0).type
+            for text in batch.column(1):
                 if out is None:
                     name, ordinal, total = f"{folder}/{uuid.uuid4().hex}.bin", 0, 0
                     out = open_output(name)
                 ids = np.array(encode(text.as_py() or "") + [end], np.uint16)
                 out.write(ids.tobytes())
-                total += len(ids)
-                files.append(name)
-                ordinals.append(ordinal)
-                ordinal += 1
-                closes = total >= file_tokens or k == batch.num_rows - 1  # every batch ends its file, so each row knows its file
-                totals.append(total if closes else None)
-                if closes:
+                places.append((name, ordinal, None))
+                ordinal, total = ordinal + 1, total + len(ids)
+                if total >= file_tokens:
                     out.close()
                     out = None
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(files, pa.string()), pa.array(ordinals, pa.int64()), pa.array(totals, pa.int64())],
-                names=["doc_id", "file", "ordinal", "file_tokens"],
-            )
+                    closed.append((name, None, total))
+            yield rows(batch.column(0), places)
+        if out is not None:
+            out.close()
+            closed.append((name, None, total))
+        if closed:
+            yield rows(pa.nulls(len(closed), kind), closed)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, file string, ordinal long, file_tokens long"), "manifest")
+    return written(texts(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, {_MANIFEST}"), "manifest")
 
 
 _BLOCK = "file string, block long, ends long, first long, last long, lengths array<long>"
@@ -117,5 +123,5 @@ def scan(files: DataFrame, *, end: int = END, block_tokens: int = BLOCK_TOKENS)
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every document, by way of token files and their scan."""
     manifest = tokenise(docs, vocabulary)
-    counts = scan(manifest.where("file_tokens is not null").select("file", "file_tokens"))
-    return manifest.select("doc_id", "file", "ordinal").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    counts = scan(manifest.where("ordinal is null").select("file", "file_tokens"))
+    return manifest.where("ordinal is not null").select("doc_id", "file", "ordinal").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, odd_constants
+from .common import WordHashes, mix64, odd_constants, texts
 
 #: 1 is a compared position, 0 an ignored one.
 MASKS = ("11111111", "110110111011", "1110010110111", "1011101101011")
@@ -139,7 +139,7 @@ def _blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[Block]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, matched, overlap_tokens, doc_start, item_start."""
-    docs = docs.select("doc_id", "text")
+    docs = texts(docs.select("doc_id", "text"))
     out = None
     for block in _blocks(benchmark, block_tokens):
         found = _against(docs, block)
@@ -169,7 +169,7 @@ def _against(docs: DataFrame, block: Block) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with all their columns; each row is judged by its own text."""
-    names = docs.columns
+    names = texts(docs).columns
     for block in _blocks(benchmark, block_tokens):
         docs = _without(docs, block, names)
     return docs
