@@ -4,8 +4,8 @@ A page becomes a tree; parts that are no article by their tag, role or class (me
 adverts, forms, scripts, styles, comments) are cut off. For every node, C, LC are the characters of its text and of its links' texts
 (white space apart), T and LT its tags and link tags, at least 1 each. Its composite density is
 C/T * log(C*T / (LC*LT)) to the base ln(C/nLC * LC + LCb/Cb * C + e), nLC = C - LC and b the body: characters per tag,
-adjusted for links. A node's density sum is that of its children. The node with the largest sum is the core of the
-article; the threshold is the lowest density on the path from it to the body. Along that path, siblings join the core if
+adjusted for links. A node's density sum is that of its children. The node with the largest sum (for a mere part
+of a text, such as a paragraph, a list or a plain cell, what holds it) is the core of the article; the threshold is the lowest density on the path from it to the body. Along that path, siblings join the core if
 they reach the threshold and are text themselves (headings, paragraphs, lists, quotations, tables), or are at least half
 as dense as the core. An ``article`` or ``main`` element around the core is taken whole.
 
@@ -27,6 +27,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import texts
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
 )
@@ -190,6 +192,13 @@ def _menu(node: Node) -> bool:
     return node.link_tags >= 3 and node.link_chars * 2 > node.chars
 
 
+def _part(node: Node) -> bool:
+    """Whether a node is a part of a text rather than a holder of one: a paragraph, a list or table's row or cell of plain text, an inline element."""
+    if node.tag in ("td", "th", "li", "dd", "blockquote", "figure", "center"):
+        return not any(isinstance(p, Node) and p.tag in _BLOCK for p in node.parts)
+    return node.tag not in _BLOCK or node.tag in _TEXTUAL or node.tag in ("tr", "tbody", "thead", "tfoot", "dt", "caption", "summary", "hgroup")
+
+
 def _chosen(root: Node) -> list[Node]:
     order = _measure(root)
     body = next((n for n in reversed(order) if n.tag == "body"), root)
@@ -197,6 +206,8 @@ def _chosen(root: Node) -> list[Node]:
         body = root
     _densities(order, body)
     core = max(reversed(order), key=lambda n: (n.total, n.chars) if n.chars else (-1.0, 0))  # the outermost of equal ones
+    while core is not body and core.parent is not None and _part(core):
+        core = core.parent
     path = [core]
     while path[-1].parent is not None and path[-1] is not body:
         path.append(path[-1].parent)
@@ -259,10 +270,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
+            found = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return texts(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
