@@ -3,10 +3,10 @@
 A page becomes a tree; parts that are no article by their tag, role or class (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments) are cut off. For every node, C, LC are the characters of its text and of its links' texts
 (white space apart), T and LT its tags and link tags, at least 1 each. Its composite density is
-C/T * log(C*T / (LC*LT)) to the base ln(C/nLC * LC + LCb/Cb * C + e), nLC = C - LC and b the body: characters per tag,
-adjusted for links. A node's density sum is that of its children. The node with the largest sum (for a mere part
+C/T * log(C*T / (LC*LT)) to the base ln(C/nLC * LC + LCb/Cb * C + e), nLC = C - LC (at least 1) and b the body: characters per tag,
+adjusted for links. A node's density sum is that of its children and of its own text. The node with the largest sum (for a mere part
 of a text, such as a paragraph, a list or a plain cell, what holds it) is the core of the article; the threshold is the lowest density on the path from it to the body. Along that path, siblings join the core if
-they reach the threshold and are text themselves (headings, paragraphs, lists, quotations, tables), or are at least half
+they are main headings, or reach the threshold and are text themselves (paragraphs, lists, quotations, tables), or reach it and are at least half
 as dense as the core. An ``article`` or ``main`` element around the core is taken whole.
 
 The text is that of the chosen nodes in page order: character references decoded, white space inside a block made one
@@ -174,17 +174,21 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _density(chars: int, link_chars: int, tags: int, link_tags: int, share: float) -> float:
+    """Composite density of one node; ``share`` is the body's share of characters in links."""
+    if not chars:
+        return 0.0
+    lc, t, lt = max(link_chars, 1), max(tags, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * lc + share * chars + math.e)  # over 1, as lc is at least 1
+    return chars / t * max(math.log(chars / lc * t / lt), 0.0) / math.log(base)
+
+
 def _densities(order: list[Node], body: Node) -> None:
     share = body.link_chars / body.chars if body.chars else 0.0
     for node in order:
-        c, lc, t, lt = node.chars, node.link_chars, max(node.tags, 1), max(node.link_tags, 1)
-        if not c:
-            node.density = 0.0
-        else:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            node.density = c / t * max(math.log(c / max(lc, 1) * t / lt), 0.0) / max(math.log(base), 1e-3) if base > 1 else 0.0
-        own = sum(sum(map(len, p.split())) for p in node.parts if isinstance(p, str))
-        node.total = own + sum(p.density for p in node.parts if isinstance(p, Node) and not p.cut)
+        node.density = _density(node.chars, node.link_chars, node.tags, node.link_tags, share)
+        own = sum(sum(map(len, p.split())) for p in node.parts if isinstance(p, str))  # text of its own counts as a child
+        node.total = _density(own, 0, 1, 0, share) + sum(p.density for p in node.parts if isinstance(p, Node) and not p.cut)
 
 
 def _menu(node: Node) -> bool:
@@ -219,8 +223,12 @@ def _chosen(root: Node) -> list[Node]:
     for node, parent in zip(path, path[1:], strict=False):
         joined = []
         for p in parent.parts:
-            if isinstance(p, Node) and p is not node and not p.cut and p.chars and p.density >= threshold and not _menu(p):
-                if p.tag in _TEXTUAL or (p.tag in ("div", "section", "article") and p.density * 2 >= core.density):
+            if isinstance(p, Node) and p is not node and not p.cut and p.chars and not _menu(p):
+                if p.tag in ("h1", "h2", "h3"):  # a heading beside the core is short, hence thin, and belongs to it
+                    joined.append(p)
+                elif p.density < threshold:
+                    continue
+                elif p.tag in _TEXTUAL or (p.tag in ("div", "section", "article") and p.density * 2 >= core.density):
                     joined.append(p)
         chosen |= {id(p): p for p in joined}
     return list(chosen.values())
