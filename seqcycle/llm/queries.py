@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, hnsw, lshforest, nbsvm, poissonmix, seekwarc, separators, spacedseeds, textdensity, urltrees
+from . import disclosure, hnsw, lshforest, nbsvm, oracles, poissonmix, seekwarc, separators, spacedseeds, textdensity, urltrees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,36 +84,10 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_seekable_warc": """
-WITH p AS (
-  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
-), newest AS (
-  SELECT payload, max(page_id) AS newest FROM p WHERE n >= 1000 GROUP BY payload
-)
-SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
-  CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN newest <> page_id THEN newest END AS refers_to
-FROM p LEFT JOIN newest USING (payload)
-""",
-    "op6_poisson_mix": """
-WITH keyed AS (
-  SELECT *, coalesce(source, '') AS source_key, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents
-), counts AS (
-  SELECT source_key, count(*) AS n FROM keyed GROUP BY source_key
-), rates AS (
-  SELECT source_key, 1.0::DOUBLE / (SELECT count(*) FROM counts)::DOUBLE * (SELECT sum(n) FROM counts)::DOUBLE / n::DOUBLE AS rate FROM counts
-), parts AS (
-  SELECT source_key, greatest(ceil(rate / 16.0::DOUBLE), 1)::BIGINT AS parts, rate / greatest(ceil(rate / 16.0::DOUBLE), 1)::DOUBLE AS mean FROM rates
-), terms AS (
-  SELECT source_key, parts, j, sum(exp(-mean + j * ln(mean) - lgamma(j + 1))) OVER (PARTITION BY source_key ORDER BY j ROWS UNBOUNDED PRECEDING) AS cumulative
-  FROM parts, range(0, 60) AS t(j)
-), draws AS (
-  SELECT k, doc_id, p, source_key, (('0x' || substr(md5('17:draw:' || k || ':' || p), 1, 12))::BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u
-  FROM (SELECT DISTINCT k, doc_id, source_key FROM keyed) JOIN parts USING (source_key), range(1, 10000) AS r(p) WHERE p <= parts
-), copies AS (
-  SELECT k, source_key, count(*) AS copies FROM draws JOIN terms USING (source_key) WHERE cumulative <= u GROUP BY k, source_key
-)
-SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, c::INTEGER AS copy, md5('17:shuffle:' || k || ':' || c) AS shuffle_key
-FROM keyed JOIN copies USING (k, source_key), range(1, 100000) AS g(c) WHERE c <= copies
-""",
+    "op1_seekable_warc": oracles.OP1,
+    "op2_minhash_lsh_forest": oracles.OP2,
+    "op3_spaced_seed_decontamination": oracles.OP3,
+    "op4_disclosure_pii": oracles.OP4,
+    "op6_poisson_mix": oracles.OP6,
+    "op7_hnsw_embedding_dedup": oracles.OP7,
 }
