@@ -5,12 +5,12 @@ shingles, or its whole sequence of words if there are fewer. Equal sets are one
 ``TREES`` labels, each a sequence of ``DEPTH`` minima of permuted shingle hashes. In each tree the nodes stand in the order of their labels, and
 candidates are neighbours in that order, so how deep a prefix two neighbours share adapts to how crowded their region
 is: alone in a region, a pair that agrees in its first minimum meets; in a crowded one, the pairs with the longest
-common prefixes do. Besides its ``NEAR`` neighbours on either side, each node meets the hub of its region: the node
-whose sketch agrees best with the nodes around it, such as the text from which a family of copies was made.
+common prefixes do. Besides its ``NEAR`` neighbours on either side, each node meets the hubs of its regions of one and of two
+common minima: the node whose sketch agrees best with the most frequent values there, such as the text from which a family of copies was made.
 Candidates are told from chance by length and a 64-value sketch, at more than five standard deviations below the
 threshold, and the rest are confirmed on the full sets, read again from the texts. Linked components follow.
 
-Cost is linear: a node takes part in at most ``TREES * (NEAR + 1)`` candidates of its own, whatever the size of its
+Cost is linear: a node takes part in at most ``TREES * (NEAR + 2)`` candidates of its own, whatever the size of its
 region. A pair in a region of one or a few nodes is missed with a chance of ``(1 - J) ** TREES`` or so.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept. Repeated rows
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, mix64, odd_constants, remove, written
+from .common import WordHashes, components, mix64, odd_constants, remove, texts, written
 
-TREES, DEPTH, NEAR, WORDS = 16, 8, 2, 5
+TREES, DEPTH, NEAR, WORDS = 24, 8, 3, 5
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
 _SKETCH = 64  # 4-bit values
@@ -140,32 +140,34 @@ _LEAST = 30
 def _candidates(keys: np.ndarray) -> np.ndarray:
     """Pairs of nodes, smaller first, among rows that stand next to each other or under a region's hub."""
     rows, n = _Rows(keys), len(keys)
-    left, right, score = [], [], np.zeros(n)
+    left, right = [], []
     for gap in range(1, NEAR + 1):
         i = np.flatnonzero(rows.first[: n - gap] == rows.first[gap:]) if n > gap else np.empty(0, np.int64)
-        agree = rows.agreement(i, i + gap)
-        np.add.at(score, i, agree)
-        np.add.at(score, i + gap, agree)
-        left.append(i[agree >= _LEAST])
-        right.append(i[agree >= _LEAST] + gap)
-    starts = np.flatnonzero(np.r_[True, rows.first[1:] != rows.first[:-1]]) if n else np.empty(0, np.int64)
-    counts = np.diff(np.r_[starts, n])
-    crowded = np.repeat(counts > NEAR + 1, counts)
-    if crowded.any():
-        best = np.repeat(np.maximum.reduceat(score, starts), counts)
-        at = np.where(score == best, np.arange(n), n)
-        hub = np.repeat(np.minimum.reduceat(at, starts), counts)
-        i = np.flatnonzero(crowded & (hub != np.arange(n)))
-        agree = rows.agreement(i, hub[i])
-        left.append(i[agree >= _LEAST])
-        right.append(hub[i][agree >= _LEAST])
+        left.append(i)
+        right.append(i + gap)
+    for depth in (1, 2):
+        begins = np.r_[True, (keys[1:, : 1 + 2 * depth] != keys[:-1, : 1 + 2 * depth]).any(axis=1)] if n else np.empty(0, bool)
+        starts = np.flatnonzero(begins)
+        counts = np.diff(np.r_[starts, n])
+        for start, count in zip(starts[counts > NEAR + 1].tolist(), counts[counts > NEAR + 1].tolist(), strict=True):
+            left.append(np.arange(start, start + count))
+            right.append(np.full(count, start + _hub(rows.sketch[start : start + count])))
     i, j = np.concatenate(left), np.concatenate(right)
     small, large = np.minimum(rows.size[i], rows.size[j]), np.maximum(rows.size[i], rows.size[j])
     fit = (100 * small >= SIMILAR * large) & (rows.node[i] != rows.node[j])
-    a, b = rows.node[i[fit]], rows.node[j[fit]]
+    i, j = i[fit], j[fit]
+    close = rows.agreement(i, j) >= _LEAST
+    a, b = rows.node[i[close]], rows.node[j[close]]
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
+def _hub(sketches: np.ndarray) -> int:
+    """The row that agrees best with the most frequent value of each place."""
+    places = np.arange(_SKETCH) * 16
+    votes = np.bincount((sketches + places).ravel(), minlength=16 * _SKETCH).reshape(_SKETCH, 16)
+    return int((sketches == votes.argmax(axis=1)).sum(axis=1).argmax())
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, _KEY)
 
@@ -244,7 +246,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
+    docs = texts(docs.select("doc_id", "text"))
     rows = written(docs.mapInArrow(_featured, _FEATURES), "shingles")
     named = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
@@ -261,8 +263,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = nodes.join(ends, "node").select("node", "set_key")
-    texts = docs.join(keys, docs.doc_id == keys.node).select("node", "set_key", "text")
-    sets = texts.mapInArrow(_sets, "node long, shingles binary")
+    again = docs.join(keys, docs.doc_id == keys.node).select("node", "set_key", "text")
+    sets = again.mapInArrow(_sets, "node long, shingles binary")
     two = (
         pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a")
         .join(sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b")
