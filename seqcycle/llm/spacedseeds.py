@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, odd_constants, texts
 
 #: 1 is a compared position, 0 an ignored one.
-MASKS = ("11111111", "110110111011", "1110010110111", "1011101101011")
+MASKS = ("111111", "1110111", "110110101", "1100101011")
 MIN_MATCH, MIN_ITEM, PENALTY, BLOCK_TOKENS = 13, 5, 3, 2_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 _BITS = 20

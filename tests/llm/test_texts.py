@@ -62,14 +62,14 @@ def test_overlaps_equal_brute_force():
         for i in want:  # an untouched run of 8 tokens is always found
             if any(" ".join(items[i][s : s + 13]) in " ".join(doc) for s in range(max(1, len(items[i]) - 12))):
                 assert i in got
-    assert missed <= 2
+    assert missed == 0
 
 
 def test_masks_bear_substitutions():
     item = words(30, 1)
     hashes = WordHashes()
     block = spacedseeds.Block.of([7], [hashes.array(item)])
-    for step in (6, 7, 8):
+    for step in (5, 6, 7, 8):
         doc = words(10, 2) + [w if i % step else "other" for i, w in enumerate(item)] + words(10, 3)
         assert block.overlaps(hashes.array(doc)), step
 
