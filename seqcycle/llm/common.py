@@ -34,8 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_fallback()
 
 
+@lru_cache(maxsize=8)
+def _session_folder(base: str, application: str) -> str:
+    """A folder of this application in the shared one; the file system deletes it when the driver ends."""
+    from pyspark import SparkContext
+
+    jvm, context = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/seqcycle-{application}")
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return path.toString()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/seqcycle/{tag}-{uuid.uuid4().hex}"
+    return f"{_session_folder(shared_dir(spark), spark.sparkContext.applicationId)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
