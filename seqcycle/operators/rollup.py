@@ -27,14 +27,15 @@ def parsed_results(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The sample is the folder above ``stats``, and a missing read length is that of the folder ``L<number>``.
     """
-    rows = files.withColumn("r", F.from_json("content", FIT_JSON))
+    # As a generator the parse runs once; as a column, once for every field that is read from it.
+    rows = files.select("path", F.inline_outer(F.array(F.from_json("content", FIT_JSON))))
     sample = F.regexp_extract("path", r"([^/]+)/stats/[^/]*/[^/]*/L[^/]*/[^/]*$", 1)
     folder = F.regexp_extract("path", r"/L(\d+)/[^/]+$", 1)
-    length = F.coalesce("r.read_length", F.when(folder != "", folder.cast("int")))
-    by_base = [F.try_element_at(F.filter("r.fits", _is_base(b)), F.lit(-1))["r2"].alias(f"r2_{b}") for b in BASES]
-    flat = rows.where(~F.coalesce(F.col("r.status") == "skipped", F.lit(False))).select(
-        "path", sample.alias("sample"), length.alias("read_length"), F.col("r.read_count").alias("read_count"), F.col("r.observed_read_count").alias("observed_read_count"),
-        F.size("r.fits").alias("n_fits"), *by_base,
+    length = F.coalesce("read_length", F.when(folder != "", folder.cast("int")))
+    by_base = [F.try_element_at(F.filter("fits", _is_base(b)), F.lit(-1))["r2"].alias(f"r2_{b}") for b in BASES]
+    flat = rows.where(~F.coalesce(F.col("status") == "skipped", F.lit(False))).select(
+        "path", sample.alias("sample"), length.alias("read_length"), "read_count", "observed_read_count",
+        F.size("fits").alias("n_fits"), *by_base,
     )
     r2 = [F.col(f"r2_{b}") for b in BASES]
     fine = [x.between(0.0, 1.0 + 1e-12) & ~F.isnan(x) for x in r2]
