@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.sequences import hashed_offset, is_unambiguous, phase_trimmed
@@ -142,7 +142,8 @@ def _cds(spark, a):
 
 def _simulate(spark, a):
     rows = simulate.sample(spark, tables.contigs(spark, a.input), a.reads, a.length, a.bias5, a.bias3, seed=a.seed, reverse_share=a.reverse_share)
-    sinks.fasta(rows, a.output, simulate.fasta_header(F.col("id").cast("string")), "fragment")
+    numbered = rows.withColumn("number", F.row_number().over(Window.orderBy("id")) - 1)  # a sample of as many rows as were asked for
+    sinks.fasta(numbered, a.output, simulate.fasta_header(F.col("number").cast("string")), "fragment")
 
 
 def _aggregate(spark, a):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import product
 
 from pyspark.sql import Column
@@ -60,6 +61,12 @@ def hashed_offset(key: Column, seed: int, n: int = 3) -> Column:
     return F.floor(uniform(F.lit(str(seed)), key) * n).cast("int")
 
 
+def replayed_offsets(n: int, seed: int) -> list[int]:
+    """The offsets 0 to 2 that one sequential generator deals to the first ``n`` eligible reads."""
+    draw = random.Random(seed)
+    return [draw.randrange(3) for _ in range(n)]
+
+
 def dedup_key(seq: Column, mode: str) -> Column:
     """What rows must share to count as copies: the sequence, or the smaller of it and its reverse complement, as text or as 64-bit hash."""
     if mode == "sequence":

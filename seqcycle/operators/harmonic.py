@@ -108,6 +108,8 @@ def permutation_p(cells: DataFrame, keys: list[str], permutations: int = PERMUTA
 def permutation_p_replayed(cells: DataFrame, keys: list[str], permutations: int = PERMUTATIONS, seed: int = SEED, *, value: str = "n", base: str = "base") -> DataFrame:
     """(keys, p_value) by numpy's generator, with one child seed for each base in the order of the tables.
 
+    Where ``length`` is a key, the seed of a length is ``seed + 10007 * length``.
+
     Every group is one window of cycles, so a group is as small as the window however many reads there are.
     """
     import numpy as np
@@ -117,7 +119,8 @@ def permutation_p_replayed(cells: DataFrame, keys: list[str], permutations: int
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cycle")
-        child = np.random.SeedSequence(seed).spawn(len(BASES))[BASES.index(pdf[base].iloc[0])]
+        own = seed + 10007 * int(pdf["length"].iloc[0]) if "length" in keys else seed
+        child = np.random.SeedSequence(own).spawn(len(BASES))[BASES.index(pdf[base].iloc[0])]
         draw = np.random.default_rng(int(child.generate_state(1, dtype=np.uint64)[0]))
         y, phase = pdf[value].to_numpy(float), pdf.cycle.to_numpy() % 3
         members = np.stack([(phase == j) / max((phase == j).sum(), 1) ** 0.5 for j in range(3)])

@@ -6,6 +6,7 @@ sample does not depend on partitioning. The first ``n`` accepted candidates by n
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +71,37 @@ def sample(spark: SparkSession, contigs: DataFrame, n: int, read_length: int, bi
 
 
 def fasta_header(number: Column) -> Column:
-    side = F.when(F.col("reverse"), "reverse").otherwise("forward")
-    return F.concat_ws(" ", F.concat(F.lit("read_"), number), F.concat(F.lit("chrom="), "name"), F.concat(F.lit("start="), "start"), F.concat(F.lit("end="), "end"),
-                       F.concat(F.lit("base_5p_outside_oriented="), "outside"), F.concat(F.lit("base_3p_inside_oriented="), "inside"), F.concat(F.lit("orientation="), side))
+    """The structured header of the sample's ``number``-th fragment."""
+    side = F.when(F.col("reverse"), "reverse_complement").otherwise("forward_reference")
+    named = {"chrom": "name", "start": "start", "end": "end", "base_5p_outside_oriented": "outside", "base_3p_inside_oriented": "inside"}
+    return F.concat_ws("|", F.concat(F.lit("read_"), number), *[F.concat(F.lit(f"{k}="), F.col(c)) for k, c in named.items()], F.concat(F.lit("orientation="), side))
+
+
+def replayed(contigs: list[tuple[str, str]], n: int, read_length: int, bias5: float = 0.5, bias3: float = 0.5, *, seed: int = SEED, reverse_share: float = REVERSE_SHARE) -> tuple[list[tuple], int]:
+    """(accepted fragments, attempts) of one sequential random generator, for small samples that must repeat an earlier run.
+
+    Each attempt draws a slot, an orientation and a start, then one number for each break after C or T that it comes to.
+    """
+    draw = np.random.default_rng(seed)
+    usable = [(name, seq, len(seq) - read_length) for name, seq in contigs if len(seq) > read_length]
+    bounds = np.cumsum([starts for *_, starts in usable])
+    turned = str.maketrans("ACGT", "TGCA")
+
+    def kept(base: str, bias: float) -> bool:
+        return base in "AG" or draw.random() < (1 - bias) / bias
+
+    rows: list[tuple] = []
+    for attempt in range(1, max(100_000, 10_000 * n) + 1):
+        name, seq, starts = usable[int(np.searchsorted(bounds, draw.integers(0, bounds[-1]), side="right"))]
+        reverse = bool(draw.random() < reverse_share)
+        start = int(draw.integers(0, starts) if reverse else draw.integers(1, starts + 1))
+        piece = seq[start : start + read_length]
+        ends = (seq[start + read_length] + piece[0]).translate(turned) if reverse else seq[start - 1] + piece[-1]
+        if set(piece + ends) <= set("ACGT") and kept(ends[0], bias5) and kept(ends[1], bias3):
+            rows.append((name, start, start + read_length, reverse, piece[::-1].translate(turned) if reverse else piece))
+            if len(rows) == n:
+                return rows, attempt
+    raise ValueError(f"too few fragments were accepted in {attempt} attempts")
 
 
 def boundary_counts(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.sequences import STATE_BASES, is_unambiguous, mod3_counts
+from ..functions.sequences import STATE_BASES, codon_corrected, is_simple_cigar, kmer_tokens, mod3_counts, pyrimidine_acceptance, safe_name
 from ..operators import cds, em, rollup, simulate, validate
 from . import demo
 
@@ -219,8 +219,23 @@ def event_props(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("p.k").alias("n"), F.round(F.avg("p.k"), 9).alias("mean_k"))
 
 
+def scalar_functions(spark, sf_dir):
+    """Name cleaning, acceptance probabilities, alignment predicates and codon trims, row by row."""
+    p = demo.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    cigar = F.when(F.col("p_size") % 3 == 0, F.concat("p_size", F.lit("M2=1X"))).otherwise(F.concat("p_size", F.lit("M1D3M")))
+    corrected, five, three = codon_corrected(F.substring(F.lit("ACGTACGTACGT"), 1, 11), (F.col("p_size") % 3))
+    return p.select(
+        "p_partkey", safe_name(F.col("p_name")).alias("safe"), F.round(pyrimidine_acceptance(0.5 + F.col("p_size") / 100.0), 9).alias("acceptance"), is_simple_cigar(cigar).alias("simple"),
+        corrected.alias("codons"), five.cast("long").alias("trim5"), three.cast("long").alias("trim3"),
+    )
+
+
+def kmer_token_table(spark, sf_dir):
+    return spark.createDataFrame([(k, i, t) for k in (1, 2, 3) for i, t in enumerate(kmer_tokens(k))], "k long, code long, token string")
+
+
 QUERIES = {
-    "mod3_counts": mod3, "em_scores": em_scores, "em_e_step": em_e_step, "em_m_step": em_m_step, "em_gap_summary": em_gap_summary, "em_gap_by_state": em_gap_by_state, "em_runnerup": em_runnerup,
+    "scalar_functions": scalar_functions, "kmer_tokens": kmer_token_table, "mod3_counts": mod3, "em_scores": em_scores, "em_e_step": em_e_step, "em_m_step": em_m_step, "em_gap_summary": em_gap_summary, "em_gap_by_state": em_gap_by_state, "em_runnerup": em_runnerup,
     "chi_square_uniform": chi_square_uniform, "em_fit": em_fit, "em_state_distribution": em_state_distribution, "cds_containment": cds_containment, "cds_exclusion_funnel": cds_exclusion_funnel,
     "codon_phase": codon_phase, "cds_overlap_pairs": cds_overlap_pairs, "simulate_candidates": simulate_candidates, "simulate_accept": simulate_accept, "boundary_counts": boundary_counts, "simulate_sample": simulate_sample,
     "library_all_lengths": library_all_lengths, "best_length_per_library": best_length_per_library, "duplicate_guard": duplicate_guard, "incomplete_groups": incomplete_groups, "metadata_join": metadata_join,
@@ -308,7 +323,12 @@ _T = ", ".join(f"({k}, {rollup.t_quantile(k)!r}::DOUBLE)" for k in range(1, 31))
 _FILES = """f AS (SELECT o_orderkey AS k, o_custkey AS c, floor(o_totalprice)::BIGINT % 90 AS v FROM orders WHERE o_orderkey % 19 <> 0),
 p AS (SELECT *, (CASE WHEN c % 2 = 0 THEN 'ERR' ELSE 'LIB' END) || c AS sample FROM f)"""
 
+_TOKENS = "b(i, x) AS (VALUES (0, 'A'), (1, 'T'), (2, 'G'), (3, 'C'))"
+
 ORACLE_SQL = {
+    "scalar_functions": r"""SELECT p_partkey, regexp_replace(p_name, '[^\w-]', '_', 'g') AS safe, round((1 - (0.5::DOUBLE + p_size / 100.0::DOUBLE)) / (0.5::DOUBLE + p_size / 100.0::DOUBLE), 9) AS acceptance,
+  p_size % 3 = 0 AS simple, substr('ACGTACGTACG', 1 + (3 - p_size % 3) % 3, (11 - (3 - p_size % 3) % 3) // 3 * 3) AS codons, ((3 - p_size % 3) % 3)::BIGINT AS trim5, ((11 - (3 - p_size % 3) % 3) % 3)::BIGINT AS trim3 FROM part""",
+    "kmer_tokens": f"WITH {_TOKENS} SELECT 1::BIGINT AS k, i::BIGINT AS code, x AS token FROM b UNION ALL SELECT 2, p.i * 4 + q.i, p.x || q.x FROM b p, b q UNION ALL SELECT 3, p.i * 16 + q.i * 4 + r.i, p.x || q.x || r.x FROM b p, b q, b r",
     "mod3_counts": f"WITH reads AS ({demo.READS}) SELECT read_id, {_MOD3} FROM reads",
     "em_scores": f"WITH {_EM} SELECT " + ", ".join(f"n{r}{b}::BIGINT AS c{4 * r + i}" for r in range(3) for i, b in enumerate(STATE_BASES)) + ", count(*) AS weight, "
     + ", ".join(f"round(any_value(sc[{i + 1}]), 6) AS s{i}" for i in range(6)) + ", any_value(state)::BIGINT AS state FROM a GROUP BY " + ", ".join(f"n{r}{b}" for r in range(3) for b in STATE_BASES),

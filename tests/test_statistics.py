@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqcycle.functions.sequences import reverse_complement, uniform
+from seqcycle.functions.sequences import replayed_offsets, reverse_complement, uniform
 from seqcycle.functions.special import chi_square_survival, t_quantile
 from seqcycle.operators import counts, em, harmonic, rollup, simulate, spectrum
 
@@ -157,3 +157,10 @@ def test_sample_does_not_depend_on_partitions(spark):
     with pytest.raises(ValueError):
         simulate.candidates(spark, contigs.where("name = 'short'"), 10, 30)
     assert 0 <= spark.range(1).select(uniform(F.lit("x")).alias("u")).first().u < 1
+
+
+def test_sequential_replays():
+    offsets = replayed_offsets(180, 9)
+    assert [offsets.count(k) for k in range(3)] == [71, 50, 59]
+    rows, attempts = simulate.replayed([("contig1", "AAGGCT" * 200), ("contig2", "GGTTAC" * 120)], 200, 30, 0.7, 0.5, seed=22)
+    assert attempts == 268 and sum(r[0] == "contig1" for r in rows) == 119 and sum(r[3] for r in rows) in (95, 105)
