@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import components, mix64, written
 
-LEAST, RECALL, SHARDS, SHARD_BYTES = 0.95, 0.995, 8, 64_000_000
+LEAST, RECALL, SHARDS, SHARD_BYTES = 0.95, 0.995, 4, 64_000_000
 DEGREE, BRANCH, TOP, BEAM, BUILD_BEAM, BATCH, QUERIES, AUDIT = 16, 8, 512, 16, 32, 512, 16384, 64
 _SLACK = 1e-3  # of float32 cosines against the double ones
 
