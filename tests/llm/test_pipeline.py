@@ -71,3 +71,16 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_nulls_repeated_rows_and_long_texts(spark):
+    docs = queries.table(spark, SF, "documents")
+    good = docs.where("doc_id = 1").first().text
+    rows = [(None, good, "en", None, None), (None, None, None, None, None), (7001, good + " more words", None, "s", 5), (7001, good + " more words", None, "s", 5), (7002, "", "en", "s", 0), (7003, "word " * 60000, "en", "s", 1), (7004, None, None, "s", None)]
+    mixed = docs.where("doc_id < 40").unionByName(spark.createDataFrame(rows, docs.schema))
+    seen = []
+    for _, stage in corpus_pipeline.STAGES:
+        mixed = stage(spark, mixed, SF).cache()
+        seen.append(mixed.count())
+        assert set(docs.columns) <= set(mixed.columns)
+    assert seen[0] >= seen[1] >= seen[2] == seen[3] > 0
