@@ -5,7 +5,8 @@ fixed mask that ignores some positions, so a substituted token under an ignored
 of documents meet equal seeds of benchmark items; each hit gives an alignment (a diagonal), and around it the best
 ungapped overlap is found in which a match counts 1 and a substitution counts -3, so at least three of four tokens agree
 in it. A document is contaminated by an item if an overlap has at least ``MIN_MATCH`` matching tokens (all tokens of a
-shorter item) on one alignment.
+shorter item) on one alignment. ``clean`` is stricter: it judges every span in which at least three of four tokens agree, not
+only the best one, so a short run of higher score does not hide a longer overlap.
 
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_TOKENS`` tokens, each block is sent to the
 executors (its size is bounded by that), and all documents are read against each block. Nothing else moves; a hot
@@ -91,8 +92,8 @@ class Block:
             out.table.append(table)
         return out
 
-    def overlaps(self, doc: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
-        """(item id, matching tokens, overlap's tokens, its start in the document, in the item), the best for each item."""
+    def _diagonals(self, doc: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(item, diagonal, its start in the document, which tokens are equal) of every alignment that a seed hits."""
         diagonals = []
         for k, offsets in enumerate(self.masks):
             s = seeds(doc, offsets, k)
@@ -106,18 +107,33 @@ class Block:
             if len(where):
                 diagonals.append(np.unique(np.stack([self.item[k][which], where - self.at[k][which]], axis=1), axis=0))
         if not diagonals:
-            return []
-        best: dict[int, tuple[int, int, int, int]] = {}
+            return
         for item, diagonal in np.unique(np.concatenate(diagonals), axis=0).tolist():
             mine = self.items[item]
             start, end = max(0, diagonal), min(len(doc), diagonal + len(mine))
-            equal = doc[start:end] == mine[start - diagonal : end - diagonal]
+            yield item, diagonal, start, doc[start:end] == mine[start - diagonal : end - diagonal]
+
+    def touches(self, doc: np.ndarray) -> bool:
+        """Whether on some alignment any span of score 0 or more has enough matching tokens, be it the best one or not."""
+        for item, _, _, equal in self._diagonals(doc):
+            matches = np.r_[0, np.cumsum(equal)]
+            run = np.r_[0, np.cumsum(np.where(equal, 1, -PENALTY))]
+            latest = np.searchsorted(matches, matches - min(MIN_MATCH, len(self.items[item])), side="right") - 1
+            ends = np.flatnonzero(latest >= 0)
+            if (np.minimum.accumulate(run)[latest[ends]] <= run[ends]).any():
+                return True
+        return False
+
+    def overlaps(self, doc: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
+        """(item id, matching tokens, overlap's tokens, its start in the document, in the item), the best for each item."""
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for item, diagonal, start, equal in self._diagonals(doc):
             run = np.r_[0, np.cumsum(np.where(equal, 1, -PENALTY))]
             lowest = np.minimum.accumulate(run)
             last = int(np.argmax(run - lowest))
             first = int(np.argmin(run[: last + 1]))
             matched = int(equal[first:last].sum())
-            if matched >= min(MIN_MATCH, len(mine)) and (item not in best or (-matched, start + first) < (-best[item][0], best[item][2])):
+            if matched >= min(MIN_MATCH, len(self.items[item])) and (item not in best or (-matched, start + first) < (-best[item][0], best[item][2])):
                 best[item] = (matched, last - first, start + first, start + first - diagonal)
         return [(self.ids[i], *found) for i, found in sorted(best.items())]
 
@@ -168,7 +184,7 @@ def _against(docs: DataFrame, block: Block) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of ``docs`` that overlap no item, with all their columns; each row is judged by its own text."""
+    """The rows of ``docs`` of which no span overlaps an item (see ``Block.touches``), with all their columns; each row is judged by its own text."""
     names = texts(docs).columns
     for block in _blocks(benchmark, block_tokens):
         docs = _without(docs, block, names)
@@ -181,7 +197,7 @@ def _without(docs: DataFrame, block: Block, names: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            good = [not held.value.overlaps(hashes.array(tokens(t.as_py()))) for t in batch.column(names.index("text"))]
+            good = [not held.value.touches(hashes.array(tokens(t.as_py()))) for t in batch.column(names.index("text"))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -74,6 +74,17 @@ def test_masks_bear_substitutions():
         assert block.overlaps(hashes.array(doc)), step
 
 
+@pytest.mark.parametrize(("n", "changed"), [(15, [2]), (15, [11]), (15, [12]), (16, [12]), (18, [2, 15]), (40, [2, 15, *range(18, 28)])])
+def test_clean_judges_every_span(n, changed):
+    item = words(n, 1)
+    hashes = WordHashes()
+    block = spacedseeds.Block.of([7], [hashes.array(item)])
+    doc = words(10, 2) + [w if i not in changed else "other" for i, w in enumerate(item)] + words(10, 3)
+    assert block.touches(hashes.array(doc))
+    few = words(10, 2) + item[:12] + words(10, 3)
+    assert not block.touches(hashes.array(few))
+
+
 def test_contaminated_edge_cases(spark):
     item = " ".join(words(20, 5))
     docs = spark.createDataFrame([(1, f"Before. {item.upper()}, after!", "x"), (None, item, "y"), (2, None, "z"), (3, "", "z"), (4, "nothing here", "z"), (1, f"Before. {item.upper()}, after!", "x")], "doc_id long, text string, item_id string")
