@@ -10,8 +10,12 @@ common minima: the node whose sketch agrees best with the most frequent values t
 Candidates are told from chance by length and a 64-value sketch, at more than five standard deviations below the
 threshold, and the rest are confirmed on the full sets, read again from the texts. Linked components follow.
 
-Cost is linear: a node takes part in at most ``TREES * (NEAR + 2)`` candidates of its own, whatever the size of its
-region. A pair in a region of one or a few nodes is missed with a chance of ``(1 - J) ** TREES`` or so.
+The forest's cost is linear: a node takes part in at most ``TREES * (NEAR + 2)`` candidates of its own, whatever the size of its
+region. What it misses, mostly in regions of many texts that share a passage, a prefix-filtered join finds: shingles are put
+in an order of rising frequency, and two sets at the threshold share one of the first ``n - ceil(0.75 * n) + 1`` of each. Nodes
+that meet there under different components, and could still reach the threshold by their sizes and the shingle's places, are
+candidates, confirmed as the others are. Any order gives the same links; it is told from a sample, as it decides on cost alone.
+Only pairs of shingles' hashes that are equal by chance could make the result differ from that of all pairs.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept. Repeated rows
 have equal sets, hence one component. A row with a null doc_id is never named by others; its component_id is null and
@@ -35,7 +39,9 @@ SIMILAR = 75
 _SKETCH = 64  # 4-bit values
 _KEY = 1 + 2 * DEPTH + 8 + 4 + _SKETCH // 2
 _CHUNK = 1 << 16
-_FEATURES = "doc_id long, set_key binary, n_shingles long, signature binary"
+_FEATURES = "doc_id long, set_key binary, n_shingles long, signature binary, prefix array<long>"
+#: Buckets and documents of the sample that orders shingles by frequency.
+_BUCKETS, _SAMPLE = 1 << 20, 20_000
 _SEED = 20240607
 
 
@@ -69,21 +75,58 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    hashes = WordHashes()
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each bucket."""
+    hashes, total = WordHashes(), np.zeros(_BUCKETS, np.int64)
     for batch in batches:
-        keys, sizes, signatures = [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py(), hashes)
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sizes.append(len(s))
-            signatures.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())],
-            names=["doc_id", "set_key", "n_shingles", "signature"],
-        )
+        found = [shingle_set(text.as_py(), hashes) for text in batch.column(0)]
+        if found:
+            total += np.bincount((np.concatenate(found) & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS)
+    at = np.flatnonzero(total)
+    for k in range(0, len(at), _CHUNK):
+        yield pa.RecordBatch.from_arrays([pa.array(at[k : k + _CHUNK]), pa.array(total[at[k : k + _CHUNK]])], names=["bucket", "n"])
+
+
+def _frequencies(docs: DataFrame) -> np.ndarray:
+    """The counts of a bounded sample's shingles, by bucket."""
+    out = np.zeros(_BUCKETS, np.uint32)
+    every = max(1, docs.count() // _SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * _SAMPLE).select("text")
+    sums = some.mapInArrow(_tallied, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[sums.column("bucket").to_numpy()] = np.minimum(sums.column("n").to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def prefix(shingles: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+    """The rarest shingles, in order, of which two sets at the threshold share at least one."""
+    order = np.lexsort((shingles, frequencies[(shingles & np.uint64(_BUCKETS - 1)).astype(np.int64)]))
+    n = len(shingles)
+    return shingles[order[: n - -(-SIMILAR * n // 100) + 1]].view(np.int64) if n else shingles.view(np.int64)
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(_frequencies(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashes = WordHashes()
+        for batch in batches:
+            keys, sizes, signatures, prefixes = [], [], [], []
+            for text in batch.column(1):
+                s = shingle_set(text.as_py(), hashes)
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                signatures.append(signature(s).tobytes() if len(s) else b"")
+                prefixes.append(prefix(s, held.value))
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            rarest = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), rarest],
+                names=["doc_id", "set_key", "n_shingles", "signature", "prefix"],
+            )
+
+    return docs.mapInArrow(run, _FEATURES)
 
 
 def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +287,87 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _crossed(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of nodes of different roots under one shingle, from whole groups of (shingle, root, node, size, place) in that order."""
+    n = len(rows)
+    group = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
+    own = group | np.r_[True, rows[1:, 1] != rows[:-1, 1]]
+
+    def ends(begins: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.r_[starts, n])
+        return np.repeat(starts + lengths, lengths)
+
+    after, stop = ends(own), ends(group)
+    count = stop - after
+    busy = np.flatnonzero(count)
+    total = np.cumsum(count[busy])
+    at = 0
+    while at < len(busy):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), side="right")))
+        i, c = busy[at:upto], count[busy[at:upto]]
+        at = upto
+        j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(after[i], c)
+        i = np.repeat(i, c)
+        x, y = rows[i, 3], rows[j, 3]
+        most = np.minimum(x - rows[i, 4], y - rows[j, 4])  # shared shingles, if this is the first one
+        fit = (100 * np.minimum(x, y) >= SIMILAR * np.maximum(x, y)) & ((100 + SIMILAR) * most >= SIMILAR * (x + y))
+        a, b = rows[i[fit], 2], rows[j[fit], 2]
+        if len(a):
+            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of one partition in the order of shingles and roots."""
+    waiting, held = [], 0
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for found in _crossed(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1))
+        held += len(waiting[-1])
+        if held >= _CHUNK and waiting[-1][-1, 0] != waiting[0][0, 0]:
+            rows = np.concatenate(waiting)
+            cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1
+            yield from pairs(rows[:cut])
+            waiting, held = [rows[cut:]], 0
+    if waiting:
+        yield from pairs(np.concatenate(waiting))
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates that can reach the threshold by what their prefixes share: the rest of a set adds no more than its size."""
+    for batch in batches:
+        good = []
+        for x, y, one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            one, two = one.values.to_numpy(), two.values.to_numpy()
+            most = len(np.intersect1d(one, two, assume_unique=True)) + max(x - len(one), y - len(two))
+            good.append((100 + SIMILAR) * most >= SIMILAR * (x + y))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidates that reach the threshold on their full sets."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = nodes.join(ends, "node").select("node", "set_key")
+    again = docs.join(keys, docs.doc_id == keys.node).select("node", "set_key", "text")
+    sets = again.mapInArrow(_sets, "node long, shingles binary")
+    two = (
+        pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a")
+        .join(sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b")
+        .select("a", "b", "one", "two")
+    )
+    return written(two.mapInArrow(_confirmed, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = texts(docs.select("doc_id", "text"))
-    rows = written(docs.mapInArrow(_featured, _FEATURES), "shingles")
+    rows = written(_featured(docs), "shingles")
     named = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     keyed = nodes.alias("x").join(
@@ -261,20 +381,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stitched = edges.groupBy("tree").applyInArrow(_stitched, "a long, b long")
     pairs = written(found.where("a is not null").select("a", "b").union(stitched).distinct(), "pairs")
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = nodes.join(ends, "node").select("node", "set_key")
-    again = docs.join(keys, docs.doc_id == keys.node).select("node", "set_key", "text")
-    sets = again.mapInArrow(_sets, "node long, shingles binary")
-    two = (
-        pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a")
-        .join(sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b")
-        .select("a", "b", "one", "two")
-    )
-    links = written(two.mapInArrow(_confirmed, "a long, b long"), "links")
+    links = _links(docs, nodes, pairs)
     roots = components(links)
     remove(found)
     remove(pairs)
     remove(links)
+    rooted = nodes.join(roots, "node", "left").select("node", "set_key", F.coalesce("root", "node").alias("root"))
+    placed = rooted.alias("x").join(named.alias("y"), (F.col("x.node") == F.col("y.doc_id")) & (F.col("x.set_key") == F.col("y.set_key")))
+    rare = placed.select("node", "root", F.col("n_shingles").alias("size"), F.posexplode("prefix").alias("place", "shingle"))
+    in_order = rare.select("shingle", "root", "node", "size", "place").repartition("shingle").sortWithinPartitions("shingle", "root")
+    met = written(in_order.mapInArrow(_met, "a long, b long").distinct(), "met")
+    ends = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
+    fronts = placed.join(ends, "node", "left_semi").select("node", F.col("n_shingles").alias("size"), "prefix")
+    two = (
+        met.join(fronts.withColumnsRenamed({"node": "a", "size": "size_a", "prefix": "one"}), "a")
+        .join(fronts.withColumnsRenamed({"node": "b", "size": "size_b", "prefix": "two"}), "b")
+        .select("a", "b", "size_a", "size_b", "one", "two")
+    )
+    more = written(two.mapInArrow(_likely, "a long, b long").distinct(), "pairs")
+    remove(met)
+    if not more.isEmpty():
+        further = _links(docs, nodes, more)
+        if not further.isEmpty():
+            roots = components(further.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        remove(further)
+    remove(more)
     labels = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return (

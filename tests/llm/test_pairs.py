@@ -78,6 +78,21 @@ def test_forest_equals_all_pairs(spark):
     assert all(got[i].kept == (want[i] == i) for i in got)
 
 
+def test_no_link_is_lost_among_texts_that_share_a_passage(spark):
+    draw = random.Random(31)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    passage, texts, pairs = [word() for _ in range(84)], [], []
+    for k in range(2400):
+        own = [word() for _ in range(15)]
+        if k % 6 == 1:  # 82 of 108 shingles are those of the text before
+            own[:2] = texts[-1][84:86]
+            pairs.append(k)
+        texts.append(passage + own)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in lshforest.near_duplicates(df).collect()}
+    assert sorted(k for k in got if got[k] != k) == pairs and all(got[k] == k - 1 for k in pairs)
+
+
 def test_forest_edge_cases(spark):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (7, "a b c d e f g"), (None, None), (8, " \t\n")]
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in lshforest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
