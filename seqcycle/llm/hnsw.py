@@ -5,8 +5,8 @@ layers: a layer is a small-world graph over a prefix of the shard's nodes, each
 and the top one is small enough to be searched whole. Every node is then searched in every shard. A search descends the layers with a beam and, where it meets
 links, follows them through the graph until no further link is next to one, so a large group is found whole. An audit in
 each task compares a sample of queries, and of noisy copies of the shard's own vectors just above the threshold, with a
-search of the whole shard, and doubles the beam until ``RECALL`` of the links are found (at the latest when the beam holds the
-shard). Cosines of links are verified in double precision. Links are counted, and united inside the task before components are found,
+search of the whole shard, and doubles the beam until ``RECALL`` of the links are found, on the mean over the queries that have any, so no
+large group speaks for the rest. Where even a beam as large as the shard does not reach that, the shard is searched whole by products. Cosines of links are verified in double precision. Links are counted, and united inside the task before components are found,
 so a group of copies sends on as many rows as it has members.
 
 The number of shards is the larger of ``SHARDS`` and what keeps a shard under ``SHARD_BYTES``. Searching every shard makes
@@ -129,9 +129,11 @@ class Graph:
         links[rows, : out.shape[1]] = out
 
     def links(self, queries: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node): all pairs found with a float32 cosine of about ``least`` or more."""
-        if not self.layers:
-            return np.nonzero(queries @ self.v.T >= least)
+        """(query, node): all pairs found with a float32 cosine of about ``least`` or more; a beam as large as the graph compares all."""
+        if not self.layers or beam >= len(self.v):
+            rows = max(1, 4_000_000 // max(len(self.v), 1))
+            hits = [np.nonzero(queries[at : at + rows] @ self.v.T >= least) for at in range(0, len(queries), rows)]
+            return _joined([(q + k * rows, x) for k, (q, x) in enumerate(hits)])
         entry = self._entries(queries, len(self.layers) - 1, beam)
         return search(self.layers[-1], self.v, queries, entry, beam, least)[2]
 
@@ -201,7 +203,7 @@ def _joined(hits: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def audited_beam(graph: Graph, queries: np.ndarray, least: float, seed: int = 11) -> int:
-    """The beam at which searches find ``RECALL`` of the links that a search of the whole shard finds."""
+    """The beam at which searches find ``RECALL`` of each query's links on the mean; the size of the shard if none below it does."""
     n, d = graph.v.shape
     if not graph.layers:
         return BEAM
@@ -213,9 +215,13 @@ def audited_beam(graph: Graph, queries: np.ndarray, least: float, seed: int = 11
     cos = min(least + 0.005, 1.0)
     noisy = cos * own + math.sqrt(1 - cos * cos) * noise / np.where(norm > 0, norm, 1)
     sample = np.concatenate([queries[draw.integers(0, len(queries), AUDIT)], noisy])
-    wanted = int((sample @ graph.v.T >= least).sum())
+    wanted = (sample @ graph.v.T >= least).sum(axis=1)
+    some = wanted > 0
     beam = BEAM
-    while beam < n and len(graph.links(sample, beam, least)[0]) < RECALL * wanted:
+    while beam < n and some.any():
+        found = np.bincount(graph.links(sample, beam, least)[0], minlength=len(sample))
+        if np.minimum(found[some] / wanted[some], 1).mean() >= RECALL:
+            break
         beam *= 2
     return min(beam, n)
 

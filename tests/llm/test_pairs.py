@@ -158,6 +158,32 @@ def test_beam_widens_until_the_audit_passes(vectors):
     assert hnsw.audited_beam(graph, unit.astype("float32"), 0.95) == len(unit)
 
 
+def test_audit_gives_each_query_one_vote():
+    draw = np.random.default_rng(5)
+    unit = np.concatenate([draw.normal(size=(1200, 16)), draw.normal(size=16) + 0.02 * draw.normal(size=(900, 16))])
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype("float32")
+    unit = unit[draw.permutation(len(unit))]
+    hot = (unit @ unit.T >= 0.95).sum(axis=1) > 100
+    graph = hnsw.Graph(unit)
+
+    class Partial(hnsw.Graph):  # finds the hot group's links, and no other below a whole search
+        def links(self, queries, beam, least):
+            q, x = np.nonzero(queries @ self.v.T >= least)
+            keep = hot[x] if beam < len(self.v) else np.ones(len(x), bool)
+            return q[keep], x[keep]
+
+    graph.__class__ = Partial
+    assert hnsw.audited_beam(graph, unit, 0.95) == len(unit)
+
+
+def test_last_resort_compares_all(vectors):
+    unit = vectors.astype(float) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = hnsw.Graph(unit.astype("float32"))
+    for links in graph.layers:
+        links[:] = -1
+    assert len(graph.links(graph.v, len(graph.v), 0.95)[0]) == (graph.v @ graph.v.T >= 0.95).sum()
+
+
 def test_vectors_that_link_with_nothing(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, float("nan")]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (8, []), (9, [float("inf"), 0.0])]
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
