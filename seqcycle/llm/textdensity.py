@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree; parts that are no article by their tag, role or class (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) are cut off. For every node, C, LC are the characters of its text and of its links' texts
+adverts, forms, scripts, styles, comments) are cut off. On a page that is left without an article or main element, a cut by class or id is undone
+where it holds most of the page's text outside links (names of comments, adverts and the like: nine tenths), or where nothing would be left. For every node, C, LC are the characters of its text and of its links' texts
 (white space apart), T and LT its tags and link tags, at least 1 each. Its composite density is
 C/T * log(C*T / (LC*LT)) to the base ln(C/nLC * LC + LCb/Cb * C + e), nLC = C - LC (at least 1) and b the body: characters per tag,
 adjusted for links. A node's density sum is that of its children and of its own text. The node with the largest sum (for a mere part
@@ -69,12 +70,12 @@ _P_STAYS = {"button", "td", "th", "caption", "object", "html", "table", "templat
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "link_chars", "tags", "link_tags", "density", "total", "names")
+    __slots__ = ("tag", "parent", "parts", "cut", "chars", "link_chars", "tags", "link_tags", "density", "total", "names", "by_name", "plain")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.parts: list[Node | str] = []
-        self.names = ""
+        self.names, self.by_name = "", False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -91,7 +92,11 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    return _named(found, inside_article)
+    return False
+
+
+def _named_so(tag: str, attributes: str, inside_article: bool) -> bool:
+    return tag not in ("html", "body", "main") and bool(attributes) and _named(_attributes(attributes), inside_article)
 
 
 def _named(found: dict[str, str], inside_article: bool) -> bool:
@@ -136,6 +141,8 @@ def parse(page: str) -> Node:
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
         node = Node(tag, stack[-1], _unwanted(tag, attributes, articles > 0))
+        if not node.cut and _named_so(tag, attributes, articles > 0):
+            node.cut = node.by_name = True
         if tag in ("article", "main") and not node.cut:  # what holds the article is a wrapper, whatever its class
             for outer in stack:
                 if outer.cut and outer.tag not in _DROPPED and outer.tag != "header" and not _FIRM.search(outer.names):
@@ -146,14 +153,56 @@ def parse(page: str) -> Node:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.cut = True
+            node.cut, node.by_name = True, False
             at = close.end() if close else size
             continue
         stack.append(node)
         articles += tag in ("article", "main")
+    _undo_names(root)
     return root
 
 
+def _walk(root: Node, named: bool) -> list[Node]:
+    """The nodes that are not cut off, or cut by their name alone if ``named``; parents before children, with their text outside links in ``plain``."""
+    order, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        order.append(node)
+        waiting += [p for p in node.parts if isinstance(p, Node) and (not p.cut or (named and p.by_name))]
+    for node in order:
+        node.plain = 0
+    for node in reversed(order):
+        if node.tag == "a":
+            node.plain = 0
+            continue
+        node.plain += sum(sum(map(len, p.split())) for p in node.parts if isinstance(p, str))
+        if node.parent is not None:
+            node.parent.plain += node.plain
+    return order
+
+
+def _undo_names(root: Node) -> None:
+    """Takes back cuts by name that hold the page's text rather than what stands beside it."""
+    if any(n.tag in ("article", "main") and n.plain for n in _walk(root, False)):
+        return
+    order = _walk(root, True)
+    named = [n for n in order if n.cut]
+    total = root.plain
+    hidden: set[int] = set()  # what stays below a cut
+    for node in order:
+        if id(node.parent) in hidden:
+            hidden.add(id(node))
+        elif node.cut:
+            if 10 * node.plain > 9 * total if _FIRM.search(node.names) else 2 * node.plain > total:
+                node.cut = False
+            else:
+                hidden.add(id(node))
+    for firm in (False, True):
+        if total and not _walk(root, False)[0].plain:
+            for node in named:
+                node.cut = node.cut and bool(_FIRM.search(node.names)) != firm
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts of every node that is not cut, children before parents; returned in that order."""
     order, waiting = [], [root]
@@ -259,8 +308,6 @@ def main_text(page: str | None) -> str:
                 run.append(node)
         elif not node.cut:
             inside = inside or id(node) in wanted
-            if inside and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "a") and id(node) not in wanted and _menu(node):
-                continue
             if node.tag == "br":
                 run.append(" ")
             if node.tag in _BLOCK or id(node) in wanted:

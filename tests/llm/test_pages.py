@@ -71,6 +71,22 @@ def test_article_by_density_alone():
     assert got[0] == "Head" and len(got) == 6 and got[5].startswith("Paragraph 4")
 
 
+def test_sources_and_link_tables_stay_in_the_article():
+    links = "".join(f"<li><a href={i}>Source number {i}</a></li>" for i in range(4))
+    table = "".join(f"<tr><td><a href={i}>Row {i}</a></td></tr>" for i in range(3))
+    page = f"<body><article><h1>T</h1><p>Some text of the story.</p><ul>{links}</ul><table>{table}</table><nav><a href=x>Menu</a></nav></article></body>"
+    assert textdensity.main_text(page).split("\n") == ["T", "Some text of the story.", *(f"Source number {i}" for i in range(4)), *(f"Row {i}" for i in range(3))]
+
+
+@pytest.mark.parametrize("name", ["layout sidebar-right", "comments-open", "widget", "side", "notice", "promo"])
+def test_names_of_wrappers_do_not_empty_the_page(name):
+    text = [f"Paragraph {i} of the story goes on for a while, with commas, clauses and such things." for i in range(4)]
+    page = f"<html><body><div class='{name}'>{''.join(f'<p>{x}</p>' for x in text)}<div class='sidebar'><p>Aside.</p></div></div><div class='footer'><p>Imprint.</p></div></body></html>"
+    assert textdensity.main_text(page).split("\n") == text
+    comments = f"<body><div>{''.join(f'<p>{x}</p>' for x in text)}</div><div id='comments'>{'<p>I say so, and I say it again, and so on, at some length.</p>' * 9}</div></body>"
+    assert textdensity.main_text(comments).split("\n") == text
+
+
 @pytest.mark.parametrize(("page", "want"), [
     (None, ""), ("", ""), ("plain < 5 & more &amp; &eacute;&#x41;", "plain < 5 & more & \u00e9A"), ("<p>", ""), ("<script>x", ""), ("<p>a</p></div></p><p>b", "a\nb"), ("<!-- x", ""),
     ("<p title='a>b' class=\"c\">x<!-- y -->z</p>", "xz"), ("<p>a&nbsp;\n b</p>", "a b"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<p a='unclosed>x</p>", "x"),
