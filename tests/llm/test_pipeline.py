@@ -73,6 +73,15 @@ def test_empty_documents(spark):
         assert docs.count() == 0
 
 
+def test_dedup_keeps_texts_not_ids(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(1, a), (7, a), (7, b), (7, b), (None, c), (None, c), (None, a), (None, None), (None, None), (9, "")]
+    df = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, dedup_key int")
+    got = corpus_pipeline.minhash_near_dedup(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted(map(repr, got.collect())) == sorted(repr(type(df.first())(doc_id=d, text=t, dedup_key=3)) for d, t in [(1, a), (7, b), (None, c), (None, None), (9, "")])
+
+
 def test_nulls_repeated_rows_and_long_texts(spark):
     docs = queries.table(spark, SF, "documents")
     good = docs.where("doc_id = 1").first().text
