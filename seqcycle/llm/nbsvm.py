@@ -151,18 +151,23 @@ def fit(texts: list[str | None], labels: list[int], *, bits: int = BITS, c: floa
 def training_rows(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
     """The bounded sample of labelled rows that a fit takes: at most ``rows`` rows and ``text_bytes`` bytes of text.
 
-    Rows come in the order of a hash of their doc_id, whole; the first ones that fit within both bounds are taken.
+    Rows come in the order of a hash of their doc_id, whole; each one that fits within what is left of both bounds is taken.
+    Fails if there are labelled texts and none fits.
     """
     known = labels.where(f"quality in (0, 1) and not ({held_out})").select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    known_texts, marks, total = [], [], 0
+    known_texts, marks, total, skipped = [], [], 0, 0
     for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
-        total += len((row.text or "").encode())
-        if total > text_bytes:
-            break
+        size = len((row.text or "").encode())
+        if total + size > text_bytes:
+            skipped += 1
+            continue
+        total += size
         known_texts.append(row.text)
         marks.append(row.quality)
+    if skipped and not known_texts:
+        raise ValueError(f"none of {skipped} labelled texts is within {text_bytes} bytes")
     return known_texts, marks
 
 

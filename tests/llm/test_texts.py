@@ -221,6 +221,16 @@ def test_quality_edge_cases(spark):
     assert nbsvm.quality(docs.limit(0), labels).count() == 0
 
 
+def test_a_giant_text_does_not_shut_out_the_rest(spark):
+    ids = [r.id for r in spark.range(20).orderBy(F.xxhash64("id")).collect()]
+    docs = spark.createDataFrame([(i, "x " * 5000 if i == ids[0] else f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    found, marks = nbsvm.training_rows(docs, labels, held_out="false", text_bytes=1000)
+    assert found == [f"text {i}" for i in ids[1:]] and marks == [i % 2 for i in ids[1:]]
+    with pytest.raises(ValueError):
+        nbsvm.training_rows(docs, labels, held_out="false", text_bytes=1)
+
+
 # ---- token counts
 
 @pytest.mark.parametrize("block", [1, 7, 1000])
