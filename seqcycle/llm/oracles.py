@@ -124,7 +124,7 @@ _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: C
 _OCTETS = "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(x, '0'), '') AS INTEGER), 0) > 255)) = 0"
 
 _KINDS = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in disclosure.KINDS)
-_W = disclosure.WINDOW
+_W, _Z2 = disclosure.WINDOW, disclosure.CONFIDENCE**2
 OP4 = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS key FROM documents), base AS MATERIALIZED (
 {_base("email", 0, "t", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}
@@ -147,15 +147,18 @@ UNION ALL {_base("phone", 3, "t", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}
   WHERE (b > 0 OR low = 0) AND b + length(v) < length(n)
 ), contexts AS (
   SELECT DISTINCT kind, value, list(word ORDER BY i) AS words FROM words GROUP BY key, kind, value, ms
-), strong AS (
-  SELECT kind, value, word FROM (SELECT kind, value, unnest(words) AS word FROM contexts) GROUP BY ALL HAVING count(*) >= {disclosure.SUPPORT}
+), seen AS (
+  SELECT kind, value, word, count(*) AS m FROM (SELECT kind, value, unnest(words) AS word FROM contexts) GROUP BY ALL
 ), co AS (SELECT kind, value, word, count(*) AS together FROM words GROUP BY ALL),
 entities AS (SELECT kind, value, sum(together) AS size FROM co GROUP BY ALL),
 corpus AS MATERIALIZED (SELECT unnest(regexp_extract_all(lower(t), '\p{{L}}{{3,}}')) AS word FROM docs),
 totals AS (SELECT word, count(*) AS n FROM corpus GROUP BY word),
-terms AS (
-  SELECT strong.* FROM strong JOIN co USING (kind, value, word) JOIN totals USING (word) JOIN entities USING (kind, value)
-  WHERE 1 + ln(least(together / n::DOUBLE, 1)) / -ln(least(size / (SELECT sum(n) FROM totals)::DOUBLE, 0.5)) >= {disclosure.THRESHOLD}
+shares AS (
+  SELECT kind, value, word, m, least(together / n::DOUBLE, 1) AS p, -ln(least(size / (SELECT sum(n) FROM totals)::DOUBLE, 0.5)) AS ic
+  FROM seen JOIN co USING (kind, value, word) JOIN totals USING (word) JOIN entities USING (kind, value)
+), terms AS (
+  SELECT kind, value, word FROM shares
+  WHERE 1 + ln((p + {_Z2} / (2 * m) - {disclosure.CONFIDENCE} * sqrt((p * (1 - p) + {_Z2} / (4 * m)) / m)) / (1 + {_Z2} / m)) / ic >= {disclosure.THRESHOLD}
 ), found AS (
   SELECT key, rank, kind, s, e FROM base
   UNION ALL SELECT DISTINCT key, 4, 'term', b, e FROM words JOIN terms USING (kind, value, word)

@@ -162,6 +162,24 @@ def test_disclosing_terms(spark):
     assert disclosure.sanitised(df.limit(0)).count() == 0
 
 
+def test_linear_spans_of_a_long_text(spark):
+    import time
+
+    lines = [f"u{i}@h{i % 97}.example wrote from 10.{i % 250}.3.{i % 11} on day {i}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    row = disclosure.sanitised(df).collect()[0]
+    assert time.time() - began < 60
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in row.base] == plain_spans("\n".join(lines))
+    got = row.sanitised.split("\n")
+    assert len(got) == 20_000 and all(x.startswith("[email] ") and x.endswith(f"day {i}") and "[ip]" in x for i, x in enumerate(got))
+
+
+def test_overlapping_spans_join(spark):
+    df = spark.createDataFrame([(1, "\u00e9\U0001f600 x a@1.2.3.4 y +1 234 5678 1.2.3.4 " + "z" * 2500 + " b@c.d")], "doc_id long, text string")
+    assert disclosure.sanitised(df).first().sanitised == "\u00e9\U0001f600 x [email] y [phone] " + "z" * 2500 + " [email]"
+
+
 # ---- mixing
 
 def poisson_count(key, rate, seed=poissonmix.SEED):
