@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,15 +62,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts(df: DataFrame) -> DataFrame:
-    """``df``, for a Python stage over whole texts: batches of at most 1,000 rows, where the session has the default of 10,000.
+def pieces(batches: Iterator[pa.RecordBatch], column: int = 0, *, rows: int = 1000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` bytes of a column of texts or bytes (a longer value is a part of its own).
 
-    A batch of long texts lives outside the heap several times over, so its size bounds what a task needs there.
+    What a task derives from a part is then bounded, however large the session's batches are.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, "1000")
-    return df
+    for batch in batches:
+        if batch.num_rows:
+            lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.maximum.accumulate(np.maximum((np.cumsum(lengths) - 1) // size, 0)) + np.arange(len(lengths)) // rows
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                yield batch.slice(start, end - start)
+
+
+def by_row(values: pa.Array, function: Callable, kind: pa.DataType) -> pa.Array:
+    """``function`` of each value, made Python's one at a time."""
+    return pa.array((function(v.as_py()) for v in values), kind)
 
 
 def remove(table: DataFrame) -> None:
@@ -81,7 +92,7 @@ def remove(table: DataFrame) -> None:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; forgets everything at ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 60_000):
         self.limit = limit
 
     def __missing__(self, word):

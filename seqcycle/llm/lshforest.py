@@ -18,7 +18,7 @@ candidates, confirmed as the others are. Any order gives the same links; it is t
 Only pairs of shingles' hashes that are equal by chance could make the result differ from that of all pairs.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept. Repeated rows
-have equal sets, hence one component. A row with a null doc_id is never named by others; its component_id is null and
+have equal sets, hence one component; one row stands for them all in every later step. Different texts under one doc_id are nodes of their own. A row with a null doc_id is never named by others; its component_id is null and
 it is kept. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, mix64, odd_constants, remove, texts, written
+from .common import WordHashes, components, mix64, odd_constants, pieces, remove, written
 
 TREES, DEPTH, NEAR, WORDS = 24, 8, 3, 5
 #: Links need 100 * intersection >= SIMILAR * union.
@@ -39,6 +39,8 @@ SIMILAR = 75
 _SKETCH = 64  # 4-bit values
 _KEY = 1 + 2 * DEPTH + 8 + 4 + _SKETCH // 2
 _CHUNK = 1 << 16
+#: Sets that are sent with one copy of their hub's.
+MEMBERS = 4096
 _FEATURES = "doc_id long, set_key binary, n_shingles long, signature binary, prefix array<long>"
 #: Buckets and documents of the sample that orders shingles by frequency.
 _BUCKETS, _SAMPLE = 1 << 20, 20_000
@@ -78,7 +80,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles fall into each bucket."""
     hashes, total = WordHashes(), np.zeros(_BUCKETS, np.int64)
-    for batch in batches:
+    for batch in pieces(batches):
         found = [shingle_set(text.as_py(), hashes) for text in batch.column(0)]
         if found:
             total += np.bincount((np.concatenate(found) & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS)
@@ -111,7 +113,7 @@ def _featured(docs: DataFrame) -> DataFrame:
         import xxhash
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             keys, sizes, signatures, prefixes = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), hashes)
@@ -265,7 +267,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     hashes = WordHashes()
-    for batch in batches:
+    for batch in pieces(batches, 2):
         ids, sets = [], []
         for node, key, text in zip(*batch.columns, strict=True):
             s = shingle_set(text.as_py(), hashes)
@@ -276,15 +278,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Links among rows (hub, salt, member, shingles) in that order, in which the hub's own set, without a member, stands before those of its members."""
+    hub, held = None, np.empty(0, np.uint64)
+    for batch in pieces(batches, 3):
+        hubs, members = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         good = []
-        for one, two in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            good.append(100 * shared >= SIMILAR * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for h, member, value in zip(hubs, members, batch.column(3), strict=True):
+            own = np.frombuffer(value.as_py(), np.uint64)
+            if member is None:
+                hub, held = h, own
+            linked = False
+            if member is not None and h == hub:
+                small, large = (own, held) if len(own) < len(held) else (held, own)
+                shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                linked = 100 * shared >= SIMILAR * (len(own) + len(held) - shared)
+            good.append(linked)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _crossed(rows: np.ndarray) -> Iterator[np.ndarray]:
@@ -351,28 +360,36 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidates that reach the threshold on their full sets."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = nodes.join(ends, "node").select("node", "set_key")
-    again = docs.join(keys, docs.doc_id == keys.node).select("node", "set_key", "text")
-    sets = again.mapInArrow(_sets, "node long, shingles binary")
-    two = (
-        pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a")
-        .join(sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b")
-        .select("a", "b", "one", "two")
-    )
-    return written(two.mapInArrow(_confirmed, "a long, b long"), "links")
+    """The candidates that reach the threshold on their full sets.
+
+    Of a pair, the node of more candidates is the hub; its set is sent once for each ``MEMBERS`` of its members, which are dealt by a salt, and theirs
+    stream past it.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    both = pairs.join(degrees.withColumnsRenamed({"node": "a", "degree": "of_a"}), "a").join(degrees.withColumnsRenamed({"node": "b", "degree": "of_b"}), "b")
+    first = F.col("of_a") >= F.col("of_b")
+    ends = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("of_a", "of_b").alias("degree"))
+    salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("degree") / MEMBERS))
+    spokes = written(ends.select("hub", salt.alias("salt"), "member"), "spokes")
+    keys = nodes.join(degrees.select("node"), "node").select("node", F.col("doc_id").alias("of"), "set_key")
+    again = docs.join(keys, docs.doc_id == keys.of).select("node", "set_key", "text")
+    sets = again.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    heads = spokes.select("hub", "salt").distinct().join(sets, F.col("hub") == F.col("node")).select("hub", "salt", F.lit(None).cast("long").alias("member"), "shingles")
+    tails = spokes.join(sets, F.col("member") == F.col("node")).select("hub", "salt", "member", "shingles")
+    in_order = heads.unionByName(tails).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
+    links = written(in_order.mapInArrow(_confirmed, "a long, b long"), "links")
+    remove(spokes)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    docs = texts(docs.select("doc_id", "text"))
-    rows = written(_featured(docs), "shingles")
+    docs = docs.select("doc_id", "text")
+    rows = written(_featured(docs).withColumn("row", F.monotonically_increasing_id()), "shingles")
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    keyed = nodes.alias("x").join(
-        named.alias("y"), (F.col("x.node") == F.col("y.doc_id")) & (F.col("x.set_key") == F.col("y.set_key"))
-    )
+    first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    nodes = written(first.select("set_key", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id")), "nodes")
+    keyed = named.withColumnRenamed("row", "node").join(nodes.select("node"), "node")
     planted = keyed.select("node", "n_shingles", "signature").mapInArrow(_planted, "key binary")
     found = written(
         planted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_neighbours, "a long, b long, edge binary"), "neighbours"
@@ -386,13 +403,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     remove(found)
     remove(pairs)
     remove(links)
-    rooted = nodes.join(roots, "node", "left").select("node", "set_key", F.coalesce("root", "node").alias("root"))
-    placed = rooted.alias("x").join(named.alias("y"), (F.col("x.node") == F.col("y.doc_id")) & (F.col("x.set_key") == F.col("y.set_key")))
-    rare = placed.select("node", "root", F.col("n_shingles").alias("size"), F.posexplode("prefix").alias("place", "shingle"))
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    placed = rooted.join(named.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "prefix"), "node")
+    rare = placed.select("node", "root", "size", F.posexplode("prefix").alias("place", "shingle"))
     in_order = rare.select("shingle", "root", "node", "size", "place").repartition("shingle").sortWithinPartitions("shingle", "root")
     met = written(in_order.mapInArrow(_met, "a long, b long").distinct(), "met")
     ends = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-    fronts = placed.join(ends, "node", "left_semi").select("node", F.col("n_shingles").alias("size"), "prefix")
+    fronts = placed.join(ends, "node", "left_semi").select("node", "size", "prefix")
     two = (
         met.join(fronts.withColumnsRenamed({"node": "a", "size": "size_a", "prefix": "one"}), "a")
         .join(fronts.withColumnsRenamed({"node": "b", "size": "size_b", "prefix": "two"}), "b")
@@ -406,8 +423,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             roots = components(further.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         remove(further)
     remove(more)
-    labels = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    joined = nodes.join(roots, "node", "left").select("set_key", "doc_id", F.coalesce("root", "node").alias("root"))
+    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("smallest"))
+    labels = joined.join(smallest, "root").select("set_key", "smallest")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
     return (
         rows.select("doc_id", "n_shingles", "set_key")
         .join(labels, "set_key", "left")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, texts
+from .common import WordHashes, by_row, mix64
 
 #: Hashed columns; bound of the labelled rows (and of their bytes of text) that a fit takes, by hash order of doc_id.
 BITS, SAMPLE_ROWS, SAMPLE_BYTES = 18, 8_000, 60_000_000
@@ -172,18 +172,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(
 
 
 def scored(docs: DataFrame, model: Model, *, bits: int = BITS) -> DataFrame:
-    """Adds ``score`` (0 to 1) to the rows of ``docs``; all columns stay."""
+    """Adds ``score`` (0 to 1) to the rows of ``docs``; all columns stay, and only texts leave the engine."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [n for n in docs.columns if n != "score"]
-    docs = texts(docs.select(*names))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, m = WordHashes(), held.value
-        for batch in batches:
-            score = pa.array((m.score(features(t.as_py(), hashes, bits)) for t in batch.column(names.index("text"))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, "score"])
+        for texts in batches:
+            yield by_row(texts, lambda t: m.score(features(t, hashes, bits)), pa.float64())
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)
+    return docs.withColumn("score", score("text"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, texts, written
+from .common import new_path, pieces, written
 from .files import make_folder, open_input, open_output
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_BYTES, LEVEL = 1 << 18, 1 << 28, 1000, 3
@@ -153,7 +153,7 @@ def archived(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
-        for batch in batches:
+        for batch in pieces(batches, 2):
             out = []
             for row in zip(*(batch.column(i) for i in range(5)), strict=True):
                 page, url, data, digest, to = (v.as_py() for v in row)
@@ -170,7 +170,7 @@ def archived(pages: DataFrame) -> DataFrame:
         if bundle is not None:
             bundle.close()
 
-    return written(texts(ready).mapInArrow(run, _INDEX), "index")
+    return written(ready.mapInArrow(run, _INDEX), "index")
 
 
 _RECORD = "record_id string, page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, texts, written
+from .common import new_path, pieces, written
 from .files import make_folder, open_input, open_output
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -62,7 +62,7 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(content.value).encode_ordinary
         out, name, ordinal, total, closed, kind = None, None, 0, 0, [], None
-        for batch in batches:
+        for batch in pieces(batches, 1):
             places, kind = [], batch.column(0).type
             for text in batch.column(1):
                 if out is None:
@@ -84,7 +84,7 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, f
             yield rows(pa.nulls(len(closed), kind), closed)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(texts(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, {_MANIFEST}"), "manifest")
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_MANIFEST}"), "manifest")
 
 
 _BLOCK = "file string, block long, ends long, first long, last long, lengths array<long>"

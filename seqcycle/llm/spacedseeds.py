@@ -26,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, odd_constants, texts
+from .common import WordHashes, by_row, mix64, odd_constants, pieces
 
 #: 1 is a compared position, 0 an ignored one.
 MASKS = ("111111", "1110111", "110110101", "1100101011")
@@ -155,7 +155,7 @@ def _blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[Block]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, matched, overlap_tokens, doc_start, item_start."""
-    docs = texts(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     out = None
     for block in _blocks(benchmark, block_tokens):
         found = _against(docs, block)
@@ -168,7 +168,7 @@ def _against(docs: DataFrame, block: Block) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids, found = [], []
             for k, text in enumerate(batch.column(1)):
                 own = held.value.overlaps(hashes.array(tokens(text.as_py())))
@@ -185,19 +185,18 @@ def _against(docs: DataFrame, block: Block) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of ``docs`` of which no span overlaps an item (see ``Block.touches``), with all their columns; each row is judged by its own text."""
-    names = texts(docs).columns
     for block in _blocks(benchmark, block_tokens):
-        docs = _without(docs, block, names)
+        docs = docs.where(_touched(docs, block) == F.lit(False))
     return docs
 
 
-def _without(docs: DataFrame, block: Block, names: list[str]) -> DataFrame:
+def _touched(docs: DataFrame, block: Block) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def touched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
-        for batch in batches:
-            good = [not held.value.touches(hashes.array(tokens(t.as_py()))) for t in batch.column(names.index("text"))]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for texts in batches:
+            yield by_row(texts, lambda t: held.value.touches(hashes.array(tokens(t))), pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return touched("text")

@@ -190,3 +190,24 @@ def test_vectors_that_link_with_nothing(spark):
     alone = [(str(i), 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)]
     assert got == [("1", 1, 1, True), ("1", 1, 1, True), ("2", 1, 1, False), *alone, ("None", 0, None, True)]
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_repeated_rows_are_one_candidate(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(100))
+    near = base.replace("w50", "x")
+    df = spark.createDataFrame([(1, base)] * 300 + [(2, near)] * 300 + [(3, near + " more"), (3, "another text of this number")], "doc_id long, text string")
+    seen = []
+    real = lshforest._links
+    monkeypatch.setattr(lshforest, "_links", lambda docs, nodes, pairs: seen.append((nodes.count(), pairs.count())) or real(docs, nodes, pairs))
+    got = lshforest.near_duplicates(df).collect()
+    assert len(got) == 602 and seen[0][0] == 4 and seen[0][1] <= 3
+    assert sorted({(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got}) == [(1, 96, 1, True), (2, 96, 1, False), (3, 1, 3, True), (3, 97, 1, False)]
+
+
+def test_hub_of_many_members_is_dealt_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(lshforest, "MEMBERS", 3)
+    rows, want = documents()[:40], None
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [plain_set(t) for t in rows]
+    want = roots(len(rows), [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    assert {r.doc_id: r.component_id for r in lshforest.near_duplicates(df).collect()} == dict(enumerate(want))
