@@ -7,8 +7,8 @@ candidates are neighbours in that order, so how deep a prefix two neighbours sha
 is: alone in a region, a pair that agrees in its first minimum meets; in a crowded one, the pairs with the longest
 common prefixes do. Besides its ``NEAR`` neighbours on either side, each node meets the hubs of its regions of one and of two
 common minima: the node whose sketch agrees best with the most frequent values there, such as the text from which a family of copies was made.
-Candidates are told from chance by length and a 64-value sketch, at more than five standard deviations below the
-threshold, and the rest are confirmed on the full sets, read again from the texts. Linked components follow.
+Candidates are kept by length and a 64-value sketch, down to 2.6 standard deviations below the
+threshold, and confirmed on the full sets, read again from the texts. Linked components follow.
 
 The forest's cost is linear: a node takes part in at most ``TREES * (NEAR + 2)`` candidates of its own, whatever the size of its
 region. What it misses, mostly in regions of many texts that share a passage, a prefix-filtered join finds: shingles are put
@@ -178,8 +178,8 @@ class _Rows:
         return out
 
 
-#: Of 64 four-bit values, a pair at the threshold agrees in 49 on average with a deviation of 3.4; fewer than this is no chance.
-_LEAST = 30
+#: Of 64 four-bit values, a pair at the threshold agrees in 49 on average with a deviation of 3.4; what agrees in fewer than this is left to the join.
+_LEAST = 40
 
 
 def _candidates(keys: np.ndarray) -> np.ndarray:
@@ -365,7 +365,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     Of a pair, the node of more candidates is the hub; its set is sent once for each ``MEMBERS`` of its members, which are dealt by a salt, and theirs
     stream past it.
     """
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     both = pairs.join(degrees.withColumnsRenamed({"node": "a", "degree": "of_a"}), "a").join(degrees.withColumnsRenamed({"node": "b", "degree": "of_b"}), "b")
     first = F.col("of_a") >= F.col("of_b")
     ends = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("of_a", "of_b").alias("degree"))
