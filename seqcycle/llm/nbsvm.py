@@ -7,7 +7,7 @@ to margins on folds that the model did not see, turns margins into scores.
 
 Defined results: null texts count as empty; an empty text has no features, so its score is that of the intercept. Rows
 whose label is null or neither 0 nor 1 are not learnt from. If only one class (or none) has labels, every score is that
-class's share (0.5 without labels). A null doc_id never counts as learnt from (held_out is null, as the remainder is).
+class's share (0.5 without labels). A doc_id of several labels is learnt once with each. A null doc_id never counts as learnt from (held_out is null, as the remainder is).
 Repeated rows get equal scores; extra columns are ignored.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_row, mix64
+from .common import WordHashes, by_row, hashed_sample, mix64, written
 
 #: Hashed columns; bound of the labelled rows (and of their bytes of text) that a fit takes, by hash order of doc_id.
 BITS, SAMPLE_ROWS, SAMPLE_BYTES = 18, 8_000, 60_000_000
@@ -149,16 +149,20 @@ def fit(texts: list[str | None], labels: list[int], *, bits: int = BITS, c: floa
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
-    """The bounded sample of labelled rows that a fit takes: at most ``rows`` rows and ``text_bytes`` bytes of text.
+    """The bounded sample of labelled rows that a fit takes: at most ``rows`` rows of ``docs`` with a label and ``text_bytes`` bytes of text.
 
     Rows come in the order of a hash of their doc_id, whole; each one that fits within what is left of both bounds is taken.
+    Labels of documents that are not in ``docs`` take no place. A doc_id of two labels, or of two rows, counts as often.
     Fails if there are labelled texts and none fits.
     """
     known = labels.where(f"quality in (0, 1) and not ({held_out})").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    present = written(docs.select("doc_id").join(known, "doc_id").select("doc_id", "quality"), "labelled")
+    chosen = hashed_sample(present, "doc_id", present.count(), rows).distinct()  # at most ``rows`` rows
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     known_texts, marks, total, skipped = [], [], 0, 0
     for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+        if len(marks) == rows:
+            break
         size = len((row.text or "").encode())
         if total + size > text_bytes:
             skipped += 1

@@ -57,11 +57,11 @@ def op8_text_density_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The URLs that a rule blocks are the labelled ones of class 1, all others of class 0."""
+    """The labelled URLs are those under a rule (class 1 if it blocks them, else 0); what rules name is masked, and URLs without a rule are unlabelled."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     _, says = urltrees.rule(urltrees.host(F.col("url")), urltrees.path(F.col("url")))
-    labelled = pages.where("url is not null").select("url", F.when(says == "block", 1).otherwise(0).alias("label"))
-    return urltrees.judged(pages, urltrees.train(labelled))
+    labelled = pages.select("url", F.when(says == "block", 1).when(says == "allow", 0).alias("label")).where("label is not null")
+    return urltrees.judged(pages, urltrees.train(labelled, masked=urltrees.named_by()))
 
 
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
