@@ -13,7 +13,12 @@ so a page that a third of all rows share sends one row from each task; payloads
 
 A task writes bundles under names of its own and reports them with its rows; bundles of lost or repeated tasks are never read.
 
-Defined results: a null html is an empty payload, a null url an empty target. A row with a null page_id gets an identifier of no page, is always
+Record identifiers are unique: ``urn:page:`` and the page_id or, where a page_id is null or repeats, that (or ``none``), the bundle and the record's number
+there. A revisit refers to its page's identifier, which is that of one record if the page_id does not repeat.
+
+Reading spreads over runs of frames of about ``TASK_BYTES``, one for each task, so no bundle is a task's least share.
+
+Defined results: a null html is an empty payload, a null url an empty target. A row with a null page_id is always
 a response and never referred to. Rows that repeat a page_id and its payload are all responses if that page_id is
 the largest. A record larger than a frame is a frame of its own. Extra columns are ignored. An empty table makes no bundle.
 """
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import new_path, pieces, written
 from .files import make_folder, open_input, open_output
 
-FRAME_BYTES, BUNDLE_BYTES, REVISIT_BYTES, LEVEL = 1 << 18, 1 << 28, 1000, 3
+FRAME_BYTES, BUNDLE_BYTES, TASK_BYTES, REVISIT_BYTES, LEVEL = 1 << 18, 1 << 28, 1 << 25, 1000, 3
 # Fixed values of the seekable format.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,12 +48,12 @@ _URN = "urn:page:"
 _DATE = "1970-01-01T00:00:00Z"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit if ``refers_to`` is given."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     block = _HTTP if refers_to is not None else _HTTP + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{'none' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>",
         f"WARC-Date: {_DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -78,7 +83,8 @@ class Bundle:
         import zstandard
 
         self.name, self.out, self.press = name, open_output(name), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-        self.waiting, self.size, self.frames, self.written = [], 0, [], 0
+        self.key = name.rpartition("/")[2].partition(".")[0]
+        self.waiting, self.size, self.frames, self.written, self.records = [], 0, [], 0, 0
 
     def add(self, data: bytes) -> tuple[int, int]:
         """The frame of a record and its offset there."""
@@ -87,6 +93,7 @@ class Bundle:
         place = len(self.frames), self.size
         self.waiting.append(data)
         self.size += len(data)
+        self.records += 1
         return place
 
     def flush(self) -> None:
@@ -149,22 +156,26 @@ def archived(pages: DataFrame) -> DataFrame:
     long = rows.where((F.length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     shared = long.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "newest")
     refers = F.when((F.col("newest") != F.col("page_id")) & (F.length("payload") >= REVISIT_BYTES), F.col("newest"))
-    ready = rows.join(written(shared, "payloads"), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    twice = rows.where("page_id is not null").groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id", F.lit(False).alias("alone"))
+    alone = F.coalesce("alone", F.col("page_id").isNotNull())
+    known = rows.join(written(shared, "payloads"), "digest", "left").join(written(twice, "repeated"), "page_id", "left")
+    ready = known.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), alone.alias("alone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in pieces(batches, 2):
             out = []
-            for row in zip(*(batch.column(i) for i in range(5)), strict=True):
-                page, url, data, digest, to = (v.as_py() for v in row)
+            for row in zip(*batch.columns, strict=True):
+                page, url, data, digest, to, alone = (v.as_py() for v in row)
                 if bundle is not None and bundle.written + bundle.size > BUNDLE_BYTES:
                     bundle.close()
                     bundle = None
                 if bundle is None:
                     bundle = Bundle(f"{folder}/{uuid.uuid4().hex}.warc.zst")
-                text = record(page, url, data, digest, to)
+                name = f"{_URN}{'none' if page is None else page}" + ("" if alone else f":{bundle.key}:{bundle.records}")
+                text = record(name, url, data, digest, to)
                 frame, offset = bundle.add(text)
-                out.append((f"{_URN}{'none' if page is None else page}", page, bundle.name, frame, offset, len(text)))
+                out.append((name, page, bundle.name, frame, offset, len(text)))
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["record_id", "page_id", "bundle", "frame", "offset", "length"])
         if bundle is not None:
@@ -177,7 +188,7 @@ _RECORD = "record_id string, page_id long, record_type string, url string, paylo
 
 
 def _page(urn: str) -> int | None:
-    name = urn.strip("<>").removeprefix(_URN)
+    name = urn.strip("<>").removeprefix(_URN).partition(":")[0]
     return None if name == "none" else int(name)
 
 
@@ -200,14 +211,14 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
 
-def read(bundles: DataFrame) -> DataFrame:
-    """All records of the bundles named in the column ``bundle``, frame by frame."""
+def read(runs: DataFrame) -> DataFrame:
+    """All records of the frames ``first`` to ``last`` of the bundles named in the column ``bundle``, frame by frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = Reader(name)
-                for k in range(len(reader.sizes)):
+                for k in range(first, last + 1):
                     data, at, rows = reader.frame(k), 0, []
                     while at < len(data):
                         headers, block, at = parsed(data, at)
@@ -215,7 +226,14 @@ def read(bundles: DataFrame) -> DataFrame:
                     yield _records(rows)
                 reader.close()
 
-    return bundles.select("bundle").mapInArrow(run, _RECORD)
+    return runs.select("bundle", "first", "last").mapInArrow(run, _RECORD)
+
+
+def runs(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(bundle, first, last): all frames of an index in runs of about ``task_bytes``, each in a partition of its own."""
+    run = F.floor(F.col("frame") / max(1, task_bytes // FRAME_BYTES))
+    found = written(index.groupBy("bundle", run.alias("run")).agg(F.min("frame").alias("first"), F.max("frame").alias("last")), "runs")
+    return found.repartition(max(1, found.count()))  # a given number of partitions is not coalesced
 
 
 def lookup(index: DataFrame) -> DataFrame:
@@ -239,5 +257,4 @@ def lookup(index: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives the pages and reads the bundles back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    bundles = archived(pages).select("bundle").distinct()
-    return read(bundles.repartition("bundle")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(runs(archived(pages))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
