@@ -30,7 +30,7 @@ from .files import make_folder, open_input, open_output
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that cuts texts before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-END, FILE_TOKENS, BLOCK_TOKENS = 50256, 64_000_000, 1_000_000
+END, FILE_TOKENS, BLOCK_TOKENS, TASK_TOKENS = 50256, 64_000_000, 1_000_000, 16_000_000
 
 
 def encoder(vocabulary: bytes):
@@ -108,10 +108,16 @@ def _blocks(end: int, size: int):
     return run
 
 
+def blocks(files: DataFrame, block_tokens: int = BLOCK_TOKENS, task_tokens: int = TASK_TOKENS) -> DataFrame:
+    """(file, block) of all blocks, dealt to as many tasks as their tokens ask for; a given number of partitions is not coalesced."""
+    total = files.agg(F.coalesce(F.sum("file_tokens"), F.lit(0))).first()[0]
+    parts = files.select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("file_tokens") - 1) / block_tokens))).alias("block")).where("block >= 0")
+    return parts.repartition(max(1, -(-total // task_tokens)))
+
+
 def scan(files: DataFrame, *, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(file, ordinal, n_tokens) of every document in flat token files; ``files`` has file and file_tokens."""
-    parts = files.select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("file_tokens") - 1) / block_tokens))).alias("block")).where("block >= 0")
-    found = parts.repartition(F.col("file"), F.col("block")).mapInArrow(_blocks(end, block_tokens), _BLOCK)
+    found = blocks(files, block_tokens).mapInArrow(_blocks(end, block_tokens), _BLOCK)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.withColumn("base", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1)))
     lengths = F.concat(F.array(F.col("first") - F.col("open") - 1), "lengths")
@@ -124,4 +130,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every document, by way of token files and their scan."""
     manifest = tokenise(docs, vocabulary)
     counts = scan(manifest.where("ordinal is null").select("file", "file_tokens"))
-    return manifest.where("ordinal is not null").select("doc_id", "file", "ordinal").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    named = manifest.where("ordinal is not null").select("doc_id", "file", "ordinal")
+    return named.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")  # rows of files compress too well for their size to be told
