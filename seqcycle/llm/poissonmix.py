@@ -5,8 +5,8 @@ rows as the input. Each row is repeated as often as an inverted Poisson distribu
 number hashed from seed and doc_id: the count is the number of cumulative probabilities at or below it. Rates above
 ``CHUNK`` are sums of independent draws of at most that mean, so that no probability underflows. Rates are
 joined as the engine sees fit by their written size: broadcast where few sources fit the session's bound, else by a sort-merge
-join whose hot source adaptive execution splits. The copies are dealt and
-sorted by a hash of seed, doc_id and copy, which is the global shuffle; its keys are uniform, so no task gets more than its share.
+join whose hot source adaptive execution splits. The copies are dealt to equal ranges of
+a hash of seed, doc_id and copy and sorted by it, which is the global shuffle; its keys are uniform, so no task gets more than its share.
 
 Draws depend on seed and doc_id alone: a lost task makes the same rows again.
 
@@ -76,4 +76,6 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int
     drawn = keyed.join(rate, "source_key").withColumn("copies", draws(key, seed))
     copies = drawn.where("copies > 0").select(*names, "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), key, F.col("copy").cast("string"))))
-    return shuffled.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # keys are uniform, so their ranges need no sampling
+    at = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * n / (1 << 32)).cast("int")
+    return shuffled.repartitionById(n, at).sortWithinPartitions("shuffle_key")
