@@ -1,8 +1,9 @@
 """Embedding near-dedup by hierarchical navigable small-world graphs, one for each shard of the vectors.
 
-Equal vectors are one node with a count. Nodes are dealt to shards by hash; each shard's graph is built in one task, in
+Equal vectors are one node with a count. Nodes are dealt to shards by hash; each shard's graph is built in one task, which writes it as a file of the shared folder, in
 layers: a layer is a small-world graph over a prefix of the shard's nodes, each layer ``BRANCH`` times the one above it,
-and the top one is small enough to be searched whole. Every node is then searched in every shard. A search descends the layers with a beam and, where it meets
+and the top one is small enough to be searched whole. Every node is then searched in every shard: nodes are also written as files, in blocks of about ``QUERIES``, and a
+task opens one graph and ``RUN`` blocks, so neither graphs nor queries are shuffled. Files of lost or repeated tasks are never opened, as the rows that name them are lost too. A search descends the layers with a beam and, where it meets
 links, follows them through the graph until no further link is next to one, so a large group is found whole. An audit in
 each task compares a sample of queries, and of noisy copies of the shard's own vectors just above the threshold, with a
 search of the whole shard, and doubles the beam until ``RECALL`` of the links are found, on the mean over the queries that have any, so no
@@ -20,17 +21,24 @@ are ignored.
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix64, written
+from .common import components, mix64, new_path, written
+from .files import make_folder, open_input, open_output
 
-LEAST, RECALL, SHARDS, SHARD_BYTES = 0.95, 0.995, 4, 64_000_000
-DEGREE, BRANCH, TOP, BEAM, BUILD_BEAM, BATCH, QUERIES, AUDIT = 16, 8, 512, 16, 32, 512, 16384, 64
+LEAST, RECALL, SHARDS, SHARD_BYTES = 0.95, 0.995, 4, 32_000_000
+DEGREE, BRANCH, TOP, BEAM, BUILD_BEAM, BATCH, QUERIES, RUN, AUDIT = 16, 8, 512, 16, 32, 512, 4096, 4, 64
+#: Links that a step of searches holds, about.
+STEP_LINKS = 4_000_000
 _SLACK = 1e-3  # of float32 cosines against the double ones
 
 
@@ -226,46 +234,89 @@ def audited_beam(graph: Graph, queries: np.ndarray, least: float, seed: int = 11
     return min(beam, n)
 
 
-def _unit(blobs: pd.Series) -> np.ndarray:
-    v = np.stack([np.asarray(b, np.float64) for b in blobs])
+def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _built(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard as one row: its nodes in the order of their layers, their vectors and neighbour lists."""
-    pdf = pdf.iloc[np.argsort(mix64(pdf.node.to_numpy().astype(np.uint64)), kind="stable")]
-    graph = Graph(_unit(pdf.vector))
-    return pd.DataFrame({
-        "shard": [pdf.shard.iloc[0]], "top": [graph.top], "nodes": [pdf.node.to_numpy().tobytes()], "copies": [pdf.copies.to_numpy().tobytes()],
-        "vectors": [np.stack([np.asarray(x, np.float64) for x in pdf.vector]).tobytes()], "layers": [[x.tobytes() for x in graph.layers]],
-    })
+def _saved(path: str, **arrays: np.ndarray) -> None:
+    whole = io.BytesIO()
+    np.savez(whole, **arrays)
+    with open_output(path) as f:
+        f.write(whole.getbuffer())
 
 
-def _loaded(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    nodes, copies = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64)
-    exact = _unit(list(np.frombuffer(row.vectors, np.float64).reshape(len(nodes), -1)))
+def _opened(path: str) -> dict[str, np.ndarray]:
+    with open_input(path) as f:
+        held = np.load(io.BytesIO(f.read()))
+        return {k: held[k] for k in held.files}
+
+
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.asarray(x, np.float64) for x in pdf.vector])
+
+
+def _built(folder: str):
+    """Writes a shard's graph: its nodes in the order of their layers, their vectors and neighbour lists."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.iloc[np.argsort(mix64(pdf.node.to_numpy().astype(np.uint64)), kind="stable")]
+        vectors = _vectors(pdf)
+        graph, path = Graph(_unit(vectors)), f"{folder}/{uuid.uuid4().hex}.npz"
+        layers = {f"layer{k}": x for k, x in enumerate(graph.layers)}
+        _saved(path, top=np.array(graph.top), nodes=pdf.node.to_numpy(), copies=pdf.copies.to_numpy(), vectors=vectors, **layers)
+        return pd.DataFrame({"length": [pdf.length.iloc[0]], "graph": [path]})
+
+    return run
+
+
+def _blocked(folder: str):
+    """Writes a block of query nodes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}.npz"
+        _saved(path, nodes=pdf.node.to_numpy(), vectors=_vectors(pdf))
+        return pd.DataFrame({"length": [pdf.length.iloc[0]], "path": [path]})
+
+    return run
+
+
+def _loaded(path: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    held = _opened(path)
+    exact = _unit(held["vectors"])
     graph = Graph.__new__(Graph)
-    graph.v, graph.top = exact.astype(np.float32), int(row.top)
-    graph.layers = [np.frombuffer(x, np.int32).reshape(-1, 2 * DEGREE) for x in row.layers]
-    return graph, nodes, copies, exact
+    graph.v, graph.top = exact.astype(np.float32), int(held["top"])
+    graph.layers = [held[f"layer{k}"] for k in range(len(held) - 4)]
+    return graph, held["nodes"], held["copies"], exact
+
+
+_FOUND = "node long, links long, other long"
 
 
-def _searched(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+def _search_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of rows that name a graph and some blocks."""
+    for batch in batches:
+        for path, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            shard = _loaded(path)
+            for block in blocks:
+                held = _opened(block)
+                yield pa.RecordBatch.from_pandas(_searched(shard, held["nodes"], _unit(held["vectors"])), preserve_index=False)
+
+
+def _searched(shard: tuple[Graph, np.ndarray, np.ndarray, np.ndarray], asked: np.ndarray, unit: np.ndarray) -> pd.DataFrame:
     """For each query node its count of links in the shard, and edges that join what the links join."""
-    if not len(shard) or not len(queries):
-        return pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
-    graph, nodes, copies, exact = _loaded(shard.iloc[0])
-    asked, unit = queries.node.to_numpy(), _unit(queries.vector)
+    graph, nodes, copies, exact = shard
     single = unit.astype(np.float32)
     beam = audited_beam(graph, single, LEAST)
-    step = int(max(16, min(1024, 64_000_000 // max(len(nodes), 1))))
+    most = int(max(16, min(1024, 64_000_000 // max(len(nodes), 1))))
+    at, step = 0, 16
     count = np.zeros(len(asked), np.int64)
     label, held = asked.copy(), nodes.copy()  # the smallest node that a query, or a node of the shard, is joined with
     moved = [np.empty((0, 2), np.int64)]  # each change of a shard node's label is an edge
-    for at in range(0, len(asked), step):
+    while at < len(asked):
         q, x = graph.links(single[at : at + step], beam, LEAST - _SLACK)
-        q = q + at
+        q, at = q + at, at + step
+        step = int(min(most, 4 * step, max(1, step * STEP_LINKS // max(len(q), 1))))  # what a step holds follows what the last one found
         good = np.empty(len(q), bool)
         for k in range(0, len(q), 1 << 16):
             good[k : k + (1 << 16)] = np.einsum("kd,kd->k", unit[q[k : k + (1 << 16)]], exact[x[k : k + (1 << 16)]]) >= LEAST
@@ -291,34 +342,32 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
-    rows = embeddings.select("vec_id", vector.alias("vector"), usable.alias("usable")).withColumn("node", F.when(F.col("usable"), F.xxhash64("vector")))
-    distinct = rows.where("usable").groupBy("vector", "vec_id").agg(F.first("node").alias("node"))
-    nodes = written(distinct.groupBy("node").agg(F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("smallest")), "vectors")
-    total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
-    shards = max(SHARDS, math.ceil(total[1] * 4 / SHARD_BYTES))
-    blocks = max(1, math.ceil(total[0] / QUERIES))
-    length = F.size("vector")
-    shard = F.concat_ws(":", length, F.pmod("node", F.lit(shards)))
-    graphs = written(
-        nodes.select(shard.alias("shard"), "node", "copies", "vector").groupBy("shard").applyInPandas(
-            _built, "shard string, top int, nodes binary, copies binary, vectors binary, layers array<binary>"
-        ), "graphs",
-    )
-    asked = nodes.select("node", "vector", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.concat_ws(":", length, s))).alias("shard"))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    results = written(
-        spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_searched, "node long, links long, other long"), "found"
-    )
+    keys = [F.when(F.col("usable"), F.xxhash64(*salt, "vector")).alias(name) for name, salt in (("h1", []), ("h2", [F.lit(2)]))]  # 128 bits tell vectors apart
+    rows = embeddings.select("vec_id", vector.alias("vector"), usable.alias("usable")).select("*", *keys)
+    distinct = rows.where("usable").groupBy("h1", "h2", "vec_id").agg(F.any_value("vector").alias("vector"))
+    equal = distinct.groupBy("h1", "h2").agg(F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("smallest"))
+    nodes = written(equal.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "vectors")
+    total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0))).first()
+    shards, blocks = max(SHARDS, math.ceil(total[1] * 4 / SHARD_BYTES)), max(1, math.ceil(total[0] / QUERIES))
+    folder = new_path(embeddings.sparkSession, "graphs")
+    make_folder(folder)
+    named = nodes.select("length", "node", "copies", "vector", F.pmod("h1", F.lit(shards)).alias("shard"), F.pmod("h2", F.lit(blocks)).alias("block"))
+    graphs = written(named.groupBy("length", "shard").applyInPandas(_built(folder), "length int, graph string"), "graphs")
+    queries = written(named.groupBy("length", "block").applyInPandas(_blocked(folder), "length int, path string"), "queries")
+    paths = queries.select("length", "path", F.floor(F.row_number().over(Window.partitionBy("length").orderBy("path")) / RUN).alias("run"))
+    runs = paths.groupBy("length", "run").agg(F.collect_list("path").alias("paths"))  # at most ``RUN`` names
+    work = written(graphs.join(runs, "length").select("graph", "paths"), "work")
+    results = written(work.repartition(max(1, work.count())).mapInArrow(_search_runs, _FOUND), "found")
     roots = components(results.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = results.groupBy("node").agg(F.sum("links").alias("links"))
-    rooted = nodes.select("node", "copies", "smallest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("h1", "h2", "node", "copies", "smallest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("smallest").alias("component"))
     labels = written(
         rooted.join(named, "root").join(counts, "node", "left")
-        .select("node", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "labels",
+        .select("h1", "h2", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "labels",
     )
     return (
-        rows.select("vec_id", "node").join(labels, "node", "left")
+        rows.select("vec_id", "h1", "h2").join(labels, ["h1", "h2"], "left")
         .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
