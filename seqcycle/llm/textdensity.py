@@ -1,14 +1,18 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; parts that are no article by their tag, role or class (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) are cut off. On a page that is left without an article or main element, a cut by class or id is undone
-where it holds most of the page's text outside links (names of comments, adverts and the like: nine tenths), or where nothing would be left. For every node, C, LC are the characters of its text and of its links' texts
+A page becomes a tree without what is never text of an article (scripts, styles, navigation, footers, asides, controls, hidden parts). For every other node, C, LC are the characters of its text and of its links' texts
 (white space apart), T and LT its tags and link tags, at least 1 each. Its composite density is
 C/T * log(C*T / (LC*LT)) to the base ln(C/nLC * LC + LCb/Cb * C + e), nLC = C - LC (at least 1) and b the body: characters per tag,
-adjusted for links. A node's density sum is that of its children and of its own text. The node with the largest sum (for a mere part
-of a text, such as a paragraph, a list or a plain cell, what holds it) is the core of the article; the threshold is the lowest density on the path from it to the body. Along that path, siblings join the core if
-they are main headings, or reach the threshold and are text themselves (paragraphs, lists, quotations, tables), or reach it and are at least half
-as dense as the core. An ``article`` or ``main`` element around the core is taken whole.
+adjusted for links. A node's density sum is that of its children and of its own text. Among the nodes that hold text themselves (words, paragraphs, headings, lists, tables, not
+boxes alone), the one with the largest sum is the core of the article. Tags and names are evidence on that sum: within a form, a page header, or a box whose class or id names it a
+menu, sidebar, notice, advert and the like it counts a quarter, within one named as comments, adverts or related pages a tenth, within an ``article`` or ``main`` half as much again. The outermost ``article``
+around the core, else the outermost ``main``, is the core in its place.
+
+The threshold is the lowest density on the path from the core to the body. Along that path, siblings join the core if
+they are main headings, or reach the threshold and are text themselves (paragraphs, lists, quotations, tables), or reach it, are at least half
+as dense as the core and hold mostly such text. What stands on the path is never cut, whatever its name. Elsewhere forms, page headers and boxes named as above are left out,
+but inside the core a named one (comments, adverts and related pages apart) only where it holds less than a quarter of the core's text outside links.
+Of a compound name the last part counts, box-like words apart: ``cookie-notice`` and ``notice-bar`` are notices, ``notice-board`` is none.
 
 The text is that of the chosen nodes in page order: character references decoded, white space inside a block made one
 space, blocks trimmed and joined by one line feed. Nothing else is dropped.
@@ -46,19 +50,27 @@ _BLOCK = {
 }
 _TEXTUAL = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure", "figcaption"}
 _DROPPED = {
-    "head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "textarea", "input", "iframe",
-    "svg", "canvas", "object", "embed", "audio", "video", "map", "dialog", "menu", "title", "noembed", "noframes", "search", "datalist", "fieldset",
+    "head", "script", "style", "noscript", "template", "nav", "footer", "aside", "button", "select", "textarea", "input", "iframe",
+    "svg", "canvas", "object", "embed", "audio", "video", "map", "dialog", "menu", "title", "noembed", "noframes", "search", "datalist",
 }
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|adslot|banners?|sponsor(?:ed|s)?|promos?|promotions?|promoted|nav|navbar|navigation|menus?|"
-    r"breadcrumbs?|sidebars?|side|footers?|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|notifications?|alerts?|"
-    r"popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|"
-    r"widgets?|pagination|pager|toolbar|skip|copyright|disclaimer|paywall|teasers?)(?:$|[\s_-]|\d)", re.I,
-)
-_HEADS = re.compile(r"(?:^|[\s_-])(?:headers?|masthead)(?:$|[\s_-]|\d)", re.I)
-#: Of these names, those that an article inside does not make a mere wrapper.
-_FIRM = re.compile(r"comment|respond|replies|disqus|advert|sponsor|related|recommended|teaser|promo|footer", re.I)
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
+#: Words of class and id names that tell what is no article; of these, the firm ones hold long text, too, that is none; box-like words.
+_FIRM = {
+    "comment", "comments", "commentlist", "respond", "replies", "disqus", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "adbox",
+    "adslot", "sponsor", "sponsors", "sponsored", "related", "recommended", "recommendations", "teaser", "teasers",
+}
+_NAMES = _FIRM | {
+    "banner", "banners", "promo", "promos", "promotion", "promotions", "promoted", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "side",
+    "footer", "footers", "header", "headers", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "alert", "alerts", "popup", "popups", "modal", "overlay", "newsletter",
+    "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "widget", "widgets", "pagination", "pager", "toolbar", "skip", "copyright", "disclaimer", "paywall",
+}
+_BOXES = {
+    "area", "bar", "block", "bottom", "box", "column", "container", "content", "items", "left", "inner", "link", "links", "list", "message", "panel", "posts", "right", "row", "section",
+    "slot", "text", "top", "unit", "wrap", "wrapper",
+}
+#: What a sum counts within soft boxes, firm ones, articles.
+_WEIGHTS = {0: 1.0, 1: 0.25, 2: 0.1}
+_ARTICLE = 1.5
 #: A start tag closes open elements of these kinds, up to an element that bounds them.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -70,38 +82,39 @@ _P_STAYS = {"button", "td", "th", "caption", "object", "html", "table", "templat
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "link_chars", "tags", "link_tags", "density", "total", "names", "by_name", "plain")
+    __slots__ = ("tag", "parent", "parts", "cut", "soft", "named", "chars", "link_chars", "prose", "tags", "link_tags", "density", "total", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, soft: int = 0, named: bool = False):
+        self.tag, self.parent, self.cut, self.soft, self.named = tag, parent, cut, soft, named
         self.parts: list[Node | str] = []
-        self.names, self.by_name = "", False
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(text)}
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in _DROPPED or (tag == "header" and not inside_article):
+def _never(tag: str, found: dict[str, str]) -> bool:
+    """Whether an element holds no text of an article in any case."""
+    if tag in _DROPPED:
         return True
-    if tag in ("html", "body", "main") or not attributes:
+    if tag in ("html", "body", "main"):
         return False
-    found = _attributes(attributes)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _ROLES:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    return False
-
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
 
-def _named_so(tag: str, attributes: str, inside_article: bool) -> bool:
-    return tag not in ("html", "body", "main") and bool(attributes) and _named(_attributes(attributes), inside_article)
 
-
-def _named(found: dict[str, str], inside_article: bool) -> bool:
-    words = " ".join(w for k in ("class", "id") for w in found.get(k, "").split() if not re.match(r"(?:has|with|no|without|is|hide)[_-]", w, re.I))
-    return bool(_NAMES.search(words) or (not inside_article and _HEADS.search(words)))
+def _named(found: dict[str, str], inside_article: bool) -> int:
+    """0, or 1 if a class or id names the element as no part of an article, 2 if firmly so."""
+    most = 0
+    for word in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        parts = [p for p in re.split(r"[_-]+|\d+", word) if p]
+        while len(parts) > 1 and parts[-1] in _BOXES:
+            parts.pop()
+        if parts and parts[-1] in _NAMES and parts[0] not in ("has", "with", "no", "without", "is", "hide"):
+            if not inside_article or parts[-1] not in ("header", "headers", "masthead"):
+                most = max(most, 2 if parts[-1] in _FIRM else 1)
+    return most
 
 
 def parse(page: str) -> Node:
@@ -140,69 +153,23 @@ def parse(page: str) -> Node:
                     del stack[k:]
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
-        node = Node(tag, stack[-1], _unwanted(tag, attributes, articles > 0))
-        if not node.cut and _named_so(tag, attributes, articles > 0):
-            node.cut = node.by_name = True
-        if tag in ("article", "main") and not node.cut:  # what holds the article is a wrapper, whatever its class
-            for outer in stack:
-                if outer.cut and outer.tag not in _DROPPED and outer.tag != "header" and not _FIRM.search(outer.names):
-                    outer.cut = False
-        node.names = attributes
+        found = _attributes(attributes) if attributes else {}
+        named = _named(found, articles > 0) if found and tag not in ("html", "body", "main") else 0
+        boxed = tag in ("form", "fieldset") or found.get("role", "").lower() == "form" or (tag == "header" and not articles)
+        node = Node(tag, stack[-1], _never(tag, found), max(named, int(boxed)), bool(named) and not boxed)
         stack[-1].parts.append(node)
         if tag in _VOID or attributes.rstrip().endswith("/") and tag not in _BLOCK and tag not in _RAW:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.cut, node.by_name = True, False
+            node.cut = True
             at = close.end() if close else size
             continue
         stack.append(node)
         articles += tag in ("article", "main")
-    _undo_names(root)
     return root
 
 
-def _walk(root: Node, named: bool) -> list[Node]:
-    """The nodes that are not cut off, or cut by their name alone if ``named``; parents before children, with their text outside links in ``plain``."""
-    order, waiting = [], [root]
-    while waiting:
-        node = waiting.pop()
-        order.append(node)
-        waiting += [p for p in node.parts if isinstance(p, Node) and (not p.cut or (named and p.by_name))]
-    for node in order:
-        node.plain = 0
-    for node in reversed(order):
-        if node.tag == "a":
-            node.plain = 0
-            continue
-        node.plain += sum(sum(map(len, p.split())) for p in node.parts if isinstance(p, str))
-        if node.parent is not None:
-            node.parent.plain += node.plain
-    return order
-
-
-def _undo_names(root: Node) -> None:
-    """Takes back cuts by name that hold the page's text rather than what stands beside it."""
-    if any(n.tag in ("article", "main") and n.plain for n in _walk(root, False)):
-        return
-    order = _walk(root, True)
-    named = [n for n in order if n.cut]
-    total = root.plain
-    hidden: set[int] = set()  # what stays below a cut
-    for node in order:
-        if id(node.parent) in hidden:
-            hidden.add(id(node))
-        elif node.cut:
-            if 10 * node.plain > 9 * total if _FIRM.search(node.names) else 2 * node.plain > total:
-                node.cut = False
-            else:
-                hidden.add(id(node))
-    for firm in (False, True):
-        if total and not _walk(root, False)[0].plain:
-            for node in named:
-                node.cut = node.cut and bool(_FIRM.search(node.names)) != firm
-
-
 def _measure(root: Node) -> list[Node]:
     """Counts of every node that is not cut, children before parents; returned in that order."""
     order, waiting = [], [root]
@@ -212,14 +179,15 @@ def _measure(root: Node) -> list[Node]:
         waiting += [p for p in node.parts if isinstance(p, Node) and not p.cut]
     order.reverse()
     for node in order:
-        chars = link_chars = tags = link_tags = 0
+        chars = link_chars = tags = link_tags = prose = 0
         for p in node.parts:
             if isinstance(p, str):
                 chars += sum(map(len, p.split()))
             elif not p.cut:
-                chars, link_chars = chars + p.chars, link_chars + p.link_chars
+                chars, link_chars, prose = chars + p.chars, link_chars + p.link_chars, prose + p.prose
                 tags, link_tags = tags + p.tags + 1, link_tags + p.link_tags + (p.tag == "a")
         node.chars, node.link_chars, node.tags, node.link_tags = chars, chars if node.tag == "a" else link_chars, tags, link_tags
+        node.prose = chars if node.tag in _TEXTUAL else prose
     return order
 
 
@@ -238,6 +206,8 @@ def _densities(order: list[Node], body: Node) -> None:
         node.density = _density(node.chars, node.link_chars, node.tags, node.link_tags, share)
         own = sum(sum(map(len, p.split())) for p in node.parts if isinstance(p, str))  # text of its own counts as a child
         node.total = _density(own, 0, 1, 0, share) + sum(p.density for p in node.parts if isinstance(p, Node) and not p.cut)
+    for node in reversed(order):
+        node.weight = (node.parent.weight if node.parent is not None else 1.0) * _WEIGHTS[node.soft] * (_ARTICLE if node.tag in ("article", "main") else 1.0)
 
 
 def _menu(node: Node) -> bool:
@@ -252,37 +222,56 @@ def _part(node: Node) -> bool:
     return node.tag not in _BLOCK or node.tag in _TEXTUAL or node.tag in ("tr", "tbody", "thead", "tfoot", "dt", "caption", "summary", "hgroup")
 
 
+def _holds(node: Node) -> bool:
+    """Whether a node holds text itself, not boxes alone."""
+    if _part(node):
+        return False
+    return any(p.strip() if isinstance(p, str) else not p.cut and p.chars and _part(p) for p in node.parts)
+
+
 def _chosen(root: Node) -> list[Node]:
+    """The nodes that make up the article; what is soft outside them, or small inside them, stays marked."""
     order = _measure(root)
     body = next((n for n in reversed(order) if n.tag == "body"), root)
     if not body.chars:
         body = root
     _densities(order, body)
-    core = max(reversed(order), key=lambda n: (n.total, n.chars) if n.chars else (-1.0, 0))  # the outermost of equal ones
-    while core is not body and core.parent is not None and _part(core):
-        core = core.parent
-    path = [core]
-    while path[-1].parent is not None and path[-1] is not body:
-        path.append(path[-1].parent)
-    whole = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
+    core = max((n for n in reversed(order) if n.chars and _holds(n)), key=lambda n: (n.total * n.weight, n.chars), default=body)  # the outermost of equal ones
+    path = _path(core, body)
+    whole = next((n for tag in ("article", "main") for n in reversed(path) if n.tag == tag), None)
     if whole is not None:
-        return [whole]
+        for node in path[: path.index(whole)]:
+            node.soft = 0
+        core, path = whole, _path(whole, body)
+    for node in path:
+        node.soft = 0
     threshold = min(n.density for n in path)
     chosen = {id(core): core}
     for node, parent in zip(path, path[1:], strict=False):
-        joined = []
         for p in parent.parts:
-            if isinstance(p, Node) and p is not node and not p.cut and p.chars and not _menu(p):
-                if p.tag in ("h1", "h2", "h3"):  # a heading beside the core is short, hence thin, and belongs to it
-                    joined.append(p)
-                elif p.density < threshold:
-                    continue
-                elif p.tag in _TEXTUAL or (p.tag in ("div", "section", "article") and p.density * 2 >= core.density):
-                    joined.append(p)
-        chosen |= {id(p): p for p in joined}
+            if not isinstance(p, Node) or p is node or p.cut or p.soft or not p.chars or _menu(p):
+                continue
+            heading = p.tag in ("h1", "h2", "h3")  # a heading beside the core is short, hence thin, and belongs to it
+            box = p.tag in ("div", "section", "article") and p.density * 2 >= core.density and p.prose * 2 >= p.chars
+            if heading or (p.density >= threshold and (p.tag in _TEXTUAL or box)):
+                chosen[id(p)] = p
+    waiting = list(chosen.values())
+    while waiting:
+        node = waiting.pop()
+        if node.soft == 1 and node.named and 4 * (node.chars - node.link_chars) > core.chars - core.link_chars:
+            node.soft = 0
+        if not node.soft:
+            waiting += [p for p in node.parts if isinstance(p, Node) and not p.cut]
     return list(chosen.values())
 
 
+def _path(node: Node, body: Node) -> list[Node]:
+    path = [node]
+    while path[-1].parent is not None and path[-1] is not body:
+        path.append(path[-1].parent)
+    return path
+
+
 def main_text(page: str | None) -> str:
     """The article of a whole page."""
     if not page:
@@ -306,7 +295,7 @@ def main_text(page: str | None) -> str:
         elif isinstance(node, str):
             if inside:
                 run.append(node)
-        elif not node.cut:
+        elif not node.cut and not node.soft:
             inside = inside or id(node) in wanted
             if node.tag == "br":
                 run.append(" ")
