@@ -32,7 +32,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS MATERIALIZED (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + {lshforest.WORDS - 1}], ' ') AS g
-  FROM w, range(1, 30000) AS t(i) WHERE len(w) > 0 AND i <= greatest(len(w) - {lshforest.WORDS - 1}, 1)
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - {lshforest.WORDS - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)
 ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 pairs AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {lshforest.SIMILAR} * (x.n + y.n - c)),
@@ -58,12 +58,13 @@ WITH d AS (
 k AS (
   SELECT m.*, row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY place) AS k FROM m JOIN enough USING (doc_id, item_id, diagonal)
 ), g AS (
-  SELECT *, {1 + _P} * k - {_P} * place AS f, min({1 + _P} * k - {_P} * place) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY k ROWS UNBOUNDED PRECEDING) AS low FROM k
-), ends AS (
-  SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY f - low DESC, k) = 1
+  SELECT *, {1 + _P} * k - {_P} * place AS f FROM k
+), spans AS (
+  SELECT y.doc_id, y.item_id, y.diagonal, min(y.n) AS n, y.k AS last_k, min(y.place) AS last_place, min(x.k) AS first_k, min(x.place) AS first_place
+  FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.diagonal = y.diagonal AND x.k <= y.k AND x.f <= y.f + 1
+  GROUP BY y.doc_id, y.item_id, y.diagonal, y.k
 ), segments AS (
-  SELECT e.doc_id, e.item_id, e.diagonal, min(e.n) AS n, min(e.k) AS last_k, min(e.place) AS last_place, min(g.k) AS first_k, min(g.place) AS first_place
-  FROM ends e JOIN g ON g.doc_id = e.doc_id AND g.item_id = e.item_id AND g.diagonal = e.diagonal AND g.f = e.low AND g.k <= e.k GROUP BY ALL
+  SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY last_k - first_k DESC, last_k) = 1
 ), found AS (
   SELECT doc_id, item_id, (last_k - first_k + 1)::INTEGER AS matched, last_place - first_place + 1 AS overlap_tokens, first_place + diagonal AS doc_start, first_place AS item_start, n
   FROM segments
@@ -86,12 +87,12 @@ WITH keyed AS (
   FROM parts, range(0, 60) AS t(j)
 ), draws AS (
   SELECT k, doc_id, p, source_key, (('0x' || substr(md5('{poissonmix.SEED}:draw:' || k || ':' || p), 1, 12))::BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u
-  FROM (SELECT DISTINCT k, doc_id, source_key FROM keyed) JOIN parts USING (source_key), range(1, 10000) AS r(p) WHERE p <= parts
+  FROM (SELECT k, doc_id, source_key, unnest(range(1, parts + 1)) AS p FROM (SELECT DISTINCT k, doc_id, source_key FROM keyed) JOIN parts USING (source_key))
 ), copies AS (
   SELECT k, source_key, count(*) AS copies FROM draws JOIN terms USING (source_key) WHERE cumulative <= u GROUP BY k, source_key
 )
 SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, c::INTEGER AS copy, md5('{poissonmix.SEED}:shuffle:' || k || ':' || c) AS shuffle_key
-FROM keyed JOIN copies USING (k, source_key), range(1, 100000) AS g(c) WHERE c <= copies
+FROM (SELECT *, unnest(range(1, copies + 1)) AS c FROM keyed JOIN copies USING (k, source_key))
 """
 
 OP7 = f"""

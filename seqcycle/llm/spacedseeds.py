@@ -2,11 +2,10 @@
 
 Texts are lower-cased and cut into tokens (runs of letters and digits). A seed is a window of tokens seen through a
 fixed mask that ignores some positions, so a substituted token under an ignored position does not hide an overlap. Seeds
-of documents meet equal seeds of benchmark items; each hit gives an alignment (a diagonal), and around it the best
-ungapped overlap is found in which a match counts 1 and a substitution counts -3, so at least three of four tokens agree
-in it. A document is contaminated by an item if an overlap has at least ``MIN_MATCH`` matching tokens (all tokens of a
-shorter item) on one alignment. ``clean`` is stricter: it judges every span in which at least three of four tokens agree, not
-only the best one, so a short run of higher score does not hide a longer overlap.
+of documents meet equal seeds of benchmark items; each hit gives an alignment (a diagonal), and around it every span is judged in which
+at least three of four tokens agree (a match counts 1, a substitution -3, and the sum is not below 0). The overlap of an alignment is the span of most matching
+tokens, the first of equal ones. A document is contaminated by an item if an overlap has at least ``MIN_MATCH`` matching tokens (all tokens of a
+shorter item); an item's overlap of most matches, then of the smallest start in the document, is reported.
 
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_TOKENS`` tokens, each block is sent to the
 executors (its size is bounded by that), and all documents are read against each block. Nothing else moves; a hot
@@ -113,28 +112,21 @@ class Block:
             start, end = max(0, diagonal), min(len(doc), diagonal + len(mine))
             yield item, diagonal, start, doc[start:end] == mine[start - diagonal : end - diagonal]
 
-    def touches(self, doc: np.ndarray) -> bool:
-        """Whether on some alignment any span of score 0 or more has enough matching tokens, be it the best one or not."""
-        for item, _, _, equal in self._diagonals(doc):
-            matches = np.r_[0, np.cumsum(equal)]
-            run = np.r_[0, np.cumsum(np.where(equal, 1, -PENALTY))]
-            latest = np.searchsorted(matches, matches - min(MIN_MATCH, len(self.items[item])), side="right") - 1
-            ends = np.flatnonzero(latest >= 0)
-            if (np.minimum.accumulate(run)[latest[ends]] <= run[ends]).any():
-                return True
-        return False
-
     def overlaps(self, doc: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
         """(item id, matching tokens, overlap's tokens, its start in the document, in the item), the best for each item."""
         best: dict[int, tuple[int, int, int, int]] = {}
         for item, diagonal, start, equal in self._diagonals(doc):
-            run = np.r_[0, np.cumsum(np.where(equal, 1, -PENALTY))]
-            lowest = np.minimum.accumulate(run)
-            last = int(np.argmax(run - lowest))
-            first = int(np.argmin(run[: last + 1]))
-            matched = int(equal[first:last].sum())
-            if matched >= min(MIN_MATCH, len(self.items[item])) and (item not in best or (-matched, start + first) < (-best[item][0], best[item][2])):
-                best[item] = (matched, last - first, start + first, start + first - diagonal)
+            at = np.flatnonzero(equal)
+            if len(at) < min(MIN_MATCH, len(self.items[item])):
+                continue
+            # From the i-th match to the j-th, matches less substitutions times the penalty are level[j] - level[i] + 1.
+            level = (1 + PENALTY) * np.arange(len(at)) - PENALTY * at
+            first = np.searchsorted(-np.minimum.accumulate(level), -(level + 1))  # the earliest match from which the sum is not below 0
+            matches = np.arange(len(at)) - first + 1
+            j = int(np.argmax(matches))
+            i, matched = int(first[j]), int(matches[j])
+            if matched >= min(MIN_MATCH, len(self.items[item])) and (item not in best or (-matched, start + at[i]) < (-best[item][0], best[item][2])):
+                best[item] = (matched, int(at[j] - at[i]) + 1, start + int(at[i]), start + int(at[i]) - diagonal)
         return [(self.ids[i], *found) for i, found in sorted(best.items())]
 
 
@@ -184,7 +176,7 @@ def _against(docs: DataFrame, block: Block) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of ``docs`` of which no span overlaps an item (see ``Block.touches``), with all their columns; each row is judged by its own text."""
+    """The rows of ``docs`` that no item contaminates, with all their columns; each row is judged by its own text."""
     for block in _blocks(benchmark, block_tokens):
         docs = docs.where(_touched(docs, block) == F.lit(False))
     return docs
@@ -197,6 +189,6 @@ def _touched(docs: DataFrame, block: Block) -> Column:
     def touched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for texts in batches:
-            yield by_row(texts, lambda t: held.value.touches(hashes.array(tokens(t))), pa.bool_())
+            yield by_row(texts, lambda t: bool(held.value.overlaps(hashes.array(tokens(t)))), pa.bool_())
 
     return touched("text")
