@@ -27,6 +27,22 @@ def test_round_trip(spark):
     digests = {r.page_id: r.payload_digest for r in seekwarc.round_trip(df).collect()}
     assert digests[1] == digests[3] == hashlib.sha1(big.encode()).hexdigest() and digests[6] == hashlib.sha1(b"").hexdigest()
     assert seekwarc.round_trip(df.limit(0)).count() == 0
+    index = seekwarc.archived(df).collect()
+    names = [r.record_id for r in index]
+    assert len(set(names)) == len(names) == 10 and {n for n in names if n.count(":") == 2} == {f"urn:page:{i}" for i in (1, 2, 4, 5, 6, 7, 8)}
+    assert sum(n.startswith("urn:page:3:") for n in names) == 2 and sum(n.startswith("urn:page:none:") for n in names) == 1
+
+
+def test_one_bundle_is_read_by_many_tasks(spark):
+    import random
+
+    draw = random.Random(1)
+    df = spark.createDataFrame([(i, "u", draw.randbytes(150_000).hex()) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    index = seekwarc.archived(df)
+    runs = seekwarc.runs(index, 2 * seekwarc.FRAME_BYTES)
+    assert index.select("bundle").distinct().count() == 1 and runs.rdd.getNumPartitions() == 6
+    read = seekwarc.read(runs)
+    assert read.rdd.getNumPartitions() == 6 and {r.page_id for r in read.collect()} == set(range(12))
 
 
 def test_index_reads_single_records_from_seekable_bundles(spark):
@@ -46,7 +62,7 @@ def test_index_reads_single_records_from_seekable_bundles(spark):
     assert plain.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
     reader = seekwarc.Reader(name)
     assert len(reader.sizes) >= 1 and b"".join(reader.frame(k) for k in range(len(reader.sizes)))[: len(plain)] == plain[: sum(reader.sizes)]
-    broken = bytearray(seekwarc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None))
+    broken = bytearray(seekwarc.record("urn:page:1", "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None))
     broken[-5:-4] = b"X"
     with pytest.raises(ValueError):
         seekwarc._read_back(*seekwarc.parsed(bytes(broken))[:2])
@@ -87,6 +103,41 @@ def test_names_of_wrappers_do_not_empty_the_page(name):
     assert textdensity.main_text(comments).split("\n") == text
 
 
+STORY = [f"Paragraph {i} of the story goes on for a while, with commas, clauses and such things." for i in range(4)]
+INNER = "".join(f"<p>{x}</p>" for x in STORY)
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='widget Blog'><h2>Blog</h2>{INNER}</div><div class='widget'><p>Other box.</p></div></body>",
+    f"<body><form id='aspnetForm'><div><h2>Blog</h2>{INNER}</div><div class='footer'>Imprint.</div></form></body>",
+    f"<body><article><h2>Blog</h2><div class='notice-board'>{INNER}</div><div class='cookie-notice'><p>We use cookies.</p></div></article></body>",
+    f"<body><div class='c'><h2>Blog</h2>{INNER}</div><div>Some words of an advert without any paragraph, which stand in a box of their own.</div></body>",
+])
+def test_names_and_forms_never_cut_the_core(page):
+    assert textdensity.main_text(page).split("\n") == ["Blog", *STORY]
+
+
+def test_density_finds_articles_without_names():
+    """Of the pages of the test table, with classes and sectioning tags taken away, nearly all give their articles."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    same = total = 0
+    for source in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        plain = re.sub(r"<(/?)(article|nav|header|footer|aside|main|section)\b", r"<\1div", re.sub(r"\s(class|id)=\"[^\"]*\"", "", source))
+        same += textdensity.main_text(plain) == textdensity.main_text(source)
+        total += 1
+    assert total >= 250 and same >= 0.98 * total
+
+
+def test_extraction_of_an_empty_table_and_of_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", f"<body>{INNER}</body>", "old", 7), (1, "u", f"<body>{INNER}</body>", "old", 7)], "page_id long, url string, html string, text string, n_chars int")
+    got = textdensity.extracted(rows).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "\n".join(STORY), len("\n".join(STORY)))] * 2
+    assert textdensity.extracted(rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("page", "want"), [
     (None, ""), ("", ""), ("plain < 5 & more &amp; &eacute;&#x41;", "plain < 5 & more & \u00e9A"), ("<p>", ""), ("<script>x", ""), ("<p>a</p></div></p><p>b", "a\nb"), ("<!-- x", ""),
     ("<p title='a>b' class=\"c\">x<!-- y -->z</p>", "xz"), ("<p>a&nbsp;\n b</p>", "a b"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<p a='unclosed>x</p>", "x"),
@@ -148,6 +199,126 @@ def test_trees_learn_lexical_features():
     assert urltrees.lexical("http://a1b.c/p/q.html?x=1&y=2#z", "a1b.c", "/p/q.html")[5:8] == [2, 2, 2]
 
 
+def plain_trees(x, y, w, trees):
+    """Margins of boosted trees, every split of every node tried by sums over its rows."""
+    share = np.dot(w, y) / w.sum()
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (p - y), w * p * (1 - p)
+        leaves = [np.arange(len(y))]
+        for _ in range(urltrees.LEVELS):
+            after = []
+            for rows in leaves:
+                best, parts = 1e-9, (rows, rows[:0])
+                for j in range(x.shape[1]):
+                    gain_here, parts_here = 0.0, None
+                    for c in urltrees._cuts(x[:, j]) if len(set(x[:, j])) > 1 else []:
+                        left = rows[x[rows, j] <= c]
+                        right = rows[x[rows, j] > c]
+                        hl, hr = h[left].sum(), h[right].sum()
+                        if hl < 1 or hr < 1:
+                            continue
+                        gain = g[left].sum() ** 2 / (hl + 1) + g[right].sum() ** 2 / (hr + 1) - g[rows].sum() ** 2 / (hl + hr + 1)
+                        if gain > gain_here + 1e-12:
+                            gain_here, parts_here = gain, (left, right)
+                    if gain_here > best + 1e-9:
+                        best, parts = gain_here, parts_here
+                after += parts
+            leaves = after
+        for rows in leaves:
+            if len(rows):
+                margin[rows] -= urltrees.RATE * g[rows].sum() / (h[rows].sum() + 1)
+    return margin
+
+
+def test_trees_equal_plain_ones():
+    draw = np.random.default_rng(4)
+    x = np.round(draw.normal(size=(300, 4)), 1)
+    x[:, 3] = 2.0
+    y = ((x[:, 0] > 0.2) & (x[:, 1] < 0.5) ^ (draw.random(300) < 0.1)).astype(float)
+    y[:20] = 0.5
+    w = draw.integers(1, 4, 300).astype(float)
+    assert np.allclose(urltrees.grow(x, y, w, trees=6).margin(x), plain_trees(x, y, w, 6), atol=1e-8)
+
+
+def plain_url(url):
+    rest = url.partition("://")[2] if "://" in (url or "") else ""
+    host = rest.split("/")[0].split("?")[0].split("#")[0]
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), rest[len(host) :].split("?")[0].split("#")[0]
+
+
+def plain_suffixes(url):
+    host, path = plain_url(url)
+    labels, first, name = host.split("."), (path.split("/") + ["", ""])[1], path.split("/")[-1]
+    return [labels[-1], "2:" + ".".join(labels[-2:]), "p:" + first, f"q:{labels[-1]}/{first}", "x:" + (name.split(".")[-1] if "." in name else "")]
+
+
+def test_statistics_equal_plain_counts(spark):
+    """Shares of blocked rows by suffix, over all labelled rows of the whole table, repeats included."""
+    pages = queries.table(spark, SF, "pages").select("url").unionByName(spark.createDataFrame([("http://a.com/x/y.html",)] * 30 + [("http://b.com/" + "z" * 40_000,), (None,), ("none",)], "url string"))
+    labelled = pages.withColumn("label", F.when(F.length("url") % 3 == 0, 1).otherwise(0))
+    judge = urltrees.train(labelled)
+    rows = [(r.url, r.label) for r in labelled.collect() if r.url is not None]
+    share = sum(b for _, b in rows) / len(rows)
+    count = {}
+    for url, b in rows:
+        for k, s in enumerate(plain_suffixes(url)):
+            n = count.setdefault((urltrees.bucket(s), k), [0, 0])
+            n[0], n[1] = n[0] + b, n[1] + 1
+    whole = {}
+    for (bucket, _), (b, n) in count.items():
+        whole[bucket] = [whole.get(bucket, [0, 0])[0] + b, whole.get(bucket, [0, 0])[1] + n]
+    urls = [u for u, _ in rows]
+    got = judge.rows(urls, *zip(*map(plain_url, urls), strict=True))[:, urltrees.FEATURES :]
+    want = [[(whole[urltrees.bucket(s)][0] + urltrees.SMOOTH * share) / (whole[urltrees.bucket(s)][1] + urltrees.SMOOTH) for s in plain_suffixes(u)] for u in urls]
+    assert np.allclose(got, want)
+    masked = urltrees.train(labelled, masked={"last", "pair"}).rows(urls[:3], *zip(*map(plain_url, urls[:3]), strict=True))[:, urltrees.FEATURES :]
+    assert np.allclose(masked[:, [0, 3]], share) and np.allclose(masked[:, [1, 2, 4]], got[:3][:, [1, 2, 4]])
+
+
+def test_sample_is_of_distinct_urls_and_bounded_bytes(spark, monkeypatch):
+    rows = [("http://same.com/a", 1)] * 500 + [(f"http://n{i}.com/{'bad' if i % 2 else 'ok'}", i % 2) for i in range(60)] + [("http://long.com/" + "x" * 5000, 0)]
+    seen = []
+    real = urltrees.Judge.rows
+    monkeypatch.setattr(urltrees.Judge, "rows", lambda self, urls, *rest: seen.append(list(urls)) or real(self, urls, *rest))
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    urltrees.train(labelled, sample_bytes=4000)
+    assert len(seen[0]) == len(set(seen[0])) == 61 and max(map(len, seen[0])) < 100
+    urltrees.train(labelled, sample=20)
+    assert 10 <= len(seen[1]) <= 20
+
+
+def test_verdicts_of_the_whole_table_come_from_the_trees(spark):
+    """URLs without a rule: plain features and trees trained on ruled URLs alone give the same scores and verdicts, and they differ among URLs."""
+    big = "/root/testdata/sf0.1"
+    rows = queries.op9_url_boosted_trees(spark, big).collect()
+    url = {r.page_id: r.url for r in queries.table(spark, big, "pages").collect()}
+    says = {"net/": 1, "example.com/de/": 1, "example.net/en/": 0, "org/fr/": 0}
+    labels = {}
+    for r in rows:
+        if r.rule:
+            labels.setdefault(url[r.page_id], []).append(says[r.rule])
+    known = sorted(labels)
+    assert 0 < len(known) <= urltrees.SAMPLE
+    split = lambda urls: (urls, *zip(*map(plain_url, urls), strict=True))
+    share = sum(map(sum, labels.values())) / sum(map(len, labels.values()))
+    ends = {}
+    for u in known:
+        n = ends.setdefault(urltrees.bucket(plain_suffixes(u)[4]), [0, 0])
+        n[0], n[1] = n[0] + sum(labels[u]), n[1] + len(labels[u])
+    free = [r for r in rows if r.rule is None]
+    judge = urltrees.train(spark.createDataFrame([(u, b) for u in known for b in labels[u]], "url string, label int"), masked=urltrees.named_by())
+    x = judge.rows(*split([url[r.page_id] for r in free]))
+    assert np.allclose(x[:, urltrees.FEATURES : urltrees.FEATURES + 4], share)
+    found = [ends.get(urltrees.bucket(plain_suffixes(url[r.page_id])[4]), [0, 0]) for r in free]
+    assert np.allclose(x[:, -1], [(b + urltrees.SMOOTH * share) / (n + urltrees.SMOOTH) for b, n in found])
+    score = 1 / (1 + np.exp(-judge.trees.margin(x)))
+    assert np.allclose(score, [r.score for r in free], atol=1e-9)
+    assert [r.verdict for r in free] == ["block" if s > judge.limit else "allow" for s in score]
+    assert len(set(np.round(score, 6))) > 100 and len({r.verdict for r in free}) == 2
+
+
 def test_whole_table_follows_the_rules(spark):
     rows = queries.op9_url_boosted_trees(spark, SF)
     assert rows.count() == queries.table(spark, SF, "pages").count()

@@ -23,20 +23,18 @@ def words(n, seed):
 # ---- decontamination
 
 def best_overlap(doc, item, least=13, penalty=3):
-    """Every alignment and every segment, the slow way."""
+    """Every alignment and every segment, the slow way: the most matches of a segment whose sum is not below 0."""
     found = 0
     for d in range(-len(item) + 1, len(doc)):
         pairs = [(doc[i] == item[i - d]) for i in range(max(0, d), min(len(doc), d + len(item)))]
         for a in range(len(pairs)):
             score = matched = 0
-            top = (0, 0)
             for ok in pairs[a:]:
                 score += 1 if ok else -penalty
                 matched += ok
-                top = max(top, (score, matched))
-            if top[0] > 0:
-                found = max(found, top[1])
-    return found >= min(least, len(item))
+                if score >= 0:
+                    found = max(found, matched)
+    return found if found >= min(least, len(item)) else 0
 
 
 def test_overlaps_equal_brute_force():
@@ -55,9 +53,10 @@ def test_overlaps_equal_brute_force():
     block = spacedseeds.Block.of(list(range(len(items))), [hashes.array(i) for i in items])
     missed = 0
     for doc in docs:
-        got = {f[0] for f in block.overlaps(hashes.array(doc))}
+        counts = {f[0]: f[1] for f in block.overlaps(hashes.array(doc))}
+        got = set(counts)
         want = {i for i, item in enumerate(items) if best_overlap(doc, item)}
-        assert got <= want
+        assert got <= want and all(n == best_overlap(doc, items[i]) for i, n in counts.items())
         missed += len(want - got)
         for i in want:  # an untouched run of 8 tokens is always found
             if any(" ".join(items[i][s : s + 13]) in " ".join(doc) for s in range(max(1, len(items[i]) - 12))):
@@ -75,14 +74,14 @@ def test_masks_bear_substitutions():
 
 
 @pytest.mark.parametrize(("n", "changed"), [(15, [2]), (15, [11]), (15, [12]), (16, [12]), (18, [2, 15]), (40, [2, 15, *range(18, 28)])])
-def test_clean_judges_every_span(n, changed):
+def test_every_span_is_judged(n, changed):
     item = words(n, 1)
     hashes = WordHashes()
     block = spacedseeds.Block.of([7], [hashes.array(item)])
     doc = words(10, 2) + [w if i not in changed else "other" for i, w in enumerate(item)] + words(10, 3)
-    assert block.touches(hashes.array(doc))
+    assert block.overlaps(hashes.array(doc))
     few = words(10, 2) + item[:12] + words(10, 3)
-    assert not block.touches(hashes.array(few))
+    assert not block.overlaps(hashes.array(few))
 
 
 def test_contaminated_edge_cases(spark):
@@ -262,3 +261,55 @@ def test_scan_equals_lengths(spark, block):
     got = manifest.where("ordinal is not null").drop("file_tokens").join(separators.scan(files, block_tokens=block), ["file", "ordinal"]).select("doc_id", "n_tokens").collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i if i else None), len(encode(t or ""))) for i, t in enumerate(texts))
     assert separators.token_counts(df.limit(0)).count() == 0
+
+
+def test_scan_is_dealt_to_several_tasks(spark):
+    files = spark.createDataFrame([(f"f{i}", 3_000_000) for i in range(20)], "file string, file_tokens long")
+    dealt = separators.blocks(files)
+    assert dealt.rdd.getNumPartitions() == 4 and dealt.count() == 60 and min(dealt.rdd.glom().map(len).collect()) > 5
+    assert separators.blocks(files.limit(0)).count() == 0
+
+
+def test_query_counts_tokens_as_plainly_tokenised(spark):
+    encode = separators.encoder(open(separators.VOCABULARY, "rb").read()).encode_ordinary
+    docs = queries.table(spark, SF, "documents").collect()
+    got = {r.doc_id: r.n_tokens for r in queries.op5_separator_scan(spark, SF).collect()}
+    assert got == {r.doc_id: len(encode(r.text or "")) for r in docs}
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The duality gap closes, the solution is that of a plain projected gradient on the dual, and the ratios are the plain ones."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    size = 12
+    rows = [np.sort(draw.choice(size, draw.integers(2, 6), replace=False)) for _ in range(40)]
+    y = np.where(draw.random(40) < 0.4, 1, -1)
+    weights, ratio, bias = nbsvm._train(rows, y, size, 1.0, 3000, 7)
+    for j in range(size):
+        p, q = (1 + sum(j in r for r, t in zip(rows, y, strict=True) if t == side) for side in (1, -1))
+        all_p, all_q = (size + sum(len(r) for r, t in zip(rows, y, strict=True) if t == side) for side in (1, -1))
+        assert math.isclose(ratio[j], math.log(p / all_p) - math.log(q / all_q), abs_tol=1e-12)
+    x = np.zeros((40, size + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+        x[i, size] = 1
+    cost = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == -1).mean())
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha = np.zeros(40)
+    for _ in range(100_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    plain = (alpha * y) @ x
+    w = np.append(np.where(ratio != 0, weights / np.where(ratio != 0, ratio, 1), 0), bias)
+    primal = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    dual = alpha.sum() - 0.5 * alpha @ q @ alpha
+    assert abs(primal(plain) - dual) < 1e-4 and abs(primal(w) - dual) < 1e-2 * max(1, dual)
+
+
+def test_labels_outside_the_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, "good text here" if i % 2 else "bad ### text") for i in range(1000, 1020)] + [(1000, "bad ### text")], "doc_id long, text string").withColumn("predicted", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(1001, 1), (1002, 0), (1002, 1)], "doc_id long, quality int")
+    found, marks = nbsvm.training_rows(docs, labels, held_out="false", rows=15)
+    assert 8 <= len(found) <= 15 and set(marks) == {0, 1}
+    rows = nbsvm.quality(docs, labels).collect()
+    assert len(rows) == 21 and {r.predicted for r in rows} <= {0, 1} and len({r.score for r in rows if r.doc_id == 1000}) == 1
