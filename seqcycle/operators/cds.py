@@ -25,10 +25,6 @@ def has(flag: Column, mask: int) -> Column:
     return flag.bitwiseAND(mask) != 0
 
 
-def sense(flag: Column, strand: Column) -> Column:
-    return has(flag, REVERSE) == (strand == "-")
-
-
 def codon_phase(ref_start: Column, ref_end: Column, start: Column, end: Column, strand: Column, phase: Column) -> Column:
     """The codon phase of an alignment's first sequenced base in a feature that contains it."""
     plus = F.pmod(ref_start - (start + phase), F.lit(3))
@@ -48,22 +44,23 @@ def overlaps(alignments: DataFrame, features: DataFrame, bin_size: int = BIN) ->
 
 
 def classified(alignments: DataFrame, features: DataFrame, *, min_mapq: int = MIN_MAPQ, include_duplicates: bool = False) -> DataFrame:
-    """Each alignment with ``reason``, and for those written cds_identifier, cds_strand, phase, trim5, trim3, corrected."""
+    """Each alignment (a record, whatever its name) with ``reason``, and for those written cds_identifier, cds_strand, phase, trim5, trim3, corrected."""
     flag = F.col("flag")
     early = (
         F.when(has(flag, UNMAPPED), "unmapped").when(has(flag, SECONDARY | QC_FAIL | SUPPLEMENTARY), "non_primary_or_qcfail")
         .when(has(flag, DUPLICATE) & F.lit(not include_duplicates), "duplicate_flag_excluded").when(F.col("mapq") < min_mapq, "low_mapq")
         .when(~is_simple_cigar(F.col("cigar")), "complex_cigar_excluded")
     )
-    rows = alignments.withColumn("early", early)
-    candidates = rows.where("early is null").select("read_id", "flag", "contig", "ref_start", "ref_end")
-    pairs = overlaps(candidates, features)
-    inside = (F.col("ref_start") >= F.col("cds_start")) & (F.col("ref_end") <= F.col("cds_end")) & sense(F.col("flag"), F.col("cds_strand"))
+    rows = alignments.withColumn("early", early).withColumn("reversed", has(flag, REVERSE))
+    # What an alignment meets follows from its place and orientation alone: mates, or records of equal names, each have their own.
+    place = ["contig", "ref_start", "ref_end", "reversed"]
+    pairs = overlaps(rows.where("early is null").select(place).distinct(), features)
+    inside = (F.col("ref_start") >= F.col("cds_start")) & (F.col("ref_end") <= F.col("cds_end")) & (F.col("reversed") == (F.col("cds_strand") == "-"))
     feature = F.struct("cds_start", "cds_end", "cds_strand", "cds_phase", "cds_identifier")
     # Pairs are distinct features, so a count and one of them say all; nothing is gathered.
-    per = pairs.groupBy("read_id").agg(F.sum(inside.cast("int")).alias("inside"), F.min(F.when(inside, feature)).alias("cds"))
+    per = pairs.groupBy(place).agg(F.sum(inside.cast("int")).alias("inside"), F.min(F.when(inside, feature)).alias("cds"))
     contigs = features.select("contig").distinct().withColumn("annotated", F.lit(True))
-    joined = rows.join(per, "read_id", "left").join(contigs, "contig", "left")
+    joined = rows.join(per, place, "left").join(contigs, "contig", "left")
     seq = F.upper(F.when(has(flag, REVERSE), reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
     phase = codon_phase(F.col("ref_start"), F.col("ref_end"), F.col("cds.cds_start"), F.col("cds.cds_end"), F.col("cds.cds_strand"), F.col("cds.cds_phase"))
     placed = joined.withColumn("read", seq).withColumn("phase", phase)

@@ -40,7 +40,7 @@ READS = """
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, flag, mapq, contig, ref_start, ref_end, cigar, seq) from order lines; 0-based half-open places."""
+    """(read_id, flag, mapq, contig, ref_start, ref_end, cigar, seq) from order lines; 0-based half-open places. The first two lines of an order are mates of one name."""
     r = table(spark, sf_dir, "lineitem")
     start = (F.col("l_orderkey") * F.col("l_linenumber") * 7919) % 200000
     length = F.col("l_quantity").cast("long")
@@ -48,21 +48,23 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = (
         F.when(F.col("l_linestatus") == "F", 16).otherwise(0) + F.when(F.col("l_returnflag") == "A", 1024).otherwise(0)
         + F.when(kind == 0, 4).when(kind == 1, 256).when(kind == 2, 512).when(kind == 3, 2048).otherwise(0)
+        + F.when(F.col("l_linenumber") == 1, 65).when(F.col("l_linenumber") == 2, 129).otherwise(0)
     )
+    name = F.when(F.col("l_linenumber") <= 2, F.concat(F.col("l_orderkey"), F.lit(":mates"))).otherwise(F.concat_ws(":", F.col("l_orderkey"), F.col("l_linenumber")))
     cigar = F.when(kind == 4, F.concat(length, F.lit("M1I2M"))).otherwise(F.concat(length, F.lit("M")))
     digits = F.md5(F.concat_ws(":", F.col("l_orderkey"), F.col("l_linenumber")))
     letters = F.substr(F.translate(F.concat(digits, digits), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), length.cast("int"))
     seq = F.when(kind == 5, F.lit(None)).when(kind == 6, F.concat(F.lit("N"), F.substr(letters, F.lit(2)))).otherwise(letters)
     return r.select(
-        F.concat_ws(":", F.col("l_orderkey"), F.col("l_linenumber")).alias("read_id"), flag.cast("int").alias("flag"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"),
+        name.alias("read_id"), flag.cast("int").alias("flag"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"),
         F.concat(F.lit("c"), F.col("l_orderkey") % 6).alias("contig"), start.alias("ref_start"), (start + length).alias("ref_end"), cigar.alias("cigar"), seq.alias("seq"),
     )
 
 
 ALIGNMENTS = """
-  SELECT l_orderkey || ':' || l_linenumber AS read_id,
+  SELECT CASE WHEN l_linenumber <= 2 THEN l_orderkey || ':mates' ELSE l_orderkey || ':' || l_linenumber END AS read_id,
     ((CASE WHEN l_linestatus = 'F' THEN 16 ELSE 0 END) + (CASE WHEN l_returnflag = 'A' THEN 1024 ELSE 0 END)
-     + (CASE kind WHEN 0 THEN 4 WHEN 1 THEN 256 WHEN 2 THEN 512 WHEN 3 THEN 2048 ELSE 0 END))::INTEGER AS flag,
+     + (CASE kind WHEN 0 THEN 4 WHEN 1 THEN 256 WHEN 2 THEN 512 WHEN 3 THEN 2048 ELSE 0 END) + (CASE l_linenumber WHEN 1 THEN 65 WHEN 2 THEN 129 ELSE 0 END))::INTEGER AS flag,
     round(l_discount * 1000)::INTEGER AS mapq, 'c' || (l_orderkey % 6) AS contig, start AS ref_start, start + len AS ref_end,
     CASE WHEN kind = 4 THEN len || 'M1I2M' ELSE len || 'M' END AS cigar,
     CASE WHEN kind = 5 THEN NULL WHEN kind = 6 THEN 'N' || substring(letters, 2) ELSE letters END AS seq

@@ -140,3 +140,12 @@ def test_sinks(spark, tmp_path):
     sinks.table(rows.drop("tags"), str(tmp_path / "t"), kind="tsv", skip_existing=True)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sinks.table(rows.drop("tags"), str(tmp_path / "t"), kind="tsv")
+
+
+def test_mates_are_judged_each_by_its_own_place(spark):
+    features = spark.createDataFrame([("c", 0, 60, "+", 0, "one"), ("c", 100, 160, "+", 0, "two")], "contig string, start long, end long, strand string, phase int, identifier string")
+    seq = "ACG" * 10
+    rows = [("m", 65, 40, "c", 3, 33, "30M", seq), ("m", 129, 40, "c", 103, 133, "30M", seq), ("m", 65, 40, "c", 200, 230, "30M", seq), ("m", 81, 40, "c", 3, 33, "30M", seq), ("m", 65, 40, "c", 3, 33, "30M", seq)]
+    df = spark.createDataFrame(rows, "read_id string, flag int, mapq int, contig string, ref_start long, ref_end long, cigar string, seq string")
+    got = sorted((r.ref_start, r.flag, r.reason, r.cds_identifier) for r in cds.classified(df, features).collect())
+    assert got == [(3, 65, "written", "one"), (3, 65, "written", "one"), (3, 81, "not_fully_contained_or_antisense", None), (103, 129, "written", "two"), (200, 65, "no_cds_overlap", None)]
