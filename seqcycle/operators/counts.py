@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, dedup_key, is_unambiguous, kmer_tokens, trimmed
 
-MIN_READ_COUNT = 40_000
+MIN_READ_COUNT, PARTS = 40_000, 64
 
 
 def valid_reads(reads: DataFrame) -> DataFrame:
@@ -59,9 +59,14 @@ def collapse(reads: DataFrame, mode: str = "sequence") -> DataFrame:
 
 
 def capped_unique(reads: DataFrame, mode: str, per_length: int) -> DataFrame:
-    """The first ``per_length`` distinct reads of every length, in input order."""
-    order = Window.partitionBy(F.length("seq")).orderBy("ordinal")
-    return collapse(reads, mode).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_length).drop("rank")
+    """The first ``per_length`` distinct reads of every length, in input order.
+
+    Lengths are few, so each is ranked in ``PARTS`` parts first, and then what those leave.
+    """
+    rows = collapse(reads, mode).withColumn("part", F.pmod(F.xxhash64("ordinal"), F.lit(PARTS)))
+    for keys in ([F.length("seq"), F.col("part")], [F.length("seq")]):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))).where(F.col("rank") <= per_length)
+    return rows.drop("rank", "part")
 
 
 def kmer_counts(reads: DataFrame, k: int = 1) -> DataFrame:
@@ -123,14 +128,25 @@ def _sum_if(condition: Column) -> Column:
 
 
 def trim_counters(reads: DataFrame, length: int, five: int = 0, three: int = 0, *, collapse_exact: bool = False) -> DataFrame:
-    """One row: records_scanned, raw_length_matched, invalid_or_ambiguous, duplicates_collapsed, reads_analyzed."""
-    rows = trimmed_reads(reads, length, five, three)
-    valid = rows.where("valid")
-    used = valid.select("seq").distinct() if collapse_exact else valid
-    a = reads.agg(F.count(F.lit(1)).alias("records_scanned"))
-    b = rows.agg(F.count(F.lit(1)).alias("raw_length_matched"), F.coalesce(_sum_if(~F.col("valid")), F.lit(0)).alias("invalid_or_ambiguous"))
-    c = used.agg(F.count(F.lit(1)).alias("reads_analyzed"))
-    one = F.lit(1)
-    joined = a.withColumn("k", one).join(b.withColumn("k", one), "k").join(c.withColumn("k", one), "k")
-    collapsed = F.col("raw_length_matched") - F.col("invalid_or_ambiguous") - F.col("reads_analyzed")
-    return joined.select("records_scanned", "raw_length_matched", "invalid_or_ambiguous", collapsed.alias("duplicates_collapsed"), "reads_analyzed")
+    """One row: records_scanned, raw_length_matched, invalid_or_ambiguous, duplicates_collapsed, reads_analyzed, from one scan."""
+    part = trimmed(F.col("seq"), five, three)
+    here = F.length("seq") == length
+    rows = reads.select(here.alias("here"), F.when(here & is_unambiguous(part), part).alias("part"))
+    count = lambda c: F.coalesce(_sum_if(c), F.lit(0))
+    used = F.count_distinct("part") if collapse_exact else F.count("part")
+    sums = rows.agg(F.count(F.lit(1)).alias("records_scanned"), count(F.col("here")).alias("raw_length_matched"), F.count("part").alias("valid"), used.alias("reads_analyzed"))
+    return sums.select(
+        "records_scanned", "raw_length_matched", (F.col("raw_length_matched") - F.col("valid")).alias("invalid_or_ambiguous"),
+        (F.col("valid") - F.col("reads_analyzed")).alias("duplicates_collapsed"), "reads_analyzed",
+    )
+
+
+def trim_run(reads: DataFrame, length: int, offset: Column) -> DataFrame:
+    """(counter, n) of a two-symbol trim: records seen, of the raw length, left out as ambiguous, written, and written by ``offset``."""
+    here = F.length("seq") == length
+    fine = here & is_unambiguous(F.col("seq"))
+    rows = reads.select(here.alias("here"), fine.alias("fine"), F.when(fine, offset).alias("offset"))
+    tests = {"length_matched": F.col("here"), "ambiguous_excluded": F.col("here") & ~F.col("fine"), "records_written": F.col("fine")}
+    tests |= {f"offset_{k}": F.coalesce(F.col("offset") == k, F.lit(False)) for k in range(3)}
+    sums = rows.agg(F.count(F.lit(1)).alias("records_seen"), *[F.coalesce(_sum_if(c), F.lit(0)).alias(name) for name, c in tests.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(name).alias("counter"), F.col(name).alias("n")) for name in ("records_seen", *tests)])).alias("c")).select("c.counter", "c.n")

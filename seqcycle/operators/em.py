@@ -18,6 +18,7 @@ from ..functions.sequences import STATE_BASES, is_unambiguous, mod3_counts, trim
 from ..functions.special import chi_square_survival
 from .counts import capped_unique, collapse
 
+MODES = ("none", "rotation", "full6")
 STATES = ("+0", "+1", "+2", "-0", "-1", "-2")
 ALPHA, MAX_ITER, TOLERANCE, SEED, RESTARTS = 0.5, 100, 1e-6, 1, 10
 #: A, C, G, T complement to T, G, C, A: the order of the bases, reversed.
@@ -158,6 +159,16 @@ def fit(rows: DataFrame, effective: int, *, restarts: int = RESTARTS, seed: int
     return best
 
 
+def iterated(rows: DataFrame, effective: int, p: np.ndarray, steps: int, alpha: float = ALPHA) -> list[tuple[float, np.ndarray]]:
+    """(score, new parameters) of each of a given number of steps from given parameters."""
+    out = []
+    for _ in range(steps):
+        r = totals(e_step(rows, p, effective).withColumn("all", F.lit(1)), ["all"], effective).first()
+        p = m_step(np.array([r[f"t{i}"] for i in range(12)], float), alpha)
+        out.append((float(r.ll), p))
+    return out
+
+
 def rotate(p: np.ndarray, k: int) -> np.ndarray:
     return np.asarray(p)[[(q + k) % 3 for q in range(3)]]
 
@@ -180,7 +191,7 @@ def canonical(p: np.ndarray, effective_length: int, mode: str = "full6") -> Cano
     """The member of the model's symmetry class whose rounded parameters come first in order; states are renumbered alike."""
     if mode == "none":
         return Canonical(np.asarray(p), 0, False, list(range(6)))
-    if mode not in ("rotation", "full6"):
+    if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     found = None
     for flipped in (False, True) if mode == "full6" else (False,):

@@ -12,32 +12,47 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import complement, is_unambiguous, pyrimidine_acceptance, reverse_complement_upper, uniform
 
-SEED, REVERSE_SHARE = 42, 0.5
+SEED, REVERSE_SHARE, CHUNK = 42, 0.5, 1 << 16
 
 
 def placed_contigs(contigs: DataFrame, read_length: int) -> DataFrame:
-    """(name, seq, starts, low, high): usable contigs with their slots [low, high) among all start places, in the order of ``ordinal``.
+    """(name, ordinal, starts, low, high): usable contigs with their slots [low, high) among all start places, in the order of ``ordinal``.
 
-    Contigs are as many as a reference has, so the running sum is over a short table.
+    Contigs are as many as a reference has, so the running sum is over a short table, which holds no sequence.
     """
-    usable = contigs.select("name", "ordinal", "seq", F.greatest(F.length("seq") - read_length, F.lit(0)).cast("long").alias("starts")).where("starts > 0")
+    usable = contigs.select("name", "ordinal", F.greatest(F.length("seq") - read_length, F.lit(0)).cast("long").alias("starts")).where("starts > 0")
     order = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return usable.withColumn("high", F.sum("starts").over(order)).select("name", "seq", "starts", (F.col("high") - F.col("starts")).alias("low"), "high")
+    return usable.withColumn("high", F.sum("starts").over(order)).select("name", "ordinal", "starts", (F.col("high") - F.col("starts")).alias("low"), "high")
+
+
+def pieces(contigs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(ordinal, chunk, piece): contigs in chunks of ``size`` symbols, each followed by the first ``overlap`` of the next one."""
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    whole = F.transform(F.col("cut"), lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("cut", i + 1), 1, overlap), F.lit(""))))
+    return contigs.select("ordinal", cut.alias("cut")).select("ordinal", F.posexplode(whole).alias("chunk", "piece"))
 
 
 def candidates(spark: SparkSession, contigs: DataFrame, n: int, read_length: int, *, seed: int = SEED, reverse_share: float = REVERSE_SHARE) -> DataFrame:
-    """(id, name, start, end, reverse, fragment, outside, inside): places, and the read-oriented bases at both breaks."""
+    """(id, name, start, end, reverse, fragment, outside, inside): places, and the read-oriented bases at both breaks.
+
+    All joins are on equal keys. Slots are cut into as many bins as there are contigs, so a candidate meets two contigs in its bin on the mean, whatever their
+    sizes; then it meets the one chunk of sequence that holds its fragment.
+    """
     places = placed_contigs(contigs, read_length)
-    total = places.agg(F.max("high")).first()[0]
+    total, count = places.agg(F.max("high"), F.count(F.lit(1))).first()
     if total is None:
         raise ValueError("no contig is long enough for the read length and the base before it")
     u = lambda what: uniform(F.lit(str(seed)), F.lit(what), F.col("id").cast("string"))
     drawn = spark.range(n).select("id", F.floor(u("slot") * total).alias("slot"), (u("side") < reverse_share).alias("reverse"))
-    found = drawn.join(places, (F.col("slot") >= F.col("low")) & (F.col("slot") < F.col("high")))
+    width, size = -(-total // count), max(CHUNK, 2 * read_length + 4)
+    bins = places.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    found = drawn.withColumn("bin", F.floor(F.col("slot") / width)).join(bins, "bin").where((F.col("slot") >= F.col("low")) & (F.col("slot") < F.col("high")))
     start = F.col("slot") - F.col("low") + F.when(F.col("reverse"), 0).otherwise(1)
-    at = found.select("id", "name", "seq", "reverse", start.cast("int").alias("start")).withColumn("end", F.col("start") + read_length)
-    base = lambda i: F.substr("seq", i + 1, F.lit(1))
-    piece = F.substr("seq", F.col("start") + 1, F.lit(read_length))
+    first = F.greatest(F.col("start") - 1, F.lit(0))
+    placed = found.select("id", "name", "ordinal", "reverse", start.cast("int").alias("start")).withColumn("end", F.col("start") + read_length)
+    at = placed.withColumn("chunk", F.floor(first / size).cast("int")).join(pieces(contigs, size, read_length + 2), ["ordinal", "chunk"])
+    base = lambda i: F.substr("piece", (i - F.col("chunk") * size + 1).cast("int"), F.lit(1))
+    piece = F.substr("piece", (F.col("start") - F.col("chunk") * size + 1).cast("int"), F.lit(read_length))
     outside = F.when(F.col("reverse"), complement(base(F.col("end")))).otherwise(base(F.col("start") - 1))
     inside = F.when(F.col("reverse"), complement(base(F.col("start")))).otherwise(base(F.col("end") - 1))
     fragment = F.when(F.col("reverse"), reverse_complement_upper(piece)).otherwise(piece)
@@ -104,6 +119,23 @@ def replayed(contigs: list[tuple[str, str]], n: int, read_length: int, bias5: fl
     raise ValueError(f"too few fragments were accepted in {attempt} attempts")
 
 
+def counters(rows: DataFrame, contigs: DataFrame, read_length: int) -> DataFrame:
+    """(counter, name, value) of judged candidates: attempts, outcomes, the accepted share, orientations and contigs of accepted ones, contigs of all, valid starts of contigs."""
+    good = F.col("outcome") == "accepted"
+    side = F.when(F.col("reverse"), "reverse_complement").otherwise("forward_reference")
+
+    def counted(counter: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(counter).alias("counter"), name.alias("name"), value.cast("long").alias("n"), F.lit(1).alias("of"))
+
+    each = [counted("attempts", F.lit("all"), F.lit(1)), counted("candidate_contig", F.col("name"), F.lit(1)), counted("acceptance_fraction", F.lit("all"), good)]
+    each += [counted("outcome", F.lit(o), F.col("outcome") == o) for o in ("invalid", "rejected_5prime", "rejected_3prime", "accepted")]
+    each += [F.when(good, counted("orientation", side, F.lit(1))), F.when(good, counted("accepted_contig", F.col("name"), F.lit(1)))]
+    sums = rows.select(F.explode(F.array(*each)).alias("e")).where("e is not null").groupBy("e.counter", "e.name").agg(F.sum("e.n").alias("n"), F.sum("e.of").alias("of"))
+    value = F.when(F.col("counter") == "acceptance_fraction", F.round(F.col("n") / F.col("of"), 9)).otherwise(F.col("n").cast("double"))
+    starts = placed_contigs(contigs, read_length).select(F.lit("valid_starts").alias("counter"), "name", F.col("starts").cast("double").alias("value"))
+    return sums.select("counter", "name", value.alias("value")).unionByName(starts)
+
+
 def boundary_counts(rows: DataFrame) -> DataFrame:
     """(outcome, boundary, base, n): which bases stand at either break."""
     ends = F.explode(F.array(F.struct(F.lit("outside_5p").alias("boundary"), F.col("outside").alias("base")), F.struct(F.lit("inside_3p").alias("boundary"), F.col("inside").alias("base")))).alias("e")

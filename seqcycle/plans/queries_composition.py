@@ -191,13 +191,13 @@ _LENGTHS = f"{_VALID}, lengths AS (SELECT length(seq)::BIGINT AS length, count(*
 
 
 def _counts_sql(k: int) -> str:
-    return f"SELECT length(seq)::BIGINT AS length, i::BIGINT AS cycle, substring(seq, i, {k}) AS kmer, count(*) AS n FROM valid, range(1, 100) AS t(i) WHERE i <= length(seq) - {k} + 1 GROUP BY ALL"
+    return f"SELECT length(seq)::BIGINT AS length, i::BIGINT AS cycle, substring(seq, i, {k}) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM valid) GROUP BY ALL"
 
 
 def _dense_sql(k: int) -> str:
     tokens = ", ".join(f"('{t}')" for t in kmer_tokens(k))
     return f"""SELECT l.length, i::BIGINT AS cycle, kmer, coalesce(n, 0)::BIGINT AS n
-  FROM lengths l JOIN range(1, 100) AS t(i) ON i <= l.length - {k} + 1 CROSS JOIN (VALUES {tokens}) AS k(kmer)
+  FROM (SELECT length, unnest(range(1, length - {k} + 2)) AS i FROM lengths) l CROSS JOIN (VALUES {tokens}) AS k(kmer)
   LEFT JOIN ({_counts_sql(k)}) c ON c.length = l.length AND c.cycle = i AND c.kmer = k.kmer"""
 
 

@@ -11,7 +11,7 @@ from . import demo
 
 #: Parameters under which single steps are shown.
 P = np.array([[0.4, 0.2, 0.1, 0.3], [0.1, 0.3, 0.4, 0.2], [0.25, 0.15, 0.35, 0.25]])
-LENGTH, SAMPLE, READ = 60, 2000, 20
+LENGTH, SAMPLE, READ, STEPS = 60, 2000, 20, 4
 
 
 def _rows(spark, sf_dir):
@@ -76,6 +76,13 @@ def _fit(spark, sf_dir):
     return rows, fit, em.canonical(fit.p, LENGTH)
 
 
+def em_iterations(spark, sf_dir):
+    """A few whole steps of the fit from given parameters: the score of each and the parameters that it leads to."""
+    steps = em.iterated(_rows(spark, sf_dir).cache(), LENGTH, P, STEPS)
+    rows = [(i + 1, round(ll, 6), q, b, round(float(p[q, j]), 9)) for i, (ll, p) in enumerate(steps) for q in range(3) for j, b in enumerate(STATE_BASES)]
+    return spark.createDataFrame(rows, "step long, ll double, position_class long, base string, prob double")
+
+
 def em_fit(spark, sf_dir):
     _, fit, found = _fit(spark, sf_dir)
     names = "length long, effective_length long, position_class long, base string, prob double, canonicalization_mode string, canonical_rotation long, canonical_rc_flip boolean"
@@ -129,6 +136,10 @@ def boundary_counts(spark, sf_dir):
     return simulate.boundary_counts(_fragments(spark, sf_dir))
 
 
+def simulate_counters(spark, sf_dir):
+    return simulate.counters(_fragments(spark, sf_dir), demo.contigs(spark, sf_dir), READ)
+
+
 def simulate_sample(spark, sf_dir):
     rows = simulate.sample(spark, demo.contigs(spark, sf_dir), 500, READ, 0.7, 0.6)
     return rows.select("id", "name", "fragment")
@@ -236,8 +247,8 @@ def kmer_token_table(spark, sf_dir):
 
 QUERIES = {
     "scalar_functions": scalar_functions, "kmer_tokens": kmer_token_table, "mod3_counts": mod3, "em_scores": em_scores, "em_e_step": em_e_step, "em_m_step": em_m_step, "em_gap_summary": em_gap_summary, "em_gap_by_state": em_gap_by_state, "em_runnerup": em_runnerup,
-    "chi_square_uniform": chi_square_uniform, "em_fit": em_fit, "em_state_distribution": em_state_distribution, "cds_containment": cds_containment, "cds_exclusion_funnel": cds_exclusion_funnel,
-    "codon_phase": codon_phase, "cds_overlap_pairs": cds_overlap_pairs, "simulate_candidates": simulate_candidates, "simulate_accept": simulate_accept, "boundary_counts": boundary_counts, "simulate_sample": simulate_sample,
+    "chi_square_uniform": chi_square_uniform, "em_iterations": em_iterations, "em_fit": em_fit, "em_state_distribution": em_state_distribution, "cds_containment": cds_containment, "cds_exclusion_funnel": cds_exclusion_funnel,
+    "codon_phase": codon_phase, "cds_overlap_pairs": cds_overlap_pairs, "simulate_candidates": simulate_candidates, "simulate_accept": simulate_accept, "boundary_counts": boundary_counts, "simulate_counters": simulate_counters, "simulate_sample": simulate_sample,
     "library_all_lengths": library_all_lengths, "best_length_per_library": best_length_per_library, "duplicate_guard": duplicate_guard, "incomplete_groups": incomplete_groups, "metadata_join": metadata_join,
     "unmatched_libraries": unmatched_libraries, "category_cleanup": category_cleanup, "category_order": category_order, "simulation_replicates": simulation_replicates,
     "simulation_conditions": simulation_conditions, "json_results": json_results, "event_props": event_props,
@@ -284,16 +295,33 @@ def _stats(x: str) -> str:
     return ", ".join(f"round({v}, 6) AS {x}_{k}" for k, v in parts.items())
 
 
+def _map(sign: int, offset: int) -> list[int]:
+    """The cell of the parameters, from 1, that each of a read's twelve counts belongs to in a state."""
+    own = {4 * r + b if sign > 0 else 4 * ((LENGTH - 1 - r) % 3) + 3 - b: 4 * ((r + offset) % 3) + b + 1 for r in range(3) for b in range(4)}
+    return [own[i] for i in range(12)]
+
+
+_ITERATED = f"""RECURSIVE reads AS ({demo.READS}), c AS MATERIALIZED (
+  SELECT [{', '.join(f'n{r}{b}' for r in range(3) for b in STATE_BASES)}] AS c FROM (SELECT read_id, {_MOD3} FROM reads WHERE length(seq) = {LENGTH} AND regexp_full_match(seq, '[ACGT]+'))),
+m AS (SELECT {[_map(*x) for x in _STATES]} AS maps), it(step, ll, p) AS (
+  SELECT 0::BIGINT, 0::DOUBLE, {[float(x) for x in np.asarray(P).ravel()]}::DOUBLE[]
+  UNION ALL
+  SELECT step + 1, ll, list_transform(t, lambda x, i: (x + {em.ALPHA}::DOUBLE) / (list_sum(t[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4]) + 4 * {em.ALPHA}::DOUBLE)) FROM (
+    SELECT step, sum(ll) AS ll, [{', '.join(f'(sum(list_sum(list_transform(c, lambda x, i: CASE WHEN map[i] = {j + 1} THEN x ELSE 0 END))))::DOUBLE' for j in range(12))}] AS t FROM (
+      SELECT step, c, list_max(sc) AS ll, maps[list_position(sc, list_max(sc))] AS map FROM (
+        SELECT step, c, maps, list_transform(maps, lambda w: list_sum(list_transform(c, lambda x, i: x * ln(p[w[i]])))) AS sc FROM it, c, m WHERE step < {STEPS}))
+    GROUP BY step)
+)"""
 _NAMES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(em.STATES))
 _FUNNEL = f"""a AS ({demo.ALIGNMENTS}), f AS ({demo.FEATURES}),
-early AS (SELECT *, CASE WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 2816 <> 0 THEN 'non_primary_or_qcfail' WHEN flag & 1024 <> 0 THEN 'duplicate_flag_excluded'
+early AS MATERIALIZED (SELECT *, row_number() OVER () AS record, CASE WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 2816 <> 0 THEN 'non_primary_or_qcfail' WHEN flag & 1024 <> 0 THEN 'duplicate_flag_excluded'
    WHEN mapq < 25 THEN 'low_mapq' WHEN NOT regexp_full_match(cigar, '([0-9]+[M=X])+') THEN 'complex_cigar_excluded' END AS early FROM a),
-pairs AS (SELECT read_id, f.*, (ref_start >= f.start AND ref_end <= f."end" AND (flag & 16 <> 0) = (strand = '-')) AS inside
+pairs AS (SELECT record, f.*, (ref_start >= f.start AND ref_end <= f."end" AND (flag & 16 <> 0) = (strand = '-')) AS inside
   FROM early JOIN f ON early.contig = f.contig AND ref_start < f."end" AND ref_end > f.start WHERE early IS NULL),
-per AS (SELECT read_id, count(*) FILTER (inside) AS n_inside, min(identifier) FILTER (inside) AS identifier FROM pairs GROUP BY read_id),
+per AS (SELECT record, count(*) FILTER (inside) AS n_inside, min(identifier) FILTER (inside) AS identifier FROM pairs GROUP BY record),
 joined AS (SELECT early.*, n_inside, f.start AS cs, f."end" AS ce, f.strand, f.phase AS cp, f.identifier,
    CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGTN', 'TGCAN')) ELSE seq END AS rd, early.contig IN (SELECT contig FROM f) AS annotated
-  FROM early LEFT JOIN per USING (read_id) LEFT JOIN f USING (identifier)),
+  FROM early LEFT JOIN per USING (record) LEFT JOIN f USING (identifier)),
 phased AS (SELECT *, CASE WHEN strand = '+' THEN ((ref_start - (cs + cp)) % 3 + 3) % 3 ELSE (((ce - 1 - cp) - (ref_end - 1)) % 3 + 3) % 3 END AS ph FROM joined),
 cut AS (SELECT *, (3 - ph) % 3 AS t5, greatest(length(rd) - (3 - ph) % 3, 0) % 3 AS t3 FROM phased),
 done AS (SELECT *, substring(rd, (t5 + 1)::BIGINT, (greatest(length(rd) - t5, 0) - t3)::BIGINT) AS corrected FROM cut),
@@ -326,6 +354,8 @@ p AS (SELECT *, (CASE WHEN c % 2 = 0 THEN 'ERR' ELSE 'LIB' END) || c AS sample F
 _TOKENS = "b(i, x) AS (VALUES (0, 'A'), (1, 'T'), (2, 'G'), (3, 'C'))"
 
 ORACLE_SQL = {
+    "em_iterations": f"""WITH {_ITERATED} SELECT step, round(ll, 6) AS ll, (i - 1) // 4 AS position_class, ['{"', '".join(STATE_BASES)}'][(i - 1) % 4 + 1] AS base, round(p[i], 9) AS prob
+FROM it, range(1, 13) AS r(i) WHERE step > 0""",
     "scalar_functions": r"""SELECT p_partkey, regexp_replace(p_name, '[^\w-]', '_', 'g') AS safe, round((1 - (0.5::DOUBLE + p_size / 100.0::DOUBLE)) / (0.5::DOUBLE + p_size / 100.0::DOUBLE), 9) AS acceptance,
   p_size % 3 = 0 AS simple, substr('ACGTACGTACG', 1 + (3 - p_size % 3) % 3, (11 - (3 - p_size % 3) % 3) // 3 * 3) AS codons, ((3 - p_size % 3) % 3)::BIGINT AS trim5, ((11 - (3 - p_size % 3) % 3) % 3)::BIGINT AS trim3 FROM part""",
     "kmer_tokens": f"WITH {_TOKENS} SELECT 1::BIGINT AS k, i::BIGINT AS code, x AS token FROM b UNION ALL SELECT 2, p.i * 4 + q.i, p.x || q.x FROM b p, b q UNION ALL SELECT 3, p.i * 16 + q.i * 4 + r.i, p.x || q.x || r.x FROM b p, b q, b r",
@@ -356,6 +386,15 @@ FROM a JOIN f ON a.contig = f.contig AND ref_start < f."end" AND ref_end > f.sta
     "simulate_candidates": f'WITH {_SIM} SELECT id, name, start, "end", reverse, fragment, outside, inside FROM s',
     "simulate_accept": f"WITH {_SIM} SELECT id, outcome FROM j",
     "boundary_counts": f"WITH {_SIM} SELECT outcome, 'outside_5p' AS boundary, outside AS base, count(*) AS n FROM j GROUP BY ALL UNION ALL SELECT outcome, 'inside_3p', inside, count(*) FROM j GROUP BY ALL",
+    "simulate_counters": f"""WITH {_SIM}, n AS (
+  SELECT 'attempts' AS counter, 'all' AS name, count(*)::DOUBLE AS value FROM j
+  UNION ALL SELECT 'outcome', o.outcome, count(j.id) FROM (VALUES ('invalid'), ('rejected_5prime'), ('rejected_3prime'), ('accepted')) AS o(outcome) LEFT JOIN j USING (outcome) GROUP BY o.outcome
+  UNION ALL SELECT 'acceptance_fraction', 'all', avg((outcome = 'accepted')::INTEGER) FROM j
+  UNION ALL SELECT 'orientation', CASE WHEN reverse THEN 'reverse_complement' ELSE 'forward_reference' END, count(*) FROM j WHERE outcome = 'accepted' GROUP BY reverse
+  UNION ALL SELECT 'candidate_contig', name, count(*) FROM j GROUP BY name
+  UNION ALL SELECT 'accepted_contig', name, count(*) FROM j WHERE outcome = 'accepted' GROUP BY name
+  UNION ALL SELECT 'valid_starts', name, starts FROM p
+) SELECT counter, name, round(value, 9) AS value FROM n""",
     "simulate_sample": f"WITH {_SIM.replace(f'range(0, {SAMPLE})', 'range(0, 4000)')} SELECT id, name, fragment FROM j WHERE outcome = 'accepted' ORDER BY id LIMIT 500",
     "library_all_lengths": f"WITH {_LIB} SELECT sample, category, read_length::BIGINT AS read_length, read_count, observed_read_count, round(mean_r2, 9) AS mean_r2, round(min_base_r2, 9) AS min_base_r2, round(max_base_r2, 9) AS max_base_r2 FROM l",
     "best_length_per_library": f"""WITH {_LIB}, g AS (SELECT sample, count(*) AS n, min(read_length) AS lo, max(read_length) AS hi, median(mean_r2) AS med, avg(mean_r2) AS mean FROM l GROUP BY sample)
