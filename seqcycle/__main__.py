@@ -47,6 +47,7 @@ def _parser() -> argparse.ArgumentParser:
     command(
         "em", ("input", str, None), ("--out", str, "em"), ("--lengths", _ints, (60,)), ("--trim5", int, 0), ("--trim3", int, 0), ("--dedup", str, "none"), ("--cap", int, 0), ("--alpha", float, em.ALPHA),
         ("--max-iter", int, em.MAX_ITER), ("--tolerance", float, em.TOLERANCE), ("--seed", int, em.SEED), ("--restarts", int, em.RESTARTS), ("--canonicalize", str, "full6"), ("--allow-ambiguous", bool, False),
+        ("--include-secondary", bool, False), ("--include-supplementary", bool, False), ("--include-qcfail", bool, False), ("--include-duplicates", bool, False),
     )
     command("cds", ("alignments", str, None), ("gff", str, None), ("output", str, None), ("--min-mapq", int, cds.MIN_MAPQ), ("--include-duplicates", bool, False))
     command(
@@ -102,8 +103,9 @@ def _trim(spark, a):
         if a.mapped_only:
             rows = rows.where((F.col("flag").bitwiseAND(cds.UNMAPPED) == 0) & (F.col("mapq") >= a.min_mapq))
         rows = sequences.as_reads(rows)
-    rows = rows.where((F.length("seq") == a.length) & is_unambiguous(F.col("seq")))
     five = F.lit(a.five) if a.five >= 0 else hashed_offset(F.col("read_id"), a.seed)
+    facts = {r.counter: r.n for r in counts.trim_run(rows, a.length, five).collect()}
+    rows = rows.where((F.length("seq") == a.length) & is_unambiguous(F.col("seq")))
     moved = rows.withColumn("trim5", five).withColumn("trim3", 2 - F.col("trim5"))
     for c in {"seq", "qual"} & set(moved.columns):
         moved = moved.withColumn(c, phase_trimmed(F.col(c), F.col("trim5")))
@@ -111,11 +113,13 @@ def _trim(spark, a):
         sinks.sam_lines(moved, ["RG", "BC", "NM"]).write.text(f"{a.outdir}/reads")
     else:
         getattr(sinks, kind)(moved, f"{a.outdir}/reads", sinks.trimmed_header(moved))
-    sinks.manifest(spark, {"offsets": {r.trim5: r["count"] for r in moved.groupBy("trim5").count().collect()}}, f"{a.outdir}/manifest")
+    sinks.manifest(spark, facts, f"{a.outdir}/manifest")
 
 
 def _em(spark, a):
-    reads = detect.reads(spark, a.input, duplicates=False)
+    kinds = {"secondary": a.include_secondary, "supplementary": a.include_supplementary, "qc_fail": a.include_qcfail, "duplicates": a.include_duplicates}
+    reads = detect.reads(spark, a.input, **kinds)
+    inputs = sinks.digest_all(spark, a.input.split(","))
     for length in a.lengths:
         rows = em.profiles(reads, length, trim5=a.trim5, trim3=a.trim3, dedup=a.dedup, cap=a.cap, allow_ambiguous=a.allow_ambiguous).cache()
         effective = length - a.trim5 - a.trim3
@@ -127,10 +131,15 @@ def _em(spark, a):
         out = {
             "base_probs": spark.createDataFrame(em.base_table(length, effective, found, a.canonicalize), names), "state_distribution": em.state_distribution(named, ["length"]),
             "gap_summary": em.gap_summary(raw, ["length"]), "gap_by_state": em.by_state(named), "runnerup": em.runner_up(named),
+            "canonicalization": spark.createDataFrame(
+                [(length, effective, a.canonicalize, found.rotation, found.flipped, effective % 3)],
+                "length int, effective_length int, canonicalization_mode string, canonical_rotation int, canonical_rc_flip boolean, effective_length_mod3 int",
+            ),
         }
         for name, table in out.items():
             sinks.table(table, f"{a.out}/L{length}/{name}", kind="tsv")
-        sinks.manifest(spark, {"length": length, "ll": fit.ll, "seed": fit.seed, "e_steps": len(fit.trace), "rotation": found.rotation, "flipped": found.flipped}, f"{a.out}/L{length}/manifest")
+        sinks.latex_table(spark, out["state_distribution"], ["length", "n_sequences", *[f"prop_{s}" for s in em.STATES]], f"{a.out}/L{length}/latex", caption=f"Shares of the six states, canonicalization {a.canonicalize}.")
+        sinks.manifest(spark, {"inputs": inputs, "length": length, "ll": fit.ll, "seed": fit.seed, "e_steps": len(fit.trace), "rotation": found.rotation, "flipped": found.flipped}, f"{a.out}/L{length}/manifest")
 
 
 def _cds(spark, a):
@@ -144,6 +153,12 @@ def _simulate(spark, a):
     rows = simulate.sample(spark, tables.contigs(spark, a.input), a.reads, a.length, a.bias5, a.bias3, seed=a.seed, reverse_share=a.reverse_share)
     numbered = rows.withColumn("number", F.row_number().over(Window.orderBy("id")) - 1)  # a sample of as many rows as were asked for
     sinks.fasta(numbered, a.output, simulate.fasta_header(F.col("number").cast("string")), "fragment")
+    contigs = tables.contigs(spark, a.input)
+    tries = rows.agg(F.max("id")).first()[0] + 1  # the last accepted candidate ends the attempts
+    made = simulate.judged(simulate.candidates(spark, contigs, tries, a.length, seed=a.seed, reverse_share=a.reverse_share), a.bias5, a.bias3, seed=a.seed)
+    sinks.table(simulate.counters(made, contigs, a.length), f"{a.output}-counters", kind="csv")
+    sinks.table(simulate.boundary_counts(made.where("outcome = 'accepted'")), f"{a.output}-boundaries", kind="csv")
+    sinks.manifest(spark, {"inputs": sinks.digest_all(spark, [a.input]), "settings": vars(a)}, f"{a.output}-manifest")
 
 
 def _aggregate(spark, a):
@@ -151,12 +166,15 @@ def _aggregate(spark, a):
     good = rollup.require_unique(good.cache(), ["sample", "read_length"], "the results")
     for name, table in (("all_lengths", good), ("libraries", rollup.library_summary(good)), ("errors", bad)):
         sinks.table(table, f"{a.output}/{name}", kind="csv")
+    sinks.manifest(spark, {"settings": vars(a), "results": good.count(), "libraries": good.select("sample").distinct().count(), "errors": bad.count()}, f"{a.output}/manifest")
 
 
 def _metadata(spark, a):
     joined = rollup.joined_metadata(tables.library_csv(spark, a.libraries), tables.metadata_tsv(spark, a.tsv), internal_project=a.internal_project).cache()
     sinks.table(joined, f"{a.outdir}/joined", kind="csv")
     sinks.table(rollup.unmatched(joined), f"{a.outdir}/unmatched", kind="csv")
+    facts = {"settings": vars(a), "libraries": joined.count(), "unmatched": rollup.unmatched(joined).count(), "inputs": sinks.digest_all(spark, [a.libraries, a.tsv])}
+    sinks.manifest(spark, facts, f"{a.outdir}/manifest")
     for c in [c for c in ("project_name", "material") if c in joined.columns]:
         sinks.table(rollup.category_order(rollup.cleaned_categories(joined, c, a.min_libraries), c), f"{a.outdir}/order_{c}", kind="csv")
 
@@ -167,8 +185,35 @@ def _conditions(spark, a):
     sinks.table(rollup.condition_summary(means), f"{a.outdir}/condition_summary", kind="csv")
 
 
+def _check(a) -> None:
+    """Refuses parameters outside their domains, before anything is read."""
+
+    def need(fine: bool, text: str) -> None:
+        if not fine:
+            raise ValueError(text)
+
+    if a.command == "trim":
+        need(a.length > 2, "--length must exceed 2, the symbols that are cut off")
+        need(a.five in (-1, 0, 1, 2), "--five is 0, 1 or 2, or -1 for an offset by read")
+    if a.command in ("trim", "cds"):
+        need(a.min_mapq >= 0, "--min-mapq must not be negative")
+    if a.command == "simulate":
+        need(a.reads > 0 and a.length > 0, "--reads and --length must be positive")
+        need(0 <= a.reverse_share <= 1, "--reverse-share must lie in [0, 1]")
+        need(0.5 <= a.bias5 <= 1 and 0.5 <= a.bias3 <= 1, "--bias5 and --bias3 must lie in [0.5, 1]")
+    if a.command == "em":
+        need(bool(a.lengths) and min(a.lengths) > 0, "--lengths must hold positive numbers")
+        need(a.trim5 >= 0 and a.trim3 >= 0, "--trim5 and --trim3 must not be negative")
+        need(all(n - a.trim5 - a.trim3 > 0 for n in a.lengths), "--trim5 and --trim3 must leave something of every length")
+        need(a.cap >= 0, "--cap must not be negative")
+        need(not a.cap or a.dedup != "none", "--cap needs a --dedup other than none")
+        need(a.alpha > 0 and a.max_iter >= 1 and a.tolerance >= 0 and a.restarts >= 1, "--alpha must be positive, --max-iter and --restarts at least 1, --tolerance not negative")
+        need(a.canonicalize in em.MODES, f"--canonicalize is one of {', '.join(em.MODES)}")
+
+
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
+    _check(a)
     spark = SparkSession.builder.appName("seqcycle").getOrCreate()
     globals()[f"_{a.command}"](spark, a)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_composition, queries_models
+from . import queries_composition, queries_models, queries_sources
 
-_PARTS = (queries_composition, queries_models)
+_PARTS = (queries_composition, queries_models, queries_sources)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -100,6 +100,7 @@ def run(spark: SparkSession, settings: Settings, reads: DataFrame | None = None)
         sinks.table(sinks.fit_json(plan.fits, ["length"], facts={"sample": plan.sample, "alpha": settings.alpha, "permutations": settings.permutations}).select("value"), f"{base}/stats/period3", kind="text", skip_existing=settings.skip_existing)
     lengths = counts.length_table(plan.observed, plan.analyzed, settings.min_read_count)
     sinks.table(lengths, f"{base}/stats/read_lengths", kind="csv", skip_existing=settings.skip_existing)
+    sinks.table(lengths, f"{base}/stats/read_lengths_json", kind="json", skip_existing=settings.skip_existing)
     qc = counts.read_qc(plan.reads).first().asDict()
-    sinks.manifest(spark, {"sample": plan.sample, "finished": datetime.datetime.now(datetime.UTC).isoformat(), "settings": asdict(settings), "reads": qc}, f"{base}/manifest")
+    sinks.manifest(spark, {"sample": plan.sample, "finished": datetime.datetime.now(datetime.UTC).isoformat(), "settings": asdict(settings), "inputs": sinks.digest_all(spark, settings.input.split(",")), "reads": qc}, f"{base}/manifest")
     return plan

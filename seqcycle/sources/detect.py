@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sequences
 from .streams import opened
 
+#: Suffixes of formats, and of mates in the order in which they are tried.
 _SUFFIXES = {"fastq": (".fastq", ".fq"), "fasta": (".fasta", ".fa", ".fna"), "bam": (".bam",), "sam": (".sam",), "cram": (".cram",)}
+_MATES = ("_R1", "_R2", "_1", "_2", ".R1", ".R2", ".1", ".2")
 
 
 def by_name(path: str) -> str | None:
@@ -39,14 +41,14 @@ def kind(paths: list[str], forced: str = "auto") -> str:
     return next(iter(found.values()))
 
 
-def reads(spark: SparkSession, path: str, *, forced: str = "auto", which: str = "r1", duplicates: bool = True) -> DataFrame:
-    """Reads of a path, of a comma-separated pair of FASTQ files, or of alignments in sequenced orientation."""
+def reads(spark: SparkSession, path: str, *, forced: str = "auto", which: str = "r1", **records: bool) -> DataFrame:
+    """Reads of a path, of a comma-separated pair of FASTQ files, or of alignments in sequenced orientation (``records`` says which kinds of them, as ``as_reads`` does)."""
     paths = path.split(",")
     found = kind(paths, forced)
     if len(paths) == 2 and found == "fastq":
         return sequences.paired(spark, *paths, which)
     if found in ("sam", "bam", "cram"):
-        return sequences.as_reads(sequences.sam(spark, paths) if found == "sam" else sequences.bam(spark, paths), duplicates=duplicates)
+        return sequences.as_reads(sequences.sam(spark, paths) if found == "sam" else sequences.bam(spark, paths), **records)
     return sequences.fasta(spark, paths) if found == "fasta" else sequences.fastq(spark, paths)
 
 
@@ -57,7 +59,7 @@ def _stem(path: str, *, mates: bool) -> str:
         name = name[:-3]
     name = name[: len(name) - len(end)] if end else os.path.splitext(name)[0]
     if mates:
-        for mate in ("_R1", "_R2", "_1", "_2", ".R1", ".R2", ".1", ".2"):
+        for mate in _MATES:
             if name.endswith(mate):
                 return name[: -len(mate)]
     return name

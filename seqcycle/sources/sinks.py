@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .streams import located, records
+
 
 def table(df: DataFrame, path: str, *, kind: str = "parquet", partition_by: list[str] | None = None, skip_existing: bool = False) -> None:
     """Writes a table as parquet, csv, tsv or json; existing output is left alone with ``skip_existing``, else an error."""
-    options = {"header": True, "sep": "\t" if kind == "tsv" else ","} if kind in ("csv", "tsv") else {}
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # values are written as they are
+    options = {"header": True, "sep": "\t" if kind == "tsv" else ",", **exact} if kind in ("csv", "tsv") else {}
     writer = df.write.mode("ignore" if skip_existing else "errorifexists").options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -22,8 +28,53 @@ def fasta(df: DataFrame, path: str, header: Column, seq: str = "seq") -> None:
     df.select(F.concat(F.lit(">"), header, F.lit("\n"), F.col(seq)).alias("value")).write.text(path)
 
 
+def fastq_lines(df: DataFrame, header: Column, seq: str = "seq", qual: str = "qual") -> DataFrame:
+    return df.select(F.concat_ws("\n", F.concat(F.lit("@"), header), F.col(seq), F.lit("+"), F.col(qual)).alias("value"))
+
+
 def fastq(df: DataFrame, path: str, header: Column, seq: str = "seq", qual: str = "qual") -> None:
-    df.select(F.concat_ws("\n", F.concat(F.lit("@"), header), F.col(seq), F.lit("+"), F.col(qual)).alias("value")).write.text(path)
+    fastq_lines(df, header, seq, qual).write.text(path)
+
+
+def tree(df: DataFrame, folder: str, name: str) -> None:
+    """Writes each row's ``value`` as the file ``name`` in the folder ``place`` below ``folder``; places are distinct.
+
+    Tasks write the files, each under a name of its own that is moved into place, so a repeated task leaves the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, path = located(f"{folder}/{place}")
+                system.create_dir(path, recursive=True)
+                new = f"{path}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(new, compression=None) as out:
+                    out.write(value.encode())
+                system.move(new, f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    df.select("place", "value").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def latex_table(spark: SparkSession, df: DataFrame, columns: list[str], path: str, *, caption: str) -> None:
+    """Writes a short table as a LaTeX float."""
+    rows = [r.value for r in latex_rows(df, columns).collect()]
+    lines = [r"\begin{table}[t]", r"\centering", rf"\begin{{tabular}}{{{'r ' * len(columns)}}}", r"\hline", " & ".join(c.replace("_", " ") for c in columns) + r" \\", r"\hline", *rows, r"\hline", r"\end{tabular}", rf"\caption{{{caption}}}", r"\end{table}"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def digest_all(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The SHA-256 of input files, wherever they are, read by the engine piece by piece."""
+
+    def run(path: str) -> Iterator[tuple]:
+        total = hashlib.sha256()
+        system, name = located(path)
+        with system.open_input_stream(name, compression=None) as stream:
+            while part := stream.read(1 << 20):
+                total.update(part)
+        yield (path, total.hexdigest())
+
+    return {r.path: r.sha256 for r in records(spark, paths, run, "path string, sha256 string").collect()}
 
 
 def trimmed_header(df: DataFrame) -> Column:
@@ -58,12 +109,6 @@ def latex_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.concat_ws(" & ", *[F.col(c).cast("string") for c in columns]), F.lit(r" \\")).alias("value"))
 
 
-def digest(path: str) -> str:
-    """SHA-256 of a local file."""
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
 def manifest(spark: SparkSession, facts: dict, path: str) -> None:
     """Writes a small file of facts about a run as JSON."""
     text = json.dumps(facts, indent=1, sort_keys=True, default=str)

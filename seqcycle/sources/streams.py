@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH = 4096
 
 
-def opened(path: str):
-    """The bytes of a file; ``.gz`` and ``.bam`` (a sequence of gzip members) are decompressed."""
+def located(path: str):
+    """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def opened(path: str):
+    """The bytes of a file; ``.gz`` and ``.bam`` (a sequence of gzip members) are decompressed."""
+    system, name = located(path)
     raw = io.BufferedReader(system.open_input_stream(name, compression=None), 1 << 20)
     return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if path.lower().endswith((".gz", ".bam")) else raw
 

@@ -26,7 +26,7 @@ def gff3(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     def attribute(name: str) -> Column:
         """The last of the parts that begin with the name and ``=``, from the first ``=`` on."""
-        parts = F.filter(F.transform(F.split(F.col("f")[8], ";", -1), F.trim), lambda p: p.startswith(f"{name}="))
+        parts = F.filter(F.transform(F.split(F.col("f")[8], ";", -1), lambda p: F.trim(p)), lambda p: p.startswith(f"{name}="))
         return F.substr(F.try_element_at(parts, F.lit(-1)), F.lit(len(name) + 2))
 
     made = F.concat_ws(":", F.col("f")[0], F.concat(start, F.lit("-"), end), F.col("f")[6])

@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import json
 from pathlib import Path
 
@@ -10,6 +11,10 @@ from seqcycle.plans import composition
 from seqcycle.streaming import composition as streaming
 
 
+def read_tsv(folder):
+    return [r for p in sorted(Path(folder).rglob("part-*")) for r in csv.DictReader(p.open(), delimiter="\t")]
+
+
 def read(folder):
     return [r for p in sorted(Path(folder).rglob("part-*")) for r in csv.DictReader(p.open())]
 
@@ -73,12 +78,32 @@ def test_dft_trim_and_em_commands(spark, fasta, tmp_path):
     assert text.count(">") == 180 and "phase_trim5=1 trim3=1" in text
     main(["em", str(fasta), "--out", str(tmp_path / "em"), "--restarts", "2"])
     assert json.loads("".join(p.read_text() for p in (tmp_path / "em/L60/manifest").glob("part-*")))["e_steps"] == 2
+    facts = json.loads("".join(p.read_text() for p in (tmp_path / "trim/manifest").glob("part-*")))
+    assert facts == {"records_seen": 180, "length_matched": 180, "ambiguous_excluded": 0, "records_written": 180, "offset_0": 0, "offset_1": 180, "offset_2": 0}
+    assert [(r["canonicalization_mode"], r["effective_length_mod3"]) for r in read_tsv(tmp_path / "em/L60/canonicalization")] == [("full6", "0")]
+    latex = "".join(p.read_text() for p in (tmp_path / "em/L60/latex").glob("part-*"))
+    assert r"\begin{tabular}" in latex and "60 & 180 & " in latex
+
+
+@pytest.mark.parametrize("argv", [
+    ["trim", "x", "y", "--length", "2"], ["trim", "x", "y", "--five", "3"], ["trim", "x", "y", "--min-mapq", "-1"], ["cds", "x", "y", "z", "--min-mapq", "-1"], ["simulate", "x", "y", "--reads", "0"],
+    ["simulate", "x", "y", "--reverse-share", "1.5"], ["simulate", "x", "y", "--bias5", "0.4"], ["em", "x", "--lengths", "60", "--trim5", "30", "--trim3", "30"], ["em", "x", "--trim5", "-1"], ["em", "x", "--cap", "5"],
+    ["em", "x", "--alpha", "0"], ["em", "x", "--restarts", "0"], ["em", "x", "--canonicalize", "other"],
+])
+def test_parameters_outside_their_domains_are_refused(spark, argv):
+    with pytest.raises(ValueError, match="--"):
+        main(argv)
 
 
 def test_simulate_and_conditions_commands(spark, tmp_path):
     (tmp_path / "ref.fa").write_text(">contig1\n" + "AAGGCT" * 200 + "\n>contig2\n" + "GGTTAC" * 120 + "\n")
     main(["simulate", str(tmp_path / "ref.fa"), str(tmp_path / "sim"), "--reads", "200", "--length", "30", "--bias5", "0.7"])
     assert "".join(p.read_text() for p in (tmp_path / "sim").glob("part-*")).count(">read_") == 200
+    counters = {(r["counter"], r["name"]): float(r["value"]) for r in read(tmp_path / "sim-counters")}
+    assert counters["outcome", "accepted"] == 200 and counters["attempts", "all"] == sum(v for (c, _), v in counters.items() if c == "outcome")
+    assert counters["valid_starts", "contig1"] == 1170 and sum(v for (c, _), v in counters.items() if c == "orientation") == 200
+    manifest = json.loads("".join(p.read_text() for p in (tmp_path / "sim-manifest").glob("part-*")))
+    assert list(manifest["inputs"].values()) == [hashlib.sha256((tmp_path / "ref.fa").read_bytes()).hexdigest()]
     rows = [f"g,{b},0.5,{r},{x},{v + d}" for b, v0 in ((0.5, 0.03), (0.9, 0.84)) for r, v in ((1, v0 - 0.005), (2, v0 + 0.005)) for x, d in zip("ATGC", (-0.01, 0, 0, 0.01), strict=True)]
     (tmp_path / "s.csv").write_text("genome,bias_5prime,bias_3prime,replicate,base,r2\n" + "\n".join(rows))
     main(["conditions", str(tmp_path / "s.csv"), str(tmp_path / "c")])
