@@ -9,7 +9,7 @@ shorter item); an item's overlap of most matches, then of the smallest start in
 
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_TOKENS`` tokens, each block is sent to the
 executors (its size is bounded by that), and all documents are read against each block. Nothing else moves; a hot
-passage stays where its documents are.
+passage stays where its documents are, and a document's hits are worked through in parts of about ``HITS``, so a seed of many windows and many items takes no more memory.
 
 Defined results: null texts count as empty and overlap nothing. Items with fewer than ``MIN_ITEM`` tokens name no passage
 and are not searched; items shorter than a mask's span are searched by their whole sequence. Equal items are each reported.
@@ -32,7 +32,7 @@ from .common import WordHashes, by_row, mix64, odd_constants, pieces
 
 #: 1 is a compared position, 0 an ignored one.
 MASKS = ("111111", "1110111", "110110101", "1100101011")
-MIN_MATCH, MIN_ITEM, PENALTY, BLOCK_TOKENS = 13, 5, 3, 2_000_000
+MIN_MATCH, MIN_ITEM, PENALTY, BLOCK_TOKENS, HITS = 13, 5, 3, 2_000_000, 1_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 _BITS = 20
 
@@ -91,26 +91,35 @@ class Block:
             out.table.append(table)
         return out
 
-    def _diagonals(self, doc: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(item, diagonal, its start in the document, which tokens are equal) of every alignment that a seed hits."""
-        diagonals = []
+    def _hits(self, doc: np.ndarray) -> Iterator[np.ndarray]:
+        """(item, diagonal) of the seeds that a document shares with items, in parts of about ``HITS`` hits, each without repeats."""
+        found, held = [], 0
         for k, offsets in enumerate(self.masks):
             s = seeds(doc, offsets, k)
             near = np.flatnonzero(self.table[k][(s >> np.uint64(64 - _BITS)).astype(np.int64)])
-            if not len(near):
-                continue
             low, high = np.searchsorted(self.seed[k], s[near]), np.searchsorted(self.seed[k], s[near], side="right")
             count = high - low
-            where = np.repeat(near, count)
-            which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            if len(where):
-                diagonals.append(np.unique(np.stack([self.item[k][which], where - self.at[k][which]], axis=1), axis=0))
-        if not diagonals:
-            return
-        for item, diagonal in np.unique(np.concatenate(diagonals), axis=0).tolist():
-            mine = self.items[item]
-            start, end = max(0, diagonal), min(len(doc), diagonal + len(mine))
-            yield item, diagonal, start, doc[start:end] == mine[start - diagonal : end - diagonal]
+            total = np.cumsum(count)
+            at = 0
+            while at < len(near):
+                upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HITS, side="right")))
+                here = count[at:upto]
+                which = np.arange(here.sum()) - np.repeat(np.cumsum(here) - here, here) + np.repeat(low[at:upto], here)
+                found.append(np.stack([self.item[k][which], np.repeat(near[at:upto], here) - self.at[k][which]], axis=1))
+                held, at = held + len(which), upto
+                if held >= HITS:
+                    yield np.unique(np.concatenate(found), axis=0)
+                    found, held = [], 0
+        if held:
+            yield np.unique(np.concatenate(found), axis=0)
+
+    def _diagonals(self, doc: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(item, diagonal, its start in the document, which tokens are equal) of every alignment that a seed hits."""
+        for part in self._hits(doc):
+            for item, diagonal in part.tolist():
+                mine = self.items[item]
+                start, end = max(0, diagonal), min(len(doc), diagonal + len(mine))
+                yield item, diagonal, start, doc[start:end] == mine[start - diagonal : end - diagonal]
 
     def overlaps(self, doc: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
         """(item id, matching tokens, overlap's tokens, its start in the document, in the item), the best for each item."""

@@ -84,6 +84,18 @@ def test_every_span_is_judged(n, changed):
     assert not block.overlaps(hashes.array(few))
 
 
+def test_hot_seeds_are_worked_through_in_parts(monkeypatch):
+    same = ["again"] * 40
+    items = [same, words(20, 1) + same, words(20, 2)]
+    doc = same * 5 + words(20, 2) + same
+    hashes = WordHashes()
+    block = spacedseeds.Block.of([0, 1, 2], [hashes.array(i) for i in items])
+    whole = block.overlaps(hashes.array(doc))
+    monkeypatch.setattr(spacedseeds, "HITS", 50)
+    assert len(list(block._hits(hashes.array(doc)))) > 20
+    assert block.overlaps(hashes.array(doc)) == whole and [f[:2] for f in whole] == [(0, 40), (1, 40), (2, 20)]
+
+
 def test_contaminated_edge_cases(spark):
     item = " ".join(words(20, 5))
     docs = spark.createDataFrame([(1, f"Before. {item.upper()}, after!", "x"), (None, item, "y"), (2, None, "z"), (3, "", "z"), (4, "nothing here", "z"), (1, f"Before. {item.upper()}, after!", "x")], "doc_id long, text string, item_id string")
