@@ -92,4 +92,13 @@ def test_nulls_repeated_rows_and_long_texts(spark):
         mixed = stage(spark, mixed, SF).cache()
         seen.append(mixed.count())
         assert set(docs.columns) <= set(mixed.columns)
+        if len(seen) == 4:
+            cleaned = {(r.doc_id, r.text, r.n_chars) for r in mixed.collect()}
     assert seen[0] >= seen[1] >= seen[2] == seen[3] > 0
+    odd = {(d, t, n) for d, t, n in cleaned if d is None or d > 7000}
+    assert {d for d, *_ in odd} <= {None, 7001, 7002, 7003, 7004} and all(n == (None if t is None else len(t)) for _, t, n in odd)
+    kept = [t for d, t, _ in cleaned if t and good[:40] in t]
+    assert len(kept) == 1  # of the text, its longer copies and the row without doc_id, one stays
+    assert all(t is None or t == "" or t.startswith("word") or good[:40] in t for _, t, _ in odd)
+    weights = {r.source for r in mixed.collect()}
+    assert weights <= {None, "s", *(r.source for r in docs.collect())}

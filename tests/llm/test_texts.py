@@ -227,6 +227,13 @@ def test_copies_follow_the_inverted_distribution(spark):
     assert poissonmix.mixed(df.limit(0)).count() == 0 and poissonmix.mixed(df, {"none": 1.0}).count() == 0
 
 
+def test_mixing_repeats_very_long_texts_whole(spark):
+    df = spark.createDataFrame([(i, "x" * 2_000_000 if i == 3 else "y", "s" if i else "t") for i in range(40)], "doc_id long, text string, source string")
+    out = poissonmix.mixed(df).select("doc_id", F.length("text").alias("n"), "shuffle_key").collect()
+    assert {r.n for r in out if r.doc_id == 3} <= {2_000_000} and {r.n for r in out if r.doc_id != 3} <= {1}
+    assert [r.shuffle_key for r in out] == sorted(r.shuffle_key for r in out)  # ranges of the key, each in order
+
+
 # ---- quality
 
 def test_held_out_accuracy(spark):
