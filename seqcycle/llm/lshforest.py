@@ -40,7 +40,7 @@ _SKETCH = 64  # 4-bit values
 _KEY = 1 + 2 * DEPTH + 8 + 4 + _SKETCH // 2
 _CHUNK = 1 << 16
 #: Sets that are sent with one copy of their hub's.
-MEMBERS = 4096
+MEMBERS = 512
 _FEATURES = "doc_id long, set_key binary, n_shingles long, signature binary, prefix array<long>"
 #: Buckets and documents of the sample that orders shingles by frequency.
 _BUCKETS, _SAMPLE = 1 << 20, 20_000
