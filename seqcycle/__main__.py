@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.sequences import hashed_offset, is_unambiguous, phase_trimmed
-from .operators import cds, counts, em, harmonic, rollup, simulate, spectrum
+from .operators import cds, charts, counts, em, harmonic, rollup, simulate, spectrum
 from .plans import composition
 from .sources import detect, sequences, sinks, tables
 
@@ -109,7 +109,9 @@ def _trim(spark, a):
     moved = rows.withColumn("trim5", five).withColumn("trim3", 2 - F.col("trim5"))
     for c in {"seq", "qual"} & set(moved.columns):
         moved = moved.withColumn(c, phase_trimmed(F.col(c), F.col("trim5")))
-    if kind in ("bam", "sam"):
+    if kind == "bam":
+        sinks.bam(moved, f"{a.outdir}/reads", ["RG", "BC", "NM"])
+    elif kind == "sam":
         sinks.sam_lines(moved, ["RG", "BC", "NM"]).write.text(f"{a.outdir}/reads")
     else:
         getattr(sinks, kind)(moved, f"{a.outdir}/reads", sinks.trimmed_header(moved))
@@ -120,10 +122,12 @@ def _em(spark, a):
     kinds = {"secondary": a.include_secondary, "supplementary": a.include_supplementary, "qc_fail": a.include_qcfail, "duplicates": a.include_duplicates}
     reads = detect.reads(spark, a.input, **kinds)
     inputs = sinks.digest_all(spark, a.input.split(","))
-    for length in a.lengths:
-        rows = em.profiles(reads, length, trim5=a.trim5, trim3=a.trim3, dedup=a.dedup, cap=a.cap, allow_ambiguous=a.allow_ambiguous).cache()
-        effective = length - a.trim5 - a.trim3
-        fit = em.fit(rows, effective, restarts=a.restarts, seed=a.seed + length * 10007, alpha=a.alpha, max_iter=a.max_iter, tolerance=a.tolerance)
+    effective = {n: n - a.trim5 - a.trim3 for n in a.lengths}
+    every = em.profiles(reads, list(effective), trim5=a.trim5, trim3=a.trim3, dedup=a.dedup, cap=a.cap, allow_ambiguous=a.allow_ambiguous).cache()
+    fits = em.fit_all(every, effective, restarts=a.restarts, seeds={n: a.seed + n * 10007 for n in effective}, alpha=a.alpha, max_iter=a.max_iter, tolerance=a.tolerance)
+    distributions = []
+    for length, fit in fits.items():
+        rows, effective = every.where(F.col("length") == length), length - a.trim5 - a.trim3
         found = em.canonical(fit.p, effective, a.canonicalize)
         raw = em.gaps(em.e_step(rows, fit.p, effective)).cache()
         named = raw.withColumns({c: em.renumbered(F.col(c), found.states) for c in ("state", "runnerup")})
@@ -138,8 +142,14 @@ def _em(spark, a):
         }
         for name, table in out.items():
             sinks.table(table, f"{a.out}/L{length}/{name}", kind="tsv")
+        distributions.append(out["state_distribution"])
         sinks.latex_table(spark, out["state_distribution"], ["length", "n_sequences", *[f"prop_{s}" for s in em.STATES]], f"{a.out}/L{length}/latex", caption=f"Shares of the six states, canonicalization {a.canonicalize}.")
         sinks.manifest(spark, {"inputs": inputs, "length": length, "ll": fit.ll, "seed": fit.seed, "e_steps": len(fit.trace), "rotation": found.rotation, "flipped": found.flipped}, f"{a.out}/L{length}/manifest")
+    union = distributions[0]
+    for part in distributions[1:]:
+        union = union.unionByName(part)
+    for name, table in charts.em(union).items():
+        sinks.table(table, f"{a.out}/charts/{name}", kind="tsv")
 
 
 def _cds(spark, a):

@@ -28,14 +28,15 @@ _COMPLEMENT = (3, 2, 1, 0)
 _CELLS = [f"c{i}" for i in range(12)]
 
 
-def profiles(reads: DataFrame, length: int, *, trim5: int = 0, trim3: int = 0, dedup: str = "none", cap: int = 0, allow_ambiguous: bool = False) -> DataFrame:
-    """(length, c0..c11, weight) of the reads of one raw length, trimmed; reads without a counted symbol are left out."""
-    rows = reads.where(F.length("seq") == length).withColumn("seq", trimmed(F.col("seq"), trim5, trim3))
+def profiles(reads: DataFrame, lengths: int | list[int], *, trim5: int = 0, trim3: int = 0, dedup: str = "none", cap: int = 0, allow_ambiguous: bool = False) -> DataFrame:
+    """(length, c0..c11, weight) of the reads of one or several raw lengths, trimmed, from one scan; reads without a counted symbol are left out."""
+    wanted = [lengths] if isinstance(lengths, int) else list(lengths)
+    rows = reads.where(F.length("seq").isin(wanted)).withColumn("length", F.length("seq")).withColumn("seq", trimmed(F.col("seq"), trim5, trim3))
     rows = rows.where(F.length("seq") > 0 if allow_ambiguous else is_unambiguous(F.col("seq")))
     if dedup != "none":
         rows = capped_unique(rows, dedup, cap) if cap else collapse(rows, dedup)
-    grouped = rows.select(mod3_counts(F.col("seq")).alias("profile")).groupBy("profile").agg(F.count(F.lit(1)).alias("weight"))
-    cells = grouped.select(F.lit(length).alias("length"), *[F.get("profile", F.lit(i)).alias(c) for i, c in enumerate(_CELLS)], "weight")
+    grouped = rows.select("length", mod3_counts(F.col("seq")).alias("profile")).groupBy("length", "profile").agg(F.count(F.lit(1)).alias("weight"))
+    cells = grouped.select("length", *[F.get("profile", F.lit(i)).alias(c) for i, c in enumerate(_CELLS)], "weight")
     return cells.where(informative() > 0)
 
 
@@ -119,46 +120,57 @@ class Fit:
         return self.trace[-1]
 
 
-def fit(rows: DataFrame, effective: int, *, restarts: int = RESTARTS, seed: int = SEED, alpha: float = ALPHA, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> Fit:
-    """The best of ``restarts`` fits of one length's profiles: the largest score, then the smallest seed.
+def fit_all(rows: DataFrame, effective: dict[int, int], *, restarts: int = RESTARTS, seeds: dict[int, int] | None = None, alpha: float = ALPHA, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> dict[int, Fit]:
+    """For each raw length of ``effective`` (its length after trims), the best of ``restarts`` fits: the largest score, then the smallest seed.
 
-    All restarts that still move advance together in one pass over the profiles. A pass tells, for each, the new sums and
+    All restarts of all lengths that still move advance together in one pass over the profiles. A pass tells, for each, the new sums and
     whether any read's state differs from its state under the parameters before; a restart stops when none does.
     """
-    counts = rows.agg(*[F.sum((F.col(f"c{b}") + F.col(f"c{4 + b}") + F.col(f"c{8 + b}")) * F.col("weight")) for b in range(4)]).first()
-    if counts[0] is None:
-        raise ValueError("no reads to fit")
-    fits = [Fit(seed + r, initial(np.array(counts, float), seed + r)) for r in range(restarts)]
+    bases = [F.sum((F.col(f"c{b}") + F.col(f"c{4 + b}") + F.col(f"c{8 + b}")) * F.col("weight")).alias(f"b{b}") for b in range(4)]
+    counts = {r.length: np.array([r.b0, r.b1, r.b2, r.b3], float) for r in rows.groupBy("length").agg(*bases).collect()}  # a row for each length
+    if missing := sorted(set(effective) - set(counts)):
+        raise ValueError(f"no reads to fit of lengths {missing}")
+    first = seeds or {}
+    fits = {n: [Fit(first.get(n, SEED) + r, initial(counts[n], first.get(n, SEED) + r)) for r in range(restarts)] for n in effective}
     for _ in range(max_iter):
-        moving = [f for f in fits if not f.stable]
+        moving = [(n, f) for n, own in fits.items() for f in own if not f.stable]
         if not moving:
             break
         parts = []
-        for f in moving:
-            changed = F.lit(True) if f.before is None else first_largest(scores(f.before, effective)) != F.col("state")
-            parts.append(e_step(rows, f.p, effective).select(*_CELLS, "weight", "state", "ll", F.lit(f.seed).alias("seed"), changed.alias("changed")))
+        for n, f in moving:
+            changed = F.lit(True) if f.before is None else first_largest(scores(f.before, effective[n])) != F.col("state")
+            own = e_step(rows.where(F.col("length") == n), f.p, effective[n]).withColumn("changed", changed).withColumn("seed", F.lit(f.seed))
+            parts.append(totals(own, ["length", "seed"], effective[n], F.max("changed").alias("changed")))
         union = parts[0]
         for part in parts[1:]:
             union = union.unionByName(part)
-        sums = {r.seed: r for r in totals(union, ["seed"], effective, F.max("changed").alias("changed")).collect()}  # a row for each restart
-        for f in moving:
-            r = sums[f.seed]
+        sums = {(r.length, r.seed): r for r in union.collect()}  # a row for each restart
+        for n, f in moving:
+            r = sums[n, f.seed]
             if f.trace and r.ll < f.trace[-1] - tolerance * (1 + abs(f.trace[-1])):
                 raise ValueError("the score has fallen")
             f.trace.append(float(r.ll))
-            if f.before is not None and not sums[f.seed].changed:
+            if f.before is not None and not r.changed:
                 f.stable = True
             else:
                 f.before, f.p = f.p, m_step(np.array([r[f"t{i}"] for i in range(12)], float), alpha)
-    if not all(f.stable for f in fits):
+    if not all(f.stable for own in fits.values() for f in own):
         raise ValueError(f"assignments are not stable after {max_iter} steps")
-    best = fits[0]
-    for f in fits[1:]:
-        if f.ll > best.ll + 1e-12:
-            best = f
+    best = {}
+    for n, own in fits.items():
+        best[n] = own[0]
+        for f in own[1:]:
+            if f.ll > best[n].ll + 1e-12:
+                best[n] = f
     return best
 
 
+def fit(rows: DataFrame, effective: int, *, restarts: int = RESTARTS, seed: int = SEED, alpha: float = ALPHA, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> Fit:
+    """The best fit of the profiles of one length."""
+    one = rows.withColumn("length", F.lit(0))
+    return fit_all(one, {0: effective}, restarts=restarts, seeds={0: seed}, alpha=alpha, max_iter=max_iter, tolerance=tolerance)[0]
+
+
 def iterated(rows: DataFrame, effective: int, p: np.ndarray, steps: int, alpha: float = ALPHA) -> list[tuple[float, np.ndarray]]:
     """(score, new parameters) of each of a given number of steps from given parameters."""
     out = []

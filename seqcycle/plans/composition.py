@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counts, harmonic
+from ..operators import charts, counts, harmonic
 from ..sources import detect, sinks
 
 
@@ -96,6 +96,7 @@ def run(spark: SparkSession, settings: Settings, reads: DataFrame | None = None)
     base = os.path.join(settings.outdir, plan.sample)
     for k, table in plan.tables.items():
         sinks.table(table, f"{base}/csv/kmer/k{k}", kind="csv", partition_by=["length"], skip_existing=settings.skip_existing)
+        sinks.table(charts.kmer_profile(table, k), f"{base}/charts/k{k}_profile", kind="csv", skip_existing=settings.skip_existing)
     if plan.fits is not None:
         sinks.table(sinks.fit_json(plan.fits, ["length"], facts={"sample": plan.sample, "alpha": settings.alpha, "permutations": settings.permutations}).select("value"), f"{base}/stats/period3", kind="text", skip_existing=settings.skip_existing)
     lengths = counts.length_table(plan.observed, plan.analyzed, settings.min_read_count)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, hashed_offset, is_unambiguous, kmer_tokens, phase_trimmed, reverse_complement
-from ..operators import counts, harmonic, spectrum
+from ..operators import charts, counts, harmonic, spectrum
 from . import demo
 
 #: Lengths with fewer valid reads are left out; the fixtures are small.
@@ -69,6 +69,12 @@ def k1_fractions(spark, sf_dir):
     return wide.select(F.col("length").cast("long").alias("length"), F.col("cycle").cast("long").alias("cycle"), *[F.round(b, 9).alias(b) for b in BASES])
 
 
+def chart_kmer_profile(spark, sf_dir):
+    cells, lengths = _cells(spark, sf_dir)
+    rows = charts.kmer_profile(counts.fractions(cells, lengths), 1)
+    return rows.select(F.col("length").cast("long").alias("length"), F.col("cycle").cast("long").alias("cycle"), "kmer", F.round("fraction", 9).alias("fraction"))
+
+
 def _collapsed(mode: str):
     def query(spark, sf_dir):
         return counts.collapse(demo.reads(spark, sf_dir), mode).select("ordinal", "seq", "copies")
@@ -177,7 +183,7 @@ def spectral_r2(spark, sf_dir):
 
 QUERIES = {
     "read_qc": read_qc, "length_histogram": length_histogram, "select_lengths": select_lengths, "top_lengths": top_lengths, "requested_lengths": requested_lengths,
-    "length_table": length_table, "k1_counts": _kmers(1), "k2_counts": _kmers(2), "k3_counts": _kmers(3), "kmer_dense": kmer_dense, "k1_fractions": k1_fractions,
+    "length_table": length_table, "k1_counts": _kmers(1), "k2_counts": _kmers(2), "k3_counts": _kmers(3), "kmer_dense": kmer_dense, "k1_fractions": k1_fractions, "chart_kmer_profile": chart_kmer_profile,
     "collapse_exact": _collapsed("sequence"), "dedup_seq_rc": _collapsed("seq_rc"), "dedup_hash64": _collapsed("hash64"), "dedup_hash64_rc": _collapsed("hash64_rc"), "dedup_capped": dedup_capped,
     "revcomp": revcomp, "fixed_trim": fixed_trim, "trim_frequencies": trim_frequencies, "trim_counters": trim_counters, "phase_redistribute_hash": phase_redistribute_hash,
     "phase_means": phase_means, "harmonic_fit": harmonic_fit, "cycle_window_status": cycle_window_status, "permutation_p": permutation_p, "holm_adjusted": holm_adjusted,
@@ -257,6 +263,7 @@ a AS (SELECT length(seq)::BIGINT AS length, count(DISTINCT seq) AS m FROM valid
 SELECT length, coalesce(n, 0) AS observed_read_count, coalesce(m, 0) AS analyzed_read_count, coalesce(m, 0) > 0 AS processed, coalesce(n, 0) >= {MIN_READS} AS passed_min_read_count FROM o FULL JOIN a USING (length)""",
     **{f"k{k}_counts": f"WITH {_VALID} {_counts_sql(k)}" for k in (1, 2, 3)},
     "kmer_dense": f"WITH {_LENGTHS} {_dense_sql(2).replace(', kmer, coalesce', ', k.kmer, coalesce')}",
+    "chart_kmer_profile": f"WITH {_CELLS} SELECT length, cycle, base AS kmer, round(sum(n) / max(reads)::DOUBLE, 9) AS fraction FROM cells JOIN lengths USING (length) GROUP BY length, cycle, base",
     "k1_fractions": f"WITH {_CELLS} SELECT length, cycle, " + ", ".join(f"round(sum(n) FILTER (base = '{b}') / max(reads)::DOUBLE, 9) AS {b}" for b in BASES) + " FROM cells JOIN lengths USING (length) GROUP BY length, cycle",
     "collapse_exact": f"WITH {_VALID} {_copies_sql('reads.seq')}",
     "dedup_seq_rc": f"WITH {_VALID} {_copies_sql(f'least(seq, {_RC})')}",

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.sequences import STATE_BASES, codon_corrected, is_simple_cigar, kmer_tokens, mod3_counts, pyrimidine_acceptance, safe_name
-from ..operators import cds, em, rollup, simulate, validate
+from ..operators import cds, charts, em, rollup, simulate, validate
 from . import demo
 
 #: Parameters under which single steps are shown.
@@ -76,6 +76,13 @@ def _fit(spark, sf_dir):
     return rows, fit, em.canonical(fit.p, LENGTH)
 
 
+def em_charts(spark, sf_dir):
+    """Shares of states, shifts and orientations under the given parameters, as the charts show them."""
+    tables = charts.em(em.state_distribution(_steps(spark, sf_dir), ["length"]))
+    parts = [t.select(F.lit(name).alias("chart"), F.col("length").cast("long").alias("length"), F.col(t.columns[1]).alias("mark"), F.round("share", 9).alias("share")) for name, t in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def em_iterations(spark, sf_dir):
     """A few whole steps of the fit from given parameters: the score of each and the parameters that it leads to."""
     steps = em.iterated(_rows(spark, sf_dir).cache(), LENGTH, P, STEPS)
@@ -247,7 +254,7 @@ def kmer_token_table(spark, sf_dir):
 
 QUERIES = {
     "scalar_functions": scalar_functions, "kmer_tokens": kmer_token_table, "mod3_counts": mod3, "em_scores": em_scores, "em_e_step": em_e_step, "em_m_step": em_m_step, "em_gap_summary": em_gap_summary, "em_gap_by_state": em_gap_by_state, "em_runnerup": em_runnerup,
-    "chi_square_uniform": chi_square_uniform, "em_iterations": em_iterations, "em_fit": em_fit, "em_state_distribution": em_state_distribution, "cds_containment": cds_containment, "cds_exclusion_funnel": cds_exclusion_funnel,
+    "chi_square_uniform": chi_square_uniform, "em_charts": em_charts, "em_iterations": em_iterations, "em_fit": em_fit, "em_state_distribution": em_state_distribution, "cds_containment": cds_containment, "cds_exclusion_funnel": cds_exclusion_funnel,
     "codon_phase": codon_phase, "cds_overlap_pairs": cds_overlap_pairs, "simulate_candidates": simulate_candidates, "simulate_accept": simulate_accept, "boundary_counts": boundary_counts, "simulate_counters": simulate_counters, "simulate_sample": simulate_sample,
     "library_all_lengths": library_all_lengths, "best_length_per_library": best_length_per_library, "duplicate_guard": duplicate_guard, "incomplete_groups": incomplete_groups, "metadata_join": metadata_join,
     "unmatched_libraries": unmatched_libraries, "category_cleanup": category_cleanup, "category_order": category_order, "simulation_replicates": simulation_replicates,
@@ -354,6 +361,11 @@ p AS (SELECT *, (CASE WHEN c % 2 = 0 THEN 'ERR' ELSE 'LIB' END) || c AS sample F
 _TOKENS = "b(i, x) AS (VALUES (0, 'A'), (1, 'T'), (2, 'G'), (3, 'C'))"
 
 ORACLE_SQL = {
+    "em_charts": f"""WITH {_EM}, n AS (SELECT state, count(*) AS n FROM a GROUP BY state), names(i, name) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(em.STATES))}),
+p AS (SELECT i, name, coalesce(n, 0) / (SELECT count(*) FROM a)::DOUBLE AS share FROM names LEFT JOIN n ON state = i)
+SELECT 'states' AS chart, {LENGTH}::BIGINT AS length, name AS mark, round(share, 9) AS share FROM p
+UNION ALL SELECT 'shifts', {LENGTH}, (i % 3)::VARCHAR, round(sum(share), 9) FROM p GROUP BY i % 3
+UNION ALL SELECT 'orientation', {LENGTH}, substring(name, 1, 1), round(sum(share), 9) FROM p GROUP BY ALL""",
     "em_iterations": f"""WITH {_ITERATED} SELECT step, round(ll, 6) AS ll, (i - 1) // 4 AS position_class, ['{"', '".join(STATE_BASES)}'][(i - 1) % 4 + 1] AS base, round(p[i], 9) AS prob
 FROM it, range(1, 13) AS r(i) WHERE step > 0""",
     "scalar_functions": r"""SELECT p_partkey, regexp_replace(p_name, '[^\w-]', '_', 'g') AS safe, round((1 - (0.5::DOUBLE + p_size / 100.0::DOUBLE)) / (0.5::DOUBLE + p_size / 100.0::DOUBLE), 9) AS acceptance,

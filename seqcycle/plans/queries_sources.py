@@ -138,13 +138,20 @@ def trimmed_sam_file(spark, sf_dir):
     return got.select("read_id", "flag", "mapq", "contig", "seq", "qual", F.element_at("tags", "RG").alias("rg"), F.element_at("tags", "ZT").alias("zt"), F.map_contains_key("tags", "XX").alias("other"))
 
 
+def trimmed_bam_file(spark, sf_dir):
+    """The same in binary files."""
+    rows = _trimmed(spark, sf_dir).withColumn("flag", F.when(F.col("ordinal") % 2 == 0, 0x51).otherwise(0x200)).withColumn("tags", F.create_map(F.lit("RG"), F.lit("Z:g"), F.lit("NM"), F.lit("i:3"), F.lit("XX"), F.lit("i:1")))
+    got = sequences.bam(spark, sinks.bam(rows, new_folder(spark, "trimmedbam"), ["RG", "NM"]))
+    return got.select("read_id", "flag", "mapq", "contig", "seq", "qual", F.element_at("tags", "RG").alias("rg"), F.element_at("tags", "NM").alias("nm"), F.element_at("tags", "ZT").alias("zt"), F.map_contains_key("tags", "XX").alias("other"))
+
+
 def trim_run_counters(spark, sf_dir):
     return counts.trim_run(_reads(spark, sf_dir), LENGTH, hashed_offset(F.col("read_id"), SEED))
 
 
 QUERIES = {
     "fasta_file": fasta_file, "fastq_file": fastq_file, "fastq_gzip_file": fastq_gzip_file, "paired_files": paired_files, "sam_file": sam_file, "sam_reads": sam_reads, "gff3_file": gff3_file, "one_mer_file": one_mer_file,
-    "metadata_file": metadata_file, "simulation_file": simulation_file, "json_tree": json_tree, "trimmed_fastq_file": trimmed_fastq_file, "trimmed_sam_file": trimmed_sam_file, "trim_run_counters": trim_run_counters,
+    "metadata_file": metadata_file, "simulation_file": simulation_file, "json_tree": json_tree, "trimmed_fastq_file": trimmed_fastq_file, "trimmed_sam_file": trimmed_sam_file, "trimmed_bam_file": trimmed_bam_file, "trim_run_counters": trim_run_counters,
 }
 
 # ---- the same in SQL
@@ -170,6 +177,8 @@ SELECT i AS cycle, """ + ", ".join(f"round(count(*) FILTER (substring(seq, i, 1)
     "trimmed_fastq_file": f"SELECT read_id, seq, {_Q.format('seq')} AS qual, read_id || ' d phase_trim5=' || trim5 || ' trim3=' || trim3 AS description FROM ({_TRIM})",
     "trimmed_sam_file": f"""SELECT read_id, CASE WHEN substring(read_id, 2)::BIGINT % 2 = 0 THEN 77 ELSE 516 END AS flag, 0 AS mapq, NULL::VARCHAR AS contig, seq, {_Q.format('seq')} AS qual,
   'Z:g' AS rg, 'Z:' || trim5 || ',' || trim3 AS zt, false AS other FROM ({_TRIM})""",
+    "trimmed_bam_file": f"""SELECT read_id, CASE WHEN substring(read_id, 2)::BIGINT % 2 = 0 THEN 77 ELSE 516 END AS flag, 0 AS mapq, NULL::VARCHAR AS contig, seq, {_Q.format('seq')} AS qual,
+  'Z:g' AS rg, 'i:3' AS nm, 'Z:' || trim5 || ',' || trim3 AS zt, false AS other FROM ({_TRIM})""",
     "trim_run_counters": f"""WITH r AS ({demo.READS}), t AS (SELECT trim5 FROM ({_TRIM})), n AS (
   SELECT 'records_seen' AS counter, count(*) AS n FROM r UNION ALL SELECT 'length_matched', count(*) FROM r WHERE length(seq) = {LENGTH}
   UNION ALL SELECT 'ambiguous_excluded', count(*) FROM r WHERE length(seq) = {LENGTH} AND NOT regexp_full_match(seq, '[ACGT]+') UNION ALL SELECT 'records_written', count(*) FROM t

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,6 +98,57 @@ def sam_lines(df: DataFrame, keep_tags: list[str]) -> DataFrame:
     return df.select(F.regexp_replace(line, "\t\t", "\t").alias("value"))
 
 
+#: Fixed values of the format: symbols by their four bits, the last block of a file, an empty bin.
+_SYMBOLS, _LAST, _NO_BIN = "=ACMGRSVTWYHKDBN", bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"), 4680
+_BLOCK = 0xFF00
+
+
+def _bgzf(data: bytes) -> bytes:
+    """One block: a gzip member that tells its own size."""
+    press = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = press.compress(data) + press.flush()
+    return bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _packed(name: str, flag: int, seq: str, qual: str | None, tags: list[tuple[str, str]]) -> bytes:
+    """An unmapped record; a tag's value is ``TYPE:VALUE`` of type A, i, f or Z (others are written as Z)."""
+    codes = [max(_SYMBOLS.find(c), 0) if c in _SYMBOLS else 15 for c in seq] + [0] * (len(seq) % 2)
+    body = struct.pack("<iiBBHHHiiii", -1, -1, len(name) + 1, 0, _NO_BIN, 0, flag, len(seq), -1, -1, 0) + name.encode() + b"\0"
+    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + (bytes(ord(q) - 33 for q in qual) if qual else b"\xff" * len(seq))
+    for key, value in tags:
+        kind, _, text = value.partition(":")
+        number = {"i": "<i", "f": "<f"}.get(kind)
+        body += key.encode() + (b"A" + text.encode()[:1] if kind == "A" else kind.encode() + struct.pack(number, (int if kind == "i" else float)(text)) if number else b"Z" + text.encode() + b"\0")
+    return struct.pack("<i", len(body)) + body
+
+
+def bam(df: DataFrame, folder: str, keep_tags: list[str]) -> list[str]:
+    """Writes reads as unmapped records of BAM files, one for each task, and returns their names; flags and tags are those of ``sam_lines``."""
+    paired = F.col("flag").bitwiseAND(0x1) != 0
+    flag = F.col("flag").bitwiseAND(0x1 | 0x40 | 0x80 | 0x200 | 0x400).bitwiseOR(0x4).bitwiseOR(F.when(paired, 0x8).otherwise(0))
+    trim = F.concat(F.lit("Z:"), F.col("trim5"), F.lit(","), F.col("trim3"))
+    kept = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*keep_tags) if keep_tags else F.lit(False))
+    rows = df.select("read_id", flag.alias("flag"), "seq", "qual", F.array_sort(F.map_entries(kept)).alias("tags"), trim.alias("trim"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = located(folder)
+        system.create_dir(path, recursive=True)
+        name = f"{uuid.uuid4().hex}.bam"
+        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+            text = b"@HD\tVN:1.6\tSO:unknown\n"
+            waiting = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 0))
+            for batch in batches:
+                for read, bits, seq, qual, tags, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    waiting += _packed(read, bits, seq, qual, [*((t["key"], t["value"]) for t in tags), ("ZT", own)])
+                    while len(waiting) >= _BLOCK:
+                        out.write(_bgzf(bytes(waiting[:_BLOCK])))
+                        del waiting[:_BLOCK]
+            out.write(_bgzf(bytes(waiting)) + _LAST)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["file"])
+
+    return sorted(r.file for r in rows.mapInArrow(run, "file string").collect())  # files of repeated tasks are not among them
+
+
 def fit_json(fits: DataFrame, keys: list[str], *, facts: dict | None = None) -> DataFrame:
     """One JSON text for each group of ``keys``, its fits in an array under ``fits``."""
     fit = F.struct(*[c for c in fits.columns if c not in keys])
