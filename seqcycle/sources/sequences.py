@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import reverse_complement
-from .streams import opened, records
+from .streams import opened, ranges, records, seekable
 
+SPLIT_BYTES = 64_000_000
 REVERSE, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x10, 0x100, 0x200, 0x400, 0x800
 
 
@@ -35,25 +36,50 @@ def fasta(spark: SparkSession, paths: str | list[str], *, allow_headerless: bool
     return out if keep_empty else out.where("seq <> ''")
 
 
-def _fastq(path: str) -> Iterator[tuple]:
-    with opened(path) as lines:
-        number = 0
-        while head := lines.readline():
+def _aligned(lines, path: str, start: int) -> None:
+    """Moves to the first record that begins at ``start`` or later: a line of ``@`` two lines before one of ``+``, which no line of qualities is."""
+    lines.seek(start - 1)
+    lines.readline()  # the rest of a line, or the line feed before ``start``
+    ahead, places = [], []
+    while len(ahead) < 8:
+        places.append(lines.tell())
+        line = lines.readline()
+        if not line:
+            break
+        ahead.append(line.rstrip(b"\r\n"))
+    for i in range(len(ahead) - 3):
+        if ahead[i].startswith(b"@") and ahead[i + 2].startswith(b"+") and len(ahead[i + 1].strip()) == len(ahead[i + 3].strip()):
+            lines.seek(places[i])
+            return
+    if len(ahead) == 8:
+        raise ValueError(f"{path}: no record begins near byte {start}; it is malformed")
+    lines.seek(0, 2)  # what is left belongs to the record before
+
+
+def _fastq(part: str) -> Iterator[tuple]:
+    span, _, path = part.partition(" ")
+    start, _, end = span.partition("-")
+    with seekable(path) if end else opened(path) as lines:
+        if int(start):
+            _aligned(lines, path, int(start))
+        while not end or lines.tell() < int(end):
+            place = lines.tell()
+            if not (head := lines.readline()):
+                break
             if not head.strip():
                 continue
             seq, plus, qual = (lines.readline() for _ in range(3))
             head, seq, plus, qual = (x.rstrip(b"\r\n").decode() for x in (head, seq, plus, qual))
             if not head.startswith("@") or not plus.startswith("+") or len(seq.strip()) != len(qual.strip()):
-                raise ValueError(f"{path}: record {number + 1} is cut off or malformed")
+                raise ValueError(f"{path}: the record at byte {place} is cut off or malformed")
             if seq.strip():
-                yield (path, head[1:].split(" ", 1)[0], number, seq.strip().upper(), qual.strip(), head[1:])
-            number += 1
+                yield (path, head[1:].split(" ", 1)[0], place, seq.strip().upper(), qual.strip(), head[1:])
 
 
-def fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of FASTQ text, plain or gzip. A file is one task, as ``@`` may also begin a line of qualities."""
+def fastq(spark: SparkSession, paths: str | list[str], *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of FASTQ text, plain or gzip; ``ordinal`` is a record's first byte in the plain text. A plain file is read in parts of ``split_bytes``, each by a task of its own."""
     paths = [paths] if isinstance(paths, str) else paths
-    return records(spark, paths, _fastq, "source string, read_id string, ordinal long, seq string, qual string, description string")
+    return records(spark, ranges(paths, split_bytes), _fastq, "source string, read_id string, ordinal long, seq string, qual string, description string")
 
 
 def paired(spark: SparkSession, one: str, two: str, which: str = "r1") -> DataFrame:

@@ -28,8 +28,27 @@ def opened(path: str):
     return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if path.lower().endswith((".gz", ".bam")) else raw
 
 
+def seekable(path: str) -> io.BufferedReader:
+    """The bytes of a plain file, to seek in."""
+    system, name = located(path)
+    return io.BufferedReader(system.open_input_file(name), 1 << 20)
+
+
+def ranges(paths: list[str], size: int) -> list[str]:
+    """Names of byte ranges, ``FIRST-END PATH``: plain files in parts of ``size`` bytes, compressed ones whole (``0-``)."""
+    out = []
+    for path in paths:
+        system, name = located(path)
+        if path.lower().endswith((".gz", ".bam")):
+            out.append(f"0- {path}")
+        else:
+            total = system.get_file_info(name).size or 0
+            out += [f"{at}-{min(at + size, total)} {path}" for at in range(0, max(total, 1), size)]
+    return out
+
+
 def records(spark: SparkSession, paths: list[str], parse: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that ``parse`` yields for each path, one task for each file, in batches; nothing holds a whole file."""
+    """The rows that ``parse`` yields for each path (or range of one), one task for each, in batches; nothing holds a whole file."""
     names = [c.strip().split()[0] for c in schema.split(",")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "map<string": pa.map_(pa.string(), pa.string())}
     types = [kinds[c.strip().split()[1]] for c in schema.replace("map<string,string>", "map<string").split(",")]

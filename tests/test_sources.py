@@ -41,6 +41,27 @@ def test_fastq_plain_gzip_and_errors(spark, tmp_path):
         sequences.fastq(spark, str(tmp_path / "bad.fq")).collect()
 
 
+def test_parts_of_a_fastq_file_give_each_record_once(spark, tmp_path):
+    import random
+
+    draw = random.Random(2)
+    rows = []
+    for i in range(120):
+        n = draw.randrange(0, 30)
+        rows.append((f"r{i}", "".join(draw.choice("ACGTN") for _ in range(n)), "".join(draw.choice("@+I!A") for _ in range(n))))
+    for end in ("\n", "\r\n"):
+        text = end.join(f"@{name} d{end}{seq}{end}+{name if i % 3 else ''}{end}{qual}" for i, (name, seq, qual) in enumerate(rows)) + (end if end == "\n" else "")
+        path = tmp_path / f"parts{len(end)}.fastq"
+        path.write_bytes(text.encode())
+        for size in (7, 50, 333, 10**6):
+            got = sequences.fastq(spark, str(path), split_bytes=size).orderBy("ordinal").collect() if size > 40 else [t for p in streams.ranges([str(path)], size) for t in sequences._fastq(p)]
+            assert [(r[1], r[3], r[4]) for r in got] == [r for r in rows if r[1]]
+    (tmp_path / "bad.fastq").write_text("@a\nACGT\n+\nIIII\n" * 5 + "junk\n" * 30)
+    with pytest.raises(Exception, match="malformed"):
+        sequences.fastq(spark, str(tmp_path / "bad.fastq"), split_bytes=60).collect()
+    assert sequences.fastq(spark, str(path), split_bytes=333).rdd.getNumPartitions() > 3
+
+
 def test_formats(tmp_path):
     (tmp_path / "u").write_text("\n\n>x\nA\n")
     assert detect.kind([str(tmp_path / "u")]) == "fasta" and detect.kind(["a.fq.gz"]) == "fastq" and detect.kind(["x"], "bam") == "bam"
