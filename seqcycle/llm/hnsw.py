@@ -270,6 +270,18 @@ def _built(folder: str):
     return run
 
 
+def _each(part: str, write):
+    """``write`` over the groups of equal length and ``part`` of a partition; vectors are dealt so that a partition holds one part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:
+            for _, group in pd.concat(held).groupby(["length", part]):
+                yield write(group)
+
+    return run
+
+
 def _blocked(folder: str):
     """Writes a block of query nodes."""
 
@@ -352,8 +364,8 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     folder = new_path(embeddings.sparkSession, "graphs")
     make_folder(folder)
     named = nodes.select("length", "node", "copies", "vector", F.pmod("h1", F.lit(shards)).alias("shard"), F.pmod("h2", F.lit(blocks)).alias("block"))
-    graphs = written(named.groupBy("length", "shard").applyInPandas(_built(folder), "length int, graph string"), "graphs")
-    queries = written(named.groupBy("length", "block").applyInPandas(_blocked(folder), "length int, path string"), "queries")
+    graphs = written(named.repartitionById(shards, F.col("shard").cast("int")).mapInPandas(_each("shard", _built(folder)), "length int, graph string"), "graphs")
+    queries = written(named.repartitionById(blocks, F.col("block").cast("int")).mapInPandas(_each("block", _blocked(folder)), "length int, path string"), "queries")
     paths = queries.select("length", "path", F.floor(F.row_number().over(Window.partitionBy("length").orderBy("path")) / RUN).alias("run"))
     runs = paths.groupBy("length", "run").agg(F.collect_list("path").alias("paths"))  # at most ``RUN`` names
     work = written(graphs.join(runs, "length").select("graph", "paths"), "work")
