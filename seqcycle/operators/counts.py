@@ -11,16 +11,39 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, dedup_key, is_unambiguous, kmer_tokens, trimmed
 
-MIN_READ_COUNT, PARTS = 40_000, 64
+MIN_READ_COUNT, PARTS, FEW = 40_000, 64, 100_000
 
 
 def valid_reads(reads: DataFrame) -> DataFrame:
     return reads.where(is_unambiguous(F.col("seq")))
 
 
+def first_rows(reads: DataFrame, n: int, *, few: int = FEW, buckets: int = 4096) -> DataFrame:
+    """The ``n`` rows of the smallest ordinals (any of those that tie for the last place).
+
+    Up to ``few`` rows, one task can merge what the others send. Beyond, the n-th ordinal is found by counting rows in narrowing ranges, so that no task ever
+    sorts or holds the rows themselves.
+    """
+    if n <= few:
+        return reads.orderBy("ordinal").limit(n)
+    low, high, total = reads.agg(F.min("ordinal"), F.max("ordinal"), F.count("ordinal")).first()
+    if total <= n:
+        return reads
+    wanted = n
+    while low < high:
+        width = -(-(high - low + 1) // buckets)
+        place = F.floor((F.col("ordinal") - low) / width)
+        for r in sorted(reads.where(F.col("ordinal").between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()):  # at most ``buckets`` rows
+            if r.n >= wanted:
+                low, high = low + r.b * width, min(high, low + (r.b + 1) * width - 1)
+                break
+            wanted -= r.n
+    return reads.where(F.col("ordinal") < low).unionByName(reads.where(F.col("ordinal") == low).limit(wanted))
+
+
 def capped_scan(reads: DataFrame, max_reads: int) -> DataFrame:
     """The first ``max_reads`` records in input order, valid or not; all of them if 0."""
-    return reads.orderBy("ordinal").limit(max_reads) if max_reads else reads
+    return first_rows(reads, max_reads) if max_reads else reads
 
 
 def read_qc(reads: DataFrame) -> DataFrame:
@@ -118,7 +141,7 @@ def positional_frequencies(reads: DataFrame, length: int, five: int = 0, three:
     if collapse_exact:
         rows = collapse(rows)
     if max_reads:
-        rows = rows.orderBy("ordinal").limit(max_reads)
+        rows = first_rows(rows, max_reads)
     cells = rows.select(F.posexplode(F.split("seq", "")).alias("at", "base"))
     return cells.groupBy((F.col("at") + 1).alias("cycle")).agg(*[_sum_if(F.col("base") == b).alias(b) for b in BASES])
 

@@ -170,3 +170,14 @@ def test_mates_are_judged_each_by_its_own_place(spark):
     df = spark.createDataFrame(rows, "read_id string, flag int, mapq int, contig string, ref_start long, ref_end long, cigar string, seq string")
     got = sorted((r.ref_start, r.flag, r.reason, r.cds_identifier) for r in cds.classified(df, features).collect())
     assert got == [(3, 65, "written", "one"), (3, 65, "written", "one"), (3, 81, "not_fully_contained_or_antisense", None), (103, 129, "written", "two"), (200, 65, "no_cds_overlap", None)]
+
+
+def test_first_rows_equal_a_sort(spark):
+    import random
+
+    draw = random.Random(4)
+    values = [draw.randrange(-5, 10**draw.randrange(1, 18)) for _ in range(3000)] + [7] * 50 + [10**17] * 20
+    df = spark.createDataFrame([(v,) for v in values], "ordinal long")
+    for n in (1, 40, 55, 1000, 3069, 3070, 5000):
+        got = sorted(r.ordinal for r in counts.first_rows(df, n, few=0, buckets=16).collect())
+        assert got == sorted(values)[:n]
