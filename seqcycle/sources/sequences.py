@@ -24,10 +24,8 @@ def fasta(spark: SparkSession, paths: str | list[str], *, allow_headerless: bool
     paths = [paths] if isinstance(paths, str) else paths
     text = spark.read.option("lineSep", "\n>").text(paths)
     rows = text.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("ordinal"), F.regexp_replace("value", "\r", "").alias("v"))
-    if not allow_headerless:
-        bad = rows.groupBy("source").agg(F.max(F.ltrim("v").startswith(">")).alias("named"), F.max(F.trim("v") != "").alias("filled")).where("filled and not named").limit(1).collect()
-        if bad:
-            raise ValueError(f"{bad[0].source} has sequence before its first header")
+    if not allow_headerless and (bad := _headerless(spark, text.inputFiles())):
+        raise ValueError(f"{bad} has sequence before its first header")
     headed = F.when(F.ltrim("v").startswith(">"), F.regexp_replace("v", r"^\s*>", "")).otherwise(F.col("v"))
     header = F.split(headed, "\n", 2)
     seq = F.upper(F.regexp_replace(F.coalesce(F.get(header, F.lit(1)), F.lit("")), r"\s", ""))
@@ -36,6 +34,21 @@ def fasta(spark: SparkSession, paths: str | list[str], *, allow_headerless: bool
     return out if keep_empty else out.where("seq <> ''")
 
 
+def _first(path: str) -> Iterator[tuple]:
+    """(path, first symbol that is no white space) of a file that has one."""
+    with opened(path) as lines:
+        while part := lines.read(4096):
+            if part.strip():
+                yield (path, part.strip()[:1].decode(errors="replace"))
+                return
+
+
+def _headerless(spark: SparkSession, files: list[str]) -> str | None:
+    """One of the files whose first symbol begins no header, told from their first bytes."""
+    found = records(spark, files, _first, "path string, symbol string").where("symbol <> '>'").limit(1).collect() if files else []
+    return found[0].path if found else None
+
+
 def _aligned(lines, path: str, start: int) -> None:
     """Moves to the first record that begins at ``start`` or later: a line of ``@`` two lines before one of ``+``, which no line of qualities is."""
     lines.seek(start - 1)

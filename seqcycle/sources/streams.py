@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ def located(path: str):
     from pyarrow import fs
 
     if path.startswith("file:"):
-        path = "/" + path[len("file:") :].lstrip("/")
+        path = "/" + unquote(path[len("file:") :]).lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
