@@ -38,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
         ("--alpha", float, h.ALPHA), ("--permutations", int, h.PERMUTATIONS), ("--seed", int, h.SEED), ("--skip-existing", bool, False), ("--dry-run", bool, False),
     )
     command("test", ("csv", str, None), ("--start", int, h.START), ("--end", int, h.END), ("--alpha", float, h.ALPHA), ("--permutations", int, h.PERMUTATIONS), ("--seed", int, h.SEED))
-    command("compare", ("one", str, None), ("two", str, None), ("--start", int, h.START), ("--end", int, h.END))
+    command("compare", ("one", str, None), ("two", str, None), ("--start", int, h.START), ("--end", int, h.END), ("--output", str, ""))
     command(
         "dft", ("input", str, None), ("--length", int, 60), ("--trim5", int, 0), ("--trim3", int, 0), ("--start", int, spectrum.START), ("--end", int, spectrum.END), ("--max-reads", int, 0),
         ("--collapse-exact", bool, False), ("--output", str, "dft"),
@@ -81,6 +81,8 @@ def _test(spark, a):
 def _compare(spark, a):
     means = [harmonic.phase_means(harmonic.window(tables.cells_of(tables.one_mer_csv(spark, p)), a.start, a.end), ["base"], "x").withColumn("pair", F.lit(1)) for p in (a.one, a.two)]
     print(harmonic.compare(*means, ["pair"]).drop("pair").toJSON().first())
+    if a.output:
+        sinks.table(charts.comparison(*means), f"{a.output}/comparison", kind="csv")
 
 
 def _dft(spark, a):

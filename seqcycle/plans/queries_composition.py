@@ -166,6 +166,14 @@ def profile_compare(spark, sf_dir):
     return rows.select(F.col("length").cast("long").alias("length"), F.col("best_shift").cast("long").alias("best_shift"), *[F.round(c, 6).alias(c) for c in columns])
 
 
+def chart_comparison(spark, sf_dir):
+    """The phase means of two lengths beside each other."""
+    cells, _ = _cells(spark, sf_dir)
+    means = harmonic.phase_means(harmonic.window(cells), ["length", "kmer"]).withColumnRenamed("kmer", "base")
+    rows = charts.comparison(means.where("length = 59"), means.where("length = 60"))
+    return rows.select("profile", "base", F.col("phase").cast("long").alias("phase"), F.round("mean", 9).alias("mean"))
+
+
 def _series(spark, sf_dir) -> DataFrame:
     cells, lengths = _cells(spark, sf_dir)
     return cells.join(lengths, "length").select("length", F.col("kmer").alias("base"), "cycle", (F.col("n") / F.col("observed_read_count")).alias("x"))
@@ -187,7 +195,7 @@ QUERIES = {
     "collapse_exact": _collapsed("sequence"), "dedup_seq_rc": _collapsed("seq_rc"), "dedup_hash64": _collapsed("hash64"), "dedup_hash64_rc": _collapsed("hash64_rc"), "dedup_capped": dedup_capped,
     "revcomp": revcomp, "fixed_trim": fixed_trim, "trim_frequencies": trim_frequencies, "trim_counters": trim_counters, "phase_redistribute_hash": phase_redistribute_hash,
     "phase_means": phase_means, "harmonic_fit": harmonic_fit, "cycle_window_status": cycle_window_status, "permutation_p": permutation_p, "holm_adjusted": holm_adjusted,
-    "profile_compare": profile_compare, "dft_spectrum": dft_spectrum, "spectral_r2": spectral_r2,
+    "profile_compare": profile_compare, "chart_comparison": chart_comparison, "dft_spectrum": dft_spectrum, "spectral_r2": spectral_r2,
 }
 
 # ---- the same in SQL
@@ -290,6 +298,7 @@ SELECT base, length, "start", "end", n_cycles, round((m0 + m1 + m2) / 3, 9) + 0.
     "holm_adjusted": f"""WITH {_WINDOWED}, {_PERM}, r AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY p_value, instr('ATGC', base)) AS k FROM p),
 h AS (SELECT *, max(least((5 - k) * p_value, 1.0)) OVER (PARTITION BY length ORDER BY k ROWS UNBOUNDED PRECEDING) AS a FROM r)
 SELECT length, base, round(a, 9) AS p_value_adjusted, a < 0.05 AS significant, bool_and(a < 0.05) OVER (PARTITION BY length) AS all_significant FROM h""",
+    "chart_comparison": f"""WITH {_WINDOWED} SELECT CASE length WHEN 59 THEN 'one' ELSE 'two' END AS profile, base, phase::BIGINT AS phase, round(avg(n), 9) AS mean FROM win WHERE length IN (59, 60) GROUP BY ALL""",
     "profile_compare": f"""WITH {_WINDOWED}, {_COMPARE}
 SELECT length, any_value(b.shift)::BIGINT AS best_shift, round(100 * power(greatest(any_value(r), 0), 2), 6) AS similarity_percent, {_BY_BASE} FROM best b JOIN pairs USING (length, shift) GROUP BY length""",
     "dft_spectrum": f"WITH {_SERIES}, {_SPECTRUM} SELECT length, base, bin, round(bin / 30.0::DOUBLE, 9) AS frequency, round(magnitude, 9) AS magnitude FROM spectrum",
