@@ -97,11 +97,16 @@ def m_step(t: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     return smoothed / smoothed.sum(axis=1, keepdims=True)
 
 
+def noise(seed: int) -> np.ndarray:
+    """What tells a restart's first parameters from the overall base frequencies."""
+    return np.random.default_rng(seed).normal(0, 0.01, (3, 4))
+
+
 def initial(base_counts: np.ndarray, seed: int) -> np.ndarray:
     """The overall base frequencies with normal noise of deviation 0.01, kept positive, for each position class."""
     share = np.asarray(base_counts, float)
     share = share / share.sum()
-    p = np.clip(share[None, :] + np.random.default_rng(seed).normal(0, 0.01, (3, 4)), 1e-8, None)
+    p = np.clip(share[None, :] + noise(seed), 1e-8, None)
     return p / p.sum(axis=1, keepdims=True)
 
 

@@ -11,7 +11,8 @@ from . import demo
 
 #: Parameters under which single steps are shown.
 P = np.array([[0.4, 0.2, 0.1, 0.3], [0.1, 0.3, 0.4, 0.2], [0.25, 0.15, 0.35, 0.25]])
-LENGTH, SAMPLE, READ, STEPS = 60, 2000, 20, 4
+LENGTH, SAMPLE, READ, STEPS, RESTARTS = 60, 2000, 20, 4, 3
+FIRST = em.SEED + LENGTH * 10007
 
 
 def _rows(spark, sf_dir):
@@ -72,7 +73,7 @@ def chi_square_uniform(spark, sf_dir):
 
 def _fit(spark, sf_dir):
     rows = _rows(spark, sf_dir).cache()
-    fit = em.fit(rows, LENGTH, restarts=3, seed=1 + LENGTH * 10007)
+    fit = em.fit(rows, LENGTH, restarts=RESTARTS, seed=FIRST)
     return rows, fit, em.canonical(fit.p, LENGTH)
 
 
@@ -93,7 +94,7 @@ def em_iterations(spark, sf_dir):
 def em_fit(spark, sf_dir):
     _, fit, found = _fit(spark, sf_dir)
     names = "length long, effective_length long, position_class long, base string, prob double, canonicalization_mode string, canonical_rotation long, canonical_rc_flip boolean"
-    return spark.createDataFrame(em.base_table(LENGTH, LENGTH, found), names)
+    return spark.createDataFrame(em.base_table(LENGTH, LENGTH, found), names).withColumn("prob", F.round("prob", 9))
 
 
 def em_state_distribution(spark, sf_dir):
@@ -308,17 +309,34 @@ def _map(sign: int, offset: int) -> list[int]:
     return [own[i] for i in range(12)]
 
 
-_ITERATED = f"""RECURSIVE reads AS ({demo.READS}), c AS MATERIALIZED (
+def _iterated(start: str, steps: int) -> str:
+    """Tables c (counts of each read) and it(step, seed, ll, p): so many whole steps from the rows (step 0, seed, 0, p) that ``start`` selects."""
+    cells = ", ".join(f"(sum(list_sum(list_transform(c, lambda x, i: CASE WHEN map[i] = {j + 1} THEN x ELSE 0 END))))::DOUBLE" for j in range(12))
+    return f"""RECURSIVE reads AS ({demo.READS}), c AS MATERIALIZED (
   SELECT [{', '.join(f'n{r}{b}' for r in range(3) for b in STATE_BASES)}] AS c FROM (SELECT read_id, {_MOD3} FROM reads WHERE length(seq) = {LENGTH} AND regexp_full_match(seq, '[ACGT]+'))),
-m AS (SELECT {[_map(*x) for x in _STATES]} AS maps), it(step, ll, p) AS (
-  SELECT 0::BIGINT, 0::DOUBLE, {[float(x) for x in np.asarray(P).ravel()]}::DOUBLE[]
+m AS (SELECT {[_map(*x) for x in _STATES]} AS maps), it(step, seed, ll, p) AS (
+  {start}
   UNION ALL
-  SELECT step + 1, ll, list_transform(t, lambda x, i: (x + {em.ALPHA}::DOUBLE) / (list_sum(t[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4]) + 4 * {em.ALPHA}::DOUBLE)) FROM (
-    SELECT step, sum(ll) AS ll, [{', '.join(f'(sum(list_sum(list_transform(c, lambda x, i: CASE WHEN map[i] = {j + 1} THEN x ELSE 0 END))))::DOUBLE' for j in range(12))}] AS t FROM (
-      SELECT step, c, list_max(sc) AS ll, maps[list_position(sc, list_max(sc))] AS map FROM (
-        SELECT step, c, maps, list_transform(maps, lambda w: list_sum(list_transform(c, lambda x, i: x * ln(p[w[i]])))) AS sc FROM it, c, m WHERE step < {STEPS}))
-    GROUP BY step)
+  SELECT step + 1, seed, ll, list_transform(t, lambda x, i: (x + {em.ALPHA}::DOUBLE) / (list_sum(t[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4]) + 4 * {em.ALPHA}::DOUBLE)) FROM (
+    SELECT step, seed, sum(ll) AS ll, [{cells}] AS t FROM (
+      SELECT step, seed, c, list_max(sc) AS ll, maps[list_position(sc, list_max(sc))] AS map FROM (
+        SELECT step, seed, c, maps, list_transform(maps, lambda w: list_sum(list_transform(c, lambda x, i: x * ln(p[w[i]])))) AS sc FROM it, c, m WHERE step < {steps}))
+    GROUP BY step, seed)
 )"""
+
+
+_GIVEN = _iterated(f"SELECT 0::BIGINT, 0::BIGINT, 0::DOUBLE, {[float(x) for x in np.asarray(P).ravel()]}::DOUBLE[]", STEPS)
+_NOISE = ", ".join(f"({seed}, {[float(x) for x in em.noise(seed).ravel()]}::DOUBLE[])" for seed in range(FIRST, FIRST + RESTARTS))
+#: Once a fit is stable, further steps leave it as it is.
+_FITTED = _iterated(
+    f"""SELECT 0::BIGINT, seed::BIGINT, 0::DOUBLE, list_transform(raw, lambda x, i: x / list_sum(raw[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4]))
+  FROM (SELECT seed, list_transform(noise, lambda x, i: greatest(x + share[(i - 1) % 4 + 1], 1e-8::DOUBLE)) AS raw
+        FROM (VALUES {_NOISE}) AS v(seed, noise), (SELECT list_transform(b, lambda x: x / list_sum(b)::DOUBLE) AS share FROM (SELECT [{', '.join(f'sum(c[{j + 1}] + c[{j + 5}] + c[{j + 9}])' for j in range(4))}] AS b FROM c)))""",
+    40,
+)
+_PLACES = np.arange(12).reshape(3, 4)
+#: The members of the symmetry class as places in the parameters, in the order in which they are tried.
+_MEMBERS = [(flipped, k, (em.rotate(em.flip(_PLACES, LENGTH) if flipped else _PLACES, k).ravel() + 1).tolist()) for flipped in (False, True) for k in range(3)]
 _NAMES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(em.STATES))
 _FUNNEL = f"""a AS ({demo.ALIGNMENTS}), f AS ({demo.FEATURES}),
 early AS MATERIALIZED (SELECT *, row_number() OVER () AS record, CASE WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 2816 <> 0 THEN 'non_primary_or_qcfail' WHEN flag & 1024 <> 0 THEN 'duplicate_flag_excluded'
@@ -366,7 +384,12 @@ p AS (SELECT i, name, coalesce(n, 0) / (SELECT count(*) FROM a)::DOUBLE AS share
 SELECT 'states' AS chart, {LENGTH}::BIGINT AS length, name AS mark, round(share, 9) AS share FROM p
 UNION ALL SELECT 'shifts', {LENGTH}, (i % 3)::VARCHAR, round(sum(share), 9) FROM p GROUP BY i % 3
 UNION ALL SELECT 'orientation', {LENGTH}, substring(name, 1, 1), round(sum(share), 9) FROM p GROUP BY ALL""",
-    "em_iterations": f"""WITH {_ITERATED} SELECT step, round(ll, 6) AS ll, (i - 1) // 4 AS position_class, ['{"', '".join(STATE_BASES)}'][(i - 1) % 4 + 1] AS base, round(p[i], 9) AS prob
+    "em_fit": f"""WITH {_FITTED}, last AS (SELECT seed, ll, p FROM it WHERE step = 40), best AS (SELECT p FROM last WHERE ll >= (SELECT max(ll) FROM last) - 1e-9 ORDER BY seed LIMIT 1),
+members(flipped, k, places) AS (VALUES {', '.join(f'({str(f).lower()}, {k}, {at})' for f, k, at in _MEMBERS)}),
+found AS (SELECT flipped, k, list_transform(places, lambda i: p[i]) AS q FROM best, members ORDER BY list_transform(places, lambda i: round(p[i], 12)), flipped, k LIMIT 1)
+SELECT {LENGTH}::BIGINT AS length, {LENGTH}::BIGINT AS effective_length, (i - 1) // 4 AS position_class, ['{"', '".join(STATE_BASES)}'][(i - 1) % 4 + 1] AS base, round(q[i], 9) AS prob,
+  'full6' AS canonicalization_mode, k::BIGINT AS canonical_rotation, flipped AS canonical_rc_flip FROM found, range(1, 13) AS r(i)""",
+    "em_iterations": f"""WITH {_GIVEN} SELECT step, round(ll, 6) AS ll, (i - 1) // 4 AS position_class, ['{"', '".join(STATE_BASES)}'][(i - 1) % 4 + 1] AS base, round(p[i], 9) AS prob
 FROM it, range(1, 13) AS r(i) WHERE step > 0""",
     "scalar_functions": r"""SELECT p_partkey, regexp_replace(p_name, '[^\w-]', '_', 'g') AS safe, round((1 - (0.5::DOUBLE + p_size / 100.0::DOUBLE)) / (0.5::DOUBLE + p_size / 100.0::DOUBLE), 9) AS acceptance,
   p_size % 3 = 0 AS simple, substr('ACGTACGTACG', 1 + (3 - p_size % 3) % 3, (11 - (3 - p_size % 3) % 3) // 3 * 3) AS codons, ((3 - p_size % 3) % 3)::BIGINT AS trim5, ((11 - (3 - p_size % 3) % 3) % 3)::BIGINT AS trim3 FROM part""",

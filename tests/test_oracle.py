@@ -41,4 +41,4 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_every_query_has_sql_or_is_iterative():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"em_fit", "em_state_distribution"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"em_state_distribution"}
