@@ -93,6 +93,11 @@ def hashed_sample(df: DataFrame, key: str, count: int, rows: int) -> DataFrame:
     return df.orderBy(place, *df.columns).limit(rows)
 
 
+def in_few(df: DataFrame, rows: int, a_file: int = 500_000) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in as many partitions as they fill, so that a small table is not written in as many files as there are shuffle partitions."""
+    return df.coalesce(max(1, -(-rows // a_file)))
+
+
 def remove(table: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing will read again."""
     spark = table.sparkSession
@@ -153,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u < v")
             .distinct()
         )
-        after = written(small, "edges")
+        after = written(in_few(small, state[0]), "edges")
         before, state = state, _fingerprint(after)
         remove(stars)
         stars = after

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_few, written
 
 WINDOW, THRESHOLD, CONFIDENCE = 60, 0.9, 1.645  # the last in standard deviations: 95 % on one side
 #: Up to so many context words, the corpus count keeps to them before it is grouped; beyond, all words are grouped first.
@@ -198,14 +198,15 @@ def terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
     disclosure = lambda share: 1 + F.log(_assured(share, F.col("contexts"))) / ic
     # Words that would not reach the threshold even if they stood nowhere else need not be counted.
     possible = written(pairs.join(both, ["kind", "value", "word"]).join(entities, ["kind", "value"]).where(disclosure(F.lit(1.0)) >= THRESHOLD), "pairs")
-    wanted = written(possible.select("word").distinct(), "wanted")
+    n = possible.count()
+    wanted = written(in_few(possible.select("word").distinct(), n), "wanted")
     texts = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_WORD), F.lit(0))).alias("word"))
     if wanted.count() <= FEW_WORDS:
         totals = texts.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     else:
         totals = texts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(wanted, "word", "left_semi")
     share = F.least(F.col("both") / F.col("n"), F.lit(1.0))
-    disclosing = written(possible.join(totals, "word").where(disclosure(share) >= THRESHOLD).select("kind", "value", "word"), "terms")
+    disclosing = written(in_few(possible.join(totals, "word").where(disclosure(share) >= THRESHOLD).select("kind", "value", "word"), n), "terms")
     hits = near.join(disclosing, ["kind", "value", "word"])
     return written(hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")), "hits")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, mix64, odd_constants, pieces, remove, written
+from .common import WordHashes, components, in_few, mix64, odd_constants, pieces, remove, written
 
 TREES, DEPTH, NEAR, WORDS = 24, 8, 3, 5
 #: Links need 100 * intersection >= SIMILAR * union.
@@ -370,7 +370,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     first = F.col("of_a") >= F.col("of_b")
     ends = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("of_a", "of_b").alias("degree"))
     salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("degree") / MEMBERS))
-    spokes = written(ends.select("hub", salt.alias("salt"), "member"), "spokes")
+    spokes = written(in_few(ends.select("hub", salt.alias("salt"), "member"), pairs.count()), "spokes")
     keys = nodes.join(degrees.select("node"), "node").select("node", F.col("doc_id").alias("of"), "set_key")
     again = docs.join(keys, docs.doc_id == keys.of).select("node", "set_key", "text")
     sets = again.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
@@ -396,7 +396,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     edges = found.where("edge is not null").select("edge", F.substring("edge", 1, 1).alias("tree"))
     stitched = edges.groupBy("tree").applyInArrow(_stitched, "a long, b long")
-    pairs = written(found.where("a is not null").select("a", "b").union(stitched).distinct(), "pairs")
+    pairs = written(in_few(found.where("a is not null").select("a", "b").union(stitched).distinct(), found.count()), "pairs")
 
     links = _links(docs, nodes, pairs)
     roots = components(links)
