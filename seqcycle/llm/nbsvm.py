@@ -13,7 +13,7 @@ Repeated rows get equal scores; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,42 +69,46 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.scale * self.margin(columns) + self.shift, -30, 30))))
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: np.ndarray, epochs: int, seed: int):
-    """Dual coordinate descent for L2-penalised hinge loss; the intercept is a further column of value 1."""
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
-    square = np.array([np.dot(v, v) + 1.0 for v in values])
+def _descend(rows: list[np.ndarray], inverse: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int):
+    """Dual coordinate descent for L2-penalised hinge loss; the intercept is a further column of value 1.
+
+    A row's values are ``inverse * ratio[columns]``. Kept are the products of weight and ratio, so that no row's values need be held.
+    """
+    product, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
+    squared = np.square(ratio)
+    square = np.where(inverse > 0, 2.0, 1.0)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(rows)):
-            grad = y[i] * (np.dot(w[rows[i]], values[i]) + bias) - 1.0
+            at = rows[i].astype(np.intp)
+            own = product.take(at)
+            grad = y[i] * (inverse[i] * own.sum() + bias) - 1.0
             step = min(max(alpha[i] - grad / square[i], 0.0), cost[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                w[rows[i]] += step * y[i] * values[i]
+                product[at] = own + step * y[i] * inverse[i] * squared.take(at)
                 bias += step * y[i]
                 worst = max(worst, abs(step) * square[i])
         if worst < 1e-3:
             break
-    return w, bias
+    return product, bias
 
 
 def _train(rows: list[np.ndarray], y: np.ndarray, size: int, c: float, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    counts = []
+    logs = []
     for side in (1, -1):
-        own = [r for r, t in zip(rows, y, strict=True) if t == side]
-        p = 1.0 + np.bincount(np.concatenate(own), minlength=size) if own else np.ones(size)
-        counts.append(np.log(p) - np.log(p.sum()))
-    ratio = counts[0] - counts[1]
-    values = []
-    for r in rows:
-        v = ratio[r]
-        norm = np.sqrt(np.dot(v, v))
-        values.append(v / norm if norm else v)
+        count = np.ones(size)
+        for i in np.flatnonzero(y == side):
+            count[rows[i]] += 1.0  # a row's columns are distinct
+        logs.append(np.log(count) - np.log(count.sum()))
+    ratio = logs[0] - logs[1]
+    norms = np.array([np.sqrt(np.square(ratio[r]).sum()) for r in rows])
+    inverse = np.divide(1.0, norms, out=np.zeros(len(rows)), where=norms > 0)
     share = np.array([(y == -1).mean(), (y == 1).mean()])
     cost = np.where(y == 1, c * 0.5 / max(share[1], 1e-9), c * 0.5 / max(share[0], 1e-9))
-    w, bias = _descend(rows, values, y, size, cost, epochs, seed)
-    return ratio * w, ratio, bias
+    product, bias = _descend(rows, inverse, ratio, y, cost, epochs, seed)
+    return product, ratio, bias
 
 
 def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -127,9 +131,13 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(texts: list[str | None], labels: list[int], *, bits: int = BITS, c: float = 1.0, epochs: int = 20, folds: int = 4, seed: int = 7) -> Model:
     """Trains on texts with labels 0 or 1."""
-    size, y = 1 << bits, np.where(np.asarray(labels, dtype=int) == 1, 1, -1)
     hashes = WordHashes()
-    rows = [features(t, hashes, bits) for t in texts]
+    return fitted([features(t, hashes, bits) for t in texts], labels, bits=bits, c=c, epochs=epochs, folds=folds, seed=seed)
+
+
+def fitted(rows: list[np.ndarray], labels: list[int], *, bits: int = BITS, c: float = 1.0, epochs: int = 20, folds: int = 4, seed: int = 7) -> Model:
+    """Trains on the columns of texts with labels 0 or 1."""
+    size, y = 1 << bits, np.where(np.asarray(labels, dtype=int) == 1, 1, -1)
     if len(set(y.tolist())) < 2:
         share = float((y == 1).mean()) if len(y) else 0.5
         share = min(max(share, 1e-9), 1 - 1e-9)
@@ -148,12 +156,12 @@ def fit(texts: list[str | None], labels: list[int], *, bits: int = BITS, c: floa
     return Model(weights, ratio, bias, scale, shift)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
+def training_rows(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES, read: Callable = lambda text: text) -> tuple[list, list]:
     """The bounded sample of labelled rows that a fit takes: at most ``rows`` rows of ``docs`` with a label and ``text_bytes`` bytes of text.
 
     Rows come in the order of a hash of their doc_id, whole; each one that fits within what is left of both bounds is taken.
     Labels of documents that are not in ``docs`` take no place. A doc_id of two labels, or of two rows, counts as often.
-    Fails if there are labelled texts and none fits.
+    Of each text, what ``read`` makes of it is kept. Fails if there are labelled texts and none fits.
     """
     known = labels.where(f"quality in (0, 1) and not ({held_out})").select("doc_id", F.col("quality").cast("int").alias("quality"))
     present = written(docs.select("doc_id").join(known, "doc_id").select("doc_id", "quality"), "labelled")
@@ -168,7 +176,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(
             skipped += 1
             continue
         total += size
-        known_texts.append(row.text)
+        known_texts.append(read(row.text))
         marks.append(row.quality)
     if skipped and not known_texts:
         raise ValueError(f"none of {skipped} labelled texts is within {text_bytes} bytes")
@@ -190,5 +198,6 @@ def scored(docs: DataFrame, model: Model, *, bits: int = BITS) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document of ``docs`` with ``score`` and ``predicted`` (1 at a score of 0.5 or more)."""
-    model = fit(*training_rows(docs, labels))
+    hashes = WordHashes()
+    model = fitted(*training_rows(docs, labels, read=lambda text: features(text, hashes).astype(np.int32)))
     return scored(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
