@@ -55,10 +55,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes the rows as Parquet in the shared folder and returns the table that reads them."""
+    """Cuts the lineage: writes the rows as Parquet in the shared folder and returns the table that reads them.
+
+    No marker file is left: to set its permissions, the driver would start processes that share its memory for a moment.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)  # its buffers are pooled on the heap
+    options = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}  # the buffers of zstd are pooled on the heap
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
