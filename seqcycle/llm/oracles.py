@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import disclosure, hnsw, lshforest, poissonmix, seekwarc, spacedseeds
+from . import disclosure, filteraudit, hnsw, lshforest, poissonmix, seekwarc, spacedseeds
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -168,3 +168,28 @@ SELECT doc_id, {_KINDS}, sha256(coalesce(string_agg(kind || ':' || s || ':' || e
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s, e) FILTER (rank IS NOT NULL), '') AS spans
 FROM docs LEFT JOIN found USING (key) GROUP BY key, doc_id
 """
+
+_A = filteraudit
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_A.WORD}') AS w FROM documents),
+f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT row_number() OVER () AS row, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    concat(CASE WHEN len(w) < {_A.MIN_WORDS} THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < {_A.MIN_DISTINCT} * len(w) THEN 'B' END,
+      CASE WHEN 100 * len(regexp_extract_all(text, '{_A.CAPITAL}')) > {_A.MAX_CAPITALS} * length(text) THEN 'C' END,
+      CASE WHEN regexp_matches(text, '{_A.SYMBOL}') THEN 'D' END, CASE WHEN d.doc_id > f.first THEN 'E' END) AS failed
+  FROM d JOIN f USING (text) LEFT JOIN l ON l.doc_id = d.doc_id
+), x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5),
+k AS (SELECT *, unnest(range(1, 6))::INTEGER AS step FROM o),
+e AS (
+  SELECT part, filter_order, step, filter_order[step] AS own, good, toxic, failed = filter_order[step] AS alone,
+    contains(failed, filter_order[step]) AS fails, translate(filter_order[1:step - 1], failed, '') <> filter_order[1:step - 1] AS gone FROM m, k
+), t AS (
+  SELECT part, filter_order, step, own, count(*) FILTER (NOT fails AND NOT gone) AS kept, count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant,
+    count(*) FILTER (alone) AS unique_fails, count(*) FILTER (fails AND NOT gone AND good) AS good_lost, count(*) FILTER (fails AND NOT gone AND toxic) AS toxic_lost
+  FROM e GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM t
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, hnsw, lshforest, nbsvm, oracles, poissonmix, seekwarc, separators, spacedseeds, textdensity, urltrees
+from . import disclosure, filteraudit, hnsw, lshforest, nbsvm, oracles, orctokens, poissonmix, seekwarc, separators, spacedseeds, textdensity, urltrees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality(docs, table(spark, sf_dir, "labels")).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orctokens.digests(orctokens.write(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
@@ -81,6 +89,8 @@ QUERIES = {
     "op8_text_density_extraction": op8_text_density_extraction,
     "op9_url_boosted_trees": op9_url_boosted_trees,
     "op10_nbsvm_quality": op10_nbsvm_quality,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_orc_token_ids": op12_orc_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_disclosure_pii": oracles.OP4,
     "op6_poisson_mix": oracles.OP6,
     "op7_hnsw_embedding_dedup": oracles.OP7,
+    "op11_filter_audit": oracles.OP11,
 }
