@@ -1,8 +1,9 @@
 """Alignments against coding features: containment, exclusion reasons, codon phase.
 
-An alignment [ref_start, ref_end) matches features of its contig. Features are cut into bins of ``BIN`` places, an alignment
-meets the features of its bins by an equality join on contig and bin, and duplicates from several bins fall to one by rule:
-a pair belongs to the first bin that both share. So one giant contig spreads over its bins, and nothing is broadcast unless the engine sees that it is small.
+An alignment [ref_start, ref_end) matches features of its contig. Bins form levels, each ``STEP`` times as wide as the one before. A feature
+stands on the lowest level whose bins are as wide as itself, so that it touches two of them at most, however long it is; an alignment looks into the bins
+that it touches on those levels that any feature stands on. They meet by an equality join on contig, level and bin; a pair that shares two bins belongs to the first.
+So one giant contig spreads over its bins, and nothing is broadcast unless the engine sees that it is small.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import codon_corrected, is_simple_cigar, is_unambiguous, reverse_complement
 
-MIN_MAPQ, BIN = 25, 4096
+MIN_MAPQ, BIN, STEP, LEVELS = 25, 4096, 8, 8
 UNMAPPED, REVERSE, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x200, 0x400, 0x800
 #: In the order in which an alignment is tried.
 REASONS = (
@@ -32,15 +33,31 @@ def codon_phase(ref_start: Column, ref_end: Column, start: Column, end: Column,
     return F.when(strand == "+", plus).otherwise(minus).cast("int")
 
 
+def _width(level: Column, bin_size: int) -> Column:
+    return F.lit(bin_size).cast("long") * F.element_at(F.array(*[F.lit(STEP**i) for i in range(LEVELS)]), level + 1)
+
+
+def binned(rows: DataFrame, start: str, end: str, level: Column, bin_size: int = BIN) -> DataFrame:
+    """A row for each bin of its level that [start, end) touches, with ``level``, ``bin`` and the bins' ``width``."""
+    wide = rows.withColumn("level", level).withColumn("width", _width(F.col("level"), bin_size))
+    return wide.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("width")), F.floor((F.col(end) - 1) / F.col("width")))))
+
+
+def feature_level(length: Column, bin_size: int = BIN) -> Column:
+    """The lowest level whose bins are as wide as ``length``, at most the last."""
+    return sum(((length > bin_size * STEP**i).cast("int") for i in range(LEVELS - 1)), F.lit(0))
+
+
 def overlaps(alignments: DataFrame, features: DataFrame, bin_size: int = BIN) -> DataFrame:
     """Each alignment with each feature of its contig that it overlaps (half-open); feature columns start with ``cds_``."""
-    bins = lambda low, high: F.sequence(F.floor(low / bin_size), F.floor((high - 1) / bin_size))
-    a = alignments.where("ref_end > ref_start").withColumn("bin", F.explode(bins(F.col("ref_start"), F.col("ref_end"))))
     named = features.distinct().select("contig", *[F.col(c).alias(f"cds_{c}") for c in features.columns if c != "contig"])
-    f = named.where("cds_end > cds_start").withColumn("bin", F.explode(bins(F.col("cds_start"), F.col("cds_end"))))
+    f = binned(named.where("cds_end > cds_start"), "cds_start", "cds_end", feature_level(F.col("cds_end") - F.col("cds_start"), bin_size), bin_size)
+    levels = sorted(r[0] for r in features.where("end > start").select(feature_level(F.col("end") - F.col("start"), bin_size)).distinct().collect())  # at most LEVELS
+    level = F.explode(F.array(*[F.lit(i) for i in levels]).cast("array<int>"))
+    a = binned(alignments.where("ref_end > ref_start"), "ref_start", "ref_end", level, bin_size).drop("width")
     meets = (F.col("ref_start") < F.col("cds_end")) & (F.col("ref_end") > F.col("cds_start"))
-    once = F.col("bin") == F.floor(F.greatest("ref_start", "cds_start") / bin_size)
-    return a.join(f, ["contig", "bin"]).where(meets & once).drop("bin")
+    once = F.col("bin") == F.floor(F.greatest("ref_start", "cds_start") / F.col("width"))
+    return a.join(f, ["contig", "level", "bin"]).where(meets & once).drop("level", "bin", "width")
 
 
 def classified(alignments: DataFrame, features: DataFrame, *, min_mapq: int = MIN_MAPQ, include_duplicates: bool = False) -> DataFrame:
@@ -79,10 +96,10 @@ def classified(alignments: DataFrame, features: DataFrame, *, min_mapq: int = MI
 
 
 def funnel(rows: DataFrame) -> DataFrame:
-    """(reason, n): every reason, 0 if no alignment has it, and ``records_seen``."""
-    counts = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("c")).unionByName(rows.agg(F.lit("records_seen").alias("reason"), F.count(F.lit(1)).alias("c")))
-    frame = rows.sparkSession.createDataFrame([(r,) for r in ("records_seen", *REASONS)], "reason string")
-    return frame.join(counts, "reason", "left").select("reason", F.coalesce("c", F.lit(0)).alias("n"))
+    """(reason, n): every reason, 0 if no alignment has it, and ``records_seen``, from one scan."""
+    counts = [F.coalesce(F.sum((F.col("reason") == r).cast("long")), F.lit(0)).alias(r) for r in REASONS]
+    sums = rows.agg(F.count(F.lit(1)).alias("records_seen"), *counts)
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("n")) for r in ("records_seen", *REASONS)])))
 
 
 def fasta_header(rows: DataFrame) -> Column:

@@ -1,6 +1,7 @@
 """Lengths, k-mer counts by cycle, and fractions.
 
-``reads`` tables have a column ``seq``; operators that keep a first copy or a first few also need ``ordinal``, the place of a read in its input.
+``reads`` tables have a column ``seq``; operators that keep a first copy or a first few also need ``ordinal``, the place of a read in its
+input, and where an input has several files or parts, ``file`` and ``span`` (``input_order``).
 Cycles count from 1; a k-mer stands at the cycle of its first symbol.
 """
 
@@ -18,27 +19,43 @@ def valid_reads(reads: DataFrame) -> DataFrame:
     return reads.where(is_unambiguous(F.col("seq")))
 
 
-def first_rows(reads: DataFrame, n: int, *, few: int = FEW, buckets: int = 4096) -> DataFrame:
-    """The ``n`` rows of the smallest ordinals (any of those that tie for the last place).
+def input_order(rows: DataFrame) -> list[str]:
+    """The columns that say where a row stood in its input: the rank of its file, where its part of the file begins, its place in that; tables of one source have ``ordinal`` alone."""
+    return [c for c in ("file", "span", "ordinal") if c in rows.columns]
 
-    Up to ``few`` rows, one task can merge what the others send. Beyond, the n-th ordinal is found by counting rows in narrowing ranges, so that no task ever
-    sorts or holds the rows themselves.
-    """
-    if n <= few:
-        return reads.orderBy("ordinal").limit(n)
-    low, high, total = reads.agg(F.min("ordinal"), F.max("ordinal"), F.count("ordinal")).first()
-    if total <= n:
-        return reads
-    wanted = n
+
+def _nth(rows: DataFrame, column: str, n: int, buckets: int) -> tuple[int, int]:
+    """(the value of ``column`` in the ``n``-th row in its order, how many rows of that value the first ``n`` take), by counting rows in narrowing ranges."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
     while low < high:
         width = -(-(high - low + 1) // buckets)
-        place = F.floor((F.col("ordinal") - low) / width)
-        for r in sorted(reads.where(F.col("ordinal").between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()):  # at most ``buckets`` rows
-            if r.n >= wanted:
+        place = F.floor((F.col(column) - low) / width)
+        found = rows.where(F.col(column).between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(found.collect()):  # at most ``buckets`` rows
+            if r.n >= n:
                 low, high = low + r.b * width, min(high, low + (r.b + 1) * width - 1)
                 break
-            wanted -= r.n
-    return reads.where(F.col("ordinal") < low).unionByName(reads.where(F.col("ordinal") == low).limit(wanted))
+            n -= r.n
+    return low, n
+
+
+def first_rows(reads: DataFrame, n: int, *, few: int = FEW, buckets: int = 4096) -> DataFrame:
+    """The ``n`` first rows in input order, over all files of the input (any of those that tie for the last place).
+
+    Up to ``few`` rows, one task can merge what the others send. Beyond, each column of the order in turn tells by counts in ranges where the n-th row stands:
+    whole files before it are taken, then whole parts of its file, then places, so that no task ever sorts or holds the rows themselves.
+    """
+    order = input_order(reads)
+    if n <= few:
+        return reads.orderBy(*order).limit(n)
+    if reads.count() <= n:
+        return reads
+    taken, same = F.lit(False), F.lit(True)
+    for c in order:
+        value, n = _nth(reads.where(same), c, n, buckets)
+        taken, same = taken | (same & (F.col(c) < value)), same & (F.col(c) == value)
+    rest = reads.where(same)
+    return reads.where(taken).unionByName(rest.limit(n))
 
 
 def capped_scan(reads: DataFrame, max_reads: int) -> DataFrame:
@@ -77,7 +94,8 @@ def requested_lengths(histogram: DataFrame, lengths: list[int]) -> tuple[DataFra
 def collapse(reads: DataFrame, mode: str = "sequence") -> DataFrame:
     """One read of each group of copies, the first in input order, with ``copies``; a partial minimum in each task keeps hot sequences small."""
     key = F.struct(F.length("seq"), dedup_key(F.col("seq"), mode))
-    first = F.min(F.struct("ordinal", *[c for c in reads.columns if c != "ordinal"])).alias("r")
+    order = input_order(reads)
+    first = F.min(F.struct(*order, *[c for c in reads.columns if c not in order])).alias("r")
     return reads.groupBy(key.alias("k")).agg(first, F.count(F.lit(1)).alias("copies")).select(*[f"r.{c}" for c in reads.columns], "copies")
 
 
@@ -86,9 +104,10 @@ def capped_unique(reads: DataFrame, mode: str, per_length: int) -> DataFrame:
 
     Lengths are few, so each is ranked in ``PARTS`` parts first, and then what those leave.
     """
-    rows = collapse(reads, mode).withColumn("part", F.pmod(F.xxhash64("ordinal"), F.lit(PARTS)))
+    order = input_order(reads)
+    rows = collapse(reads, mode).withColumn("part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
     for keys in ([F.length("seq"), F.col("part")], [F.length("seq")]):
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))).where(F.col("rank") <= per_length)
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= per_length)
     return rows.drop("rank", "part")
 
 
@@ -104,11 +123,47 @@ def kmer_counts(reads: DataFrame, k: int = 1) -> DataFrame:
     return cells.groupBy("length", "cycle", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense(counts: DataFrame, lengths: DataFrame, k: int = 1) -> DataFrame:
-    """(length, cycle, kmer, n) with a row for every cycle and k-mer of the given lengths, 0 where none was seen."""
+#: Tokens at cycle 0 of ``joint_cells``: a valid read, and one that is not.
+VALID, INVALID = "+", "-"
+
+
+def joint_cells(reads: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, length, cycle, token, n): how often each symbol, with the up to ``k - 1`` that follow it, begins at a cycle of the valid reads of a length.
+
+    At cycle 0 the tokens count the reads themselves, valid and not. So one scan, and one shuffle of at most length x 4^k cells for each length and task, give all
+    that ``qc_in``, ``lengths_in`` and ``kmers_in`` derive from the small result. Tokens at a read's last cycles are shorter.
+    """
+    kmer_tokens(k)
+    fine = is_unambiguous(F.col("seq"))
+    cycles = F.when(fine, F.sequence(F.lit(0), F.length("seq"))).otherwise(F.array(F.lit(0)))
+    rows = reads.select(*by, "seq", F.length("seq").alias("length"), fine.alias("fine"), F.explode(cycles).alias("cycle"))
+    token = F.when(F.col("cycle") > 0, F.substr("seq", F.col("cycle"), F.lit(k))).otherwise(F.when(F.col("fine"), VALID).otherwise(INVALID))
+    return rows.groupBy(*by, "length", "cycle", token.alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def qc_in(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``read_qc`` of the reads that ``joint_cells`` has counted, for each group of ``by``."""
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    sums = [count(F.lit(True)).alias("n_total"), count(F.col("token") == VALID).alias("n_valid"), count(F.col("token") == INVALID).alias("n_invalid")]
+    return cells.where("cycle = 0").groupBy(*by).agg(*sums)
+
+
+def lengths_in(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``length_histogram`` of the reads that ``joint_cells`` has counted."""
+    return cells.where((F.col("cycle") == 0) & (F.col("token") == VALID)).groupBy(*by, "length").agg(F.sum("n").alias("observed_read_count"))
+
+
+def kmers_in(cells: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``kmer_counts`` of the reads that ``joint_cells`` has counted, for a ``k`` up to its own."""
+    kmers = cells.where((F.col("cycle") > 0) & (F.length("token") >= k))
+    return kmers.groupBy(*by, "length", "cycle", F.substring("token", 1, k).alias("kmer")).agg(F.sum("n").alias("n"))
+
+
+def dense(counts: DataFrame, lengths: DataFrame, k: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, length, cycle, kmer, n) with a row for every cycle and k-mer of the given lengths, 0 where none was seen."""
     tokens = F.explode(F.array(*[F.lit(t) for t in kmer_tokens(k)])).alias("kmer")
-    cells = lengths.where(F.col("length") >= k).select("length", F.explode(F.sequence(F.lit(1), F.col("length") - k + 1)).alias("cycle")).select("length", "cycle", tokens)
-    return cells.join(counts, ["length", "cycle", "kmer"], "left").select("length", "cycle", "kmer", F.coalesce("n", F.lit(0)).alias("n"))
+    cells = lengths.where(F.col("length") >= k).select(*by, "length", F.explode(F.sequence(F.lit(1), F.col("length") - k + 1)).alias("cycle")).select(*by, "length", "cycle", tokens)
+    return cells.join(counts, [*by, "length", "cycle", "kmer"], "left").select(*by, "length", "cycle", "kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def fractions(cells: DataFrame, lengths: DataFrame, k: int = 1) -> DataFrame:
