@@ -11,7 +11,8 @@ around the core, else the outermost ``main``, is the core in its place.
 The threshold is the lowest density on the path from the core to the body. Along that path, siblings join the core if
 they are main headings, or reach the threshold and are text themselves (paragraphs, lists, quotations, tables), or reach it, are at least half
 as dense as the core and hold mostly such text. What stands on the path is never cut, whatever its name. Elsewhere forms, page headers and boxes named as above are left out,
-but inside the core a named one (comments, adverts and related pages apart) only where it holds less than a quarter of the core's text outside links.
+but inside the core a named one (comments and adverts apart) only where it holds less than a quarter of the core's text outside links, and one named as related pages only
+unless it is prose with less than a quarter of its characters in links. Inside an article, a paragraph or a phrase named as a comment is the author's, and so is the footer of a quotation or figure.
 Of a compound name the last part counts, box-like words apart: ``cookie-notice`` and ``notice-bar`` are notices, ``notice-board`` is none.
 
 The text is that of the chosen nodes in page order: character references decoded, white space inside a block made one
@@ -37,7 +38,8 @@ from .common import pieces
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
 )
-_NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute from where it starts: a name, and a value in quotes or up to white space. Consumed in turn, so that no value is searched for names.
+_ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
 
 # Tags of the markup language by what they do here.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -55,10 +57,13 @@ _DROPPED = {
 }
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Words of class and id names that tell what is no article; of these, the firm ones hold long text, too, that is none; box-like words.
-_FIRM = {
+_PAGES = {"related", "recommended", "recommendations", "teaser", "teasers"}
+_FIRM = _PAGES | {
     "comment", "comments", "commentlist", "respond", "replies", "disqus", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "adbox",
-    "adslot", "sponsor", "sponsors", "sponsored", "related", "recommended", "recommendations", "teaser", "teasers",
+    "adslot", "sponsor", "sponsors", "sponsored",
 }
+#: Elements that are a remark of the author's if their class says comment; readers' are boxes and items of lists.
+_REMARKS = {"p", "span", "code", "pre", "em", "i", "b", "small", "samp", "q"}
 _NAMES = _FIRM | {
     "banner", "banners", "promo", "promos", "promotion", "promotions", "promoted", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "side",
     "footer", "footers", "header", "headers", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "alert", "alerts", "popup", "popups", "modal", "overlay", "newsletter",
@@ -69,7 +74,7 @@ _BOXES = {
     "slot", "text", "top", "unit", "wrap", "wrapper",
 }
 #: What a sum counts within soft boxes, firm ones, articles.
-_WEIGHTS = {0: 1.0, 1: 0.25, 2: 0.1}
+_WEIGHTS = {0: 1.0, 1: 0.25, 2: 0.1, 3: 0.1}
 _ARTICLE = 1.5
 #: A start tag closes open elements of these kinds, up to an element that bounds them.
 _CLOSES = {
@@ -90,7 +95,15 @@ class Node:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(text)}
+    """The attributes of a tag, from what follows its name; of several of one name, the first."""
+    found: dict[str, str] = {}
+    at = 0
+    while at < len(text):
+        m = _ATTRIBUTE.match(text, at)
+        if m[1]:
+            found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+        at = max(m.end(), at + 1)
+    return found
 
 
 def _never(tag: str, found: dict[str, str]) -> bool:
@@ -104,16 +117,17 @@ def _never(tag: str, found: dict[str, str]) -> bool:
     return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
 
 
-def _named(found: dict[str, str], inside_article: bool) -> int:
-    """0, or 1 if a class or id names the element as no part of an article, 2 if firmly so."""
+def _named(tag: str, found: dict[str, str], inside_article: bool) -> int:
+    """0, or 1 if a class or id names the element as no part of an article, 2 if firmly so, 3 if as other pages."""
     most = 0
     for word in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
         parts = [p for p in re.split(r"[_-]+|\d+", word) if p]
         while len(parts) > 1 and parts[-1] in _BOXES:
             parts.pop()
         if parts and parts[-1] in _NAMES and parts[0] not in ("has", "with", "no", "without", "is", "hide"):
-            if not inside_article or parts[-1] not in ("header", "headers", "masthead"):
-                most = max(most, 2 if parts[-1] in _FIRM else 1)
+            if inside_article and (parts[-1] in ("header", "headers", "masthead") or word == "comment" and tag in _REMARKS):
+                continue
+            most = max(most, 3 if parts[-1] in _PAGES else 2 if parts[-1] in _FIRM else 1)
     return most
 
 
@@ -154,9 +168,10 @@ def parse(page: str) -> Node:
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
         found = _attributes(attributes) if attributes else {}
-        named = _named(found, articles > 0) if found and tag not in ("html", "body", "main") else 0
+        named = _named(tag, found, articles > 0) if found and tag not in ("html", "body", "main") else 0
         boxed = tag in ("form", "fieldset") or found.get("role", "").lower() == "form" or (tag == "header" and not articles)
-        node = Node(tag, stack[-1], _never(tag, found), max(named, int(boxed)), bool(named) and not boxed)
+        quoted = tag == "footer" and any(x.tag in ("blockquote", "figure") for x in stack)  # who said it
+        node = Node(tag, stack[-1], not quoted and _never(tag, found), max(named, int(boxed)), bool(named) and not boxed)
         stack[-1].parts.append(node)
         if tag in _VOID or attributes.rstrip().endswith("/") and tag not in _BLOCK and tag not in _RAW:
             continue
@@ -260,6 +275,8 @@ def _chosen(root: Node) -> list[Node]:
         node = waiting.pop()
         if node.soft == 1 and node.named and 4 * (node.chars - node.link_chars) > core.chars - core.link_chars:
             node.soft = 0
+        if node.soft == 3 and 4 * node.link_chars < node.chars and 2 * node.prose >= node.chars:  # prose about related things, not links to other pages
+            node.soft = 0
         if not node.soft:
             waiting += [p for p in node.parts if isinstance(p, Node) and not p.cut]
     return list(chosen.values())

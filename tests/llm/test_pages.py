@@ -1,9 +1,13 @@
 """Operators on pages: archives, extraction, URL filter."""
 
 import hashlib
+import html.parser
+import re
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqcycle.llm import queries, seekwarc, textdensity, urltrees
@@ -117,6 +121,61 @@ def test_names_and_forms_never_cut_the_core(page):
     assert textdensity.main_text(page).split("\n") == ["Blog", *STORY]
 
 
+@pytest.mark.parametrize("tag", [
+    "article title='The hidden costs'", 'article aria-label="a hidden gem"', "article onclick=\"this.style='display:none'\"", "article data-x='class=comments'", "article title=\"a > b, hidden\"", "article data-hidden=no",
+    "article alt='x'class='story'", "article =hidden", "article title=hidden", "article / class = 'story'",
+])
+def test_values_of_attributes_are_not_searched_for_names(tag):
+    page = f"<body><nav><a href=x>M</a></nav><{tag}><h2>Blog</h2>{INNER}<p title='some hidden thing'>Last, with <a title='Read the hidden story' href=x>a link</a>.</p></article></body>"
+    assert textdensity.main_text(page).split("\n") == ["Blog", *STORY, "Last, with a link."]
+
+
+@pytest.mark.parametrize("tag", ["p hidden", "p title='a' hidden", "p HIDDEN=''", 'p style="color:red;display: none"', "p aria-hidden=true", "div role=navigation", "p style=display:none title='x'"])
+def test_hidden_parts_are_left_out(tag):
+    page = f"<body><article><h2>Blog</h2><{tag}>Never seen by any reader.</{tag.split()[0]}>{INNER}</article></body>"
+    assert textdensity.main_text(page).split("\n") == ["Blog", *STORY]
+
+
+@given(st.lists(st.tuples(
+    st.from_regex(r"[a-zA-Z][a-zA-Z0-9:_-]{0,8}", fullmatch=True), st.text(st.characters(codec="utf-8", exclude_characters="\0\r", exclude_categories=["Cs"]), max_size=12), st.sampled_from(["'", '"', "", None]), st.sampled_from(["", " ", "\n"]),
+), max_size=6))
+def test_attributes_equal_those_of_another_parser(given_attributes):
+    """Names and values in any quotes, against the parser of the standard library."""
+    written, texts = [], {}
+    for name, value, quote, space in given_attributes:
+        if quote is None:
+            written.append(name)
+            texts.setdefault(name.lower(), "")
+        else:
+            plain = re.sub(r"[\s\"'<>=`/&]", "", value) or "v" if quote == "" else value.replace(quote, "").replace("&", "")
+            written.append(f"{name}{space}={space}{quote}{plain}{quote}")
+            texts.setdefault(name.lower(), plain)
+    seen = []
+
+    class Other(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            seen.append(attrs)
+
+    rest = " " + " ".join(written)
+    Other().feed(f"<p{rest}>")
+    other: dict = {}
+    for name, value in seen[0]:
+        other.setdefault(name, value or "")
+    assert textdensity._attributes(rest) == texts == other
+
+
+def test_parts_of_articles_with_names_of_other_things():
+    related = "<section id='related'><h2>Related work</h2><p>Others have told this story in other words, and at length.</p></section>"
+    quote = "<blockquote><p>So it goes.</p><footer>An author</footer></blockquote><figure><figcaption>A picture.</figcaption><footer>Its painter</footer></figure>"
+    page = f"<body><article><h2>Blog</h2>{INNER}<p class='comment'>A remark of the author.</p>{related}{quote}<footer>Filed under stories</footer></article></body>"
+    want = ["Blog", *STORY, "A remark of the author.", "Related work", "Others have told this story in other words, and at length.", "So it goes.", "An author", "A picture.", "Its painter"]
+    assert textdensity.main_text(page).split("\n") == want
+    links = "".join(f"<li><a href={i}>Another story, number {i}</a></li>" for i in range(5))
+    readers = "<div class='comments'><h3>Comments</h3><p class='comment'>I read this, and I did not like it.</p></div><ol><li class='comment'>Nor did I.</li></ol>"
+    page = f"<body><article><h2>Blog</h2>{INNER}<div class='related'><h3>Related</h3><ul>{links}</ul></div>{readers}</article></body>"
+    assert textdensity.main_text(page).split("\n") == ["Blog", *STORY]
+
+
 def test_density_finds_articles_without_names():
     """Of the pages of the test table, with classes and sectioning tags taken away, nearly all give their articles."""
     import re
