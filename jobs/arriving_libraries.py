@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from seqcycle.functions.sequences import kmer_tokens
 from seqcycle.operators import counts, harmonic, rollup
+from seqcycle.sources.shared import existing
 
-from .common import columns, command, existing, log
+from .common import columns, command, log
 
 BY = ("library",)
 CELLS = "library string, cycle int, token string, n long, through long, length int"
@@ -100,7 +101,7 @@ def bring_up_to_date(spark: SparkSession, output: str, config: Config) -> None:
 
 def fits(cells: DataFrame, config: Config) -> DataFrame:
     """The period-3 fit of each library, length and base, for lengths of enough reads."""
-    lengths = counts.select_lengths(counts.lengths_in(cells, BY), config.min_read_count)
+    lengths = counts.select_lengths(counts.lengths_in(cells, BY), config.min_read_count).drop("analyzed_read_count")
     dense = harmonic.window(counts.dense(counts.kmers_in(cells, 1, BY), lengths, 1, BY), config.start, config.end).withColumnRenamed("kmer", "base")
     fit = harmonic.fit(dense.join(lengths, [*BY, "length"]), [*BY, "length", "base"], scale=F.max("observed_read_count"))
     return fit.join(lengths.withColumnRenamed("observed_read_count", "reads"), [*BY, "length"]).select([c.split()[0] for c in FITS.split(", ")])

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from dataclasses import asdict, fields
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +28,6 @@ def columns(table: DataFrame, expressions: dict[str, str]) -> DataFrame:
     return table.select(*[F.expr(text).alias(name) for name, text in expressions.items()])
 
 
-def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table that may not have been written yet; an empty one then."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def command(name: str, kind: type, run: Callable, paths: dict[str, str]) -> None:
     """Runs a job from the command line in a session of its own, which ends with it."""
     parser = argparse.ArgumentParser(prog=f"python -m jobs.{name}", description=run.__doc__)

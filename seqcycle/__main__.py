@@ -11,6 +11,7 @@ from .functions.sequences import hashed_offset, is_unambiguous, phase_trimmed
 from .operators import cds, charts, counts, em, harmonic, rollup, simulate, spectrum
 from .plans import composition
 from .sources import detect, sequences, sinks, tables
+from .sources.shared import qualified
 
 
 def _ints(text: str) -> tuple[int, ...]:
@@ -41,7 +42,7 @@ def _parser() -> argparse.ArgumentParser:
     command("compare", ("one", str, None), ("two", str, None), ("--start", int, h.START), ("--end", int, h.END), ("--output", str, ""))
     command(
         "dft", ("input", str, None), ("--length", int, 60), ("--trim5", int, 0), ("--trim3", int, 0), ("--start", int, spectrum.START), ("--end", int, spectrum.END), ("--max-reads", int, 0),
-        ("--collapse-exact", bool, False), ("--output", str, "dft"),
+        ("--collapse-exact", bool, False), ("--output", str, "dft"), ("--which", str, "r1"), ("--input-type", str, "auto"), ("--exclude-duplicates", bool, False),
     )
     command("trim", ("input", str, None), ("outdir", str, None), ("--length", int, 60), ("--five", int, -1), ("--mapped-only", bool, False), ("--min-mapq", int, 0), ("--seed", int, 42))
     command(
@@ -86,7 +87,7 @@ def _compare(spark, a):
 
 
 def _dft(spark, a):
-    reads = detect.reads(spark, a.input)
+    reads = detect.reads(spark, a.input, forced=a.input_type, which=a.which, duplicates=not a.exclude_duplicates)
     wide = counts.positional_frequencies(reads, a.length, a.trim5, a.trim3, collapse_exact=a.collapse_exact, max_reads=a.max_reads)
     total = F.col("A") + F.col("T") + F.col("G") + F.col("C")
     shares = wide.select("cycle", *[(F.col(b) / total).alias(b) for b in ("A", "T", "G", "C")]).cache()
@@ -99,7 +100,7 @@ def _dft(spark, a):
 
 
 def _trim(spark, a):
-    kind = detect.kind([a.input])
+    kind = detect.kind([qualified(spark, a.input)])
     rows = sequences.bam(spark, a.input) if kind == "bam" else sequences.sam(spark, a.input) if kind == "sam" else detect.reads(spark, a.input)
     if kind in ("bam", "sam"):
         if a.mapped_only:
@@ -155,7 +156,7 @@ def _em(spark, a):
 
 
 def _cds(spark, a):
-    kind = detect.kind([a.alignments])
+    kind = detect.kind([qualified(spark, a.alignments)])
     rows = cds.classified((sequences.sam if kind == "sam" else sequences.bam)(spark, a.alignments), tables.gff3(spark, a.gff), min_mapq=a.min_mapq, include_duplicates=a.include_duplicates).cache()
     sinks.fasta(rows.where("reason = 'written'"), f"{a.output}/fasta", cds.fasta_header(rows), "corrected")
     sinks.manifest(spark, {r.reason: r.n for r in cds.funnel(rows).collect()}, f"{a.output}/manifest")
@@ -209,6 +210,8 @@ def _check(a) -> None:
         need(a.five in (-1, 0, 1, 2), "--five is 0, 1 or 2, or -1 for an offset by read")
     if a.command in ("trim", "cds"):
         need(a.min_mapq >= 0, "--min-mapq must not be negative")
+    if a.command in ("dft", "kmer"):
+        need(a.which in ("r1", "r2", "both"), "--which is r1, r2 or both")
     if a.command == "simulate":
         need(a.reads > 0 and a.length > 0, "--reads and --length must be positive")
         need(0 <= a.reverse_share <= 1, "--reverse-share must lie in [0, 1]")

@@ -132,25 +132,36 @@ def joint_cells(reads: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame
 
     At cycle 0 the tokens count the reads themselves, valid and not. So one scan, and one shuffle of at most length x 4^k cells for each length and task, give all
     that ``qc_in``, ``lengths_in`` and ``kmers_in`` derive from the small result. Tokens at a read's last cycles are shorter.
+    Where a row stands for several equal reads (``copies``), ``reads`` counts those and ``n`` the rows.
     """
     kmer_tokens(k)
     fine = is_unambiguous(F.col("seq"))
     cycles = F.when(fine, F.sequence(F.lit(0), F.length("seq"))).otherwise(F.array(F.lit(0)))
-    rows = reads.select(*by, "seq", F.length("seq").alias("length"), fine.alias("fine"), F.explode(cycles).alias("cycle"))
+    copies = ["copies"] if "copies" in reads.columns else []
+    rows = reads.select(*by, *copies, "seq", F.length("seq").alias("length"), fine.alias("fine"), F.explode(cycles).alias("cycle"))
     token = F.when(F.col("cycle") > 0, F.substr("seq", F.col("cycle"), F.lit(k))).otherwise(F.when(F.col("fine"), VALID).otherwise(INVALID))
-    return rows.groupBy(*by, "length", "cycle", token.alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*by, "length", "cycle", token.alias("token")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias("reads") for c in copies])
+
+
+def _reads_of(cells: DataFrame) -> Column:
+    return F.col("reads" if "reads" in cells.columns else "n")
 
 
 def qc_in(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``read_qc`` of the reads that ``joint_cells`` has counted, for each group of ``by``."""
-    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    sums = [count(F.lit(True)).alias("n_total"), count(F.col("token") == VALID).alias("n_valid"), count(F.col("token") == INVALID).alias("n_invalid")]
+    """``read_qc`` of the reads that ``joint_cells`` has counted, for each group of ``by``, with n_duplicates (copies beyond the first) and n_analyzed."""
+    count = lambda c, x=_reads_of(cells): F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast("long")
+    valid, invalid = F.col("token") == VALID, F.col("token") == INVALID
+    sums = [
+        count(valid | invalid).alias("n_total"), count(valid).alias("n_valid"), count(invalid).alias("n_invalid"), (count(valid) - count(valid, F.col("n"))).alias("n_duplicates"),
+        count(valid, F.col("n")).alias("n_analyzed"),
+    ]
     return cells.where("cycle = 0").groupBy(*by).agg(*sums)
 
 
 def lengths_in(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``length_histogram`` of the reads that ``joint_cells`` has counted."""
-    return cells.where((F.col("cycle") == 0) & (F.col("token") == VALID)).groupBy(*by, "length").agg(F.sum("n").alias("observed_read_count"))
+    """``length_histogram`` of the reads that ``joint_cells`` has counted; ``analyzed_read_count`` counts equal reads once if it was given them once."""
+    whole = cells.where((F.col("cycle") == 0) & (F.col("token") == VALID)).groupBy(*by, "length")
+    return whole.agg(F.sum(_reads_of(cells)).alias("observed_read_count"), F.sum("n").alias("analyzed_read_count"))
 
 
 def kmers_in(cells: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:

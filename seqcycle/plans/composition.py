@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, counts, harmonic
 from ..sources import detect, sinks
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -41,11 +42,11 @@ class Settings:
 
 @dataclass
 class Plan:
-    """The tables of a run, not yet computed, and the lengths that it takes."""
+    """The tables of a run, not yet computed but for the cells that all derive from, and the lengths that it takes."""
 
     settings: Settings
     sample: str
-    reads: DataFrame
+    cells: DataFrame
     observed: DataFrame
     lengths: DataFrame
     analyzed: DataFrame
@@ -54,16 +55,32 @@ class Plan:
 
     def explained(self) -> str:
         """The plan's text, for a dry run."""
-        jvm = self.reads.sparkSession._jvm
+        jvm = self.cells.sparkSession._jvm
         mode = jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
         return "\n".join(f"k={k}\n{t._jdf.queryExecution().explainString(mode)}" for k, t in self.tables.items())
 
+    def counters(self) -> DataFrame:
+        """One row: n_total, n_valid, n_invalid, n_duplicates and n_analyzed of the reads scanned, n_lengths taken and n_taken reads of those lengths.
+
+        They are rows of the counting pass itself rather than metrics observed beside it: those of a stage that ran twice, as after the loss of an executor, would count twice.
+        """
+        taken = self.analyzed.agg(F.count(F.lit(1)).alias("n_lengths"), F.coalesce(F.sum("observed_read_count"), F.lit(0)).alias("n_taken"))
+        both = counts.qc_in(self.cells).withColumn("one", F.lit(1)).join(taken.withColumn("one", F.lit(1)), "one")
+        return both.drop("one")
+
+
+def counted(reads: DataFrame, k: int, *, collapse_exact: bool = False) -> DataFrame:
+    """``joint_cells`` of reads, written down: the one scan of the input that lengths, all k-mer tables and all counters come from."""
+    rows = reads.groupBy("seq").agg(F.count(F.lit(1)).alias("copies")) if collapse_exact else reads
+    return written(counts.joint_cells(rows, k), "cells")
+
 
 def planned(spark: SparkSession, settings: Settings, reads: DataFrame | None = None) -> Plan:
-    """Reads are scanned once for their lengths and once for each k; the engine prunes what a table does not need."""
+    """Scans the reads once and plans everything else from their cells."""
     reads = detect.reads(spark, settings.input, which=settings.which, duplicates=not settings.exclude_duplicates) if reads is None else reads
-    reads = counts.capped_scan(reads, settings.max_reads)
-    observed = counts.length_histogram(reads).cache()
+    cells = counted(counts.capped_scan(reads, settings.max_reads), max(settings.k), collapse_exact=settings.collapse_exact)
+    both = counts.lengths_in(cells)
+    observed = both.drop("analyzed_read_count")
     if settings.lengths:
         lengths, missing = counts.requested_lengths(observed, list(settings.lengths))
         absent = [r.length for r in missing.collect()]  # at most as many as were asked for
@@ -74,15 +91,13 @@ def planned(spark: SparkSession, settings: Settings, reads: DataFrame | None = N
         if lengths.limit(1).count() == 0:
             top = ", ".join(f"{r.length}: {r.observed_read_count}" for r in counts.top_lengths(observed).collect())
             raise ValueError(f"no length has {settings.min_read_count} valid reads; the most frequent: {top or 'none'}")
-    valid = counts.valid_reads(reads)
-    used = counts.collapse(valid) if settings.collapse_exact else valid
-    analyzed = counts.length_histogram(used).join(lengths.select("length"), "length", "left_semi") if settings.collapse_exact else lengths
-    plan = Plan(settings, detect.sample_name(settings.input), used, observed, lengths, analyzed)
+    analyzed = both.select("length", F.col("analyzed_read_count").alias("observed_read_count")).join(lengths.select("length"), "length", "left_semi")
+    plan = Plan(settings, detect.sample_name(settings.input), cells, observed, lengths, analyzed)
     for k in settings.k:
-        cells = counts.dense(counts.kmer_counts(used.join(lengths.select("length"), F.length("seq") == F.col("length"), "left_semi"), k), lengths, k)
-        plan.tables[k] = counts.fractions(cells, analyzed, k)
+        table = counts.dense(counts.kmers_in(cells, k).join(lengths.select("length"), "length", "left_semi"), lengths, k)
+        plan.tables[k] = counts.fractions(table, analyzed, k)
         if k == 1 and settings.test:
-            rows = harmonic.window(cells, settings.start, settings.end).withColumnRenamed("kmer", "base").cache()
+            rows = harmonic.window(table, settings.start, settings.end).withColumnRenamed("kmer", "base")
             fits = harmonic.fit(rows.join(analyzed, "length"), ["length", "base"], scale=F.max("observed_read_count"))
             p = harmonic.permutation_p(rows, ["length", "base"], settings.permutations, settings.seed)
             tested = fits.join(p, ["length", "base"], "left").withColumn("p_value", F.when(F.col("status") == "ok", F.col("p_value")))
@@ -91,17 +106,22 @@ def planned(spark: SparkSession, settings: Settings, reads: DataFrame | None = N
 
 
 def run(spark: SparkSession, settings: Settings, reads: DataFrame | None = None) -> Plan:
-    """Computes and writes everything below ``outdir/sample``."""
+    """Computes and writes everything below ``outdir/sample``; with ``skip_existing``, only the lengths that a table does not have yet."""
     plan = planned(spark, settings, reads)
     base = os.path.join(settings.outdir, plan.sample)
+
+    def by_length(df: DataFrame, name: str, kind: str) -> None:
+        sinks.by_length(df, plan.lengths.select("length"), f"{base}/{name}", f"{base}/written", kind=kind, skip_existing=settings.skip_existing)
+
     for k, table in plan.tables.items():
-        sinks.table(table, f"{base}/csv/kmer/k{k}", kind="csv", partition_by=["length"], skip_existing=settings.skip_existing)
-        sinks.table(charts.kmer_profile(table, k), f"{base}/charts/k{k}_profile", kind="csv", skip_existing=settings.skip_existing)
+        by_length(table, f"csv/kmer/k{k}", "csv")
+        by_length(charts.kmer_profile(table, k), f"charts/k{k}_profile", "csv")
     if plan.fits is not None:
-        sinks.table(sinks.fit_json(plan.fits, ["length"], facts={"sample": plan.sample, "alpha": settings.alpha, "permutations": settings.permutations}).select("value"), f"{base}/stats/period3", kind="text", skip_existing=settings.skip_existing)
+        facts = {"sample": plan.sample, "alpha": settings.alpha, "permutations": settings.permutations}
+        by_length(sinks.fit_json(plan.fits, ["length"], facts=facts).select("length", "value"), "stats/period3", "text")
     lengths = counts.length_table(plan.observed, plan.analyzed, settings.min_read_count)
-    sinks.table(lengths, f"{base}/stats/read_lengths", kind="csv", skip_existing=settings.skip_existing)
-    sinks.table(lengths, f"{base}/stats/read_lengths_json", kind="json", skip_existing=settings.skip_existing)
-    qc = counts.read_qc(plan.reads).first().asDict()
-    sinks.manifest(spark, {"sample": plan.sample, "finished": datetime.datetime.now(datetime.UTC).isoformat(), "settings": asdict(settings), "inputs": sinks.digest_all(spark, settings.input.split(",")), "reads": qc}, f"{base}/manifest")
+    for name, kind in (("read_lengths", "csv"), ("read_lengths_json", "json")):
+        sinks.table(lengths, f"{base}/stats/{name}", kind=kind, replace=settings.skip_existing)
+    facts = {"sample": plan.sample, "finished": datetime.datetime.now(datetime.UTC).isoformat(), "settings": asdict(settings), "reads": plan.counters().first().asDict()}
+    sinks.manifest(spark, facts | {"inputs": sinks.digest_all(spark, settings.input.split(","))}, f"{base}/manifest")
     return plan

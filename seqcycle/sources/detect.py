@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sequences
+from .shared import qualified
 from .streams import opened
 
 #: Suffixes of formats, and of mates in the order in which they are tried.
@@ -44,7 +45,7 @@ def kind(paths: list[str], forced: str = "auto") -> str:
 def reads(spark: SparkSession, path: str, *, forced: str = "auto", which: str = "r1", **records: bool) -> DataFrame:
     """Reads of a path, of a comma-separated pair of FASTQ files, or of alignments in sequenced orientation (``records`` says which kinds of them, as ``as_reads`` does)."""
     paths = path.split(",")
-    found = kind(paths, forced)
+    found = kind([qualified(spark, p) for p in paths], forced)
     if len(paths) == 2 and found == "fastq":
         return sequences.paired(spark, *paths, which)
     if found in ("sam", "bam", "cram"):

@@ -1,4 +1,8 @@
-"""Sources of reads: FASTA, FASTQ, SAM and BAM. All give (source, read_id, ordinal, seq, ...) with upper-case sequences."""
+"""Sources of reads: FASTA, FASTQ, SAM and BAM. All give (source, read_id, ordinal, seq, ...) with upper-case sequences.
+
+A record's place in the input is (file, span, ordinal): the rank of its file, in the order of the given paths and by name within a folder; where the part of the file begins in which
+it was read (text that the engine splits); and what grows along that. ``counts.input_order`` names those of a table.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import reverse_complement
+from .shared import qualified
 from .streams import opened, ranges, records, seekable
 
 SPLIT_BYTES = 64_000_000
 REVERSE, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x10, 0x100, 0x200, 0x400, 0x800
 
 
+def _lines(spark: SparkSession, paths: list[str], separator: str | None = None) -> DataFrame:
+    """(source, file, span, ordinal, value) of text records, split by the engine."""
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    text = reader.text(paths)
+    names = text.inputFiles()
+    given = [n for p in paths for n in sorted(spark.read.text(p).inputFiles())] if len(names) > 1 else names
+    rows = text.select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("span"), F.monotonically_increasing_id().alias("ordinal"), "value",
+    )
+    if len(given) < 2:
+        return rows.withColumn("file", F.lit(0))
+    slashes = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    ranks = spark.createDataFrame([(n, k) for k, n in enumerate(dict.fromkeys(given))], "name string, file int").withColumn("name", slashes(F.col("name")))
+    return rows.join(ranks, slashes(F.col("source")) == F.col("name")).drop("name")
+
+
+def _ranked(paths: list[str], parse):
+    """``parse`` with the rank of its path added to each row."""
+    rank = {p: k for k, p in reversed(list(enumerate(paths)))}
+
+    def run(part: str) -> Iterator[tuple]:
+        own = rank[part if part in rank else part.partition(" ")[2]]
+        for row in parse(part):
+            yield (*row, own)
+
+    return run
+
+
 def fasta(spark: SparkSession, paths: str | list[str], *, allow_headerless: bool = False, keep_empty: bool = False) -> DataFrame:
     """Records of FASTA text, split at their headers by the engine, so one large file is read by many tasks.
 
@@ -22,15 +55,14 @@ def fasta(spark: SparkSession, paths: str | list[str], *, allow_headerless: bool
     grows along each split of a file.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    text = spark.read.option("lineSep", "\n>").text(paths)
-    rows = text.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("ordinal"), F.regexp_replace("value", "\r", "").alias("v"))
-    if not allow_headerless and (bad := _headerless(spark, text.inputFiles())):
+    rows = _lines(spark, paths, "\n>").withColumn("v", F.regexp_replace("value", "\r", ""))
+    if not allow_headerless and (bad := _headerless(spark, spark.read.text(paths).inputFiles())):
         raise ValueError(f"{bad} has sequence before its first header")
     headed = F.when(F.ltrim("v").startswith(">"), F.regexp_replace("v", r"^\s*>", "")).otherwise(F.col("v"))
     header = F.split(headed, "\n", 2)
     seq = F.upper(F.regexp_replace(F.coalesce(F.get(header, F.lit(1)), F.lit("")), r"\s", ""))
-    out = rows.select("source", "ordinal", F.get(header, F.lit(0)).alias("description"), seq.alias("seq"))
-    out = out.select("source", F.split("description", r"\s", 2)[0].alias("read_id"), "ordinal", "seq", "description")
+    out = rows.select("source", "file", "span", "ordinal", F.get(header, F.lit(0)).alias("description"), seq.alias("seq"))
+    out = out.select("source", F.split("description", r"\s", 2)[0].alias("read_id"), "ordinal", "seq", "description", "file", "span")
     return out if keep_empty else out.where("seq <> ''")
 
 
@@ -91,16 +123,17 @@ def _fastq(part: str) -> Iterator[tuple]:
 
 def fastq(spark: SparkSession, paths: str | list[str], *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of FASTQ text, plain or gzip; ``ordinal`` is a record's first byte in the plain text. A plain file is read in parts of ``split_bytes``, each by a task of its own."""
-    paths = [paths] if isinstance(paths, str) else paths
-    return records(spark, ranges(paths, split_bytes), _fastq, "source string, read_id string, ordinal long, seq string, qual string, description string")
+    paths = [qualified(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
+    return records(spark, ranges(paths, split_bytes), _ranked(paths, _fastq), "source string, read_id string, ordinal long, seq string, qual string, description string, file int")
 
 
-def paired(spark: SparkSession, one: str, two: str, which: str = "r1") -> DataFrame:
-    """The reads of a pair of FASTQ files: r1, r2, or both, the first mates before the second."""
+def paired(spark: SparkSession, one: str | list[str], two: str | list[str], which: str = "r1") -> DataFrame:
+    """The reads of paired FASTQ files (one or several of each mate): r1, r2, or both, the first mates before the second in input order."""
     if which not in ("r1", "r2", "both"):
         raise ValueError("which is r1, r2 or both")
-    mates = [fastq(spark, p).withColumn("mate", F.lit(k)) for k, p in ((1, one), (2, two)) if which in (f"r{k}", "both")]
-    return mates[0] if len(mates) == 1 else mates[0].unionByName(mates[1])
+    files = [(k, p) for k, given in ((1, one), (2, two)) if which in (f"r{k}", "both") for p in ([given] if isinstance(given, str) else given)]
+    firsts = sum(k == 1 for k, _ in files)
+    return fastq(spark, [p for _, p in files]).withColumn("mate", F.when(F.col("file") < firsts, 1).otherwise(2))
 
 
 SAM_COLUMNS = ("read_id", "flag", "contig", "ref_start", "mapq", "cigar", "seq", "qual", "tags")
@@ -108,17 +141,17 @@ SAM_COLUMNS = ("read_id", "flag", "contig", "ref_start", "mapq", "cigar", "seq",
 
 def sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Alignments of SAM text: read_id, flag, mapq, contig, ref_start and ref_end (0-based, half-open), cigar, seq, qual, tags."""
-    lines = spark.read.text([paths] if isinstance(paths, str) else paths).where(~F.col("value").startswith("@") & (F.trim("value") != ""))
+    lines = _lines(spark, [paths] if isinstance(paths, str) else paths).where(~F.col("value").startswith("@") & (F.trim("value") != ""))
     f = F.split(F.regexp_replace("value", "\r$", ""), "\t", 12)
     checked = F.when(F.size(f) >= 11, f).otherwise(F.raise_error(F.lit("a SAM line has fewer than 11 fields")).cast("array<string>"))
-    rows = lines.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("ordinal"), checked.alias("f"))
+    rows = lines.select("source", "file", "span", "ordinal", checked.alias("f"))
     start = F.col("f")[3].cast("long") - 1
     # a tag TAG:TYPE:VALUE becomes TAG -> TYPE:VALUE
     tags = F.when(F.size("f") > 11, F.str_to_map(F.get("f", F.lit(11)), F.lit("\t"), F.lit(":")))
     star = lambda c: F.when(c != "*", c)
     out = rows.select(
         "source", F.col("f")[0].alias("read_id"), "ordinal", F.col("f")[1].cast("int").alias("flag"), F.col("f")[4].cast("int").alias("mapq"), star(F.col("f")[2]).alias("contig"),
-        start.alias("ref_start"), star(F.col("f")[5]).alias("cigar"), F.upper(star(F.col("f")[9])).alias("seq"), star(F.col("f")[10]).alias("qual"), tags.alias("tags"),
+        start.alias("ref_start"), star(F.col("f")[5]).alias("cigar"), F.upper(star(F.col("f")[9])).alias("seq"), star(F.col("f")[10]).alias("qual"), tags.alias("tags"), "file", "span",
     )
     return out.withColumn("ref_end", F.col("ref_start") + reference_length(F.col("cigar")))
 
@@ -202,8 +235,9 @@ def bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for p in paths:
         if p.lower().endswith(".cram"):
             raise ValueError("CRAM is not supported; convert it to BAM or SAM")
-    schema = "source string, read_id string, ordinal long, flag int, mapq int, contig string, ref_start long, ref_end long, cigar string, seq string, qual string, tags map<string,string>"
-    return records(spark, paths, _bam, schema)
+    paths = [qualified(spark, p) for p in paths]
+    schema = "source string, read_id string, ordinal long, flag int, mapq int, contig string, ref_start long, ref_end long, cigar string, seq string, qual string, tags map<string,string>, file int"
+    return records(spark, paths, _ranked(paths, _bam), schema)
 
 
 def as_reads(alignments: DataFrame, *, secondary: bool = False, supplementary: bool = False, qc_fail: bool = False, duplicates: bool = True) -> DataFrame:

@@ -13,19 +13,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import existing, qualified
 from .streams import located, records
 
 
-def table(df: DataFrame, path: str, *, kind: str = "parquet", partition_by: list[str] | None = None, skip_existing: bool = False) -> None:
-    """Writes a table as parquet, csv, tsv or json; existing output is left alone with ``skip_existing``, else an error."""
+def _options(kind: str) -> dict:
     exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # values are written as they are
-    options = {"header": True, "sep": "\t" if kind == "tsv" else ",", **exact} if kind in ("csv", "tsv") else {}
-    writer = df.write.mode("ignore" if skip_existing else "errorifexists").options(**options)
+    return {"header": True, "sep": "\t" if kind == "tsv" else ",", **exact} if kind in ("csv", "tsv") else {}
+
+
+def table(df: DataFrame, path: str, *, kind: str = "parquet", partition_by: list[str] | None = None, skip_existing: bool = False, replace: bool = False) -> None:
+    """Writes a table as parquet, csv, tsv or json; existing output is left alone with ``skip_existing``, replaced with ``replace``, else an error."""
+    writer = df.write.mode("ignore" if skip_existing else "overwrite" if replace else "errorifexists").options(**_options(kind))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.format("csv" if kind == "tsv" else kind).save(path)
 
 
+def by_length(df: DataFrame, lengths: DataFrame, path: str, done: str, *, kind: str, skip_existing: bool = False) -> None:
+    """Writes a table with a column ``length`` in partitions of it; with ``skip_existing``, only those of the ``lengths`` that are not there yet.
+
+    The table ``done`` (path, length) notes what has been written whole. Partitions that a run left unfinished are not in it, so the next run replaces them.
+    Texts, one for each length, stand in one folder and are added to it.
+    """
+    spark = df.sparkSession
+    there = existing(spark, done, "path string, length int").where(F.col("path") == path).select("length")
+    wanted = [r.length for r in lengths.join(there, "length", "left_anti").collect()] if skip_existing else [r.length for r in lengths.collect()]  # lengths of reads
+    if not wanted:
+        return
+    missing = spark.createDataFrame([(n,) for n in wanted], "length int")
+    rows = df.join(missing, "length", "left_semi").hint("rebalance", "length")
+    if kind == "text":
+        rows.select("value").write.mode("append" if skip_existing else "errorifexists").text(path)
+    else:
+        mode = {"partitionOverwriteMode": "dynamic"} if skip_existing else {}
+        rows.write.mode("overwrite" if skip_existing else "errorifexists").options(**_options(kind), **mode).partitionBy("length").format("csv" if kind == "tsv" else kind).save(path)
+    missing.select(F.lit(path).alias("path"), "length").coalesce(1).write.mode("append").parquet(done)
+
+
 def fasta(df: DataFrame, path: str, header: Column, seq: str = "seq") -> None:
     df.select(F.concat(F.lit(">"), header, F.lit("\n"), F.col(seq)).alias("value")).write.text(path)
 
@@ -44,6 +69,8 @@ def tree(df: DataFrame, folder: str, name: str) -> None:
     Tasks write the files, each under a name of its own that is moved into place, so a repeated task leaves the same files.
     """
 
+    folder = qualified(df.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -76,7 +103,8 @@ def digest_all(spark: SparkSession, paths: list[str]) -> dict[str, str]:
                 total.update(part)
         yield (path, total.hexdigest())
 
-    return {r.path: r.sha256 for r in records(spark, paths, run, "path string, sha256 string").collect()}
+    uris = {qualified(spark, p): p for p in paths}
+    return {uris[r.path]: r.sha256 for r in records(spark, list(uris), run, "path string, sha256 string").collect()}
 
 
 def trimmed_header(df: DataFrame) -> Column:
@@ -124,6 +152,7 @@ def _packed(name: str, flag: int, seq: str, qual: str | None, tags: list[tuple[s
 
 def bam(df: DataFrame, folder: str, keep_tags: list[str]) -> list[str]:
     """Writes reads as unmapped records of BAM files, one for each task, and returns their names; flags and tags are those of ``sam_lines``."""
+    folder = qualified(df.sparkSession, folder)
     paired = F.col("flag").bitwiseAND(0x1) != 0
     flag = F.col("flag").bitwiseAND(0x1 | 0x40 | 0x80 | 0x200 | 0x400).bitwiseOR(0x4).bitwiseOR(F.when(paired, 0x8).otherwise(0))
     trim = F.concat(F.lit("Z:"), F.col("trim5"), F.lit(","), F.col("trim3"))

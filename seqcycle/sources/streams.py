@@ -36,7 +36,7 @@ def seekable(path: str) -> io.BufferedReader:
 
 
 def ranges(paths: list[str], size: int) -> list[str]:
-    """Names of byte ranges, ``FIRST-END PATH``: plain files in parts of ``size`` bytes, compressed ones whole (``0-``)."""
+    """Names of byte ranges, ``FIRST-END PATH``, in the order of the input: plain files in parts of ``size`` bytes, compressed ones whole (``0-``)."""
     out = []
     for path in paths:
         system, name = located(path)
@@ -49,7 +49,10 @@ def ranges(paths: list[str], size: int) -> list[str]:
 
 
 def records(spark: SparkSession, paths: list[str], parse: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that ``parse`` yields for each path (or range of one), one task for each, in batches; nothing holds a whole file."""
+    """The rows that ``parse`` yields for each path (or range of one), one task for each, in batches; nothing holds a whole file.
+
+    Paths are URIs (``shared.qualified``), so that driver and executors mean the same file.
+    """
     names = [c.strip().split()[0] for c in schema.split(",")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "map<string": pa.map_(pa.string(), pa.string())}
     types = [kinds[c.strip().split()[1]] for c in schema.replace("map<string,string>", "map<string").split(",")]
