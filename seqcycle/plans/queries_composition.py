@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, hashed_offset, is_unambiguous, kmer_tokens, phase_trimmed, reverse_complement
 from ..operators import charts, counts, harmonic, spectrum
-from . import demo
+from . import composition, demo
 
 #: Lengths with fewer valid reads are left out; the fixtures are small.
 MIN_READS = 5
@@ -58,6 +58,20 @@ def _kmers(k: int):
     return query
 
 
+def one_scan_kmers(spark, sf_dir):
+    """The k-mer tables for k = 1, 2, 3, all from the cells of one scan."""
+    cells = composition.counted(demo.reads(spark, sf_dir), 3)
+    parts = [counts.kmers_in(cells, k).select(F.lit(k).cast("long").alias("k"), *[F.col(c).cast("long").alias(c) for c in ("length", "cycle")], "kmer", "n") for k in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def run_counters(spark, sf_dir):
+    """What the manifest of a run over all reads says of them, equal reads counted once."""
+    rows = demo.reads(spark, sf_dir)
+    twice = rows.unionByName(rows.where("ordinal % 5 = 0"))
+    return composition.planned(spark, composition.Settings("reads", min_read_count=MIN_READS, collapse_exact=True, test=False), twice).counters()
+
+
 def kmer_dense(spark, sf_dir):
     cells, _ = _cells(spark, sf_dir, 2)
     return cells.select(F.col("length").cast("long").alias("length"), F.col("cycle").cast("long").alias("cycle"), "kmer", "n")
@@ -159,8 +173,9 @@ def profile_compare(spark, sf_dir):
     cells, _ = _cells(spark, sf_dir)
     means = harmonic.phase_means(harmonic.window(cells), ["length", "kmer"]).withColumnRenamed("kmer", "base")
     other = means.where("length = 60").select("base", "phase", "mean")
-    lengths = means.select("length").distinct()
-    two = lengths.join(other.withColumn("one", F.lit(60)), F.col("one") == 60).drop("one")
+    lengths = F.array_sort(F.collect_set("length"))  # a handful
+    every = means.agg(lengths.alias("lengths")).withColumn("base", F.explode(F.array(*map(F.lit, BASES))))
+    two = other.join(every, "base").select(F.explode("lengths").alias("length"), "base", "phase", "mean")
     rows = harmonic.compare(means, two, ["length"])
     columns = ["similarity_percent", *[f"similarity_{b}" for b in BASES]]
     return rows.select(F.col("length").cast("long").alias("length"), F.col("best_shift").cast("long").alias("best_shift"), *[F.round(c, 6).alias(c) for c in columns])
@@ -191,7 +206,7 @@ def spectral_r2(spark, sf_dir):
 
 QUERIES = {
     "read_qc": read_qc, "length_histogram": length_histogram, "select_lengths": select_lengths, "top_lengths": top_lengths, "requested_lengths": requested_lengths,
-    "length_table": length_table, "k1_counts": _kmers(1), "k2_counts": _kmers(2), "k3_counts": _kmers(3), "kmer_dense": kmer_dense, "k1_fractions": k1_fractions, "chart_kmer_profile": chart_kmer_profile,
+    "length_table": length_table, "k1_counts": _kmers(1), "k2_counts": _kmers(2), "k3_counts": _kmers(3), "one_scan_kmers": one_scan_kmers, "run_counters": run_counters, "kmer_dense": kmer_dense, "k1_fractions": k1_fractions, "chart_kmer_profile": chart_kmer_profile,
     "collapse_exact": _collapsed("sequence"), "dedup_seq_rc": _collapsed("seq_rc"), "dedup_hash64": _collapsed("hash64"), "dedup_hash64_rc": _collapsed("hash64_rc"), "dedup_capped": dedup_capped,
     "revcomp": revcomp, "fixed_trim": fixed_trim, "trim_frequencies": trim_frequencies, "trim_counters": trim_counters, "phase_redistribute_hash": phase_redistribute_hash,
     "phase_means": phase_means, "harmonic_fit": harmonic_fit, "cycle_window_status": cycle_window_status, "permutation_p": permutation_p, "holm_adjusted": holm_adjusted,
@@ -270,6 +285,11 @@ ORACLE_SQL = {
 a AS (SELECT length(seq)::BIGINT AS length, count(DISTINCT seq) AS m FROM valid WHERE length(seq) <> 58 GROUP BY ALL)
 SELECT length, coalesce(n, 0) AS observed_read_count, coalesce(m, 0) AS analyzed_read_count, coalesce(m, 0) > 0 AS processed, coalesce(n, 0) >= {MIN_READS} AS passed_min_read_count FROM o FULL JOIN a USING (length)""",
     **{f"k{k}_counts": f"WITH {_VALID} {_counts_sql(k)}" for k in (1, 2, 3)},
+    "one_scan_kmers": f"WITH {_VALID} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, * FROM ({_counts_sql(k)})" for k in (1, 2, 3)),
+    "run_counters": f"""WITH {_VALID}, t AS (SELECT * FROM reads UNION ALL SELECT * FROM reads WHERE ordinal % 5 = 0), v AS (SELECT * FROM t WHERE regexp_full_match(seq, '[ACGT]+')),
+l AS (SELECT length(seq) AS length, count(DISTINCT seq) AS n FROM v GROUP BY ALL HAVING count(*) >= {MIN_READS})
+SELECT (SELECT count(*) FROM t) AS n_total, count(*) AS n_valid, (SELECT count(*) FROM t) - count(*) AS n_invalid, count(*) - count(DISTINCT seq) AS n_duplicates, count(DISTINCT seq) AS n_analyzed,
+  (SELECT count(*) FROM l) AS n_lengths, (SELECT sum(n) FROM l)::BIGINT AS n_taken FROM v""",
     "kmer_dense": f"WITH {_LENGTHS} {_dense_sql(2).replace(', kmer, coalesce', ', k.kmer, coalesce')}",
     "chart_kmer_profile": f"WITH {_CELLS} SELECT length, cycle, base AS kmer, round(sum(n) / max(reads)::DOUBLE, 9) AS fraction FROM cells JOIN lengths USING (length) GROUP BY length, cycle, base",
     "k1_fractions": f"WITH {_CELLS} SELECT length, cycle, " + ", ".join(f"round(sum(n) FILTER (base = '{b}') / max(reads)::DOUBLE, 9) AS {b}" for b in BASES) + " FROM cells JOIN lengths USING (length) GROUP BY length, cycle",

@@ -42,15 +42,39 @@ def fastq_gzip_file(spark, sf_dir):
     return fastq_file(spark, sf_dir, "gzip")
 
 
-def paired_files(spark, sf_dir):
-    """Both mates of a pair of files, the second ones reversed."""
-    reads = _reads(spark, sf_dir).withColumn("qual", _qualities()).coalesce(1)
+def _mates(spark, sf_dir) -> list[list[str]]:
+    """Both mates in files of their own, the second ones reversed; the files of a mate follow each other in the order of the reads."""
+    reads = _reads(spark, sf_dir).withColumn("qual", _qualities()).orderBy("ordinal")
     paths = []
     for mate, rows in ((1, reads), (2, reads.withColumn("seq", F.reverse("seq")).withColumn("qual", F.reverse("qual")))):
         folder = new_folder(spark, f"mate{mate}")
         sinks.fastq(rows, folder, F.col("read_id"))
-        paths += part_files(spark, folder)
-    return sequences.paired(spark, *paths, which="both").select("read_id", "mate", "seq")
+        paths.append(part_files(spark, folder))
+    return paths
+
+
+def paired_files(spark, sf_dir):
+    """Both mates of pairs of files."""
+    return sequences.paired(spark, *_mates(spark, sf_dir), which="both").select("read_id", "mate", "seq")
+
+
+def _capped(spark, sf_dir, reads: DataFrame) -> DataFrame:
+    """The first three quarters of all records, by counting in ranges rather than by sorting."""
+    return counts.first_rows(reads, reads.count() * 3 // 4, few=0)
+
+
+def capped_mates(spark, sf_dir):
+    """Records in input order under a cap: all of the first mates before any of the second."""
+    return _capped(spark, sf_dir, sequences.paired(spark, *_mates(spark, sf_dir), which="both")).select("read_id", "mate", "seq")
+
+
+def capped_files(spark, sf_dir):
+    """The same over two folders of FASTA files in the order given."""
+    folders = []
+    for odd in (1, 0):
+        folders.append(new_folder(spark, "half"))
+        sinks.fasta(_reads(spark, sf_dir).where(F.col("ordinal") % 2 == odd).orderBy("ordinal"), folders[-1], F.col("read_id"))
+    return _capped(spark, sf_dir, sequences.fasta(spark, folders)).select("read_id", "seq")
 
 
 def sam_file(spark, sf_dir):
@@ -106,7 +130,7 @@ def simulation_file(spark, sf_dir):
 def json_tree(spark, sf_dir):
     """Result files in a tree of folders: each sample's fits by length, found and parsed again."""
     folder = new_folder(spark, "tree")
-    rows = demo.lengths(spark, sf_dir).where("read_length <= 32")
+    rows = demo.lengths(spark, sf_dir)
     fits = F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.struct(b.alias("base"), F.col("mean_r2").alias("r2")))
     content = F.to_json(F.struct(F.lit("fits").alias("kind"), fits.alias("fits")))
     names = rows.select(F.concat_ws("/", F.lit("stats"), "sample", F.lit("kmer"), F.concat(F.lit("L"), "read_length")).alias("place"), content.alias("value"))
@@ -150,7 +174,7 @@ def trim_run_counters(spark, sf_dir):
 
 
 QUERIES = {
-    "fasta_file": fasta_file, "fastq_file": fastq_file, "fastq_gzip_file": fastq_gzip_file, "paired_files": paired_files, "sam_file": sam_file, "sam_reads": sam_reads, "gff3_file": gff3_file, "one_mer_file": one_mer_file,
+    "fasta_file": fasta_file, "fastq_file": fastq_file, "fastq_gzip_file": fastq_gzip_file, "paired_files": paired_files, "capped_mates": capped_mates, "capped_files": capped_files, "sam_file": sam_file, "sam_reads": sam_reads, "gff3_file": gff3_file, "one_mer_file": one_mer_file,
     "metadata_file": metadata_file, "simulation_file": simulation_file, "json_tree": json_tree, "trimmed_fastq_file": trimmed_fastq_file, "trimmed_sam_file": trimmed_sam_file, "trimmed_bam_file": trimmed_bam_file, "trim_run_counters": trim_run_counters,
 }
 
@@ -166,6 +190,9 @@ ORACLE_SQL = {
     "fastq_file": _FASTQ,
     "fastq_gzip_file": _FASTQ,
     "paired_files": f"WITH r AS ({demo.READS}) SELECT read_id, 1 AS mate, seq FROM r UNION ALL SELECT read_id, 2, reverse(seq) FROM r",
+    "capped_mates": f"""WITH r AS ({demo.READS}), m AS (SELECT read_id, 1 AS mate, seq, ordinal FROM r UNION ALL SELECT read_id, 2, reverse(seq), ordinal FROM r)
+SELECT read_id, mate, seq FROM m QUALIFY row_number() OVER (ORDER BY mate, ordinal) <= (SELECT count(*) * 3 // 4 FROM m)""",
+    "capped_files": f"WITH r AS ({demo.READS}) SELECT read_id, seq FROM r QUALIFY row_number() OVER (ORDER BY ordinal % 2 DESC, ordinal) <= (SELECT count(*) * 3 // 4 FROM r)",
     "sam_file": f"WITH a AS ({demo.ALIGNMENTS}) SELECT read_id, flag, mapq, contig, ref_start, ref_start + regexp_extract(cigar, '^([0-9]+)M', 1)::BIGINT + CASE WHEN cigar LIKE '%I%' THEN 2 ELSE 0 END AS ref_end, cigar, seq, 'Z:a:b' AS rg FROM a",
     "sam_reads": f"WITH a AS ({demo.ALIGNMENTS}) SELECT read_id, flag, CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGTN', 'TGCAN')) ELSE seq END AS seq FROM a WHERE flag & 2816 = 0 AND seq IS NOT NULL",
     "gff3_file": f"""WITH f AS ({demo.FEATURES}) SELECT contig, start, "end", strand, phase, CASE WHEN phase < 2 THEN identifier ELSE contig || ':' || start || '-' || "end" || ':' || strand END AS identifier FROM f""",
@@ -173,7 +200,7 @@ ORACLE_SQL = {
 SELECT i AS cycle, """ + ", ".join(f"round(count(*) FILTER (substring(seq, i, 1) = '{b}') / (SELECT count(*) FROM v)::DOUBLE, 9) AS {b}" for b in "ATGC") + " FROM c GROUP BY i",
     "metadata_file": f"WITH m AS ({demo.METADATA}) SELECT " + ", ".join(f"CASE WHEN {c} NOT IN ({_MISSING}) THEN {c} END AS {c}" for c in ("archive_data_accession", "library_name", "project_name", "material", "region")) + " FROM m",
     "simulation_file": f"SELECT genome, bias_5prime, bias_3prime, replicate, base, round(r2, 9) AS r2 FROM ({demo.SIMULATIONS})",
-    "json_tree": f"SELECT sample, read_length::BIGINT AS read_length, base, round(mean_r2, 9) AS r2 FROM ({demo.LENGTHS}), (VALUES ('A'), ('C'), ('G'), ('T')) AS b(base) WHERE read_length <= 32",
+    "json_tree": f"SELECT sample, read_length::BIGINT AS read_length, base, round(mean_r2, 9) AS r2 FROM ({demo.LENGTHS}), (VALUES ('A'), ('C'), ('G'), ('T')) AS b(base)",
     "trimmed_fastq_file": f"SELECT read_id, seq, {_Q.format('seq')} AS qual, read_id || ' d phase_trim5=' || trim5 || ' trim3=' || trim3 AS description FROM ({_TRIM})",
     "trimmed_sam_file": f"""SELECT read_id, CASE WHEN substring(read_id, 2)::BIGINT % 2 = 0 THEN 77 ELSE 516 END AS flag, 0 AS mapq, NULL::VARCHAR AS contig, seq, {_Q.format('seq')} AS qual,
   'Z:g' AS rg, 'Z:' || trim5 || ',' || trim3 AS zt, false AS other FROM ({_TRIM})""",
