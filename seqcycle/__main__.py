@@ -11,7 +11,7 @@ from .functions.sequences import hashed_offset, is_unambiguous, phase_trimmed
 from .operators import cds, charts, counts, em, harmonic, rollup, simulate, spectrum
 from .plans import composition
 from .sources import detect, sequences, sinks, tables
-from .sources.shared import qualified
+from .sources.shared import qualified, written
 
 
 def _ints(text: str) -> tuple[int, ...]:
@@ -126,13 +126,13 @@ def _em(spark, a):
     reads = detect.reads(spark, a.input, **kinds)
     inputs = sinks.digest_all(spark, a.input.split(","))
     effective = {n: n - a.trim5 - a.trim3 for n in a.lengths}
-    every = em.profiles(reads, list(effective), trim5=a.trim5, trim3=a.trim3, dedup=a.dedup, cap=a.cap, allow_ambiguous=a.allow_ambiguous).cache()
+    every = written(em.profiles(reads, list(effective), trim5=a.trim5, trim3=a.trim3, dedup=a.dedup, cap=a.cap, allow_ambiguous=a.allow_ambiguous), "profiles")
     fits = em.fit_all(every, effective, restarts=a.restarts, seeds={n: a.seed + n * 10007 for n in effective}, alpha=a.alpha, max_iter=a.max_iter, tolerance=a.tolerance)
     distributions = []
     for length, fit in fits.items():
         rows, effective = every.where(F.col("length") == length), length - a.trim5 - a.trim3
         found = em.canonical(fit.p, effective, a.canonicalize)
-        raw = em.gaps(em.e_step(rows, fit.p, effective)).cache()
+        raw = em.gaps(em.e_step(rows, fit.p, effective))
         named = raw.withColumns({c: em.renumbered(F.col(c), found.states) for c in ("state", "runnerup")})
         names = "length int, effective_length int, position_class int, base string, prob double, canonicalization_mode string, canonical_rotation int, canonical_rc_flip boolean"
         out = {

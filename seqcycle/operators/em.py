@@ -2,12 +2,13 @@
 
 A read is its 12 counts of A, C, G, T at positions of remainder 0, 1, 2 (columns ``c0`` to ``c11``, in that order). Counts of the reverse
 complement are a permutation of those of the read, so both orientations score from the same columns. Reads with equal counts are
-one row with a ``weight``. All rows of a table have one length. The parameters are 12 probabilities, so a step is one projection with literal
-logarithms and one sum of 12 columns for each state; assignments follow from the parameters and are never stored.
+one row with a ``weight``. The parameters are 12 probabilities, so a step is one projection with their logarithms (literal, or columns of a small table of
+restarts) and one sum of 12 columns for each state; assignments follow from the parameters and are never stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,17 +53,22 @@ def _count(effective: int, sign: int, remainder: int, base: int) -> Column:
     return F.col(f"c{4 * ((effective - 1 - remainder) % 3) + _COMPLEMENT[base]}")
 
 
-def scores(p: np.ndarray, effective: int) -> list[Column]:
-    """The log likelihoods of the six states under ``p`` (3 position classes by 4 bases)."""
-    log = np.log(np.asarray(p, float))
+def _scores(count: Callable[[int, int, int], Column], log: Callable[[int, int], Column]) -> list[Column]:
+    """The log likelihoods of the six states from counts (sign, remainder, base) and log probabilities (position class, base)."""
     out = []
     for sign in (1, -1):
         for offset in range(3):
-            terms = [_count(effective, sign, r, b) * F.lit(float(log[(r + offset) % 3, b])) for r in range(3) for b in range(4)]
+            terms = [count(sign, r, b) * log((r + offset) % 3, b) for r in range(3) for b in range(4)]
             out.append(sum(terms[1:], terms[0]))
     return out
 
 
+def scores(p: np.ndarray, effective: int) -> list[Column]:
+    """The log likelihoods of the six states under ``p`` (3 position classes by 4 bases)."""
+    log = np.log(np.asarray(p, float))
+    return _scores(lambda sign, r, b: _count(effective, sign, r, b), lambda q, b: F.lit(float(log[q, b])))
+
+
 def first_largest(values: list[Column]) -> Column:
     """The place of the first of the largest values."""
     return (F.array_position(F.array(*values), F.greatest(*values)) - 1).cast("int")
@@ -75,14 +81,18 @@ def e_step(rows: DataFrame, p: np.ndarray, effective: int) -> DataFrame:
     return scored.select("*", first_largest(values).alias("state"), F.greatest(*values).alias("ll"))
 
 
-def totals(assigned: DataFrame, keys: list[str], effective: int, *extra: Column) -> DataFrame:
-    """(keys, t0..t11, ll, n, extra): sums over all reads of the counts that their states add to the position classes."""
+def totals(assigned: DataFrame, keys: list[str], effective: int) -> DataFrame:
+    """(keys, t0..t11, ll, n): sums over all reads of the counts that their states add to the position classes."""
+    return _totals(assigned, keys, lambda sign, r, b: _count(effective, sign, r, b))
+
+
+def _totals(assigned: DataFrame, keys: list[str], count: Callable[[int, int, int], Column], *extra: Column) -> DataFrame:
     cells: list[list[Column]] = [[None] * 6 for _ in range(12)]
     for state in range(6):
         sign, offset = (1, -1)[state // 3], state % 3
         for r in range(3):
             for b in range(4):
-                cells[4 * ((r + offset) % 3) + b][state] = _count(effective, sign, r, b)
+                cells[4 * ((r + offset) % 3) + b][state] = count(sign, r, b)
     sums = []
     for i, by_state in enumerate(cells):
         cell = by_state[0]
@@ -125,11 +135,37 @@ class Fit:
         return self.trace[-1]
 
 
+def parameters(spark, moving: list[tuple[int, int, Fit]]) -> DataFrame:
+    """(length, seed, turn, l0..l11, first, o0..o11): the logarithms of each restart's parameters and of those before them, and by how much its length turns the reverse strand."""
+    names = ["length int", "seed long", "turn int", *[f"l{i} double" for i in range(12)], "first boolean", *[f"o{i} double" for i in range(12)]]
+    logs = lambda p: [float(x) for x in np.log(np.asarray(p, float)).ravel()]
+    rows = [(n, f.seed, (effective - 1) % 3, *logs(f.p), f.before is None, *logs(f.p if f.before is None else f.before)) for n, effective, f in moving]
+    return spark.createDataFrame(rows, ", ".join(names))
+
+
+def _step(rows: DataFrame, moving: list[tuple[int, int, Fit]]) -> DataFrame:
+    """(length, seed, t0..t11, ll, n, changed) of one step of all given restarts (length, effective length, fit)."""
+    table = parameters(rows.sparkSession, moving)
+    both = rows.join(F.broadcast(table), "length")  # as many rows as restarts, which the caller has in its own list
+    # On the reverse strand, a remainder r is counted where the read has turn - r and the complement.
+    turned = [F.element_at(F.array(*[F.col(f"c{4 * ((turn - r) % 3) + _COMPLEMENT[b]}") for turn in range(3)]), F.col("turn") + 1).alias(f"d{4 * r + b}") for r in range(3) for b in range(4)]
+    count = lambda sign, r, b: F.col(f"{'c' if sign > 0 else 'd'}{4 * r + b}")
+    now, before = (_scores(count, lambda q, b, x=x: F.col(f"{x}{4 * q + b}")) for x in "lo")
+    scored = both.select("*", *turned).select(
+        "length", "seed", "weight", "first", *_CELLS, *[f"d{i}" for i in range(12)], *[s.alias(f"s{i}") for i, s in enumerate(now)], *[s.alias(f"p{i}") for i, s in enumerate(before)],
+    )
+    values = [F.col(f"s{i}") for i in range(6)]
+    states = scored.withColumn("state", first_largest(values)).withColumn("ll", F.greatest(*values))
+    moved = F.col("first") | (first_largest([F.col(f"p{i}") for i in range(6)]) != F.col("state"))
+    return _totals(states, ["length", "seed"], count, F.max(moved).alias("changed"))
+
+
 def fit_all(rows: DataFrame, effective: dict[int, int], *, restarts: int = RESTARTS, seeds: dict[int, int] | None = None, alpha: float = ALPHA, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> dict[int, Fit]:
     """For each raw length of ``effective`` (its length after trims), the best of ``restarts`` fits: the largest score, then the smallest seed.
 
-    All restarts of all lengths that still move advance together in one pass over the profiles. A pass tells, for each, the new sums and
-    whether any read's state differs from its state under the parameters before; a restart stops when none does.
+    All restarts of all lengths that still move advance together: their parameters are a small table, a row for each, which is joined to the profiles by
+    length, and one aggregate by length and restart gives the new sums and whether any read's state differs from its state under the parameters before; a restart
+    stops when none does. A step reads the profiles once, however many restarts there are; ``rows`` should be written down, or each reads what they come from.
     """
     bases = [F.sum((F.col(f"c{b}") + F.col(f"c{4 + b}") + F.col(f"c{8 + b}")) * F.col("weight")).alias(f"b{b}") for b in range(4)]
     counts = {r.length: np.array([r.b0, r.b1, r.b2, r.b3], float) for r in rows.groupBy("length").agg(*bases).collect()}  # a row for each length
@@ -141,15 +177,7 @@ def fit_all(rows: DataFrame, effective: dict[int, int], *, restarts: int = RESTA
         moving = [(n, f) for n, own in fits.items() for f in own if not f.stable]
         if not moving:
             break
-        parts = []
-        for n, f in moving:
-            changed = F.lit(True) if f.before is None else first_largest(scores(f.before, effective[n])) != F.col("state")
-            own = e_step(rows.where(F.col("length") == n), f.p, effective[n]).withColumn("changed", changed).withColumn("seed", F.lit(f.seed))
-            parts.append(totals(own, ["length", "seed"], effective[n], F.max("changed").alias("changed")))
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
-        sums = {(r.length, r.seed): r for r in union.collect()}  # a row for each restart
+        sums = {(r.length, r.seed): r for r in _step(rows, [(n, effective[n], f) for n, f in moving]).collect()}  # a row for each restart
         for n, f in moving:
             r = sums[n, f.seed]
             if f.trace and r.ll < f.trace[-1] - tolerance * (1 + abs(f.trace[-1])):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import STATE_BASES, codon_corrected, is_simple_cigar, kmer_tokens, mod3_counts, pyrimidine_acceptance, safe_name
 from ..operators import cds, charts, em, rollup, simulate, validate
+from ..sources.shared import written
 from . import demo
 
 #: Parameters under which single steps are shown.
@@ -16,11 +17,11 @@ FIRST = em.SEED + LENGTH * 10007
 
 
 def _rows(spark, sf_dir):
-    return em.profiles(demo.reads(spark, sf_dir), LENGTH)
+    return written(em.profiles(demo.reads(spark, sf_dir), LENGTH), "profiles")
 
 
 def _steps(spark, sf_dir):
-    return em.gaps(em.e_step(_rows(spark, sf_dir), P, LENGTH)).cache()
+    return em.gaps(em.e_step(_rows(spark, sf_dir), P, LENGTH))
 
 
 def mod3(spark, sf_dir):
@@ -72,7 +73,7 @@ def chi_square_uniform(spark, sf_dir):
 
 
 def _fit(spark, sf_dir):
-    rows = _rows(spark, sf_dir).cache()
+    rows = _rows(spark, sf_dir)
     fit = em.fit(rows, LENGTH, restarts=RESTARTS, seed=FIRST)
     return rows, fit, em.canonical(fit.p, LENGTH)
 
@@ -86,7 +87,7 @@ def em_charts(spark, sf_dir):
 
 def em_iterations(spark, sf_dir):
     """A few whole steps of the fit from given parameters: the score of each and the parameters that it leads to."""
-    steps = em.iterated(_rows(spark, sf_dir).cache(), LENGTH, P, STEPS)
+    steps = em.iterated(_rows(spark, sf_dir), LENGTH, P, STEPS)
     rows = [(i + 1, round(ll, 6), q, b, round(float(p[q, j]), 9)) for i, (ll, p) in enumerate(steps) for q in range(3) for j, b in enumerate(STATE_BASES)]
     return spark.createDataFrame(rows, "step long, ll double, position_class long, base string, prob double")
 
@@ -102,7 +103,9 @@ def em_state_distribution(spark, sf_dir):
     assigned = em.gaps(em.e_step(rows, fit.p, LENGTH))
     named = assigned.withColumn("state", em.renumbered(F.col("state"), found.states))
     out = em.state_distribution(named, ["length"])
-    return out.withColumns({"best_ll": F.lit(fit.ll), "seed_used": F.lit(fit.seed), "n_em_e_steps": F.lit(len(fit.trace)), "canonical_rotation": F.lit(found.rotation), "canonical_rc_flip": F.lit(found.flipped)})
+    numbers = [F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in out.dtypes]
+    facts = {"seed_used": fit.seed, "n_em_e_steps": len(fit.trace), "canonical_rotation": found.rotation}
+    return out.select(*numbers, F.lit(round(fit.ll, 5)).alias("best_ll"), *[F.lit(v).cast("long").alias(k) for k, v in facts.items()], F.lit(found.flipped).alias("canonical_rc_flip"))
 
 
 def _classified(spark, sf_dir):
@@ -325,6 +328,8 @@ m AS (SELECT {[_map(*x) for x in _STATES]} AS maps), it(step, seed, ll, p) AS (
 )"""
 
 
+#: The complementary error function of sqrt(x / 2), by Simpson's rule over its integral, term by term.
+_tail = "(1 - 2 / sqrt(pi()) * sqrt({0} / 2) / 3000 * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-{0} / 2 * i * i / 1e6::DOUBLE))))"
 _GIVEN = _iterated(f"SELECT 0::BIGINT, 0::BIGINT, 0::DOUBLE, {[float(x) for x in np.asarray(P).ravel()]}::DOUBLE[]", STEPS)
 _NOISE = ", ".join(f"({seed}, {[float(x) for x in em.noise(seed).ravel()]}::DOUBLE[])" for seed in range(FIRST, FIRST + RESTARTS))
 #: Once a fit is stable, further steps leave it as it is.
@@ -389,6 +394,20 @@ members(flipped, k, places) AS (VALUES {', '.join(f'({str(f).lower()}, {k}, {at}
 found AS (SELECT flipped, k, list_transform(places, lambda i: p[i]) AS q FROM best, members ORDER BY list_transform(places, lambda i: round(p[i], 12)), flipped, k LIMIT 1)
 SELECT {LENGTH}::BIGINT AS length, {LENGTH}::BIGINT AS effective_length, (i - 1) // 4 AS position_class, ['{"', '".join(STATE_BASES)}'][(i - 1) % 4 + 1] AS base, round(q[i], 9) AS prob,
   'full6' AS canonicalization_mode, k::BIGINT AS canonical_rotation, flipped AS canonical_rc_flip FROM found, range(1, 13) AS r(i)""",
+    "em_state_distribution": f"""WITH {_FITTED}, last AS (SELECT seed, ll, p FROM it WHERE step = 40), best AS (SELECT * FROM last WHERE ll >= (SELECT max(ll) FROM last) - 1e-9 ORDER BY seed LIMIT 1),
+members(flipped, k, places) AS (VALUES {', '.join(f'({str(f).lower()}, {k}, {at})' for f, k, at in _MEMBERS)}),
+found AS (SELECT flipped, k FROM best, members ORDER BY list_transform(places, lambda i: round(p[i], 12)), flipped, k LIMIT 1),
+raw AS (SELECT list_position(sc, list_max(sc)) - 1 AS s FROM (SELECT list_transform(maps, lambda w: list_sum(list_transform(c, lambda x, i: x * ln(p[w[i]])))) AS sc FROM best, c, m)),
+named AS (SELECT CASE WHEN flipped THEN 3 * (1 - s // 3) + ((3 - s % 3) - k + 3) % 3 ELSE 3 * (s // 3) + (s % 3 - k + 3) % 3 END AS s FROM raw, found),
+n AS (SELECT count(*) AS n, {', '.join(f'count(*) FILTER (s = {i}) AS c{i}' for i in range(6))} FROM named),
+x AS (SELECT *, {' + '.join(f'(c{i} - n / 6) * (c{i} - n / 6) / (n / 6)' for i in range(6))} AS x6, {' + '.join(f'(c{i} + c{i + 3} - n / 3) * (c{i} + c{i + 3} - n / 3) / (n / 3)' for i in range(3))} AS x3,
+  (c0 + c1 + c2 - n / 2) * (c0 + c1 + c2 - n / 2) / (n / 2) + (c3 + c4 + c5 - n / 2) * (c3 + c4 + c5 - n / 2) / (n / 2) AS x2 FROM n)
+SELECT {LENGTH}::BIGINT AS length, n AS n_sequences, {float(LENGTH)}::DOUBLE AS mean_informative_bases, round(x6, 6) AS chisq_6states, round(x3, 6) AS chisq_3shifts, round(x2, 6) AS chisq_orientation,
+  round(exp(-x3 / 2), 6) AS p_3shifts, round({_tail.format('x2')}, 6) AS p_orientation, round({_tail.format('x6')} + sqrt(2 * x6 / pi()) * exp(-x6 / 2) * (1 + x6 / 3), 6) AS p_6states,
+  {', '.join(f'c{i} AS "count_{x}", round(c{i} / n, 6) AS "prop_{x}"' for i, x in enumerate(em.STATES))},
+  {', '.join(f'c{i} + c{i + 3} AS count_shift{i}, round((c{i} + c{i + 3}) / n, 6) AS prop_shift{i}' for i in range(3))}, round((c0 + c1 + c2) / n, 6) AS prop_plus, round((c3 + c4 + c5) / n, 6) AS prop_minus,
+  round(ll, 5) AS best_ll, seed AS seed_used, (SELECT min(a.step) FROM it a JOIN it b ON b.seed = a.seed AND b.step = a.step - 1 AND a.p = b.p WHERE a.seed = best.seed) AS n_em_e_steps,
+  k::BIGINT AS canonical_rotation, flipped AS canonical_rc_flip FROM x, best, found""",
     "em_iterations": f"""WITH {_GIVEN} SELECT step, round(ll, 6) AS ll, (i - 1) // 4 AS position_class, ['{"', '".join(STATE_BASES)}'][(i - 1) % 4 + 1] AS base, round(p[i], 9) AS prob
 FROM it, range(1, 13) AS r(i) WHERE step > 0""",
     "scalar_functions": r"""SELECT p_partkey, regexp_replace(p_name, '[^\w-]', '_', 'g') AS safe, round((1 - (0.5::DOUBLE + p_size / 100.0::DOUBLE)) / (0.5::DOUBLE + p_size / 100.0::DOUBLE), 9) AS acceptance,

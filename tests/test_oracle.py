@@ -40,5 +40,5 @@ def test_query_equals_sql(spark, sql, name):
     assert got == sorted("|".join(canon(r[i]) for i in order) for r in cursor.fetchall())
 
 
-def test_every_query_has_sql_or_is_iterative():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"em_state_distribution"}
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
