@@ -20,9 +20,13 @@ Extra columns are left out, whatever their names. An empty table makes no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,14 +44,79 @@ PIECE_BYTES = 1_000_000
 
 
 @lru_cache(maxsize=1)
-def tokenizer(vocabulary: bytes, special_as_text: bool = False):
-    """The tokenizer of a vocabulary file's content, built once by each Python worker; the engine's tasks are its only parallelism."""
+def tokenizer(vocabulary: bytes, special_as_text: bool = False) -> Encoder:
+    """The encoder of a vocabulary file's content, built once by each Python worker; the engine's tasks are its only parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    return Encoder(vocabulary, special_as_text)
 
-    made = Tokenizer.from_str(vocabulary.decode())
-    made.encode_special_tokens = special_as_text
-    return made
+
+#: Words that a worker remembers, and their length at most.
+KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+
+
+def _ranges(wanted: Callable[[str], bool]) -> str:
+    """The characters of the first plane that ``wanted`` is true of, as the ranges of a pattern's class."""
+    found = [i for i in range(0x10000) if not 0xD800 <= i < 0xE000 and wanted(chr(i))]
+    starts = [c for c, before in zip(found, [-2, *found], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], -2], strict=True) if c + 1 != after]
+    return "".join(f"\\u{x:04x}-\\u{y:04x}" for x, y in zip(starts, ends, strict=True))
+
+
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """How byte-level tokenizers cut a text into words before any merge, and the characters that forbid to do so here.
+
+    Fixed values: words are contractions, letters, digits, or other signs, each with a blank before it or not, and white space. Libraries that know different versions of
+    Unicode may class characters differently; those that version 3.2 had are classed alike by all.
+    """
+    letters, digits = (_ranges(lambda c, k=kind: unicodedata.category(c)[0] == k) for kind in "LN")
+    blanks = _ranges(lambda c: c.isspace() and not 0x1C <= ord(c) <= 0x1F)
+    cut = f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{digits}]+| ?[^{blanks}{letters}{digits}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+    known = _ranges(lambda c: unicodedata.ucd_3_2_0.category(c) != "Cn")
+    return re.compile(cut), re.compile(f"[^{known}]")
+
+
+def _alphabet() -> dict[int, str]:
+    """The characters in which byte-level models write bytes: printable ones themselves, the others in turn from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(rest)) for b in range(256)}
+
+
+class Encoder(dict):
+    """The identifiers of texts, by the library's merges of each word; words met before are remembered.
+
+    Merges never reach across words, so a text's identifiers are those of its words. Texts in which the library would find words or special tokens otherwise, and
+    all texts of a vocabulary that is not plainly byte-level, are left to its own call.
+    """
+
+    def __init__(self, vocabulary: bytes, special_as_text: bool):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.whole = Tokenizer.from_str(vocabulary.decode())
+        self.whole.encode_special_tokens = special_as_text
+        said = json.loads(vocabulary)
+        cut = said.get("pre_tokenizer") or {}
+        self.by_words = (
+            not said.get("normalizer") and not said.get("post_processor") and not said.get("truncation") and not said.get("padding") and said["model"].get("type") == "BPE" and not said["model"].get("dropout")
+            and not said["model"].get("ignore_merges") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        )
+        self.special = [] if special_as_text else [t["content"] for t in said.get("added_tokens", [])]
+        self.tokenize, self.alphabet = self.whole.model.tokenize, _alphabet()
+        self.words, self.newer = patterns()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.by_words or any(t in text for t in self.special) or not text.isascii() and self.newer.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.words.findall(text))), np.int32)
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, special_as_text: bool = False) -> DataFrame:
@@ -56,9 +125,9 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, sp
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at = tokenizer(content.value, special_as_text).encode_batch_fast, 0
+        encode, at = tokenizer(content.value, special_as_text).encode, 0
         for batch in pieces(batches, 2, size=PIECE_BYTES):
-            found = [e.ids for e in encode(batch.column(2).to_pylist(), add_special_tokens=False)]
+            found = [encode(text) for text in batch.column(2).to_pylist()]
             ends = np.cumsum([0] + [len(ids) + 1 for ids in found])
             flat = np.full(ends[-1], end, np.int32)
             for start, ids in zip(ends.tolist(), found, strict=False):
