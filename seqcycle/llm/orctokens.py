@@ -1,8 +1,8 @@
 """Token identifiers of documents in ORC files, in ascending order of doc_id.
 
 Documents are dealt to ranges of doc_id, sorted, encoded in that order and written by the engine's ORC writer: each range
-becomes a file (or several of at most ``FILE_ROWS`` rows) with the columns doc_id, part, at and tokens. Integers are run-length encoded by the
-format; ``at`` and doc_id grow along a file and so become runs. A stripe has an index with the least and largest values of every
+becomes a file (or several of at most ``FILE_ROWS`` rows) with the columns doc_id, part, at, n and tokens. Integers are run-length encoded by the
+format; ``at`` and doc_id grow along a file and so become runs; ``n`` is the number of tokens. A stripe has an index with the least and largest values of every
 ``INDEX_ROWS`` rows and a Bloom filter on doc_id, so that a reader of a few documents opens only the stripes and the groups of rows that may
 hold them, and readers of everything share a file by its stripes.
 
@@ -50,8 +50,8 @@ def tokenizer(vocabulary: bytes, special_as_text: bool = False) -> Encoder:
     return Encoder(vocabulary, special_as_text)
 
 
-#: Words that a worker remembers, and their length at most.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+#: Words that a worker remembers, in about 100 MB, and their length at most.
+KEPT_WORDS, KEPT_LENGTH = 500_000, 64
 
 
 def _ranges(wanted: Callable[[str], bool]) -> str:
@@ -120,7 +120,7 @@ class Encoder(dict):
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, special_as_text: bool = False) -> DataFrame:
-    """(doc_id, part, at, tokens) in ranges of doc_id: part numbers the range, at is the number of identifiers before the document in it."""
+    """(doc_id, part, at, n, tokens) in ranges of doc_id: part numbers the range, at is the number of identifiers before the document in it, n its own."""
     with open_input(vocabulary) as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
 
@@ -133,13 +133,14 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, *, end: int = END, sp
             for start, ids in zip(ends.tolist(), found, strict=False):
                 flat[start : start + len(ids)] = ids
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at + ends[:-1], pa.int64()), tokens], names=["doc_id", "part", "at", "tokens"])
+            narrow = [batch.column(0), batch.column(1), pa.array(at + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*narrow, tokens], names=["doc_id", "part", "at", "n", "tokens"])
             at += int(ends[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return dealt.select("doc_id", F.spark_partition_id().alias("part"), "text").mapInArrow(run, f"doc_id {kind}, part int, at long, tokens array<int>")
+    return dealt.select("doc_id", F.spark_partition_id().alias("part"), "text").mapInArrow(run, f"doc_id {kind}, part int, at long, n long, tokens array<int>")
 
 
 def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY, *, end: int = END, special_as_text: bool = False) -> DataFrame:
@@ -161,7 +162,7 @@ def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def starts(files: DataFrame) -> DataFrame:
     """(part, base): the number of identifiers in all earlier parts, from the narrow columns of the last document of each."""
-    ends = files.groupBy("part").agg(F.max(F.col("at") + F.size("tokens")).alias("total"))
+    ends = files.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return ends.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
