@@ -7,7 +7,7 @@ task opens one graph and ``RUN`` blocks, so neither graphs nor queries are shuff
 links, follows them through the graph until no further link is next to one, so a large group is found whole. An audit in
 each task compares a sample of queries, and of noisy copies of the shard's own vectors just above the threshold, with a
 search of the whole shard, and doubles the beam until ``RECALL`` of the links are found, on the mean over the queries that have any, so no
-large group speaks for the rest. Where even a beam as large as the shard does not reach that, the shard is searched whole by products. Cosines of links are verified in double precision. Links are counted, and united inside the task before components are found,
+large group speaks for the rest. A query that meets a crowd of links is compared with the whole shard. Where even a beam as large as the shard does not reach that, the shard is searched whole by products. Cosines of links are verified in double precision. Links are counted, and united inside the task before components are found,
 so a group of copies sends on as many rows as it has members.
 
 The number of shards is the larger of ``SHARDS`` and what keeps a shard under ``SHARD_BYTES``. Searching every shard makes
@@ -36,7 +36,9 @@ from .common import components, mix64, new_path, written
 from .files import make_folder, open_input, open_output
 
 LEAST, RECALL, SHARDS, SHARD_BYTES = 0.95, 0.995, 4, 32_000_000
-DEGREE, BRANCH, TOP, BEAM, BUILD_BEAM, BATCH, QUERIES, RUN, AUDIT = 16, 8, 512, 16, 32, 512, 4096, 4, 64
+DEGREE, BRANCH, TOP, BEAM, BUILD_BEAM, BATCH, QUERIES, RUN, AUDIT = 16, 8, 32, 16, 32, 512, 4096, 4, 64
+#: So many links in one shard are a crowd.
+CROWD = 2 * DEGREE
 #: Links that a step of searches holds, about.
 STEP_LINKS = 4_000_000
 _SLACK = 1e-3  # of float32 cosines against the double ones
@@ -137,13 +139,27 @@ class Graph:
         links[rows, : out.shape[1]] = out
 
     def links(self, queries: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node): all pairs found with a float32 cosine of about ``least`` or more; a beam as large as the graph compares all."""
+        """(query, node): all pairs found with a float32 cosine of about ``least`` or more; a beam as large as the graph compares all.
+
+        Within a crowd, lists of neighbours do not lead everywhere, so a query that meets one is then compared with the whole shard, which costs little beside its links.
+        """
         if not self.layers or beam >= len(self.v):
-            rows = max(1, 4_000_000 // max(len(self.v), 1))
-            hits = [np.nonzero(queries[at : at + rows] @ self.v.T >= least) for at in range(0, len(queries), rows)]
-            return _joined([(q + k * rows, x) for k, (q, x) in enumerate(hits)])
+            return self._compared(queries, np.arange(len(queries)), least)
         entry = self._entries(queries, len(self.layers) - 1, beam)
-        return search(self.layers[-1], self.v, queries, entry, beam, least)[2]
+        q, x = search(self.layers[-1], self.v, queries, entry, beam, least)[2]
+        crowd = np.bincount(q, minlength=len(queries)) >= CROWD
+        alone = ~crowd[q]
+        return _joined([(q[alone], x[alone]), self._compared(queries, np.flatnonzero(crowd), least)])
+
+    def _compared(self, queries: np.ndarray, which: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of some queries with all nodes, by products of bounded size."""
+        rows = max(1, 4_000_000 // max(len(self.v), 1))
+        hits = []
+        for at in range(0, len(which), rows):
+            some = which[at : at + rows]
+            q, x = np.nonzero(queries[some] @ self.v.T >= least)
+            hits.append((some[q], x))
+        return _joined(hits)
 
 
 def search(links: np.ndarray, v: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, least: float = 2.0):

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqcycle.llm import hnsw, lshforest
 from seqcycle.llm.common import WordHashes, components, shared_dir, written
@@ -146,6 +147,54 @@ def test_graphs_equal_all_pairs(spark, vectors, monkeypatch):
     assert np.mean([got[i].component_id == want[i] for i in range(len(vectors))]) > 0.99
 
 
+def planted(n=9000, d=64, seed=5):
+    """Unit vectors: n at random, pairs just above and just below the threshold, and a crowd around one of them."""
+    draw = np.random.default_rng(seed)
+
+    def near(x, cos):
+        z = draw.normal(size=x.shape)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        return cos[:, None] * x + np.sqrt(1 - cos[:, None] ** 2) * z
+
+    base = draw.normal(size=(n, d))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    k = n // 20
+    pairs = [near(base[:k], draw.uniform(0.951, 0.999, k)), near(base[k : 2 * k], draw.uniform(0.9, 0.949, k))]
+    crowd = near(np.repeat(base[-1:], n // 10, axis=0), draw.uniform(0.96, 0.99, n // 10))
+    v = np.concatenate([base, *pairs, crowd])
+    return v[draw.permutation(len(v))].astype("float32")
+
+
+def test_planted_links_past_ten_thousand_vectors(spark):
+    """Against brute force: every link outside the crowd, no component wrong, and hardly a query of the crowd short."""
+    vectors = planted()
+    assert len(vectors) > 10_000
+    unit = vectors.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    want = close.sum(axis=1)
+    rows = {r.vec_id: r for r in hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")).collect()}
+    got = np.array([rows[i].n_links for i in range(len(vectors))])
+    linked = want > 0
+    recall = got[linked] / want[linked]
+    print(f"recall by query: mean {recall.mean():.6f}, least {recall.min():.4f}, short {(recall < 1).sum()} of {linked.sum()}")
+    assert (got <= want).all() and (got == want)[want < 50].all() and recall.mean() > 0.9995 and (recall < 1).mean() < 0.02
+    component = roots(len(vectors), list(zip(*np.nonzero(np.triu(close)), strict=True)))
+    assert [rows[i].component_id for i in range(len(vectors))] == [component[i] for i in range(len(vectors))]
+
+
+def test_the_given_tables_are_searched_by_graphs(spark):
+    """Every shard of the query's table has neighbour lists below the layer that is searched whole."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("vector"))
+    shards = table.groupBy(F.pmod(F.xxhash64("vector"), F.lit(hnsw.SHARDS)).alias("shard")).agg(F.collect_list("vector").alias("vectors")).collect()
+    assert len(shards) == hnsw.SHARDS
+    for s in shards:
+        graph = hnsw.Graph(hnsw._unit(np.array(s.vectors)))
+        assert len(graph.layers) >= 1 and graph.top < len(graph.layers[0]) == len(s.vectors)
+
+
 def test_beam_widens_until_the_audit_passes(vectors):
     unit = vectors.astype(float) / np.linalg.norm(vectors, axis=1, keepdims=True)
     graph = hnsw.Graph(unit.astype("float32"))
