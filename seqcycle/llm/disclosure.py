@@ -204,7 +204,8 @@ def terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if wanted.count() <= FEW_WORDS:
         totals = texts.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     else:
-        totals = texts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(wanted, "word", "left_semi")
+        # The whole vocabulary is counted in a stage of its own, in as many tasks as the session deals it to; only the table after it is small.
+        totals = written(texts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(wanted, "word", "left_semi"), "totals")
     share = F.least(F.col("both") / F.col("n"), F.lit(1.0))
     disclosing = written(in_few(possible.join(totals, "word").where(disclosure(share) >= THRESHOLD).select("kind", "value", "word"), n), "terms")
     hits = near.join(disclosing, ["kind", "value", "word"])
