@@ -132,7 +132,7 @@ def _em(spark, a):
     for length, fit in fits.items():
         rows, effective = every.where(F.col("length") == length), length - a.trim5 - a.trim3
         found = em.canonical(fit.p, effective, a.canonicalize)
-        raw = em.gaps(em.e_step(rows, fit.p, effective))
+        raw = written(em.gaps(em.e_step(rows, fit.p, effective)), "gaps")
         named = raw.withColumns({c: em.renumbered(F.col(c), found.states) for c in ("state", "runnerup")})
         names = "length int, effective_length int, position_class int, base string, prob double, canonicalization_mode string, canonical_rotation int, canonical_rc_flip boolean"
         out = {

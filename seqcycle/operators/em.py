@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import STATE_BASES, is_unambiguous, mod3_counts, trimmed
 from ..functions.special import chi_square_survival
+from . import quantiles
 from .counts import capped_unique, collapse
 
 MODES = ("none", "rotation", "full6")
@@ -266,24 +267,32 @@ def gaps(assigned: DataFrame) -> DataFrame:
     return out.withColumn("gap_ll_per_base", F.col("gap_ll") / F.greatest("informative", F.lit(1)))
 
 
-def summary(rows: DataFrame, keys: list[str], column: str) -> list[Column]:
-    """Mean, median, population deviation, minimum, quantiles and maximum of a column over weighted rows."""
-    w, x = F.col("weight"), F.col(column)
-    mean = F.sum(w * x) / F.sum(w)
-    spread = F.sqrt(F.greatest(F.sum(w * x * x) / F.sum(w) - mean * mean, F.lit(0.0)))
-    at = lambda q: F.percentile(x, F.lit(q), w)
-    parts = {"mean": mean, "median": at(0.5), "sd": spread, "min": F.min(x), "q05": at(0.05), "q25": at(0.25), "q75": at(0.75), "q95": at(0.95), "max": F.max(x)}
-    return [v.alias(f"{column}_{k}") for k, v in parts.items()]
+_QUANTILES = {"median": 0.5, "q05": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95}
+
+
+def summary(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """(keys, more, mean, median, population deviation, minimum, quantiles and maximum of both gaps) of weighted rows."""
+    w = F.col("weight")
+    parts, joined = [], None
+    for column in ("gap_ll", "gap_ll_per_base"):
+        x = F.col(column)
+        mean = F.sum(w * x) / F.sum(w)
+        spread = F.sqrt(F.greatest(F.sum(w * x * x) / F.sum(w) - mean * mean, F.lit(0.0)))
+        parts += [v.alias(f"{column}_{k}") for k, v in (("mean", mean), ("sd", spread), ("min", F.min(x)), ("max", F.max(x)))]
+        found = quantiles.exact(rows, keys, column, {f"{column}_{k}": q for k, q in _QUANTILES.items()}, w)
+        joined = found if joined is None else joined.join(found, keys)
+    names = [f"{c}_{k}" for c in ("gap_ll", "gap_ll_per_base") for k in ("mean", "median", "sd", "min", "q05", "q25", "q75", "q95", "max")]
+    sums = rows.groupBy(*keys).agg(*more, *parts)
+    return sums.join(joined, keys).select([c for c in sums.columns if not c.startswith("gap_")] + names)
 
 
 def gap_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """n_reads, mean_informative_bases, three shares of small gaps, and both gaps' statistics, for each group."""
     w, gap = F.col("weight"), F.col("gap_ll")
     share = lambda c: F.sum(F.when(c, w).otherwise(0)) / F.sum(w)
-    return rows.groupBy(*keys).agg(
-        F.sum(w).alias("n_reads"), (F.sum(w * F.col("informative")) / F.sum(w)).alias("mean_informative_bases"),
+    return summary(
+        rows, keys, F.sum(w).alias("n_reads"), (F.sum(w * F.col("informative")) / F.sum(w)).alias("mean_informative_bases"),
         share(gap <= 1e-12).alias("fraction_tie_best_vs_runnerup"), share(gap < 0.1).alias("fraction_gap_lt_0p1"), share(gap < 1).alias("fraction_gap_lt_1"),
-        *summary(rows, keys, "gap_ll"), *summary(rows, keys, "gap_ll_per_base"),
     )
 
 
@@ -295,7 +304,7 @@ def _names(lengths: DataFrame, column: str) -> DataFrame:
 
 def by_state(rows: DataFrame) -> DataFrame:
     """(length, assigned_state, n_reads, statistics): six rows for each length, null statistics where a state is empty."""
-    stats = rows.groupBy("length", "state").agg(F.sum("weight").alias("n"), *summary(rows, [], "gap_ll"), *summary(rows, [], "gap_ll_per_base"))
+    stats = summary(rows, ["length", "state"], F.sum("weight").alias("n"))
     frame = _names(rows.select("length").distinct(), "assigned_state")
     joined = frame.join(stats.withColumnRenamed("state", "assigned_state_id"), ["length", "assigned_state_id"], "left")
     return joined.withColumn("n_reads", F.coalesce("n", F.lit(0))).drop("n", "assigned_state_id")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.sequences import STATE_BASES, codon_corrected, is_simple_cigar, kmer_tokens, mod3_counts, pyrimidine_acceptance, safe_name
-from ..operators import cds, charts, em, rollup, simulate, validate
+from ..operators import cds, charts, em, quantiles, rollup, simulate, validate
 from ..sources.shared import written
 from . import demo
 
@@ -21,7 +21,8 @@ def _rows(spark, sf_dir):
 
 
 def _steps(spark, sf_dir):
-    return em.gaps(em.e_step(_rows(spark, sf_dir), P, LENGTH))
+    rows = em.profiles(demo.reads(spark, sf_dir), LENGTH)
+    return written(em.gaps(em.e_step(rows, P, LENGTH)), "steps")  # else every statistic would contain all scores
 
 
 def mod3(spark, sf_dir):
@@ -61,6 +62,12 @@ def em_gap_by_state(spark, sf_dir):
     return rows.select(F.col("length").cast("long").alias("length"), "assigned_state", "n_reads", *[F.round(c, 6).alias(c) for c in numbers])
 
 
+def em_gap_quantiles(spark, sf_dir):
+    """Quantiles of the gaps of each state, by narrowing ranges of values."""
+    rows = quantiles.exact(_steps(spark, sf_dir), ["state"], "gap_ll", {"median": 0.5, "q05": 0.05, "q95": 0.95}, F.col("weight"), few=0)
+    return rows.select(F.col("state").cast("long").alias("state"), *[F.round(c, 6).alias(c) for c in ("median", "q05", "q95")])
+
+
 def em_runnerup(spark, sf_dir):
     rows = em.runner_up(_steps(spark, sf_dir))
     return rows.select(F.col("length").cast("long").alias("length"), "assigned_state", "runnerup_state", "count", F.round("prop_within_assigned", 9).alias("prop_within_assigned"))
@@ -258,7 +265,7 @@ def kmer_token_table(spark, sf_dir):
 
 QUERIES = {
     "scalar_functions": scalar_functions, "kmer_tokens": kmer_token_table, "mod3_counts": mod3, "em_scores": em_scores, "em_e_step": em_e_step, "em_m_step": em_m_step, "em_gap_summary": em_gap_summary, "em_gap_by_state": em_gap_by_state, "em_runnerup": em_runnerup,
-    "chi_square_uniform": chi_square_uniform, "em_charts": em_charts, "em_iterations": em_iterations, "em_fit": em_fit, "em_state_distribution": em_state_distribution, "cds_containment": cds_containment, "cds_exclusion_funnel": cds_exclusion_funnel,
+    "em_gap_quantiles": em_gap_quantiles, "chi_square_uniform": chi_square_uniform, "em_charts": em_charts, "em_iterations": em_iterations, "em_fit": em_fit, "em_state_distribution": em_state_distribution, "cds_containment": cds_containment, "cds_exclusion_funnel": cds_exclusion_funnel,
     "codon_phase": codon_phase, "cds_overlap_pairs": cds_overlap_pairs, "simulate_candidates": simulate_candidates, "simulate_accept": simulate_accept, "boundary_counts": boundary_counts, "simulate_counters": simulate_counters, "simulate_sample": simulate_sample,
     "library_all_lengths": library_all_lengths, "best_length_per_library": best_length_per_library, "duplicate_guard": duplicate_guard, "incomplete_groups": incomplete_groups, "metadata_join": metadata_join,
     "unmatched_libraries": unmatched_libraries, "category_cleanup": category_cleanup, "category_order": category_order, "simulation_replicates": simulation_replicates,
@@ -423,6 +430,7 @@ FROM it, range(1, 13) AS r(i) WHERE step > 0""",
   round(avg((gap_ll < 0.1)::INTEGER), 6) AS fraction_gap_lt_0p1, round(avg((gap_ll < 1)::INTEGER), 6) AS fraction_gap_lt_1, {_stats('gap_ll')}, {_stats('gap_ll_per_base')} FROM g""",
     "em_gap_by_state": f"""WITH {_EM}, st AS (SELECT state, count(*) AS n, {_stats('gap_ll')}, {_stats('gap_ll_per_base')} FROM g GROUP BY state)
 SELECT {LENGTH}::BIGINT AS length, name AS assigned_state, coalesce(n, 0) AS n_reads, st.* EXCLUDE (state, n) FROM (VALUES {_NAMES}) AS v(i, name) LEFT JOIN st ON st.state = v.i""",
+    "em_gap_quantiles": f"WITH {_EM} SELECT state::BIGINT AS state, " + ", ".join(f"round(quantile_cont(gap_ll, {q}), 6) AS {n}" for n, q in (("median", 0.5), ("q05", 0.05), ("q95", 0.95))) + " FROM g GROUP BY state",
     "em_runnerup": f"""WITH {_EM}, pr AS (SELECT state, runnerup, count(*) AS n FROM g GROUP BY ALL), fr AS (SELECT x.i AS si, x.name AS assigned_state, y.i AS ri, y.name AS runnerup_state FROM (VALUES {_NAMES}) AS x(i, name), (VALUES {_NAMES}) AS y(i, name) WHERE x.i <> y.i),
 t AS (SELECT assigned_state, runnerup_state, coalesce(n, 0) AS c FROM fr LEFT JOIN pr ON state = si AND runnerup = ri)
 SELECT {LENGTH}::BIGINT AS length, assigned_state, runnerup_state, c AS "count", CASE WHEN sum(c) OVER (PARTITION BY assigned_state) > 0 THEN round(c / sum(c) OVER (PARTITION BY assigned_state), 9) END AS prop_within_assigned FROM t""",

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqcycle.functions.special import erfc
-from seqcycle.operators import cds, counts, em
+from seqcycle.operators import cds, counts, em, quantiles
 from seqcycle.plans import composition
 from seqcycle.sources import sequences, shared, sinks, streams
 from tests.test_statistics import mixture
@@ -189,3 +189,26 @@ def test_plain_paths_are_of_the_default_file_system(spark, tmp_path):
         conf.set("fs.defaultFS", before or "file:///")
     assert streams.located(shared.qualified(spark, str(tmp_path)))[1] == str(tmp_path)
     assert list(sinks.digest_all(spark, [fastq(tmp_path / "x.fastq", ["a"])])) == [str(tmp_path / "x.fastq")]
+
+
+def weighted_quantile(pairs, q):
+    values = sorted(x for x, w in pairs for _ in range(w))
+    place = (len(values) - 1) * q
+    low = values[math.floor(place)]
+    return low + (place - math.floor(place)) * (values[math.ceil(place)] - low)
+
+
+def test_quantiles_are_exact_by_narrowing_ranges(spark):
+    draw = random.Random(3)
+    groups = {
+        "wide": [(draw.choice([1e-9, 1.0, 1e12, -1e6]) * draw.random(), draw.randrange(1, 5)) for _ in range(400)], "one": [(7.5, 3)], "tied": [(0.25, 900), (0.5, 1), (1e9, 2)], "close": [(1 + k * 2**-52, 1) for k in range(9)],
+        "huge": [(-1e308, 1), (0.0, 2), (1e308, 1)],
+    }
+    rows = spark.createDataFrame([(g, x, w) for g, v in groups.items() for x, w in v] + [("wide", None, 5), ("none", None, 1), ("wide", 3.0, 0)], "g string, x double, w int").repartition(6)
+    shares = {"median": 0.5, "q05": 0.05, "q25": 0.25, "q95": 0.95, "least": 0.0, "most": 1.0}
+    for few in (0, quantiles.FEW):
+        got = {r.g: r for r in quantiles.exact(rows, ["g"], "x", shares, F.col("w"), few=few).collect()}
+        assert set(got) == set(groups)
+        for g, pairs in groups.items():
+            if g != "huge" or few == 0:
+                assert all(math.isclose(got[g][name], weighted_quantile(pairs, q), rel_tol=1e-12, abs_tol=1e-300) for name, q in shares.items()), (g, got[g])
