@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import reverse_complement
+from .blocks import Blocked
 from .shared import qualified
 from .streams import opened, ranges, records, seekable
 
 SPLIT_BYTES = 64_000_000
+#: More records than a compressed byte can hold: deflate makes at most 1,032 bytes of one, and a record has 8 or more.
+DENSE = 256
 REVERSE, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x10, 0x100, 0x200, 0x400, 0x800
 
 
@@ -101,9 +104,52 @@ def _aligned(lines, path: str, start: int) -> None:
     lines.seek(0, 2)  # what is left belongs to the record before
 
 
+def _fastq_blocks(path: str, start: int, end: int) -> Iterator[tuple]:
+    """The records whose first byte is from a block that begins in a part of a block-compressed file."""
+    with seekable(path) as stream:
+        data = Blocked(stream, start)
+        if start:
+            if data.before != b"\n":
+                data.line()
+            at, ahead, places = data.at, [], []
+            for _ in range(8):  # the record that begins at the first of these lines that can be one's header
+                places.append(data.at)
+                line = data.line()
+                if not line:
+                    break
+                ahead.append(line.rstrip(b"\r\n"))
+            fine = (i for i in range(len(ahead) - 3) if ahead[i].startswith(b"@") and ahead[i + 2].startswith(b"+") and len(ahead[i + 1].strip()) == len(ahead[i + 3].strip()))
+            found = next(fine, None)
+            if found is None:
+                if len(ahead) == 8:
+                    raise ValueError(f"{path}: no record begins near byte {start}; it is malformed")
+                return  # what is left belongs to the record before
+            data.at = places[found] if places[found] >= at else at
+        number = 0
+        while (member := data.member()) is not None and member < end:
+            head = data.line()
+            if not head.strip():
+                continue
+            row = _record(path, f"in the block at byte {member}", head, *(data.line() for _ in range(3)))
+            if row:
+                yield (path, row[0], start * DENSE + number, *row[1:])
+            number += 1
+
+
+def _record(path: str, where: str, *lines: bytes) -> tuple | None:
+    """(read_id, seq, qual, description) of a record's four lines; None if it has no sequence."""
+    head, seq, plus, qual = (x.rstrip(b"\r\n").decode() for x in lines)
+    if not head.startswith("@") or not plus.startswith("+") or len(seq.strip()) != len(qual.strip()):
+        raise ValueError(f"{path}: the record {where} is cut off or malformed")
+    return (head[1:].split(" ", 1)[0], seq.strip().upper(), qual.strip(), head[1:]) if seq.strip() else None
+
+
 def _fastq(part: str) -> Iterator[tuple]:
     span, _, path = part.partition(" ")
     start, _, end = span.partition("-")
+    if end and path.lower().endswith(".gz"):
+        yield from _fastq_blocks(path, int(start), int(end))
+        return
     with seekable(path) if end else opened(path) as lines:
         if int(start):
             _aligned(lines, path, int(start))
@@ -113,16 +159,13 @@ def _fastq(part: str) -> Iterator[tuple]:
                 break
             if not head.strip():
                 continue
-            seq, plus, qual = (lines.readline() for _ in range(3))
-            head, seq, plus, qual = (x.rstrip(b"\r\n").decode() for x in (head, seq, plus, qual))
-            if not head.startswith("@") or not plus.startswith("+") or len(seq.strip()) != len(qual.strip()):
-                raise ValueError(f"{path}: the record at byte {place} is cut off or malformed")
-            if seq.strip():
-                yield (path, head[1:].split(" ", 1)[0], place, seq.strip().upper(), qual.strip(), head[1:])
+            row = _record(path, f"at byte {place}", head, *(lines.readline() for _ in range(3)))
+            if row:
+                yield (path, row[0], place, *row[1:])
 
 
 def fastq(spark: SparkSession, paths: str | list[str], *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of FASTQ text, plain or gzip; ``ordinal`` is a record's first byte in the plain text. A plain file is read in parts of ``split_bytes``, each by a task of its own."""
+    """Records of FASTQ text, plain or gzip; ``ordinal`` grows along a file. Plain and block-compressed files are read in parts of ``split_bytes``, each by a task of its own."""
     paths = [qualified(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
     return records(spark, ranges(paths, split_bytes), _ranked(paths, _fastq), "source string, read_id string, ordinal long, seq string, qual string, description string, file int")
 
@@ -193,25 +236,50 @@ def _tags(data: bytes) -> dict[str, str]:
     return out
 
 
-def _exactly(stream, n: int) -> bytes:
-    data = stream.read(n)
-    if len(data) != n:
-        raise ValueError("a BAM file is cut off")
-    return data
-
-
-def _bam(path: str) -> Iterator[tuple]:
-    with opened(path) as stream:
-        if _exactly(stream, 4) != b"BAM\1":
-            raise ValueError(f"{path} is no BAM file")
-        _exactly(stream, struct.unpack("<i", _exactly(stream, 4))[0])
-        names = []
-        for _ in range(struct.unpack("<i", _exactly(stream, 4))[0]):
-            names.append(_exactly(stream, struct.unpack("<i", _exactly(stream, 4))[0])[:-1].decode())
-            _exactly(stream, 4)
+def _header(data: Blocked) -> list[str]:
+    """The names of the contigs; what follows is the first record."""
+    if data.take(4) != b"BAM\1":
+        raise ValueError("no BAM file")
+    number = lambda: struct.unpack("<i", data.take(4))[0]
+    data.take(number())
+    names = []
+    for _ in range(number()):
+        names.append(data.take(number())[:-1].decode())
+        data.take(4)
+    return names
+
+
+def _can_be_record(data: Blocked, at: int, contigs: int, follow: int = 4) -> bool:
+    """Whether a record can begin at a place, and others after it, as far as ``follow`` or the end of the file."""
+    for _ in range(follow):
+        if not data.held(at + 36 - data.at):
+            return len(data.data) == at
+        size, contig, place, name, _, _, steps, _, length, other, beside = struct.unpack_from("<iiiBBHHHiii", data.data, at)
+        if size < 32 or not -1 <= contig < contigs or not -1 <= other < contigs or place < -1 or beside < -1 or name < 1 or length < 0 or size < 32 + name + 4 * steps + (length + 1) // 2 + length:
+            return False
+        if size > 1 << 28 or not data.held(at + 4 + size - data.at):
+            return False
+        text = data.data[at + 36 : at + 36 + name]
+        if text[-1] or any(not 33 <= c <= 126 for c in text[:-1]):
+            return False
+        at += 4 + size
+    return True
+
+
+def _bam(part: str) -> Iterator[tuple]:
+    """The records whose first byte is from a block that begins in a part of a file."""
+    span, _, path = part.partition(" ")
+    start, end = map(int, span.split("-"))
+    with seekable(path) as stream:
+        data = Blocked(stream, 0)
+        names = _header(data)
+        if start:
+            data = Blocked(stream, start)
+            while (member := data.member()) is not None and member < end and not _can_be_record(data, data.at, len(names)):
+                data.at += 1
         number = 0
-        while head := stream.read(4):
-            body = _exactly(stream, struct.unpack("<i", head)[0])
+        while (member := data.member()) is not None and member < end:
+            body = data.take(struct.unpack("<i", data.take(4))[0])
             contig, place, name_size, mapq, _, steps, flag, size = struct.unpack_from("<iiBBHHHi", body)
             at = 32 + name_size
             name = body[32 : at - 1].decode()
@@ -225,19 +293,19 @@ def _bam(path: str) -> Iterator[tuple]:
             cigar = "".join(f"{p >> 4}{_STEPS[p & 15]}" for p in pairs) or None
             covered = sum(p >> 4 for p in pairs if _STEPS[p & 15] in "MDN=X")
             known = contig >= 0
-            yield (path, name, number, flag, mapq, names[contig] if known else None, place, place + covered, cigar, seq or None, quality, _tags(body[at + size :]))
+            yield (path, name, start * DENSE + number, flag, mapq, names[contig] if known else None, place, place + covered, cigar, seq or None, quality, _tags(body[at + size :]))
             number += 1
 
 
-def bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Alignments of BAM files, with the columns of ``sam``; a file is one task."""
+def bam(spark: SparkSession, paths: str | list[str], *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Alignments of BAM files, with the columns of ``sam``. A file is read in parts of ``split_bytes``, each by a task of its own; ``ordinal`` grows along a file."""
     paths = [paths] if isinstance(paths, str) else paths
     for p in paths:
         if p.lower().endswith(".cram"):
             raise ValueError("CRAM is not supported; convert it to BAM or SAM")
     paths = [qualified(spark, p) for p in paths]
     schema = "source string, read_id string, ordinal long, flag int, mapq int, contig string, ref_start long, ref_end long, cigar string, seq string, qual string, tags map<string,string>, file int"
-    return records(spark, paths, _ranked(paths, _bam), schema)
+    return records(spark, ranges(paths, split_bytes), _ranked(paths, _bam), schema)
 
 
 def as_reads(alignments: DataFrame, *, secondary: bool = False, supplementary: bool = False, qc_fail: bool = False, duplicates: bool = True) -> DataFrame:

@@ -10,6 +10,8 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocks import is_blocked
+
 BATCH = 4096
 
 
@@ -35,12 +37,17 @@ def seekable(path: str) -> io.BufferedReader:
     return io.BufferedReader(system.open_input_file(name), 1 << 20)
 
 
+def _blocked(path: str) -> bool:
+    with seekable(path) as stream:
+        return is_blocked(stream)
+
+
 def ranges(paths: list[str], size: int) -> list[str]:
-    """Names of byte ranges, ``FIRST-END PATH``, in the order of the input: plain files in parts of ``size`` bytes, compressed ones whole (``0-``)."""
+    """Names of byte ranges, ``FIRST-END PATH``, in the order of the input: plain and block-compressed files in parts of ``size`` bytes, other compressed ones whole (``0-``)."""
     out = []
     for path in paths:
         system, name = located(path)
-        if path.lower().endswith((".gz", ".bam")):
+        if path.lower().endswith((".gz", ".bam")) and not _blocked(path):
             out.append(f"0- {path}")
         else:
             total = system.get_file_info(name).size or 0
