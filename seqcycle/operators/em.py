@@ -84,10 +84,11 @@ def e_step(rows: DataFrame, p: np.ndarray, effective: int) -> DataFrame:
 
 def totals(assigned: DataFrame, keys: list[str], effective: int) -> DataFrame:
     """(keys, t0..t11, ll, n): sums over all reads of the counts that their states add to the position classes."""
-    return _totals(assigned, keys, lambda sign, r, b: _count(effective, sign, r, b))
+    return assigned.groupBy(*keys).agg(*_sums(lambda sign, r, b: _count(effective, sign, r, b)))
 
 
-def _totals(assigned: DataFrame, keys: list[str], count: Callable[[int, int, int], Column], *extra: Column) -> DataFrame:
+def _sums(count: Callable[[int, int, int], Column]) -> list[Column]:
+    """The aggregates t0..t11, ll and n."""
     cells: list[list[Column]] = [[None] * 6 for _ in range(12)]
     for state in range(6):
         sign, offset = (1, -1)[state // 3], state % 3
@@ -100,7 +101,7 @@ def _totals(assigned: DataFrame, keys: list[str], count: Callable[[int, int, int
         for state in range(1, 6):
             cell = F.when(F.col("state") == state, by_state[state]).otherwise(cell)
         sums.append(F.sum(cell * F.col("weight")).alias(f"t{i}"))
-    return assigned.groupBy(*keys).agg(*sums, F.sum(F.col("ll") * F.col("weight")).alias("ll"), F.sum("weight").alias("n"), *extra)
+    return [*sums, F.sum(F.col("ll") * F.col("weight")).alias("ll"), F.sum("weight").alias("n")]
 
 
 def m_step(t: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
@@ -144,21 +145,23 @@ def parameters(spark, moving: list[tuple[int, int, Fit]]) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(names))
 
 
-def _step(rows: DataFrame, moving: list[tuple[int, int, Fit]]) -> DataFrame:
-    """(length, seed, t0..t11, ll, n, changed) of one step of all given restarts (length, effective length, fit)."""
-    table = parameters(rows.sparkSession, moving)
-    both = rows.join(F.broadcast(table), "length")  # as many rows as restarts, which the caller has in its own list
+def stepper(rows: DataFrame) -> Callable[[list[tuple[int, int, Fit]]], DataFrame]:
+    """A function that gives (length, seed, t0..t11, ll, n, changed) of one step of all given restarts (length, effective length, fit); its expressions are the same for every step."""
     # On the reverse strand, a remainder r is counted where the read has turn - r and the complement.
     turned = [F.element_at(F.array(*[F.col(f"c{4 * ((turn - r) % 3) + _COMPLEMENT[b]}") for turn in range(3)]), F.col("turn") + 1).alias(f"d{4 * r + b}") for r in range(3) for b in range(4)]
     count = lambda sign, r, b: F.col(f"{'c' if sign > 0 else 'd'}{4 * r + b}")
     now, before = (_scores(count, lambda q, b, x=x: F.col(f"{x}{4 * q + b}")) for x in "lo")
-    scored = both.select("*", *turned).select(
-        "length", "seed", "weight", "first", *_CELLS, *[f"d{i}" for i in range(12)], *[s.alias(f"s{i}") for i, s in enumerate(now)], *[s.alias(f"p{i}") for i, s in enumerate(before)],
-    )
+    scored = ["length", "seed", "weight", "first", *_CELLS, *[f"d{i}" for i in range(12)], *[s.alias(f"s{i}") for i, s in enumerate(now)], *[s.alias(f"p{i}") for i, s in enumerate(before)]]
     values = [F.col(f"s{i}") for i in range(6)]
-    states = scored.withColumn("state", first_largest(values)).withColumn("ll", F.greatest(*values))
+    states = {"state": first_largest(values), "ll": F.greatest(*values)}
     moved = F.col("first") | (first_largest([F.col(f"p{i}") for i in range(6)]) != F.col("state"))
-    return _totals(states, ["length", "seed"], count, F.max(moved).alias("changed"))
+    sums = [*_sums(count), F.max(moved).alias("changed")]
+
+    def step(moving: list[tuple[int, int, Fit]]) -> DataFrame:
+        table = F.broadcast(parameters(rows.sparkSession, moving))  # as many rows as restarts, which the caller has in its own list
+        return rows.join(table, "length").select("*", *turned).select(*scored).withColumns(states).groupBy("length", "seed").agg(*sums)
+
+    return step
 
 
 def fit_all(rows: DataFrame, effective: dict[int, int], *, restarts: int = RESTARTS, seeds: dict[int, int] | None = None, alpha: float = ALPHA, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> dict[int, Fit]:
@@ -174,11 +177,12 @@ def fit_all(rows: DataFrame, effective: dict[int, int], *, restarts: int = RESTA
         raise ValueError(f"no reads to fit of lengths {missing}")
     first = seeds or {}
     fits = {n: [Fit(first.get(n, SEED) + r, initial(counts[n], first.get(n, SEED) + r)) for r in range(restarts)] for n in effective}
+    step = stepper(rows)
     for _ in range(max_iter):
         moving = [(n, f) for n, own in fits.items() for f in own if not f.stable]
         if not moving:
             break
-        sums = {(r.length, r.seed): r for r in _step(rows, [(n, effective[n], f) for n, f in moving]).collect()}  # a row for each restart
+        sums = {(r.length, r.seed): r for r in step([(n, effective[n], f) for n, f in moving]).collect()}  # a row for each restart
         for n, f in moving:
             r = sums[n, f.seed]
             if f.trace and r.ll < f.trace[-1] - tolerance * (1 + abs(f.trace[-1])):

@@ -160,7 +160,7 @@ def test_all_lengths_and_restarts_advance_on_one_table(spark):
         (p, ll, steps), seed = next(x for x in each if x[0][1] >= best - 1e-9)
         assert fit.seed == seed and np.allclose(fit.p, p, atol=1e-12) and math.isclose(fit.ll, ll, rel_tol=1e-12) and len(fit.trace) == steps
     moving = [(n, effective[n], em.Fit(k, fit.p)) for n, fit in fits.items() for k in range(10)]
-    assert em._step(profiles, moving)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert em.stepper(profiles)(moving)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
 
 
 def test_overlaps_equal_brute_force_for_features_of_any_size(spark):
