@@ -296,10 +296,12 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _crossed(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of nodes of different roots under one shingle, from whole groups of (shingle, root, node, size, place) in that order."""
+def _crossed(rows: np.ndarray, group: np.ndarray, apart: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[np.ndarray]:
+    """Pairs of nodes of different roots, from whole groups of (shingle, root, node, size, place) in the order of roots; ``group`` marks where one begins.
+
+    ``apart`` holds each row's block, and whether the rows of its group are all of one; if they are not, pairs within a block belong to another group.
+    """
     n = len(rows)
-    group = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
     own = group | np.r_[True, rows[1:, 1] != rows[:-1, 1]]
 
     def ends(begins: np.ndarray) -> np.ndarray:
@@ -321,33 +323,114 @@ def _crossed(rows: np.ndarray) -> Iterator[np.ndarray]:
         x, y = rows[i, 3], rows[j, 3]
         most = np.minimum(x - rows[i, 4], y - rows[j, 4])  # shared shingles, if this is the first one
         fit = (100 * np.minimum(x, y) >= SIMILAR * np.maximum(x, y)) & ((100 + SIMILAR) * most >= SIMILAR * (x + y))
+        if apart is not None:
+            fit &= apart[1][i] | (apart[0][i] != apart[0][j])
         a, b = rows[i[fit], 2], rows[j[fit], 2]
         if len(a):
             yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
+_RARE = ("shingle", "root", "node", "size", "place")
+_MET = f"a long, b long, block long, {', '.join(f'{c} long' for c in _RARE)}"
+
+
+def _met_batch(pairs: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    """Pairs, and the rows of a block, which is named by its first node."""
+    blank = [pa.nulls(len(pairs), pa.int64())] * (1 + len(_RARE))
+    named = np.column_stack([np.full(len(block), block[0, 2]), block]) if len(block) else np.empty((0, 1 + len(_RARE)), np.int64)
+    left = [pa.concat_arrays([pa.array(pairs[:, k]), pa.nulls(len(block), pa.int64())]) for k in range(2)]
+    return pa.RecordBatch.from_arrays([*left, *(pa.concat_arrays([x, pa.array(named[:, k])]) for k, x in enumerate(blank))], names=["a", "b", "block", *_RARE])
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of one partition in the order of shingles and roots."""
+    """Candidates under the shingles that one sorted partition holds whole, and the rows of the other shingles in blocks.
+
+    A partition may share its first and its last shingle with others, and a shingle of more than ``_CHUNK`` rows is not held at once: what such shingles have here
+    is handed on in blocks of about that many rows.
+    """
+    waiting, held, handed = [], 0, None
+    none, no_pairs = np.empty((0, len(_RARE)), np.int64), np.empty((0, 2), np.int64)
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        """Works off what is waiting but for its last shingle, which is handed on if nothing else waits; ``handed`` is the shingle handed on before."""
+        nonlocal waiting, held, handed
+        rows = np.concatenate(waiting)
+        begins = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        if handed is None:
+            handed = rows[0, 0]
+        first = (int(begins[1]) if len(begins) > 1 else len(rows)) if rows[0, 0] == handed else 0
+        cut = int(begins[-1])
+        if first == len(rows):
+            yield _met_batch(no_pairs, rows)
+            waiting, held = [], 0
+            return
+        if first:
+            yield _met_batch(no_pairs, rows[:first])
+        whole = rows[first:cut]
+        if len(whole):
+            for found in _crossed(whole, np.r_[True, whole[1:, 0] != whole[:-1, 0]]):
+                yield _met_batch(found, none)
+        rest = rows[cut:]
+        if last or len(rest) >= _CHUNK:
+            yield _met_batch(no_pairs, rest)
+            handed, rest = rest[0, 0], rest[:0]
+        waiting, held = [rest], len(rest)
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1))
+            held += batch.num_rows
+            if held >= _CHUNK:
+                yield from flush(False)
+    if held:
+        yield from flush(True)
+
+
+def _met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates among whole cells of (x, y, block, shingle, root, node, size, place), two blocks of a shingle or one, in the order of cells and roots."""
     waiting, held = [], 0
+    cell = [3, 0, 1]
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for found in _crossed(rows):
+        group = np.r_[True, (rows[1:, cell] != rows[:-1, cell]).any(axis=1)]
+        for found in _crossed(rows[:, 3:], group, (rows[:, 2], rows[:, 0] == rows[:, 1])):
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         waiting.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1))
-        held += len(waiting[-1])
-        if held >= _CHUNK and waiting[-1][-1, 0] != waiting[0][0, 0]:
+        held += batch.num_rows
+        if held >= _CHUNK and (waiting[-1][-1, cell] != waiting[0][0, cell]).any():
             rows = np.concatenate(waiting)
-            cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1
+            cut = int(np.flatnonzero((rows[:, cell] != rows[-1, cell]).any(axis=1))[-1]) + 1
             yield from pairs(rows[:cut])
-            waiting, held = [rows[cut:]], 0
-    if waiting:
+            waiting, held = [rows[cut:]], len(rows) - cut
+    if held:
         yield from pairs(np.concatenate(waiting))
 
 
+def _met_anywhere(rare: DataFrame) -> DataFrame:
+    """(a, b): nodes of different roots that meet under a shingle of their prefixes and may reach the threshold.
+
+    Rows are dealt by ranges of (shingle, root, node), so a shingle of any number of rows is spread like all others and no task holds it. Where a shingle came
+    apart into blocks, every two of its blocks with more than one root between them meet in a cell of their own.
+    """
+    order = ["shingle", "root", "node"]
+    found = written(rare.select(*_RARE).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_met, _MET), "met")
+    rows = found.where("block is not null").select("block", *_RARE)
+    blocks = rows.groupBy("shingle", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = (blocks.withColumnsRenamed({"block": side, "low": f"low_{side}", "high": f"high_{side}"}) for side in "xy")
+    cells = x.join(y, "shingle").where("x <= y and least(low_x, low_y) < greatest(high_x, high_y)")
+    # A pair of blocks that are of several roots each also meets within them; that is the cell of a block and itself.
+    sides = cells.select("shingle", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    dealt = rows.join(sides, ["shingle", "block"]).select("x", "y", "block", *_RARE).repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "root")
+    pairs = found.where("a is not null").select("a", "b").unionByName(dealt.mapInArrow(_met_in_cells, "a long, b long"))
+    met = written(pairs.distinct(), "met")
+    remove(found)
+    return met
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The candidates that can reach the threshold by what their prefixes share: the rest of a set adds no more than its size."""
     for batch in batches:
@@ -406,8 +489,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     placed = rooted.join(named.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "prefix"), "node")
     rare = placed.select("node", "root", "size", F.posexplode("prefix").alias("place", "shingle"))
-    in_order = rare.select("shingle", "root", "node", "size", "place").repartition("shingle").sortWithinPartitions("shingle", "root")
-    met = written(in_order.mapInArrow(_met, "a long, b long").distinct(), "met")
+    met = _met_anywhere(rare)
     ends = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
     fronts = placed.join(ends, "node", "left_semi").select("node", "size", "prefix")
     two = (

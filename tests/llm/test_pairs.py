@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,58 @@ def test_hub_of_many_members_is_dealt_by_salt(spark, monkeypatch):
     sets = [plain_set(t) for t in rows]
     want = roots(len(rows), [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
     assert {r.doc_id: r.component_id for r in lshforest.near_duplicates(df).collect()} == dict(enumerate(want))
+
+
+def rare_rows(seed=3):
+    """(shingle, root, node, size, place): a shingle of one root, one of a root and an outsider, one of many roots, and small ones."""
+    draw = random.Random(seed)
+    rows = [(5, 1, n, 40, 0) for n in range(70)]
+    rows += [(6, 2, n, 40, 0) for n in range(100, 190)] + [(6, 3, 999, 41, 0)]
+    rows += [(7, draw.randrange(30), n, draw.randrange(20, 60), draw.randrange(12)) for n in range(200, 330)]
+    return rows + [(-s, draw.randrange(6), n, 30, draw.randrange(4)) for s in range(1, 25) for n in draw.sample(range(400, 440), draw.randrange(1, 9))]
+
+
+def plain_met(rows):
+    out = set()
+    for (s, r, a, x, p), (t, q, b, y, o) in combinations(rows, 2):
+        if s == t and r != q and 100 * min(x, y) >= 75 * max(x, y) and 175 * min(x - p, y - o) >= 75 * (x + y):
+            out.add((min(a, b), max(a, b)))
+    return out
+
+
+@pytest.mark.parametrize("chunk,step", [(16, 5), (64, 64), (1 << 16, 7)])
+def test_blocks_of_a_shingle_and_whole_groups_hold_each_row_once(monkeypatch, chunk, step):
+    monkeypatch.setattr(lshforest, "_CHUNK", chunk)
+    rows = sorted(rare_rows())
+    pairs, blocks = set(), []
+    for part in (rows[:100], rows[100:101], rows[101:260], rows[260:]):  # as ranges deal them, shingles cut in two
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part[k : k + step])], names=list(lshforest._RARE)) for k in range(0, len(part), step)]
+        for out in lshforest._met(iter([pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=list(lshforest._RARE)), *batches])):
+            found = out.to_pylist()
+            pairs |= {(r["a"], r["b"]) for r in found if r["a"] is not None}
+            own = [r for r in found if r["block"] is not None]
+            assert len({(r["block"], r["shingle"]) for r in own}) <= 1 and len(own) < chunk + step
+            blocks += own
+    handed = [tuple(r[c] for c in lshforest._RARE) for r in blocks]
+    assert len(set(handed)) == len(handed) and {5, 6, 7} & {r[0] for r in handed}
+    assert pairs | plain_met(handed) == plain_met(rows) and plain_met([r for r in rows if r not in set(handed)]) <= pairs
+
+
+def test_a_shingle_spread_over_partitions_loses_no_pair(spark):
+    rows = rare_rows()
+    conf, name = spark.conf, "spark.sql.adaptive.coalescePartitions.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        found = [tuple(r) for r in lshforest._met_anywhere(spark.createDataFrame(rows, "shingle long, root long, node long, size long, place int")).collect()]
+    finally:
+        conf.set(name, before)
+    assert len(found) == len(set(found)) and set(found) == plain_met(rows)
+    assert lshforest._met_anywhere(spark.createDataFrame([], "shingle long, root long, node long, size long, place int")).count() == 0
+
+
+def test_shingles_of_other_words_or_order_differ():
+    hashes = WordHashes()
+    texts = ["a b c d e", "b a c d e", "e d c b a", "a a a a b", "a a a b a", "a b c d", "a b c", "a"]
+    assert len({lshforest.shingle_set(t, hashes).tobytes() for t in texts}) == len(texts)
+    assert len(lshforest.shingle_set("x x x x x x x", hashes)) == 1
