@@ -25,6 +25,7 @@ it is kept. Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,15 @@ _CHUNK = 1 << 16
 MEMBERS = 512
 _FEATURES = "doc_id long, set_key binary, n_shingles long, signature binary, prefix array<long>"
 #: Buckets and documents of the sample that orders shingles by frequency.
-_BUCKETS, _SAMPLE = 1 << 20, 20_000
+_BUCKETS, _SAMPLE = 1 << 20, 5_000
 _SEED = 20240607
 
 
+@lru_cache
+def _places(k: int) -> np.ndarray:
+    return odd_constants(k, _SEED)
+
+
 def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of a whole text, as ascending 64-bit hashes."""
     parts = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space
@@ -55,9 +61,9 @@ def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.
     h = hashes.array(parts)
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mix64(out ^ h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    for i, c in enumerate(_places(k)):
+        out += h[i : len(h) - k + 1 + i] * c
+    return np.unique(mix64(out))
 
 
 _A = odd_constants(TREES * DEPTH, _SEED, np.uint32)
