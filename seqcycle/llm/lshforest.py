@@ -14,7 +14,7 @@ The forest's cost is linear: a node takes part in at most ``TREES * (NEAR + 2)``
 region. What it misses, mostly in regions of many texts that share a passage, a prefix-filtered join finds: shingles are put
 in an order of rising frequency, and two sets at the threshold share one of the first ``n - ceil(0.75 * n) + 1`` of each. Nodes
 that meet there under different components, and could still reach the threshold by their sizes and the shingle's places, are
-candidates, confirmed as the others are. Any order gives the same links; it is told from a sample, as it decides on cost alone.
+candidates, confirmed as the others are. Any order gives the same links; it is told from the shingles of all documents, by the upper half of their hashes.
 Only pairs of shingles' hashes that are equal by chance could make the result differ from that of all pairs.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept. Repeated rows
@@ -43,8 +43,10 @@ _CHUNK = 1 << 16
 #: Sets that are sent with one copy of their hub's.
 MEMBERS = 512
 _FEATURES = "doc_id long, set_key binary, n_shingles long, signature binary, prefix array<long>"
-#: Buckets and documents of the sample that orders shingles by frequency.
-_BUCKETS, _SAMPLE = 1 << 20, 5_000
+#: Shingles are ordered by frequency from this number of sets on; of rarer ones, a pair of sets meets under few.
+COMMON = 4
+#: Of the count of all shingles: documents in a range, about; shingles that a task sorts at once; buckets that are sent to all tasks.
+_SHARE, _TALLY, _HELD = 2_000, 1 << 22, 1 << 22
 _SEED = 20240607
 
 
@@ -83,31 +85,69 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
-def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles fall into each bucket."""
-    hashes, total = WordHashes(), np.zeros(_BUCKETS, np.int64)
-    for batch in pieces(batches):
-        found = [shingle_set(text.as_py(), hashes) for text in batch.column(0)]
-        if found:
-            total += np.bincount((np.concatenate(found) & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS)
-    at = np.flatnonzero(total)
-    for k in range(0, len(at), _CHUNK):
-        yield pa.RecordBatch.from_arrays([pa.array(at[k : k + _CHUNK]), pa.array(total[at[k : k + _CHUNK]])], names=["bucket", "n"])
+def _tallied(bits: int):
+    """A task's shingles by bucket, one for each set that has it: sorted, cut into ``2**bits`` ranges, as differences whose bytes of equal weight stand together."""
 
+    def packed(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        buckets = np.sort(np.concatenate(waiting))
+        cuts = np.searchsorted(buckets, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32))
+        blocks = [np.diff(part, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for part in np.split(buckets, cuts)]
+        return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
 
-def _frequencies(docs: DataFrame) -> np.ndarray:
-    """The counts of a bounded sample's shingles, by bucket."""
-    out = np.zeros(_BUCKETS, np.uint32)
-    every = max(1, docs.count() // _SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * _SAMPLE).select("text")
-    sums = some.mapInArrow(_tallied, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out[sums.column("bucket").to_numpy()] = np.minimum(sums.column("n").to_numpy(), 0xFFFFFFFF)
-    return out
-
-
-def prefix(shingles: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
-    """The rarest shingles, in order, of which two sets at the threshold share at least one."""
-    order = np.lexsort((shingles, frequencies[(shingles & np.uint64(_BUCKETS - 1)).astype(np.int64)]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, waiting, held = WordHashes(), [], 0
+        for batch in pieces(batches):
+            for text in batch.column(0):
+                waiting.append(_buckets(shingle_set(text.as_py(), hashes)))
+                held += len(waiting[-1])
+            if held >= _TALLY:
+                yield packed(waiting)
+                waiting, held = [], 0
+        if held:
+            yield packed(waiting)
+
+    return run
+
+
+def _buckets(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(32)).astype(np.uint32)
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """The buckets of one range that ``COMMON`` sets or more share, and how many do."""
+    blocks = [np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().cumsum(dtype=np.uint32) for b in table.column("block").to_pylist()]
+    buckets, counts = np.unique(np.concatenate(blocks), return_counts=True)
+    at = counts >= COMMON
+    return pa.table({"bucket": pa.array(buckets[at].astype(np.int64)), "n": pa.array(counts[at].astype(np.int64))})
+
+
+def _frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of common shingles, ascending, and in how many of all documents' sets each stands; at most ``_HELD`` of them, the most frequent ones."""
+    bits = min(16, (docs.count() // _SHARE).bit_length())
+    tallies = docs.select("text").mapInArrow(_tallied(bits), "part int, block binary")
+    common = written(tallies.groupBy("part").applyInArrow(_counted, "bucket long, n long"), "common")
+    sizes = {r.power: r.n for r in common.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()}  # powers of two
+    least, total = 1 << 62, 0
+    for power in sorted(sizes, reverse=True):
+        total += sizes[power]
+        if total > _HELD:
+            break
+        least = 1 << power
+    found = common.where(F.col("n") >= least).toArrow()
+    remove(common)
+    buckets, counts = found.column("bucket").to_numpy().astype(np.uint32), found.column("n").to_numpy().astype(np.uint32)
+    order = np.argsort(buckets)
+    return buckets[order], counts[order]
+
+
+def prefix(shingles: np.ndarray, frequencies: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles, in order, of which two sets at the threshold share at least one; those that are not common are as rare as each other."""
+    own, (common, counts) = _buckets(shingles), frequencies
+    rank = np.zeros(len(own), np.uint32)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, counts[at], rank)
+    order = np.lexsort((shingles, rank))
     n = len(shingles)
     return shingles[order[: n - -(-SIMILAR * n // 100) + 1]].view(np.int64) if n else shingles.view(np.int64)
 

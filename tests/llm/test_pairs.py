@@ -316,3 +316,19 @@ def test_shingles_of_other_words_or_order_differ():
     texts = ["a b c d e", "b a c d e", "e d c b a", "a a a a b", "a a a b a", "a b c d", "a b c", "a"]
     assert len({lshforest.shingle_set(t, hashes).tobytes() for t in texts}) == len(texts)
     assert len(lshforest.shingle_set("x x x x x x x", hashes)) == 1
+
+
+def test_order_of_shingles_counts_every_document(spark, monkeypatch):
+    """As many documents as no sample of 5,000 would hold, in which a passage stands in few."""
+    monkeypatch.setattr(lshforest, "_TALLY", 3_000)
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}" + (" one passage of six words here" if i % 4000 == 0 else "")) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    buckets, counts = lshforest._frequencies(docs)
+    passage = lshforest._buckets(lshforest.shingle_set("one passage of six words here", WordHashes()))
+    assert dict(zip(buckets.tolist(), counts.tolist())) == {int(b): 6 for b in passage}
+    own = lshforest.shingle_set(rows[0][1], WordHashes())
+    first = lshforest.prefix(own, (buckets, counts)).view("uint64")
+    assert not set(lshforest._buckets(first).tolist()) & set(passage.tolist())
+    monkeypatch.setattr(lshforest, "_HELD", 1)
+    assert [len(x) for x in lshforest._frequencies(docs)] == [0, 0]
+    assert [len(x) for x in lshforest._frequencies(docs.limit(0))] == [0, 0]
