@@ -128,17 +128,16 @@ def simulation_file(spark, sf_dir):
 
 
 def json_tree(spark, sf_dir):
-    """Result files in a tree of folders: each sample's fits by length, found and parsed again."""
+    """Results in a tree of folders: a folder for each length, in which files of JSON lines hold the fits of many samples, found and parsed again."""
     folder = new_folder(spark, "tree")
     rows = demo.lengths(spark, sf_dir)
     fits = F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.struct(b.alias("base"), F.col("mean_r2").alias("r2")))
-    content = F.to_json(F.struct(F.lit("fits").alias("kind"), fits.alias("fits")))
-    names = rows.select(F.concat_ws("/", F.lit("stats"), "sample", F.lit("kmer"), F.concat(F.lit("L"), "read_length")).alias("place"), content.alias("value"))
-    sinks.tree(names, folder, "k1_result.json")
-    found = tables.result_files(spark, folder)
-    parsed = F.from_json("content", "fits array<struct<base:string,r2:double>>")
-    sample, length = F.regexp_extract("path", r"/stats/([^/]*)/", 1), F.regexp_extract("path", r"/L(\d+)/", 1).cast("long")
-    return found.select(sample.alias("sample"), length.alias("read_length"), F.explode(parsed["fits"]).alias("f")).select("sample", "read_length", "f.base", F.round("f.r2", 9).alias("r2"))
+    content = F.to_json(F.struct(F.lit("fits").alias("kind"), "sample", fits.alias("fits")))
+    sinks.tree(rows.select("read_length", content.alias("value")), folder, "read_length")
+    found = tables.result_lines(spark, folder, "read_length long")
+    parsed = F.from_json("content", "sample string, fits array<struct<base:string,r2:double>>")
+    lines = found.select("read_length", parsed.alias("p"))
+    return lines.select("p.sample", "read_length", F.explode("p.fits").alias("f")).select("sample", "read_length", "f.base", F.round("f.r2", 9).alias("r2"))
 
 
 def _trimmed(spark, sf_dir) -> DataFrame:

@@ -85,3 +85,8 @@ def result_files(spark: SparkSession, folder: str, pattern: str = "k1_*.json") -
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), F.col("value").alias("content")).where(path.rlike(r"/stats/[^/]*/kmer/L[^/]*/[^/]*$"))
+
+
+def result_lines(spark: SparkSession, folder: str, by: str) -> DataFrame:
+    """(content, and the columns ``by`` of the folders' names) of the results that ``sinks.tree`` has written, one for each line."""
+    return spark.read.schema(f"content string, {by}").text(folder)

@@ -152,6 +152,14 @@ def test_results_metadata_and_best_length(spark, tmp_path):
         rollup.joined_metadata(rollup.library_summary(good), twice)
 
 
+def test_a_tree_of_results_has_few_files(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id % 3 AS length", "concat('{\"n\":', id, '}') AS value")
+    sinks.tree(rows, str(tmp_path / "tree"), "length")
+    assert len(list((tmp_path / "tree").rglob("part-*"))) <= 12
+    found = tables.result_lines(spark, str(tmp_path / "tree"), "length long")
+    assert found.columns == ["content", "length"] and {(r.length, r.content) for r in found.collect()} == {(r.length, r.value) for r in rows.collect()}
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("r1", "r1 x", 0x1 | 0x10 | 0x40, "ACGT", "IIII", {"NM": "i:1", "XX": "Z:a"}, 1, 1)], "read_id string, description string, flag int, seq string, qual string, tags map<string,string>, trim5 int, trim3 int")
     sinks.fasta(rows, str(tmp_path / "f"), sinks.trimmed_header(rows))
