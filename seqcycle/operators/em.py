@@ -8,6 +8,7 @@ restarts) and one sum of 12 columns for each state; assignments follow from the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -109,6 +110,17 @@ def m_step(t: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     return smoothed / smoothed.sum(axis=1, keepdims=True)
 
 
+def score(t: np.ndarray, p: np.ndarray) -> float:
+    """The log likelihood of the reads whose totals are ``t``, rounded once: it does not depend on how reads are dealt, and fits that are turns of each other tie exactly."""
+    return math.fsum((np.asarray(t, float).ravel() * np.log(np.asarray(p, float)).ravel()).tolist())
+
+
+def first_best(fits: list[Fit]) -> Fit:
+    """The first of the fits whose score is the largest but for rounding."""
+    top = max(f.ll for f in fits)
+    return next(f for f in fits if f.ll >= top - 1e-9)
+
+
 def noise(seed: int) -> np.ndarray:
     """What tells a restart's first parameters from the overall base frequencies."""
     return np.random.default_rng(seed).normal(0, 0.01, (3, 4))
@@ -185,22 +197,18 @@ def fit_all(rows: DataFrame, effective: dict[int, int], *, restarts: int = RESTA
         sums = {(r.length, r.seed): r for r in step([(n, effective[n], f) for n, f in moving]).collect()}  # a row for each restart
         for n, f in moving:
             r = sums[n, f.seed]
-            if f.trace and r.ll < f.trace[-1] - tolerance * (1 + abs(f.trace[-1])):
+            t = np.array([r[f"t{i}"] for i in range(12)], float)
+            ll = score(t, f.p)
+            if f.trace and ll < f.trace[-1] - tolerance * (1 + abs(f.trace[-1])):
                 raise ValueError("the score has fallen")
-            f.trace.append(float(r.ll))
+            f.trace.append(ll)
             if f.before is not None and not r.changed:
                 f.stable = True
             else:
-                f.before, f.p = f.p, m_step(np.array([r[f"t{i}"] for i in range(12)], float), alpha)
+                f.before, f.p = f.p, m_step(t, alpha)
     if not all(f.stable for own in fits.values() for f in own):
         raise ValueError(f"assignments are not stable after {max_iter} steps")
-    best = {}
-    for n, own in fits.items():
-        best[n] = own[0]
-        for f in own[1:]:
-            if f.ll > best[n].ll + 1e-12:
-                best[n] = f
-    return best
+    return {n: first_best(own) for n, own in fits.items()}
 
 
 def fit(rows: DataFrame, effective: int, *, restarts: int = RESTARTS, seed: int = SEED, alpha: float = ALPHA, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> Fit:
