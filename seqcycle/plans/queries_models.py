@@ -17,7 +17,8 @@ FIRST = em.SEED + LENGTH * 10007
 
 
 def _rows(spark, sf_dir):
-    return written(em.profiles(demo.reads(spark, sf_dir), LENGTH), "profiles")
+    dealt = 2 * spark.sparkContext.defaultParallelism  # files, so that a step over few megabytes still runs on all cores
+    return written(em.profiles(demo.reads(spark, sf_dir), LENGTH).repartition(dealt), "profiles")
 
 
 def _steps(spark, sf_dir):
