@@ -78,6 +78,17 @@ def test_two_runs_over_growing_input_equal_one_over_all(spark, grown, tmp_path,
     assert rows_of(spark, output) == at_once(spark, FIRST + SECOND, tmp_path)
 
 
+def test_reads_are_cut_in_one_pass(spark):
+    """The given expressions are evaluated once for a row, and no read is sought from the start of its sequence."""
+    texts = ["acgt" * 25_000, "a\nb\r\u2028\u00e9\U0001f9ec" * 5, "acgtacgtacgt", "", None]
+    rows = spark.createDataFrame([(i, t, "a", 0) for i, t in enumerate(texts)], SCHEMA).repartition(1)
+    got = arriving_libraries.reads(rows, CONFIG)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(text") == 1 and "substr" not in plan, plan
+    expected = [t.upper()[i : i + 12] for t in texts if t for i in range(0, len(t), 12)]
+    assert sorted(r.seq for r in got.collect()) == sorted(expected)
+
+
 def test_counts_by_hand(spark, grown):
     cells = Counter({(r.library, r.length, r.cycle, r.token): r.n for r in arriving_libraries.written(spark, str(grown[1]))["cells"].collect()})
     assert cells["a", 12, 0, "+"] == 2 and cells["a", 2, 1, "AC"] == 1 and cells["a", 2, 2, "C"] == 1 and cells["", 4, 0, "-"] == 1 and cells["a", 12, 12, "T"] == 2
