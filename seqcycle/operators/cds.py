@@ -71,14 +71,15 @@ def classified(alignments: DataFrame, features: DataFrame, *, min_mapq: int = MI
     rows = alignments.withColumn("early", early).withColumn("reversed", has(flag, REVERSE))
     # What an alignment meets follows from its place and orientation alone: mates, or records of equal names, each have their own.
     place = ["contig", "ref_start", "ref_end", "reversed"]
-    pairs = overlaps(rows.where("early is null").select(place).distinct(), features)
+    tried = rows.where("early is null")
+    pairs = overlaps(tried.select(place).distinct(), features)
     inside = (F.col("ref_start") >= F.col("cds_start")) & (F.col("ref_end") <= F.col("cds_end")) & (F.col("reversed") == (F.col("cds_strand") == "-"))
     feature = F.struct("cds_start", "cds_end", "cds_strand", "cds_phase", "cds_identifier")
     # Pairs are distinct features, so a count and one of them say all; nothing is gathered.
     per = pairs.groupBy(place).agg(F.sum(inside.cast("int")).alias("inside"), F.min(F.when(inside, feature)).alias("cds"))
     contigs = features.select("contig").distinct().withColumn("annotated", F.lit(True))
-    joined = rows.join(per, place, "left").join(contigs, "contig", "left")
-    seq = F.upper(F.when(has(flag, REVERSE), reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    joined = tried.join(per, place, "left").join(contigs, "contig", "left")
+    seq = F.when(F.col("inside") == 1, F.upper(F.when(has(flag, REVERSE), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))))
     phase = codon_phase(F.col("ref_start"), F.col("ref_end"), F.col("cds.cds_start"), F.col("cds.cds_end"), F.col("cds.cds_strand"), F.col("cds.cds_phase"))
     placed = joined.withColumn("read", seq).withColumn("phase", phase)
     corrected, five, three = codon_corrected(F.col("read"), F.col("phase"))
@@ -87,12 +88,14 @@ def classified(alignments: DataFrame, features: DataFrame, *, min_mapq: int = MI
         .when(F.col("inside") > 1, "ambiguous_multiple_cds").when(F.col("read").isNull(), "missing_sequence").when(~is_unambiguous(F.col("read")), "ambiguous_sequence")
         .when(F.length(corrected) < 3, "too_short_after_trim").otherwise("written")
     )
-    out = placed.withColumn("reason", F.coalesce("early", late))
+    out = placed.withColumn("reason", late)
     only = lambda c: F.when(F.col("reason") == "written", c)
-    return out.select(
+    met = out.select(
         *alignments.columns, "reason", only(F.col("cds.cds_identifier")).alias("cds_identifier"), only(F.col("cds.cds_strand")).alias("cds_strand"), only(F.col("phase")).alias("phase"),
         only(five).cast("int").alias("trim5"), only(three).cast("int").alias("trim3"), only(corrected).alias("corrected"),
     )
+    # The others need neither a feature nor their sequence: they are not sent to meet any, and those of no place make no crowd.
+    return met.unionByName(rows.where("early is not null").select(*alignments.columns, F.col("early").alias("reason")), allowMissingColumns=True)
 
 
 def funnel(rows: DataFrame) -> DataFrame:

@@ -155,6 +155,20 @@ def test_frames_are_written_by_contig_and_replaced(spark, tmp_path, caplog):
     assert sorted(r.read_id for r in frame_normalised_reads.written(spark, out).collect()) == ["r3", "r4"]
 
 
+def test_a_sequence_is_made_only_of_an_alignment_that_is_tried(spark, tmp_path):
+    """Alignments left out by their flag, quality or CIGAR meet no feature, so they are not sent to any, and their sequence is not evaluated."""
+    given = {c.split()[0]: c.split()[0] for c in ALIGNED.split(", ")} | {"seq": "if(flag = 4 or mapq < 25, cast(raise_error('made for nothing') as string), seq)"}
+    config = frame_normalised_reads.Config(given, {c.split()[0]: f"`{c.split()[0]}`" for c in FEATURES.split(", ")})
+    rows = [("r1", 0, 30, "1", 10, 20, "10M", "ACGTACGTAC"), ("r2", 0, 30, None, 10, 20, "10M", "ACGTACGTAC"), ("r3", 4, 0, None, None, None, None, "ACG"), ("r4", 0, 9, "1", 10, 20, "10M", None), ("r5", 0, 30, "1", 10, 20, None, "ACG")]
+    spark.createDataFrame([("1", 8, 100, "+", 0, "g"), ("1", 8, 100, "-", 0, "h")], FEATURES).write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame(rows, ALIGNED).write.parquet(str(tmp_path / "a"))
+    out = str(tmp_path / "out")
+    frame_normalised_reads.run(spark, str(tmp_path / "a"), str(tmp_path / "f"), out, config)
+    got = {r.read_id: (r.reason, r.corrected) for r in frame_normalised_reads.written(spark, out).collect()}
+    none = {"r2": "contig_without_cds", "r3": "unmapped", "r4": "low_mapq", "r5": "complex_cigar_excluded"}
+    assert got == {"r1": ("written", "CGTACGTAC")} | {k: (reason, None) for k, reason in none.items()}
+
+
 def test_configurations_are_checked(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"columns": {}, "tiles": 3}))
     with pytest.raises(ValueError, match="tiles"):
